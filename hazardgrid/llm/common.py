@@ -139,13 +139,15 @@ def window_hash(prefix: np.ndarray, width: int, base: int) -> np.ndarray:
     return (prefix[width:] - prefix[:n]) * powers(base, n)[1] if n > 0 else np.zeros(0, dtype=U64)
 
 
-def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
+def sliding_argmin(keys: np.ndarray, width: int, block: int = 1 << 23) -> np.ndarray:
     """Index of the smallest of keys[i : i + width] for each full window; of equal ones the first.
     Looks at the upper 40 bits of each key."""
+    if len(keys) > block + width:
+        parts = [sliding_argmin(keys[at : at + block + width - 1], width, block) + at for at in range(0, len(keys) - width + 1, block)]
+        return np.concatenate(parts)
     n = len(keys)
     if n < width:
         return np.zeros(0, dtype=np.int64)
-    assert n < 1 << 24
     x = (keys >> U64(24) << U64(24)) | np.arange(n, dtype=U64)
     span = 1
     while 2 * span <= width:
@@ -200,3 +202,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     # at the fixed point every edge is (node, smallest node of its component)
     return spark.createDataFrame([], "node long, component long").unionAll(cur.select(F.col("u").alias("node"), F.col("v").alias("component"))).unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(key, low, n, n_ids, text): each different text once, with its smallest doc_id, its rows and
+    those with a doc_id. Copies collapse on the map side. The key is half of the text's SHA-256."""
+    one = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return one.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("n_ids"), F.first("text").alias("text"))
+
+
+def text_key(text: str = "text"):
+    return F.substring(text_digest(text), 1, 16)
+
+
+def joined_bytes(texts: list[bytes], gap: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array, ``gap`` after each, and where each begins (one entry more at the end)."""
+    begin = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) + len(gap) for t in texts], out=begin[1:])
+    return np.frombuffer(gap.join([*texts, b""]), dtype=np.uint8), begin
+
+
+def runs_of(mask: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs where ``mask`` holds and each of ``same`` stays equal."""
+    if not len(mask):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    cut = np.ones(len(mask) + 1, dtype=bool)
+    cut[1:-1] = mask[1:] != mask[:-1]
+    for s in same:
+        cut[1:-1] |= s[1:] != s[:-1]
+    at = np.flatnonzero(cut)
+    on = mask[at[:-1]]
+    return at[:-1][on], at[1:][on]
+
+
+def ramp(lengths: np.ndarray) -> np.ndarray:
+    """0..n-1 for each length, one after the other."""
+    total = int(lengths.sum())
+    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)

@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_dedup
 
@@ -32,6 +38,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pack_documents(_docs(spark, sf_dir), f.read(), end_id=2)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup_rows
+
+    return suffix_dedup_rows(_docs(spark, sf_dir))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_dedup
 
@@ -40,9 +52,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
 
