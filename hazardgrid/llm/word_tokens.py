@@ -9,41 +9,60 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from itertools import chain, islice
 
 import numpy as np
-import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words remembered a worker: the younger half is kept when the older is dropped.
-REMEMBERED = 200_000
-#: Printable ASCII, common white space and precomposed Latin letters, on which every Unicode version agrees.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ž€ß]*")
+from .common import ramp  # noqa: E402
+
+#: Words remembered by a worker; beyond that it starts anew.
+REMEMBERED = 1_000_000
+#: Letters, besides ASCII ones, on which every Unicode version agrees: precomposed Latin.
+LATIN = "À-ÖØ-öø-įı-ž"
+#: Texts of these, printable ASCII and common white space need no library to be cut into words.
+PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LATIN}€]*")
+#: The lower-cased alphabet's words, as the general pattern below cuts them.
+PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
+GENERAL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Numbered(dict):
+    """Numbers words in the order of their first lookup."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Words:
-    """Bounded memory of word -> value; ``missing`` makes values for a list of unknown words."""
-
-    def __init__(self, missing: Callable[[list[str]], list]):
-        self.missing, self.young, self.old = missing, {}, {}
-
-    def of(self, words: list[str]) -> dict:
-        """A dict with at least these words."""
-        new = []
-        young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old = old = young
-            self.young = young = {}
-        for w in set(words).difference(young):
-            if w in old:
-                young[w] = old[w]
-            else:
-                new.append(w)
-        if new:
-            young.update(zip(new, self.missing(new), strict=True))
-        return young
+    """Bounded memory of the ids of words; ``encode`` gives (ids, count for each) of unknown ones."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbered()
+        self.ids, self.first, self.count = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def of(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each has)."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        had = len(self.number)
+        which = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64)
+        if len(self.number) > had:
+            ids, count = self.encode(list(islice(self.number, had, None)))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, ids])
+        count = self.count[which]
+        return self.ids[np.repeat(self.first[which], count) + ramp(count)], count
 
 
 def word_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]]:
@@ -53,25 +72,28 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]]
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != GENERAL_WORDS:
+        raise ValueError("this tokenizer cuts words in another way")
     special = [t["content"] for t in spec["added_tokens"]]
 
-    def missing(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    def unknown(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = tokenizer.encode(" ".join(words), add_special_tokens=False)  # one call for all words
+        return np.array(whole.ids, dtype="<u4"), np.bincount(whole.word_ids, minlength=len(words))
 
-    memory = Words(missing)
+    memory = Words(unknown)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        hard = []
-        for i, text in enumerate(texts):
-            if PLAIN.fullmatch(text) is None or any(s in text for s in special):
-                hard.append(i)
-                continue
-            words = pattern.findall(text.lower())
-            out[i] = np.frombuffer(b"".join(map(memory.of(words).__getitem__, words)), dtype="<u4")
-        for i in hard:
-            out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4")
+        """One lookup of the words of all texts that are cut here."""
+        cut = [PLAIN_WORDS.findall(t.lower()) if PLAIN.fullmatch(t) is not None and not any(s in t for s in special) else None for t in texts]
+        ids, count = memory.of(chain.from_iterable(c for c in cut if c))
+        ends = np.concatenate([[0], np.cumsum(count)])
+        out, at = [], 0
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
+                out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+            else:
+                out.append(ids[ends[at] : ends[at + len(words)]])
+                at += len(words)
         return out
 
     return encode
