@@ -17,6 +17,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _tokenizer(name: str) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_codec import bpe_roundtrip
+
+    return bpe_roundtrip(_docs(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_dedup
 
@@ -30,12 +45,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .packing import pack_documents
 
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return pack_documents(_docs(spark, sf_dir), f.read(), end_id=2)
+    return pack_documents(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json").decode(), end_id=2)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +65,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_bpe_codec": op3_bpe_codec,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
