@@ -76,9 +76,18 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str]], list[np.ndarray]]
         raise ValueError("this tokenizer cuts words in another way")
     special = [t["content"] for t in spec["added_tokens"]]
 
+    # words of the plain alphabet are already normalised and cut; a word's last token ends in the suffix
+    suffix = spec["model"]["end_of_word_suffix"]
+    last = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+    last[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+    bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}))
+
     def unknown(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = tokenizer.encode(" ".join(words), add_special_tokens=False)  # one call for all words
-        return np.array(whole.ids, dtype="<u4"), np.bincount(whole.word_ids, minlength=len(words))
+        ids = np.array(bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word without its end")
+        return ids, np.diff(ends, prepend=0)
 
     memory = Words(unknown)
 
