@@ -32,7 +32,11 @@ CLASSES = 48
 #: Bounds of the training set: labelled documents, words of either kind, landmarks.
 TRAIN_DOCUMENTS = 8000
 TRAIN_WORDS = 6000
-LANDMARKS = 160
+LANDMARKS = 320
+#: Added to a word's squared norm, so that words of a letter or two resemble nothing closely.
+FLOOR = 3.0
+#: Weight of an insult among the examples, for each doubling of the documents it is in.
+POSITIVE = 2.0
 #: Words that a worker remembers.
 REMEMBERED = 700_000
 #: Longer words are scored in overlapping parts.
@@ -89,7 +93,7 @@ def norms(words: list[str]) -> np.ndarray:
     total = np.zeros(len(words))
     for number, owner, weight in _subsequences(words):
         total += np.bincount(owner, weights=(number > 0) * weight**2, minlength=len(words))
-    return np.sqrt(np.maximum(total, 1e-9))
+    return np.sqrt(total + FLOOR)
 
 
 class Kernel:
@@ -117,7 +121,7 @@ class Kernel:
         return (np.concatenate(parts) / norms(words)[:, None]) @ self.root
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps; y is 1 or -1."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -158,7 +162,7 @@ class Machine:
             for number, owner, weight in _subsequences(some):
                 total[at : at + len(some)] += np.bincount(owner, weights=table[number] * weight, minlength=len(some))
                 square[at : at + len(some)] += np.bincount(owner, weights=(number > 0) * weight**2, minlength=len(some))
-        value = total / np.sqrt(np.maximum(square, 1e-9)) + self.offset
+        value = total / np.sqrt(square + FLOOR) + self.offset
         first = np.cumsum([0] + [len(p) for p in parts[:-1]])
         return np.maximum.reduceat(value, first)
 
@@ -241,24 +245,23 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
     clean += [r["w"] for r in words.where("all > toxic").orderBy(F.xxhash64("w"), "w").limit(TRAIN_WORDS).collect()]
     if not good:
         return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, (0.0, -30.0))
-    half = LANDMARKS // 2
     rng = np.random.default_rng(7)
     bad_words = [w for w, _ in good]
-    marks_of = [m.strip("^") for m in marks if m.startswith("^")]
-    landmarks = list(dict.fromkeys([*marks_of[:half], *bad_words[:half], *rng.choice(clean, min(half, len(clean)), replace=False).tolist()]))[: 2 * LANDMARKS]
+    stems = list(dict.fromkeys([*[w for w, _ in good[:40]], *[m.strip("^") for m in marks if m.startswith("^")]]))[: LANDMARKS // 3]
     machine = None
     extra: list[str] = []
-    for _ in range(2):
-        kernel = Kernel(landmarks)
+    for last in (False, False, True):
+        # landmarks: the insults' stems, the clean words closest to them so far, and others by chance
+        near = extra[: LANDMARKS // 3]
+        other = rng.choice(clean, min(LANDMARKS - len(stems) - len(near), len(clean)), replace=False).tolist()
+        kernel = Kernel(list(dict.fromkeys([*stems, *near, *other])))
         negatives = list(dict.fromkeys(clean + extra))
         x = kernel.features(bad_words + negatives)
         y = np.concatenate([np.ones(len(bad_words)), -np.ones(len(negatives))])
-        balance = np.concatenate([np.full(len(bad_words), len(negatives) / len(bad_words)), np.ones(len(negatives))])
-        w, offset = train_svm(x, y, balance)
+        w, offset = train_svm(x, y, np.concatenate([POSITIVE * np.log2([1 + n for _, n in good]), np.ones(len(negatives))]))
         machine = Machine(kernel.numbers, (kernel.root @ w) @ kernel.rows, offset)
-        if extra:
+        if last:
             break
-        # words of clean sentences that come closest are added once
         shared = docs.sparkSession.sparkContext.broadcast(machine)
 
         def closest(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -266,7 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
             for part in parts:
                 yield pd.DataFrame({"w": part["w"], "m": shared.value.margins(part["w"].to_list(), table)})
 
-        extra = [r["w"] for r in words.where("all > toxic").select("w").mapInPandas(closest, "w string, m double").orderBy(F.desc("m"), "w").limit(TRAIN_WORDS // 3).collect()]
+        nearest = words.where("all > toxic").select("w").mapInPandas(closest, "w string, m double").orderBy(F.desc("m"), "w").limit(TRAIN_WORDS // 3).collect()
+        extra = list(dict.fromkeys([*[r["w"] for r in nearest], *extra]))
     # the link: worst margins of the training documents against their labels
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     seen = rows.mapInArrow(lambda it: _margins(it, shared, ["y"]), "y int, margin double").toPandas()
