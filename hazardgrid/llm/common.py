@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardgrid.shipping import ship_package
+
 #: Bytes of text that a Python worker holds at once, besides one single longer text.
 CHUNK_BYTES = 4 << 20
 
@@ -33,6 +35,7 @@ _MASK = (1 << 64) - 1
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage. A folder of this machine is used only where the
     session names none, as in local tests."""
+    ship_package(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = f"{tempfile.gettempdir()}/hazardgrid-scratch"
@@ -61,6 +64,7 @@ def discard(df: DataFrame | None) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     """Reduce-side buckets for blocks that Python packs itself; follows the cluster's setting."""
+    ship_package(spark)
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
