@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .word_tokens import Numbered
@@ -304,17 +305,21 @@ def _margins(batches: Iterator[pa.RecordBatch], shared, carried: list[str]) -> I
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) for each row of ``docs(doc_id, text)``: the probability that it is toxic. Null and
     empty texts score as texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    return with_score(docs.select(F.col("doc_id").cast("long"), "text"), machine, "score").drop("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _margins(batches, shared, ["doc_id"]):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine_of(shared).probability(part.column(1).to_numpy()))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+def with_score(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
+    """``docs`` with one more column, the score of its text; other columns pass through."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, memory = shared.value.table(), {}
+        for part in common.chunks(batches):
+            margin = worst_margins([x or "" for x in part.column(at).to_pylist()], shared.value, table, memory)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.probability(margin))], names=[*part.schema.names, name])
 
-def machine_of(shared) -> Machine:
-    return shared.value
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def fold(column: str, of: int) -> Column:
