@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +16,36 @@ from . import common
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z only
 SEED = 42
-#: Shingles whose bits are counted at once.
-BLOCK = 1 << 16
+#: Shingles whose bits are added up in bytes.
+BLOCK = 255
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64; 0 for a text without words."""
+def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter than one."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, dtype="<u8")
     one = xxhash.xxh64_intdigest
+    if len(words) < width:
+        return np.array([one(b" ".join(words), seed)], dtype="<u8")
     join = b" ".join
-    n = len(words) - width + 1
-    hashes = np.fromiter((one(join(s), seed) for s in zip(*(words[k:] for k in range(width)), strict=False)), dtype="<u8", count=n)
-    total = np.zeros(64, dtype=np.int64)
+    return np.fromiter((one(join(s), seed) for s in zip(*(words[k:] for k in range(width)), strict=False)), dtype="<u8", count=len(words) - width + 1)
+
+
+def majority(words: np.ndarray) -> np.ndarray:
+    """Which bits are set in over half of the rows of 64-bit words (n rows of some words)."""
+    n = len(words)
+    total = np.zeros(64 * words.shape[1], dtype=np.int64)
+    raw = np.ascontiguousarray(words, dtype="<u8").view(np.uint8)
     for at in range(0, n, BLOCK):
-        part = hashes[at : at + BLOCK]
-        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        total += np.add.reduce(np.unpackbits(raw[at : at + BLOCK], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return 2 * total > n
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
+    """Bit i is 1 if it is set in over half of the shingles' XXH64; 0 for a text without words."""
+    hashes = shingle_hashes(text, width, seed)
+    return int(np.packbits(majority(hashes[:, None]), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -104,3 +116,76 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
     label = named.join(lowest, "component").select("fp", "component_id")
     out = rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: Near copies by similarity: words of a shingle, least similarity, lanes of 64 bits.
+SIMILAR_WIDTH, SIMILAR, LANES = 5, 0.8, 5
+#: Chance that all tables miss a pair of that similarity.
+SIMILAR_MISS = 0.05
+
+
+def expected_share(similarity: float) -> float:
+    """Share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segment_plan(texts: int) -> tuple[int, int]:
+    """(bits of a segment, segments): a segment's table has about a quarter of a text a cell, and there
+    are as many as SIMILAR_MISS asks for with balls of radius one."""
+    bits = min(28, max(8, math.ceil(math.log2(max(texts, 1))) + 2))
+    q = 1 - expected_share(SIMILAR)
+    found = 0.8 * (q**bits + bits * (1 - q) * q ** (bits - 1))
+    return bits, max(1, math.ceil(math.log(SIMILAR_MISS) / math.log(1 - found)))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id, kept) for each row of ``docs(doc_id, text)``: texts whose sets of five-word
+    shingles are similar to 0.8 or more share a component, named by its smallest doc_id.
+
+    Fingerprints have 320 bits; pairs of that similarity differ in some 49 of them, far too many for
+    disjoint segments to agree, so segments are samples of the bits, as many as recall asks for. Each
+    text looks its segment values up, and those one bit higher; a table names one text a cell, the
+    smallest, so matches grow with the texts even in large groups. Matches are verified by their
+    complete distance (56 bits at most, a standard deviation above the expected 49).
+    """
+    spark = docs.sparkSession
+    most = round(64 * LANES * expected_share(SIMILAR) + math.sqrt(64 * LANES * 0.15 * 0.85))
+    lane_names = [f"l{k}" for k in range(LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches):
+            out = np.zeros((part.num_rows, LANES), dtype="<u8")
+            for k, text in enumerate(common.bytes_of(part)):
+                h = shingle_hashes(text, SIMILAR_WIDTH)
+                if len(h):
+                    lanes = np.stack([common.mix(h + common.U64(j * common.UNIT_BASE & (1 << 64) - 1)) for j in range(LANES)], axis=1)
+                    out[k] = np.packbits(majority(lanes), bitorder="little").view("<u8")
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[:, j].view("<i8")) for j in range(LANES))], names=["doc_id", *lane_names])
+
+    rows = common.durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in lane_names)))
+    nodes = rows.groupBy(*lane_names).agg(F.min("doc_id").alias("low")).withColumn("node", F.xxhash64(*lane_names))
+    nodes = common.durable(nodes)
+    bits, tables = segment_plan(nodes.count())
+    rng = np.random.default_rng(11)
+    picks = [sorted(rng.choice(64 * LANES, bits, replace=False).tolist()) for _ in range(tables)]
+
+    def segment(pick: list[int]) -> Column:
+        terms = [F.shiftleft(F.shiftright(lane_names[p // 64], p % 64).bitwiseAND(F.lit(1)), k) for k, p in enumerate(pick)]
+        return reduce(lambda a, b: a.bitwiseOR(b), terms)
+
+    keyed = nodes.select("node", "l0", F.array(*[segment(p).cast("long").bitwiseOR(F.lit(k << 32)) for k, p in enumerate(picks)]).alias("segments"))
+    keyed = common.durable(keyed)
+    cells = keyed.select("node", "l0", F.explode("segments").alias("cell")).groupBy("cell").agg(F.min(F.struct("node", "l0")).alias("first"))
+    cells = cells.select("cell", F.col("first.node").alias("b"), F.col("first.l0").alias("lb"))
+    up = F.transform("segments", lambda s: F.filter(F.transform(F.sequence(F.lit(-1), F.lit(bits - 1)), lambda j: F.when(j < 0, s).when((s.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j)) == 0), s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))), lambda x: x.isNotNull()))
+    probes = keyed.select("node", "l0", F.explode(F.flatten(up)).alias("cell"))
+    near = F.bit_count(F.col("l0").bitwiseXOR(F.col("lb"))) <= 64 * most // (64 * LANES) + 12
+    met = probes.join(cells, "cell").where((F.col("node") != F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    x, y = nodes.select(F.col("node").alias("a"), F.struct(*lane_names).alias("x")), nodes.select(F.col("node").alias("b"), F.struct(*lane_names).alias("y"))
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in lane_names])
+    links = met.join(x, "a").join(y, "b").where(apart <= most).select("a", "b")
+    parts = common.connected_components(links)
+    named = nodes.join(parts, "node", "left").select(*lane_names, "low", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = named.join(lowest, "component").select(*lane_names, "component_id")
+    return rows.join(label, lane_names).select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
