@@ -1,0 +1,68 @@
+"""Every registered query of the analysis against its SQL on the smallest tables."""
+
+import math
+
+import duckdb
+import pytest
+
+from hazardgrid import catalog
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for t in TABLES:
+        connection.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return connection
+
+
+def plain(rows):
+    def one(v):
+        if v is None or (isinstance(v, float) and math.isnan(v)):
+            return "~"
+        return repr(round(v, 9) + 0.0) if isinstance(v, float) else str(v)
+
+    return sorted(tuple(one(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, db, name):
+    got = catalog.queries()[name](spark, SF)
+    sql = catalog.oracle_sql()[name]
+    columns = sorted(got.columns)
+    assert sorted(db.sql(sql).columns) == columns
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    assert plain(got.select(*columns).collect()) == plain(db.sql(f"select {quoted} from ({sql})").fetchall())
+
+
+def test_documents(spark):
+    import json
+
+    rows = catalog.queries()["walk_documents"](spark, SF).collect()
+    assert len(rows) == 10
+    body = json.loads(rows[0].body)
+    assert body["mode"] == "walk" and len(body["trend"]) == 24
+
+
+def test_paths_follow_edges(spark):
+    from hazardgrid.plans import surrogate as sur
+
+    t = sur.Tables(spark, SF)
+    edges = {(e.src, e.dst) for e in t.edges().collect()}
+    nodes = {}
+    for r in catalog.queries()["path_documents"](spark, SF).collect():
+        nodes.setdefault(r.qid, []).append((r.seq, r.node))
+    assert nodes
+    for path in nodes.values():
+        ids = [n for _, n in sorted(path)]
+        assert all(e in edges for e in zip(ids, ids[1:], strict=False))
+
+
+def test_entry_works_without_the_corpus_package(spark):
+    import __spark_entry__
+
+    assert set(catalog.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).count() == 10
