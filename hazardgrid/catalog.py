@@ -85,7 +85,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "split_train": lambda t: split_by_date(_orders(t), CUTOFF)[0],
     "split_test": lambda t: split_by_date(_orders(t), CUTOFF)[1],
     "walk_density": R.walk_density,
-    "walk_network_km": lambda t: _rounded(R.measured(t, t.locations(), "lid").select("lid", "km"), 6, "km"),
+    "walk_network_km": lambda t: _rounded(R.measured(t, t.locations(), "lid").select("lid", "km"), 9, "km"),
     "walk_risk": lambda t: R.measured(t, t.locations(), "lid").select("lid", "n", F.bround(F.try_divide("wsum", "km"), 6).alias("risk")),
     "walk_casualties": lambda t: M.casualties(R.walk_hits(t), "lid", sur.PEDESTRIAN),
     "hour_shares": lambda t: _rounded(M.with_fallback(_shares(t), t.accidents()).select("lid", "night", "peak"), 9, "night", "peak"),

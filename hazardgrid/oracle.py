@@ -51,14 +51,14 @@ CTE = {
     "loc_m": f"""loc_m as (select lid, coalesce(n, 0) as n, coalesce(wsum, 0.0) as wsum, coalesce(km, 0.0) as km from loc
         left join (select lid, count(*) as n, sum(sev * {_k("d2")}) as wsum from hits group by lid) using (lid)
         left join (select lid, sum(len_m * {_k("d2")}) / 1000.0 as km from (select lid, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc, seg where (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by lid) using (lid))""",
-    "base0": f"""base0 as (select bid, round_even(km, 6) as km, round_even(coalesce(wsum, 0.0) / km, 6) as risk from
+    "base0": f"""base0 as (select bid, round_even(km, 9) as km, round_even(coalesce(wsum, 0.0) / km, 6) as risk from
         (select bid, sum(len_m * {_k("d2")}) / 1000.0 as km from (select bid, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from basepts, seg where (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by bid)
         left join (select bid, sum(sev * {_k("d2")}) as wsum from (select bid, sev, (px - x) * (px - x) + (py - y) * (py - y) as d2 from basepts, acc where (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by bid) using (bid)
         where km >= 0.8)""",
     "cuts": "cuts as (select unnest(quantile_cont(km, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) as e from base0)",
     "base": "base as (select bid, km, risk, cast((select count(*) from cuts where base0.km >= e) as int) as band from base0)",
     "bandinfo": "bandinfo as (select band, quantile_cont(risk, 0.5) as med, count(*) as samples, min(km) as lo, max(km) as hi from base group by band)",
-    "banded": "banded as (select lid, n, wsum, round_even(km, 6) as km, cast((select count(*) from bandinfo where band > 0 and round_even(loc_m.km, 6) >= lo) as int) as band from loc_m)",
+    "banded": "banded as (select lid, n, wsum, round_even(km, 9) as km, cast((select count(*) from bandinfo where band > 0 and round_even(loc_m.km, 9) >= lo) as int) as band from loc_m)",
     "shr": "shr as (select lid, n, wsum, km, banded.band, case when km = 0 then null else wsum / km end as risk, round_even((wsum + 1.0 * coalesce(med, 0.0)) / (km + 1.0), 6) as shrunk from banded left join bandinfo using (band))",
     "score": "score as (select lid, n, km, shr.band, shr.risk, shrunk, cast(round_even(100.0 * (select count(*) from base where base.band = shr.band and base.risk > shr.shrunk) / (select count(*) from base where base.band = shr.band), 0) as int) as score from shr)",
     "everywhere": f"everywhere as (select avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as gn, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as gp from acc)",
@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "split_train": "select o_orderkey, cast(o_orderdate as date) as occurred_on from orders where cast(o_orderdate as date) < date '1998-01-01'",
         "split_test": "select o_orderkey, cast(o_orderdate as date) as occurred_on from orders where cast(o_orderdate as date) >= date '1998-01-01'",
         "walk_density": q("acc loc hits", f"select lid, coalesce(n, 0) as n, round_even(coalesce(wsum, 0.0), 6) as wsum, cast(coalesce(fat, 0) as bigint) as fat, cast(coalesce(inj, 0) as bigint) as inj from loc left join (select lid, count(*) as n, sum(sev * {_k('d2')}) as wsum, sum(fat) as fat, sum(inj) as inj from hits group by lid) using (lid)"),
-        "walk_network_km": q("acc roads seg loc hits loc_m", "select lid, round_even(km, 6) as km from loc_m"),
+        "walk_network_km": q("acc roads seg loc hits loc_m", "select lid, round_even(km, 9) as km from loc_m"),
         "walk_risk": q("acc roads seg loc hits loc_m", "select lid, n, round_even(case when km = 0 then null else wsum / km end, 6) as risk from loc_m"),
         "walk_casualties": q("acc loc hits", f"select lid, count(*) as n, cast(sum(fat) as bigint) as fat, cast(sum(inj) as bigint) as inj, cast(sum(case when fat > 0 and {_mentions(PEDESTRIAN)} then fat else 0 end) as bigint) as ped_fat from hits group by lid"),
         "hour_shares": q("acc loc hits everywhere", f"select lid, round_even(case when coalesce(n, 0) < 8 then gn else night end, 9) as night, round_even(case when coalesce(n, 0) < 8 then gp else peak end, 9) as peak from loc left join ({_SHARES}) using (lid), everywhere"),

@@ -36,8 +36,9 @@ def measured(t: sur.Tables, probes: DataFrame, key: str) -> DataFrame:
 def baseline(t: sur.Tables) -> DataFrame:
     """(bid, km, risk, band) of the baseline's sample points."""
     m = measured(t, t.baseline_points(), "bid").where(F.col("km") >= DEFAULT.minimum_walk_km)
-    # rounded before they become thresholds, so that the order of sums can't move a sample
-    m = m.select("bid", F.bround("km", 6).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk"))
+    # rounded before they become thresholds, so that the order of sums can't move a sample; kernel sums
+    # of whole metres are multiples of 1e-9, so nine places have no ties
+    m = m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk"))
     return M.strata(m, DEFAULT.strata, DEFAULT.minimum_walk_km)
 
 
@@ -45,7 +46,7 @@ def scored(t: sur.Tables) -> DataFrame:
     """(lid, n, wsum, km, band, risk, shrunk, score) of every location."""
     base = baseline(t)
     edges = M.band_edges(base, DEFAULT.strata)
-    m = measured(t, t.locations(), "lid").withColumn("km", F.bround("km", 6)).withColumn("band", M.band_of(F.col("km"), edges))
+    m = measured(t, t.locations(), "lid").withColumn("km", F.bround("km", 9)).withColumn("band", M.band_of(F.col("km"), edges))
     s = M.shrunk_risk(m, M.band_median(base), DEFAULT.walk_shrinkage_km).withColumn("shrunk", F.bround("shrunk", 6))
     return s.join(M.percentile_score(s, "lid", base), "lid", "left")
 
