@@ -95,5 +95,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SUBSTRING = r"""with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    win as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+    least as (select k, min(doc_id) as m from win group by k),
+    gone as (select distinct doc_id, i + unnest(range(13)) as p from (select doc_id, i from win join least using (k) where m < doc_id)),
+    kept as (select doc_id, string_agg(x, ' ' order by p) as s, count(*) as n from (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w) anti join gone using (doc_id, p) group by doc_id)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+_EMBEDDINGS = """with recursive e as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach as (select vec_id, vec_id as r from embeddings union select reach.vec_id, links.b from reach join links on links.a = reach.r)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from (select vec_id, min(r) as component_id from reach group by vec_id) left join (select a as vec_id, count(*) as n from links group by a) using (vec_id)"""
+
+_EXACT = """select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id = max(doc_id) over t as kept, sha256(coalesce(text, '')) as text_sha256
+    from documents window t as (partition by coalesce(text, ''))"""
+
+_SUFFIX = """with h as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+    win as (select doc_id, i, md5(substr(x, 2 * i + 1, 400)) as k from (select doc_id, x, unnest(range(n - 199)) as i from h)),
+    again as (select k from win group by k having count(*) > 1),
+    starts as (select doc_id, i from win semi join again using (k)),
+    marks as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 200, -1) as opens from starts),
+    spans as (select doc_id, s, min(i) as a, max(i) + 200 as b from (select doc_id, i, sum(opens::int) over (partition by doc_id order by i) as s from marks) group by doc_id, s),
+    cut as (select doc_id, list(struct_pack(a := a, b := b) order by a) as l, sum(b - a) as gone, count(*) as n_spans from spans group by doc_id)
+    select doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+        sha256(unhex(case when l is null then x else array_to_string(list_transform(range(0, len(l) + 1), lambda k: substr(x, 2 * (case when k = 0 then 0 else l[k].b end) + 1, 2 * ((case when k = len(l) then n else l[k + 1].a end) - (case when k = 0 then 0 else l[k].b end)))), '') end)) as kept_sha256
+    from h left join cut using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; ids are taken as not null and different."""
+    return {"op2_substring_dedup": _SUBSTRING, "op5_embedding_dedup": _EMBEDDINGS, "op7_exact_dedup": _EXACT, "op9_suffix_dedup": _SUFFIX}
