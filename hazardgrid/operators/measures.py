@@ -9,15 +9,34 @@ from ..config import DEFAULT, Config
 from ..functions import scalar as S
 
 
-def casualties(hits: DataFrame, key: str, pedestrian: str) -> DataFrame:
-    """(key, n, fat, inj, ped_fat) of hits."""
+def casualty_columns(pedestrian: str) -> list[Column]:
+    """n, fat, inj, ped_fat of a group of hits."""
     dead = F.when((F.col("fat") > 0) & S.mentions(F.col("parties"), pedestrian), F.col("fat")).otherwise(0)
-    return hits.groupBy(key).agg(F.count("*").alias("n"), F.sum("fat").cast("long").alias("fat"), F.sum("inj").cast("long").alias("inj"), F.sum(dead).cast("long").alias("ped_fat"))
+    return [F.count("*").alias("n"), F.sum("fat").cast("long").alias("fat"), F.sum("inj").cast("long").alias("inj"), F.sum(dead).cast("long").alias("ped_fat")]
+
+
+def share_columns() -> list[Column]:
+    """n_hours, night, peak of a group of hits."""
+    one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return [F.count("*").alias("n_hours"), one(S.is_night(F.col("hour"))).alias("night"), one(S.is_peak(F.col("hour"))).alias("peak")]
+
+
+def involvement_columns(pedestrian: str, large: tuple[str, ...]) -> list[Column]:
+    return [F.count_if(S.mentions(F.col("parties"), pedestrian)).alias("ped"), F.count_if(S.mentions(F.col("parties"), *large)).alias("large")]
+
+
+def weight_column(radius: float) -> Column:
+    """Kernel-weighted severity."""
+    return F.sum(F.col("sev") * S.kernel_squared(F.col("d2"), radius)).alias("wsum")
+
+
+def casualties(hits: DataFrame, key: str, pedestrian: str) -> DataFrame:
+    return hits.groupBy(key).agg(*casualty_columns(pedestrian))
 
 
 def density(hits: DataFrame, key: str, radius: float) -> DataFrame:
     """(key, n, wsum): accidents in the closed circle and their kernel-weighted severity."""
-    return hits.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("sev") * S.kernel_squared(F.col("d2"), radius)).alias("wsum"))
+    return hits.groupBy(key).agg(F.count("*").alias("n"), weight_column(radius))
 
 
 def network_km(hits: DataFrame, key: str, radius: float) -> DataFrame:
@@ -27,8 +46,7 @@ def network_km(hits: DataFrame, key: str, radius: float) -> DataFrame:
 
 def shares(hits: DataFrame, key: str) -> DataFrame:
     """(key, n_hours, night, peak) of the rows themselves."""
-    one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return hits.groupBy(key).agg(F.count("*").alias("n_hours"), one(S.is_night(F.col("hour"))).alias("night"), one(S.is_peak(F.col("hour"))).alias("peak"))
+    return hits.groupBy(key).agg(*share_columns())
 
 
 def global_shares(accidents: DataFrame) -> tuple[float, float]:
@@ -46,7 +64,7 @@ def with_fallback(own: DataFrame, accidents: DataFrame, config: Config = DEFAULT
 
 
 def involvement(hits: DataFrame, key: str, pedestrian: str, large: tuple[str, ...]) -> DataFrame:
-    return hits.groupBy(key).agg(F.count_if(S.mentions(F.col("parties"), pedestrian)).alias("ped"), F.count_if(S.mentions(F.col("parties"), *large)).alias("large"))
+    return hits.groupBy(key).agg(*involvement_columns(pedestrian, large))
 
 
 def monthly_trend(keys: DataFrame, hits: DataFrame, key: str, months: int, first: str) -> DataFrame:

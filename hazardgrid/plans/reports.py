@@ -24,29 +24,31 @@ def walk_density(t: sur.Tables) -> DataFrame:
     return t.locations().select("lid").join(own, "lid", "left").select("lid", zero("n"), F.bround(F.coalesce("wsum", F.lit(0.0)), 6).alias("wsum"), zero("fat"), zero("inj"))
 
 
-def measured(t: sur.Tables, probes: DataFrame, key: str) -> DataFrame:
-    """(key, n, wsum, km) for every probe."""
+def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, n, wsum, km, ...) for every probe; ``more`` are further aggregates of the same hits."""
     r = DEFAULT.walk_radius
-    d = M.density(spatial.radius_join(probes, t.accidents(), r), key, r)
+    d = spatial.radius_join(probes, t.accidents(), r).groupBy(key).agg(F.count("*").alias("n"), M.weight_column(r), *more)
     k = M.network_km(spatial.radius_join(probes, t.segments(), r), key, r)
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
-    return probes.select(key).join(d, key, "left").join(k, key, "left").select(key, zero("n", 0), zero("wsum", 0.0), zero("km", 0.0))
+    further = [c for c in d.columns if c not in (key, "n", "wsum")]
+    return probes.select(key).join(d, key, "left").join(k, key, "left").select(key, zero("n", 0), zero("wsum", 0.0), zero("km", 0.0), *further)
 
 
 def baseline(t: sur.Tables) -> DataFrame:
-    """(bid, km, risk, band) of the baseline's sample points."""
+    """(bid, km, risk, band) of the baseline's sample points. The measures are cached: one small row a
+    point, which strata, medians and scores all read; a lost executor's part is computed again."""
     m = measured(t, t.baseline_points(), "bid").where(F.col("km") >= DEFAULT.minimum_walk_km)
     # rounded before they become thresholds, so that the order of sums can't move a sample; kernel sums
     # of whole metres are multiples of 1e-9, so nine places have no ties
-    m = m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk"))
+    m = m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk")).cache()
     return M.strata(m, DEFAULT.strata, DEFAULT.minimum_walk_km)
 
 
-def scored(t: sur.Tables) -> DataFrame:
-    """(lid, n, wsum, km, band, risk, shrunk, score) of every location."""
+def scored(t: sur.Tables, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(lid, n, wsum, km, band, risk, shrunk, score, ...) of every location."""
     base = baseline(t)
     edges = M.band_edges(base, DEFAULT.strata)
-    m = measured(t, t.locations(), "lid").withColumn("km", F.bround("km", 9)).withColumn("band", M.band_of(F.col("km"), edges))
+    m = measured(t, t.locations(), "lid", more).withColumn("km", F.bround("km", 9)).withColumn("band", M.band_of(F.col("km"), edges))
     s = M.shrunk_risk(m, M.band_median(base), DEFAULT.walk_shrinkage_km).withColumn("shrunk", F.bround("shrunk", 6))
     return s.join(M.percentile_score(s, "lid", base), "lid", "left")
 
@@ -65,13 +67,10 @@ def factors(score: Column, hot: Column, large: Column, night: Column, ped: Colum
 
 def walk_report(t: sur.Tables) -> DataFrame:
     """Score, counts, factors, stars and texts of every location, one flat row each."""
-    acc, hits = t.accidents(), walk_hits(t)
-    toll = M.casualties(hits, "lid", sur.PEDESTRIAN)
-    part = M.involvement(hits, "lid", sur.PEDESTRIAN, sur.LARGE)
-    own = M.shares(hits, "lid")
+    acc = t.accidents()
+    more = (*M.casualty_columns(sur.PEDESTRIAN)[1:], *M.involvement_columns(sur.PEDESTRIAN, sur.LARGE), *M.share_columns())
     hot = X.hot_count(spatial.radius_join(t.locations(), t.crossings(), DEFAULT.walk_radius), "lid")
-    s = scored(t).select("lid", "km", "band", "risk", "score", F.col("n").alias("acc_n"))
-    one = s.join(toll.drop("n"), "lid", "left").join(part, "lid", "left").join(own, "lid", "left").join(hot, "lid", "left")
+    one = scored(t, more).withColumnRenamed("n", "acc_n").join(hot, "lid", "left")
     one = one.withColumn("plain_night", F.coalesce("night", F.lit(0.0)))
     one = M.with_fallback(one, acc)
     for c in ("fat", "inj", "ped_fat", "ped", "large", "hot"):
