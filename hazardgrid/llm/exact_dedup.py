@@ -108,14 +108,23 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     return keyed.groupBy("__shard").cogroup(filters.groupBy("shard")).applyInPandas(ask, schema)
 
 
+def _representatives(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(digest, name): the text of one row for each of ``wanted(digest, top)``. Joined by digest and
+    doc_id, so that a text with very many copies spreads out."""
+    rows = docs.select("doc_id", common.text_digest().alias("digest"), F.coalesce("text", F.lit("")).alias("__text"))
+    found = rows.join(wanted.withColumnRenamed("digest", "__d"), (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    return found.groupBy("digest").agg(F.first("__text").alias(name))
+
+
 def exact_dedup(incoming: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Groups equal texts of an incoming batch and an immutable snapshot, both ``(doc_id, text)``.
 
     Returns (digest, keep_id, group_size, text_sha256), a row for each different text of either.
     Equal texts of a side meet first (map-side combined, so a text that a third of all rows hold is a
-    few rows a task); then filters screen the incoming digests, and only positives join the
-    snapshot's exact buckets, where the whole 256-bit digest and the byte length must agree. The
-    largest doc_id of a text is kept; a null doc_id counts below every other.
+    few rows a task); then filters screen the incoming digests. Only positives join the snapshot's
+    exact buckets (SHA-256 and length), where one text of each side is compared byte by byte; two
+    texts of one digest stop the job. The largest doc_id of a text is kept; a null doc_id counts below
+    every other.
     """
     spark = incoming.sparkSession
     shards = common.shuffle_width(spark)
@@ -127,10 +136,16 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame) -> DataFrame:
     old, new = common.durable(grouped(snapshot)), grouped(incoming)
     asked = common.durable(screen(new, build_filters(old.select("digest"), shards), shards))
     exact = old.select("digest", "bytes", F.col("top").alias("old_top"), F.col("n").alias("old_n"))
-    seen = asked.where("maybe").join(exact, ["digest", "bytes"], "left")
-    merged = seen.select("digest", F.greatest("top", "old_top").alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
-    fresh = asked.where("not maybe").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
-    only_old = old.join(asked.where("maybe").select("digest", "bytes"), ["digest", "bytes"], "left_anti").select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
+    both = common.durable(asked.where("maybe").drop("maybe").join(exact, ["digest", "bytes"], "left"))
+    met = both.where("old_n is not null")
+    ours = _representatives(incoming, met.select("digest", "top"), "__new")
+    theirs = _representatives(snapshot, met.select("digest", F.col("old_top").alias("top")), "__old")
+    equal = F.when(F.col("__new") == F.col("__old"), True).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("boolean"))
+    same = ours.join(theirs, "digest").select("digest", equal.alias("same")).where("same").select("digest")
+    merged = met.join(same, "digest").select("digest", F.greatest("top", "old_top").alias("keep_id"), (F.col("n") + F.col("old_n")).alias("group_size"))
+    plain = lambda df: df.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
+    fresh = plain(asked.where("not maybe")).unionByName(plain(both.where("old_n is null")))
+    only_old = plain(old.join(met.select("digest", "bytes"), ["digest", "bytes"], "left_anti"))
     return merged.unionByName(fresh).unionByName(only_old).withColumn("text_sha256", F.lower(F.hex("digest")))
 
 
