@@ -10,6 +10,9 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from hazardgrid.shipping import ship_package
 
 #: Bytes of text that a Python worker holds at once, besides one single longer text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes; any odd number works, both sides need the same.
@@ -32,10 +35,22 @@ UNIT_BASE = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch at most: texts can be long, and each batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs of a session."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage. A folder of this machine is used only where the
     session names none, as in local tests."""
-    ship_package(spark)
+    prepare(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = f"{tempfile.gettempdir()}/hazardgrid-scratch"
@@ -64,7 +79,7 @@ def discard(df: DataFrame | None) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     """Reduce-side buckets for blocks that Python packs itself; follows the cluster's setting."""
-    ship_package(spark)
+    prepare(spark)
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -72,8 +87,18 @@ def text_digest(text: str = "text"):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on between tasks, idle ones too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each slice holds about ``limit`` bytes of text."""
+    """Cuts Arrow batches so that each slice holds about ``limit`` bytes of text. Workers are used
+    again by later tasks, so what earlier ones freed is first given back to the system."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -84,6 +109,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
         for end in [*cuts.tolist(), batch.num_rows]:
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
@@ -111,13 +137,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
+        size = n + n // 8 + 4096
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             out = np.ones(size, dtype=U64)
             done, step = 1, b
             while done < size:
-                out[done : 2 * done] = out[:done] * U64(step)
+                more = min(done, size - done)
+                out[done : done + more] = out[:more] * U64(step)
                 done, step = 2 * done, step * step & _MASK
             pair.append(out)
         _powers[base] = have = (pair[0], pair[1])

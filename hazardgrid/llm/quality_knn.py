@@ -146,8 +146,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """One row for each row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted. Trained on
     labels outside the held-out fold (remainder 0 of 5). A null doc_id is not held out; null and empty
     texts get the share of label 1 among the labelled."""
-    from hazardgrid.shipping import ship_package
-
-    ship_package(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     return score(docs, train(docs, labels, ~held)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

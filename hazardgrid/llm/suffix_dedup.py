@@ -29,7 +29,7 @@ from .common import BYTE_BASE, U64, mix
 TRIGGER = 16
 REACH = 128
 #: Longer texts are parsed in pieces that overlap by a window.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 FULL, OPEN, OPEN_FULL = 1, 2, 3
 
@@ -239,6 +239,7 @@ def repeated_windows(contexts: list[bytes], leads: np.ndarray, sizes: np.ndarray
 
 
 def _resolve(table: pa.Table, width: int) -> pa.Table:
+    common.give_back()
     keys, done = _joined(table, "keys", "V16"), _joined(table, "done", "u1").astype(bool)
     start, size, lead, length = (_joined(table, n, "<u4").astype(np.int64) for n in ("starts", "sizes", "leads", "lengths"))
     raw = b"".join(table.column("bytes").to_pylist())
@@ -282,7 +283,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     the parts of characters that a cut splits.
     """
     assert width >= REACH + TRIGGER
-    buckets = common.shuffle_width(docs.sparkSession) // 2
+    buckets = common.shuffle_width(docs.sparkSession)
     texts = common.distinct_texts(docs)
     block = "bucket int, twice int, keys binary, counts binary, starts binary, sizes binary, triggers binary, cores binary, fulls binary"
     blocks = texts.mapInArrow(lambda it: _parse(it, width, buckets), block)

@@ -235,9 +235,7 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_bytes, n_tokens, over_limit. Null and
     empty texts have no tokens; a special string inside a text is one token."""
-    from hazardgrid.shipping import ship_package
-
-    ship_package(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ FLOOR = 3.0
 #: Weight of an insult among the examples, for each doubling of the documents it is in.
 POSITIVE = 2.0
 #: Words that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 #: Longer words are scored in overlapping parts.
 PART = 24
 
@@ -104,22 +104,37 @@ class Kernel:
         self.landmarks = landmarks
         numbers = np.unique(np.concatenate([n for n, _, _ in _subsequences(landmarks)]))
         self.numbers = numbers[numbers > 0]
-        self.rows = self.matrix(landmarks) / norms(landmarks)[:, None]
-        values, vectors = np.linalg.eigh(self.rows @ self.rows.T)
+        #: a row for each subsequence of a landmark: its weight in every landmark, normalised
+        self.columns = np.zeros((len(self.numbers), len(landmarks)), dtype=np.float32)
+        for number, owner, weight in _subsequences(landmarks):
+            at, ok = self._known(number)
+            np.add.at(self.columns, (at[ok], owner[ok]), weight)
+        self.columns /= norms(landmarks).astype(np.float32)
+        values, vectors = np.linalg.eigh((self.columns.T @ self.columns).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
-    def matrix(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.numbers)), dtype=np.float32)
+    def _known(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+        return at, self.numbers[at] == number
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark, by the subsequences they share."""
+        out = np.zeros((len(words), len(self.landmarks)))
         for number, owner, weight in _subsequences(words):
-            at = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
-            ok = self.numbers[at] == number
-            np.add.at(out, (owner[ok], at[ok]), weight)
-        return out
+            at, ok = self._known(number)
+            at, owner = at[ok], owner[ok]
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                out[owner[first]] += weight * np.add.reduceat(self.columns[at], first, axis=0)
+        return out / norms(words)[:, None]
 
     def features(self, words: list[str]) -> np.ndarray:
-        parts = [self.matrix(words[i : i + 500]) @ self.rows.T for i in range(0, len(words), 500)]
-        return (np.concatenate(parts) / norms(words)[:, None]) @ self.root
+        return np.concatenate([self.values(words[i : i + 500]) for i in range(0, len(words), 500)]) @ self.root
+
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """What a linear machine over the features gives each subsequence."""
+        return self.columns @ (self.root @ w)
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -260,7 +275,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
         x = kernel.features(bad_words + negatives)
         y = np.concatenate([np.ones(len(bad_words)), -np.ones(len(negatives))])
         w, offset = train_svm(x, y, np.concatenate([POSITIVE * np.log2([1 + n for _, n in good]), np.ones(len(negatives))]))
-        machine = Machine(kernel.numbers, (kernel.root @ w) @ kernel.rows, offset)
+        machine = Machine(kernel.numbers, kernel.weights(w), offset)
+        del kernel, x
+        common.give_back()
         if last:
             break
         shared = docs.sparkSession.sparkContext.broadcast(machine)

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from .common import ramp  # noqa: E402
 
 #: Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Letters, besides ASCII ones, on which every Unicode version agrees: precomposed Latin.
 LATIN = "À-ÖØ-öø-įı-ž"
 #: Texts of these, printable ASCII and common white space need no library to be cut into words.

@@ -190,7 +190,7 @@ def test_machine_equals_its_kernel():
     good, bad = ["idiot", "moron", "stupid"], ["ta", "reno", "liket", "sukeno"]
     kernel = toxicity_svm.Kernel([*good, *bad])
     w, offset = toxicity_svm.train_svm(kernel.features([*good, *bad]), np.array([1, 1, 1, -1, -1, -1, -1]), np.ones(7))
-    machine = toxicity_svm.Machine(kernel.numbers, (kernel.root @ w) @ kernel.rows, offset)
+    machine = toxicity_svm.Machine(kernel.numbers, kernel.weights(w), offset)
     some = ["idiot", "idixot", "moronta", "liket", "no"]
     assert np.allclose(machine.margins(some, machine.table()), kernel.features(some) @ w + offset, atol=1e-4)
     table = machine.table()
