@@ -110,9 +110,9 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 def _representatives(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """(digest, name): the text of one row for each of ``wanted(digest, top)``. Joined by digest and
-    doc_id, so that a text with very many copies spreads out."""
+    doc_id, so that a text with very many copies spreads out; the same way at every size."""
     rows = docs.select("doc_id", common.text_digest().alias("digest"), F.coalesce("text", F.lit("")).alias("__text"))
-    found = rows.join(wanted.withColumnRenamed("digest", "__d"), (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    found = rows.join(wanted.withColumnRenamed("digest", "__d").hint("shuffle_merge"), (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("top")))
     return found.groupBy("digest").agg(F.first("__text").alias(name))
 
 
