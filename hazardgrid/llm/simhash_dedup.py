@@ -144,9 +144,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Fingerprints have 320 bits; pairs of that similarity differ in some 49 of them, far too many for
     disjoint segments to agree, so segments are samples of the bits, as many as recall asks for. Each
-    text looks its segment values up, and those one bit higher; a table names one text a cell, the
-    smallest, so matches grow with the texts even in large groups. Matches are verified by their
-    complete distance (56 bits at most, a standard deviation above the expected 49).
+    text looks its segment values up; where its own cell names nobody near, it also looks up the values
+    one bit higher. A table names one text a cell, the smallest, so matches grow with the texts even
+    in large groups. Matches are verified by their complete distance (56 bits at most, a standard
+    deviation above the expected 49).
     """
     spark = docs.sparkSession
     most = round(64 * LANES * expected_share(SIMILAR) + math.sqrt(64 * LANES * 0.15 * 0.85))
@@ -177,10 +178,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = common.durable(keyed)
     cells = keyed.select("node", "l0", F.explode("segments").alias("cell")).groupBy("cell").agg(F.min(F.struct("node", "l0")).alias("first"))
     cells = cells.select("cell", F.col("first.node").alias("b"), F.col("first.l0").alias("lb"))
-    up = F.transform("segments", lambda s: F.filter(F.transform(F.sequence(F.lit(-1), F.lit(bits - 1)), lambda j: F.when(j < 0, s).when((s.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j)) == 0), s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))), lambda x: x.isNotNull()))
-    probes = keyed.select("node", "l0", F.explode(F.flatten(up)).alias("cell"))
-    near = F.bit_count(F.col("l0").bitwiseXOR(F.col("lb"))) <= 64 * most // (64 * LANES) + 12
-    met = probes.join(cells, "cell").where((F.col("node") != F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    near = F.bit_count(F.col("l0").bitwiseXOR(F.col("lb"))) <= most // LANES + 12
+    own = keyed.select("node", "l0", F.explode("segments").alias("cell")).join(cells, "cell")
+    own = own.select("node", "l0", "cell", F.when((F.col("node") != F.col("b")) & near, F.col("b")).alias("b"))
+    one = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+    ball = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda j: F.when(F.col("cell").bitwiseAND(one(j)) == 0, F.col("cell").bitwiseOR(one(j)))), lambda c: c.isNotNull())
+    probes = own.where("b is null").select("node", "l0", F.explode(ball).alias("cell"))
+    met = probes.join(cells, "cell").where((F.col("node") != F.col("b")) & near).select("node", "b")
+    met = met.unionByName(own.where("b is not null").select("node", "b")).select(F.col("node").alias("a"), "b").distinct()
     x, y = nodes.select(F.col("node").alias("a"), F.struct(*lane_names).alias("x")), nodes.select(F.col("node").alias("b"), F.struct(*lane_names).alias("y"))
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in lane_names])
     links = met.join(x, "a").join(y, "b").where(apart <= most).select("a", "b")
