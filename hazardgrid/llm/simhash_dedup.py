@@ -121,7 +121,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
 #: Near copies by similarity: words of a shingle, least similarity, lanes of 64 bits.
 SIMILAR_WIDTH, SIMILAR, LANES = 5, 0.8, 5
 #: Chance that all tables miss a pair of that similarity.
-SIMILAR_MISS = 0.05
+SIMILAR_MISS = 0.03
 
 
 def expected_share(similarity: float) -> float:
