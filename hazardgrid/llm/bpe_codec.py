@@ -1,8 +1,9 @@
-"""Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over words.
+"""Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over distinct words.
 
-A chunk of documents is cut into words by the tokenizer's pattern and numbered; each of the chunk's
-different words goes once, as an array of byte tokens, through a fold that applies the merge of lowest
-rank until none is left. Ranks come from a literal map inside the plan. Nothing is shuffled.
+A block of documents is cut into words by the tokenizer's pattern and numbered; each of the block's
+distinct words goes once, as an array of byte tokens, through a fold that applies the merge of lowest
+rank until none is left. Ranks come from a literal map in the plan. Documents are then put together
+from their words' tokens, and decoded by concatenating the tokens' bytes. Nothing is shuffled.
 
 Words that are frequent in the corpus are folded once ahead and handed to the workers; their number is
 bounded (HEAD), and which words they are changes the work, never the result.
@@ -15,7 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from .word_tokens import LATIN, PLAIN, Numbered
 #: Frequent words that are folded ahead and broadcast: at most so many, each of at most WORD bytes.
 HEAD = 1 << 18
 WORD = 32
-#: Bytes of text whose words are folded together.
-FOLD_BYTES = 24 << 20
+#: Bytes of text of a block.
+BLOCK_BYTES = 16 << 20
+#: Words of a row of the head's fold.
+FOLD_WORDS = 16384
+#: Words that a task counts at once.
+REMEMBERED = 1_000_000
 #: Lists that the literal rank map is dealt over, so that a lookup reads about one entry.
 SLOTS = 1 << 16
 #: Fixed value: the pattern that the fast path below stands in for.
@@ -137,61 +142,39 @@ def _frequent_words(docs: DataFrame, pattern: str) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = splitter(pattern)
-        for _, texts in _gathered(batches, 4 * FOLD_BYTES):
-            number, counts = Numbered(), np.zeros(0, dtype=np.int64)
-            for text in texts:
-                which = np.fromiter(map(number.__getitem__, cut(text)), dtype=np.int64)
-                counts = np.pad(counts, (0, max(0, len(number) - len(counts)) * 2))
-                np.add.at(counts, which, 1)
-            yield pa.RecordBatch.from_pylist([{"word": w, "n": int(counts[k])} for w, k in number.items() if counts[k] > 1 and len(w) <= WORD // 4], schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        number, counts = Numbered(), np.zeros(0, dtype=np.int64)
+
+        def found() -> pa.RecordBatch:
+            often = (counts > 1).tolist()
+            some = [(w, k) for (w, k), o in zip(number.items(), often, strict=True) if o and len(w) <= WORD // 4]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array(counts[[k for _, k in some]] if some else [], pa.int64())], names=["word", "n"])
+
+        for _, texts in _gathered(batches, BLOCK_BYTES):
+            which = np.fromiter(map(number.__getitem__, chain.from_iterable(map(cut, texts))), dtype=np.int64)
+            more = np.bincount(which, minlength=len(number))
+            more[: len(counts)] += counts
+            counts = more
+            if len(number) > REMEMBERED:
+                yield found()
+                number, counts = Numbered(), counts[:0]
+        yield found()
 
     counted = common.durable(docs.select("doc_id", "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    histogram = counted.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()
+    level = F.floor(F.log2("n") * 8).cast("int")
     total, least = 0, None
-    for row in histogram:
+    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         total += row["count"]
         if total > HEAD:
             break
         least = row["level"]
-    words = [] if least is None else [r["word"] for r in counted.where(F.floor(F.log2("n") * 8).cast("int") >= least).select("word").collect()]
+    words = [] if least is None else [r["word"] for r in counted.where(level >= least).select("word").collect()]
     common.discard(counted)
     return words
 
 
-class _Coded:
-    """What the workers know of words: the ids as text, their number, the decoded bytes."""
-
-    def __init__(self, vocabulary: list[bytes]):
-        self.vocabulary = vocabulary
-        self.text: list[str] = []
-        self.size: list[int] = []
-        self.raw: list[bytes] = []
-
-    def add(self, ids: pa.ListArray) -> None:
-        ends = ids.offsets.to_numpy().tolist()
-        flat = ids.flatten().to_numpy()
-        flat_text = list(map(str, flat.tolist()))
-        pieces = [self.vocabulary[i] for i in flat.tolist()]
-        base = ends[0] if ends else 0
-        for a, b in zip(ends, ends[1:], strict=False):
-            a, b = a - base, b - base
-            self.text.append(flat_text[a] if b == a + 1 else ",".join(flat_text[a:b]))
-            self.raw.append(pieces[a] if b == a + 1 else b"".join(pieces[a:b]))
-            self.size.append(b - a)
-
-    def cut_to(self, n: int) -> None:
-        del self.text[n:], self.size[n:], self.raw[n:]
-
-
-_heads: dict[str, _Coded] = {}
-
-
 def bpe_roundtrip(docs: DataFrame, rank_lines: bytes, pattern: str = PATTERN) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_tokens, ids_sha256, decoded_sha256,
-    n_bytes, and ``ids`` are not kept (see ``bpe_encode`` for them).
-
-    ``rank_lines`` is the content of a rank file. Null and empty texts have no ids.
-    """
+    n_bytes. ``rank_lines`` is the content of a rank file. Null and empty texts have no ids."""
     return _coded(docs, rank_lines, pattern, digest=True)
 
 
@@ -202,6 +185,7 @@ def bpe_encode(docs: DataFrame, rank_lines: bytes, pattern: str = PATTERN) -> Da
 
 def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> DataFrame:
     spark: SparkSession = docs.sparkSession
+    common.prepare(spark)
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the literal map is not worth printing
     ranks = read_ranks(rank_lines)
     entries = json.dumps(rank_entries(ranks), separators=(",", ":"))
@@ -211,57 +195,56 @@ def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> Da
         vocabulary[rank] = token
     one = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
 
-    words = _frequent_words(docs, pattern)
-    raw = [w.encode() for w in words]
-    step = max(1, -(-len(raw) // spark.sparkContext.defaultParallelism))
-    table = pa.table({"part": pa.array(range(0, len(raw), step), pa.int32()), "words": pa.array([byte_tokens(raw[i : i + step], one).to_pylist() for i in range(0, len(raw), step)], pa.list_(pa.list_(pa.int32())))})
-    folded = spark.createDataFrame(table).repartition(len(table) or 1, "part").select("part", fold_merges(F.col("words"), entries).alias("ids")).toArrow().sort_by("part")
-    head_ids = pa.concat_arrays([x.flatten() for x in folded.column("ids").chunks]) if len(folded) else pa.array([], pa.list_(pa.int32()))
-    head_name = hashlib.sha256(rank_lines + pattern.encode() + "\0".join(words).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((words, head_ids, vocabulary, one, whole))
+    words = [w for w in _frequent_words(docs, pattern) if w not in whole]
+    rows = [words[i : i + FOLD_WORDS] for i in range(0, len(words), FOLD_WORDS)]
+    table = pa.table({"part": pa.array(range(len(rows)), pa.int32()), "words": pa.array([byte_tokens([w.encode() for w in r], one).to_pylist() for r in rows], pa.list_(pa.list_(pa.int32())))})
+    folded = spark.createDataFrame(table).repartition(max(1, len(rows)), "part").select("part", fold_merges(F.col("words"), entries).alias("ids")).toArrow().sort_by("part")
+    ids = [x.flatten() for x in folded.column("ids").chunks]
+    head_ids = pa.concat_arrays([*ids, pa.array([[r] for r in whole.values()], pa.list_(pa.int32()))])
+    words += list(whole)
+    own_words = spark.sparkContext.broadcast((words, one))
+    own_ids = spark.sparkContext.broadcast((head_ids, vocabulary))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _, _, one, _ = shared.value
+        head, one = own_words.value
         cut = splitter(pattern)
-        known = Numbered(zip(words, range(len(words)), strict=True))
-        for ids, texts in _gathered(batches, FOLD_BYTES):
-            numbers = Numbered(known)
-            which = [np.fromiter(map(numbers.__getitem__, cut(t)), dtype=np.int32) for t in texts]
-            new = list(numbers)[len(words) :]
-            tail = byte_tokens([w.encode() for w in new], one)
-            nested = pa.ListArray.from_arrays(pa.array([0, len(tail)], pa.int32()), tail)
+        numbers = Numbered(zip(head, range(len(head)), strict=True))
+        for ids, texts in _gathered(batches, BLOCK_BYTES):
+            which = [np.fromiter(map(numbers.__getitem__, cut(t)), dtype="<i4") for t in texts]
+            new = list(islice(reversed(numbers), len(numbers) - len(head)))[::-1]
+            for w in new:
+                del numbers[w]
             counts = np.array([len(w) for w in which], dtype="<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([np.concatenate(which).tobytes()]), pa.array([[k for k, w in enumerate(new) if w in shared.value[4]]], pa.list_(pa.int32())), pa.array([[shared.value[4][w] for w in new if w in shared.value[4]]], pa.list_(pa.int32())), nested], names=["doc_ids", "counts", "which", "fix", "fixed", "words"])
+            spelled = byte_tokens([w.encode() for w in new], one)
+            nested = pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled)
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([np.concatenate(which).tobytes()]), nested], names=["doc_ids", "counts", "which", "words"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, vocabulary, _, _ = shared.value
-        if head_name not in _heads:
-            _heads.clear()
-            _heads[head_name] = coded = _Coded(vocabulary)
-            coded.add(ids)
-        coded = _heads[head_name]
-        n_head = len(words)
+        head, vocabulary = own_ids.value
+        ends = head.offsets.to_numpy().astype(np.int64)
+        head_first, head_size, head_flat = ends[:-1], np.diff(ends), head.flatten().to_numpy()
+        text_of = list(map(str, range(len(vocabulary)))).__getitem__
+        bytes_of = vocabulary.__getitem__
         for batch in batches:
             for k in range(batch.num_rows):
-                coded.cut_to(n_head)
-                coded.add(batch.column("words").slice(k, 1).flatten())
-                for at, rank in zip(batch.column("fix")[k].as_py(), batch.column("fixed")[k].as_py(), strict=True):
-                    coded.text[n_head + at], coded.size[n_head + at], coded.raw[n_head + at] = str(rank), 1, vocabulary[rank]
-                sizes = np.array(coded.size, dtype=np.int64)
-                which = np.frombuffer(batch.column("which")[k].as_py(), dtype="<i4")
-                ends = np.cumsum(np.frombuffer(batch.column("counts")[k].as_py(), dtype="<i4")).tolist()
+                tail = batch.column("words").slice(k, 1).flatten()
+                ends = tail.offsets.to_numpy().astype(np.int64)
+                first = np.concatenate([head_first, len(head_flat) + ends[:-1] - ends[0]])
+                size = np.concatenate([head_size, np.diff(ends)])
+                flat = np.concatenate([head_flat, tail.flatten().to_numpy()])
+                which = np.frombuffer(batch.column("which")[k].as_buffer(), dtype="<i4")
                 rows, at = [], 0
-                for end in ends:
-                    own = which[at:end].tolist()
-                    text, raw = ",".join(map(coded.text.__getitem__, own)), b"".join(map(coded.raw.__getitem__, own))
-                    n = int(sizes[which[at:end]].sum())
+                for end in np.cumsum(np.frombuffer(batch.column("counts")[k].as_py(), dtype="<i4")).tolist():
+                    w = which[at:end]
                     at = end
-                    rows.append((n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)) if digest else ([int(x) for x in text.split(",")] if text else [], raw))
-                ids_ = batch.column("doc_ids").slice(k, 1).flatten()
+                    n = size[w]
+                    own = flat[np.repeat(first[w], n) + common.ramp(n)].tolist()
+                    raw = b"".join(map(bytes_of, own))
+                    rows.append((len(own), hashlib.sha256(",".join(map(text_of, own)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)) if digest else (own, raw))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([ids_, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"] if digest else ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1).flatten(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"] if digest else ["doc_id", "ids", "decoded"])
 
-    numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, "doc_ids array<long>, counts binary, which binary, fix array<int>, fixed array<int>, words array<array<int>>")
+    numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, "doc_ids array<long>, counts binary, which binary, words array<array<int>>")
     done = numbered.withColumn("words", fold_merges(F.col("words"), entries))
     return done.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" if digest else "doc_id long, ids array<int>, decoded binary")
