@@ -1,10 +1,9 @@
-"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked by multi-index hashing."""
+"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked by multi-index hashing; and near
+copies by the exact similarity of shingle sets, for the pipeline."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,79 +117,224 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-#: Near copies by similarity: words of a shingle, least similarity, lanes of 64 bits.
-SIMILAR_WIDTH, SIMILAR, LANES = 5, 0.8, 5
-#: Chance that all tables miss a pair of that similarity.
-SIMILAR_MISS = 0.03
+#: Near copies by similarity: words of a shingle, least similarity as a fraction.
+SIMILAR_WIDTH, SIMILAR = 5, (4, 5)
+#: Texts whose shingles are counted to find frequent ones, and frequent shingles that are told to workers.
+SAMPLE, FREQUENT = 10_000, 1 << 17
+#: Texts of a cell up to which all of its pairs are listed at once.
+SMALL_CELL = 64
+#: Bits of a set's parities.
+PARITIES = 2048
 
 
-def expected_share(similarity: float) -> float:
-    """Share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_set(text: bytes) -> np.ndarray:
+    """The different shingles' hashes in ascending order."""
+    return np.unique(shingle_hashes(text, SIMILAR_WIDTH))
 
 
-def segment_plan(texts: int) -> tuple[int, int]:
-    """(bits of a segment, segments): a segment's table has about a quarter of a text a cell, and there
-    are as many as SIMILAR_MISS asks for with balls of radius one."""
-    bits = min(28, max(8, math.ceil(math.log2(max(texts, 1))) + 2))
-    q = 1 - expected_share(SIMILAR)
-    found = 0.8 * (q**bits + bits * (1 - q) * q ** (bits - 1))
-    return bits, max(1, math.ceil(math.log(SIMILAR_MISS) / math.log(1 - found)))
+def prefix_size(n: int) -> int:
+    """Of sets of n shingles, so many that come first in any order common to all sets: two sets similar
+    to SIMILAR or more have one of these in common, as they share at least that part of either."""
+    return n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of hashes fall in each of PARITIES classes. Two sets differ in at least
+    as many shingles as their parities do in bits."""
+    odd = np.bincount((shingles >> common.U64(20)) % common.U64(PARITIES), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def similar(both: Column, either: Column) -> Column:
+    return both * SIMILAR[1] >= either * SIMILAR[0]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles (ascending) and their texts in a sample. They come last in the
+    order, which any list leaves right: it only decides how many texts share a cell."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches):
+            for text in common.bytes_of(part):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view("<i8"))], names=["cell"])
+
+    share = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 20))
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).select("text")
+    counts = common.durable(some.mapInArrow(cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).where("n > 2"))
+    least, total = 0, 0
+    for n, k in sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        total += k
+        if total > FREQUENT:
+            break
+        least = n
+    told = counts.where(F.col("n") >= least).toArrow() if least else None
+    common.discard(counts)
+    if told is None:
+        return np.zeros(0, dtype="<u8"), np.zeros(0, dtype=np.int64)
+    hashes = told.column("cell").to_numpy().astype("<i8").view("<u8")
+    order = np.argsort(hashes)
+    return hashes[order], told.column("n").to_numpy().astype(np.int64)[order]
+
+
+def prefix_of(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the order by (texts in the sample, hash)."""
+    n = prefix_size(len(shingles))
+    if not len(hashes) or not n:
+        return shingles[:n]
+    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+    often = np.where(hashes[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(often, kind="stable")[:n]] if often.any() else shingles[:n]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Prefixes dealt out by cell. A bucket tells cells apart by 32 bits; cells that fall together
+    only add pairs, which are verified."""
+    for part in common.chunks(batches, "prefix"):
+        prefixes = part.column("prefix").to_pylist()
+        cells = np.frombuffer(b"".join(prefixes), dtype="<u8")
+        if not len(cells):
+            continue
+        count = [len(p) // 8 for p in prefixes]
+        node, size = (np.repeat(part.column(c).to_numpy().astype(t), count) for c, t in (("node", "<i8"), ("size", "<u4")))
+        place = np.minimum(common.ramp(np.array(count)), 65535).astype("<u2")
+        bucket = (cells >> common.U64(32)) % common.U64(width)
+        order = np.argsort(bucket, kind="stable")
+        bucket, cells, node, size, place = bucket[order], cells[order].astype("<u4"), node[order], size[order], place[order]
+        cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + common.U64(1)))
+        ends = [*cut[1:].tolist(), len(bucket)]
+        blobs = [pa.array([x[s:e].tobytes() for s, e in zip(cut.tolist(), ends, strict=True)], pa.binary()) for x in (cells, node, size, place)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *blobs], names=["bucket", "cells", "nodes", "sizes", "places"])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """(cell, a, b): pairs a < b of a small cell, with no cell named and without those for which too few
+    shingles are left from here on (the first cell that a similar pair shares lists it); each text of a crowded cell with its first text, under the cell's name."""
+    common.give_back()
+    kinds = (("cells", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("places", "<u2"))
+    cell, node, size, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in kinds)
+    order = np.argsort(cell, kind="stable")
+    c = cell[order]
+    twin = np.zeros(len(c), dtype=bool)
+    twin[1:] |= c[1:] == c[:-1]
+    twin[:-1] |= c[1:] == c[:-1]
+    order = order[twin]
+    order = order[np.lexsort((node[order], cell[order]))]
+    cell, node, size = cell[order].astype(np.int64), node[order], size[order].astype(np.int64)
+    left = size - place[order]
+    fresh = np.ones(len(cell), dtype=bool)
+    fresh[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])
+    cell, node, size, left = cell[fresh], node[fresh], size[fresh], left[fresh]
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    count = np.diff(np.append(begin, len(cell)))
+    group = np.repeat(np.arange(len(begin)), count)
+    small = count[group] <= SMALL_CELL
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
+    for k in range(1, SMALL_CELL):
+        i = np.flatnonzero((cell[k:] == cell[:-k]) & small[k:])
+        i = i[np.minimum(left[i], left[i + k]) * sum(SIMILAR) >= (size[i] + size[i + k]) * SIMILAR[0]]
+        pairs.append(np.stack([node[i], node[i + k]], axis=1))
+    few = np.unique(np.concatenate(pairs), axis=0)
+    first = begin[group]
+    many = np.flatnonzero(~small & (first != np.arange(len(cell))))
+    name = (np.int64(table.column("bucket")[0].as_py()) << 32) + cell[many] if len(many) else cell[many]
+    a, b = np.concatenate([few[:, 0], node[first[many]]]), np.concatenate([few[:, 1], node[many]])
+    named = pa.chunked_array([pa.nulls(len(few), pa.int64()), pa.array(name, pa.int64())])
+    return pa.table({"cell": named, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` without those whose parities differ in more bits than similar sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype="<u8").reshape(part.num_rows, -1) for c in ("x", "y"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            most = (part.column("m").to_numpy().astype(np.int64) + part.column("n").to_numpy()) * (SIMILAR[1] - SIMILAR[0])
+            yield part.select(["a", "b"]).filter(pa.array(differ * sum(SIMILAR) <= most))
+
+    sets = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").groupBy("node").agg(F.first("parity").alias("parity"), F.first("size").alias("size"))
+    x, y = (sets.select(F.col("node").alias(n), F.col("parity").alias(p), F.col("size").alias(z)) for n, p, z in (("a", "x", "m"), ("b", "y", "n")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, either): shingles in both sets and in either, for each of ``pairs(a, b)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches, "x"):
+            both, either = [], []
+            for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
+                both.append(len(np.intersect1d(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), assume_unique=True)))
+                either.append((len(x) + len(y)) // 8 - both[-1])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, either long")
+
+
+def _cross_pairs(hubs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs a < b of crowded cells' texts that are in different components so far, of
+    ``hubs(cell, a, b, apart)`` with the Jaccard distance of b to the cell's first text a, if known. That
+    distance is a metric: texts whose distances to a third differ by more than the bound are no pair."""
+    members = hubs.select("cell", F.col("b").alias("node"), "apart").unionByName(hubs.select("cell", F.col("a").alias("node"), F.lit(0.0).alias("apart")).distinct())
+    members = members.join(parts, "node", "left").select("cell", "node", "apart", F.coalesce("component", "node").alias("part"))
+    mixed = members.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("cell")
+    lists = members.join(mixed, "cell").groupBy("cell", "part").agg(F.collect_list(F.struct("node", "apart")).alias("held"))
+    lists = common.durable(lists)
+    one, two = lists.select("cell", F.col("part").alias("p"), F.col("held").alias("ps")), lists.select("cell", F.col("part").alias("q"), F.col("held").alias("qs"))
+    met = one.join(two, "cell").where("p < q").select(F.explode("ps").alias("s"), "qs").select("s", F.explode("qs").alias("t"))
+    met = met.where(F.coalesce(F.abs(F.col("s.apart") - F.col("t.apart")) <= 1 - SIMILAR[0] / SIMILAR[1] + 1e-9, F.lit(True)))
+    return met.select(F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id, kept) for each row of ``docs(doc_id, text)``: texts whose sets of five-word
-    shingles are similar to 0.8 or more share a component, named by its smallest doc_id.
-
-    Fingerprints have 320 bits; pairs of that similarity differ in some 49 of them, far too many for
-    disjoint segments to agree, so segments are samples of the bits, as many as recall asks for. Each
-    text looks its segment values up; where its own cell names nobody near, it also looks up the values
-    one bit higher. A table names one text a cell, the smallest, so matches grow with the texts even
-    in large groups. Matches are verified by their complete distance (56 bits at most, a standard
-    deviation above the expected 49).
+    """(doc_id, key, component_id, kept) for each row of ``docs(doc_id, text)``: texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more share a component, named by its
+    smallest doc_id; ``kept`` holds for one text of it (``common.text_key``) with that doc_id.
+
+    No pair is missed: texts meet in cells of the shingles that come first in a common order, rare ones
+    before frequent ones (prefix filtering), so a shared passage brings nobody together as long as
+    a fifth of a text is its own. Each pair is decided by its two sets. A crowded cell's texts first
+    meet its first text alone; where that leaves several components in the cell, all pairs between
+    different ones follow. Equal sets are one node, known by 64 bits.
     """
     spark = docs.sparkSession
-    most = round(64 * LANES * expected_share(SIMILAR) + math.sqrt(64 * LANES * 0.15 * 0.85))
-    lane_names = [f"l{k}" for k in range(LANES)]
+    common.prepare(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("key"), "text")
+    hashes, counts = _frequent(docs)
+    told = spark.sparkContext.broadcast((hashes, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
-            out = np.zeros((part.num_rows, LANES), dtype="<u8")
-            for k, text in enumerate(common.bytes_of(part)):
-                h = shingle_hashes(text, SIMILAR_WIDTH)
-                if len(h):
-                    lanes = np.stack([common.mix(h + common.U64(j * common.UNIT_BASE & (1 << 64) - 1)) for j in range(LANES)], axis=1)
-                    out[k] = np.packbits(majority(lanes), bitorder="little").view("<u8")
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[:, j].view("<i8")) for j in range(LANES))], names=["doc_id", *lane_names])
-
-    rows = common.durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in lane_names)))
-    nodes = rows.groupBy(*lane_names).agg(F.min("doc_id").alias("low")).withColumn("node", F.xxhash64(*lane_names))
-    nodes = common.durable(nodes)
-    bits, tables = segment_plan(nodes.count())
-    rng = np.random.default_rng(11)
-    picks = [sorted(rng.choice(64 * LANES, bits, replace=False).tolist()) for _ in range(tables)]
-
-    def segment(pick: list[int]) -> Column:
-        terms = [F.shiftleft(F.shiftright(lane_names[p // 64], p % 64).bitwiseAND(F.lit(1)), k) for k, p in enumerate(pick)]
-        return reduce(lambda a, b: a.bitwiseOR(b), terms)
-
-    keyed = nodes.select("node", "l0", F.array(*[segment(p).cast("long").bitwiseOR(F.lit(k << 32)) for k, p in enumerate(picks)]).alias("segments"))
-    keyed = common.durable(keyed)
-    cells = keyed.select("node", "l0", F.explode("segments").alias("cell")).groupBy("cell").agg(F.min(F.struct("node", "l0")).alias("first"))
-    cells = cells.select("cell", F.col("first.node").alias("b"), F.col("first.l0").alias("lb"))
-    near = F.bit_count(F.col("l0").bitwiseXOR(F.col("lb"))) <= most // LANES + 12
-    own = keyed.select("node", "l0", F.explode("segments").alias("cell")).join(cells, "cell")
-    own = own.select("node", "l0", "cell", F.when((F.col("node") != F.col("b")) & near, F.col("b")).alias("b"))
-    one = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
-    ball = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda j: F.when(F.col("cell").bitwiseAND(one(j)) == 0, F.col("cell").bitwiseOR(one(j)))), lambda c: c.isNotNull())
-    probes = own.where("b is null").select("node", "l0", F.explode(ball).alias("cell"))
-    met = probes.join(cells, "cell").where((F.col("node") != F.col("b")) & near).select("node", "b")
-    met = met.unionByName(own.where("b is not null").select("node", "b")).select(F.col("node").alias("a"), "b").distinct()
-    x, y = nodes.select(F.col("node").alias("a"), F.struct(*lane_names).alias("x")), nodes.select(F.col("node").alias("b"), F.struct(*lane_names).alias("y"))
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in lane_names])
-    links = met.join(x, "a").join(y, "b").where(apart <= most).select("a", "b")
-    parts = common.connected_components(links)
-    named = nodes.join(parts, "node", "left").select(*lane_names, "low", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = named.join(lowest, "component").select(*lane_names, "component_id")
-    return rows.join(label, lane_names).select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+            sets = [shingle_set(text) for text in common.bytes_of(part)]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype="<u8").view("<i8")
+            prefix = [prefix_of(s, *told.value).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefix, pa.binary()), pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "key", "node", "size", "prefix", "parity"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(text).tobytes() for text in common.bytes_of(part)], pa.binary())], names=["node", "shingles"])
+
+    rows = common.durable(docs.mapInArrow(run, "doc_id long, key binary, node long, size int, prefix binary, parity binary"))
+    width = common.shuffle_width(spark) // 4
+    packed = rows.select("node", "size", "prefix").mapInArrow(lambda it: _pack(it, width), "bucket int, cells binary, nodes binary, sizes binary, places binary")
+    met = common.durable(packed.groupBy("bucket").applyInArrow(_meet, "cell long, a long, b long"))
+    met_once = common.durable(met.select("a", "b").distinct())
+    pairs = common.durable(_possible(met_once, rows))
+    crowded = met.where("cell is not null")
+    asked = pairs.unionByName(crowded.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = rows.select("node", "key").join(asked, "node").groupBy("node").agg(F.min("key").alias("key"))
+    texts = docs.select("key", "text").join(wanted, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text")
+    sets = common.durable(texts.mapInArrow(again, "node long, shingles binary"))
+    scored = common.durable(_scored(pairs, sets))
+    links = scored.where(similar(F.col("both"), F.col("either"))).select("a", "b")
+    parts = common.durable(common.connected_components(links))
+    hubs = crowded.join(scored, ["a", "b"], "left").select("cell", "a", "b", (1 - F.col("both") / F.col("either")).alias("apart"))
+    more = common.durable(_cross_pairs(hubs, parts).join(met_once, ["a", "b"], "left_anti"))
+    more = common.durable(_scored(_possible(more, rows), sets).where(similar(F.col("both"), F.col("either"))).select("a", "b"))
+    if not more.isEmpty():
+        parts = common.connected_components(links.unionByName(more))
+    named = rows.select("doc_id", "key", "node").join(parts, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
+    out = named.join(lowest, "component")
+    return out.select("doc_id", "key", F.col("low.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key"))).alias("kept"))

@@ -154,6 +154,55 @@ def test_near_copies(spark):
     assert got[100][0] == got[101][0] == 100 and got[102][1] and got[103][1]
 
 
+def links_and_components(spark, rows):
+    """Components of the exact similarity, and those that were found."""
+    def shingles(text):
+        w = (text or "").encode().translate(LOWER).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {d: rows[g][0] for (d, _), g in zip(rows, brute.components(len(rows), links), strict=True)}
+    got = {t.doc_id: (t.component_id, t.kept) for t in near_copies(docs(spark, rows)).collect()}
+    assert all(kept == (d == c) for d, (c, kept) in got.items())
+    return len(links), want, {d: c for d, (c, _) in got.items()}
+
+
+def passage_family(shared, pairs, seed):
+    """Texts of 200 words, ``shared`` of them one passage, in pairs with two words changed."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage, rows = [word() for _ in range(shared)], []
+    for k in range(pairs):
+        own = [word() for _ in range(200 - shared)]
+        twin = list(own)
+        for at in r.sample(range(len(own)), 2):
+            twin[at] = word()
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + twin))]
+    return rows
+
+
+@pytest.mark.parametrize("shared", [100, 150])
+def test_near_copies_with_a_shared_passage(spark, shared):
+    n, want, got = links_and_components(spark, passage_family(shared, 150, 4))
+    assert n == 150 and got == want
+
+
+def test_near_copies_in_crowded_cells(spark):
+    """One family whose texts link in chains, and texts that share nearly all with it and don't link."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 4, 5])):
+            words[at] = word()
+        rows.append((k, " ".join(words)))
+    n, want, got = links_and_components(spark, rows)
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((40, 16))
