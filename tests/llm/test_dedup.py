@@ -203,6 +203,15 @@ def test_near_copies_in_crowded_cells(spark):
     assert got == want and 1 < len(set(want.values())) < 60
 
 
+def test_near_copies_beside_unlinked_relatives(spark):
+    """Pairs in families of several pairs that share half of their shingles."""
+    rows = []
+    for family in range(5):
+        rows += [(60 * family + d, t) for d, t in passage_family(110, 30, 100 + family)]
+    n, want, got = links_and_components(spark, rows)
+    assert n == 150 and got == want
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((40, 16))
