@@ -212,6 +212,20 @@ def test_near_copies_beside_unlinked_relatives(spark):
     assert n == 150 and got == want
 
 
+def test_near_copies_at_the_bound(spark):
+    """90 shingles each, of which 80 (0.8 exactly), 79 or 78 are shared; repeats count once."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(94)]
+        shared = 84 - k % 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:shared] + [word() for _ in range(94 - shared)]))]
+    rows += [(1000, "a b c d e f " * 3 + "g h i j k l"), (1001, "a b c d e f " * 30 + "g h i j k l")]
+    n, want, got = links_and_components(spark, rows)
+    assert n == 51 and got == want
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((40, 16))
