@@ -53,6 +53,23 @@ def test_stages(spark, folder):
     assert __spark_entry__.queries()["pipeline"](spark, sf_dir).agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
 
 
+def test_one_of_repeated_rows_stays(spark, tmp_path):
+    """Rows that share text and doc_id, null ids, and near copies that share a doc_id."""
+    r = random.Random(5)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    twice, unnamed, same_id, null_id, alone = (text() for _ in range(5))
+    rows = [(1, twice, "en"), (1, twice, "en"), (1, twice, None), (None, unnamed, "en"), (None, unnamed, "de"), (3, same_id, "en"), (3, near(same_id), "en"), (None, null_id, "en"), (None, near(null_id), "en"), (9, alone, "en")]
+    docs = spark.createDataFrame([(d, t, lang, "src", len(t)) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.common.durable(corpus_pipeline.drop_copies(spark, docs, ""))
+    assert sorted(t.text for t in exact.collect()) == sorted({t for _, t, _ in rows})
+    for start in (docs, exact):
+        kept = corpus_pipeline.common.durable(corpus_pipeline.drop_near_copies(spark, start, ""))
+        assert kept.schema == docs.schema and kept.count() == 5
+    cut = corpus_pipeline.drop_repeated_passages(spark, kept, "").collect()
+    assert len(cut) == 5 and all(len(t.text) > 500 for t in cut)
+
+
 def test_names():
     names = __spark_entry__.queries()
     for n in range(1, 11):
