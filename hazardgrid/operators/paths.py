@@ -36,7 +36,7 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, limit: float) -> DataFr
     ``edges(src, dst, len_m)``.
 
     The network of a city goes to every worker after its size is checked, and queries are searched in
-    parallel; beyond WORKER_EDGES the search relaxes edges by joins instead (lengths only).
+    parallel; beyond WORKER_EDGES the search relaxes edges by joins instead.
     """
     from ..shipping import ship_package
 
@@ -63,18 +63,28 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, limit: float) -> DataFr
 
 
 def relaxed_lengths(queries: DataFrame, edges: DataFrame, limit: float, max_rounds: int = 10_000) -> DataFrame:
-    """The same lengths by rounds of relaxation, for networks that no worker can hold."""
+    """The same paths by rounds of relaxation and a walk back, for networks that no worker can hold."""
     spark = queries.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir("/tmp/hazardgrid-checkpoints")
-    known = queries.select("qid", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("new")).checkpoint()
+    known = queries.select("qid", F.col("src").alias("node"), F.struct(F.lit(0.0).alias("d"), F.lit(-1.0).alias("from_d"), F.lit(0).alias("zeros"), F.lit(None).cast("long").alias("prev")).alias("s"), F.lit(True).alias("new")).checkpoint()
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "len_m")
+    # of equal lengths the nearer, then the smaller predecessor; edges of no length are counted, so none closes a circle
+    reached = F.struct((F.col("s.d") + F.col("len_m")).alias("d"), F.col("s.d").alias("from_d"), F.when(F.col("len_m") > 0, 0).otherwise(F.col("s.zeros") + 1).alias("zeros"), F.col("node").cast("long").alias("prev"))
     for _ in range(max_rounds):
-        step = known.where("new").join(e, "node").select("qid", F.col("next").alias("node"), (F.col("d") + F.col("len_m")).alias("d")).where(F.col("d") <= limit)
-        tried = known.select("qid", "node", "d", F.lit(0).alias("late")).unionByName(step.select("qid", "node", "d", F.lit(1).alias("late")))
-        best = tried.groupBy("qid", "node").agg(F.min(F.struct("d", "late")).alias("b"))
-        known = best.select("qid", "node", F.col("b.d").alias("d"), (F.col("b.late") == 1).alias("new")).checkpoint()
+        step = known.where("new").join(e, "node").select("qid", F.col("next").alias("node"), reached.alias("s")).where(F.col("s.d") <= limit)
+        tried = known.select("qid", "node", "s", F.lit(0).alias("late")).unionByName(step.withColumn("late", F.lit(1)))
+        best = tried.groupBy("qid", "node").agg(F.min(F.struct("s", "late")).alias("b"))
+        known = best.select("qid", "node", "b.s", (F.col("b.late") == 1).alias("new")).checkpoint()
         if known.where("new").isEmpty():
             break
-    end = known.select("qid", F.col("node").alias("dst"), F.col("d").alias("length_m"))
-    return queries.select("qid", "dst").join(end, ["qid", "dst"], "left").select("qid", F.col("length_m").isNotNull().alias("found"), "length_m", F.lit(None).cast("array<long>").alias("nodes"))
+    end = known.select("qid", F.col("node").alias("dst"), F.col("s.d").alias("length_m"))
+    out = queries.select("qid", "dst").join(end, ["qid", "dst"], "left")
+    back = known.select("qid", F.col("node").cast("long").alias("head"), F.col("s.prev").alias("prev"))
+    walk = out.where("length_m is not null").select("qid", F.col("dst").cast("long").alias("head"), F.array(F.col("dst").cast("long")).alias("nodes"))
+    done = walk.limit(0).select("qid", "nodes")
+    while not walk.isEmpty():
+        walk = walk.join(back, ["qid", "head"]).checkpoint()
+        done = done.unionByName(walk.where("prev is null").select("qid", "nodes")).checkpoint()
+        walk = walk.where("prev is not null").select("qid", F.col("prev").alias("head"), F.concat(F.array("prev"), "nodes").alias("nodes"))
+    return out.join(done, "qid", "left").select("qid", F.col("length_m").isNotNull().alias("found"), "length_m", "nodes")

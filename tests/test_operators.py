@@ -82,6 +82,17 @@ def test_paths_agree_with_relaxation(spark):
     assert not any(none.values())
 
 
+def test_paths_of_a_large_network_have_nodes(spark, monkeypatch):
+    r = random.Random(6)
+    edges = [(a, b, float(r.randint(1, 4))) for a in range(12) for b in r.sample(range(12), 3) if a != b]
+    e = spark.createDataFrame(edges, "src long, dst long, len_m double")
+    q = spark.createDataFrame([(0, 3, 3), (1, 99, 2), *((i, r.randrange(12), r.randrange(12)) for i in range(2, 8))], "qid long, src long, dst long")
+    want = {t.qid: (t.found, t.length_m, t.nodes) for t in paths.shortest_paths(q, e, 1e9).collect()}
+    monkeypatch.setattr(paths, "WORKER_EDGES", 5)
+    got = {t.qid: (t.found, t.length_m, t.nodes) for t in paths.shortest_paths(q, e, 1e9).collect()}
+    assert got == want and any(len(n or ()) > 2 for _, _, n in want.values())
+
+
 def test_boundary(spark):
     square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
     p = spark.createDataFrame([(1, 5.0, 5.0), (2, 15.0, 5.0), (3, -1.0, 11.0)], "k int, px double, py double")
