@@ -1,23 +1,22 @@
 """Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over distinct words.
 
-A block of documents is cut into words by the tokenizer's pattern and numbered; each of the block's
-distinct words goes once, as an array of byte tokens, through a fold that applies the merge of lowest
-rank until none is left. Ranks come from a literal map in the plan. Documents are then put together
-from their words' tokens, and decoded by concatenating the tokens' bytes. Nothing is shuffled.
-
-Words that are frequent in the corpus are folded once ahead and handed to the workers; their number is
-bounded (HEAD), and which words they are changes the work, never the result.
+Texts are cut into words by the tokenizer's pattern and numbered; each different word of a task goes
+once, as an array of byte tokens, through a fold that applies the merge of lowest rank until none is
+left. Ranks come from a literal map in the plan. Documents are then put together from their words'
+tokens, and decoded by concatenating the tokens' bytes. Each text is read and cut once, and nothing is
+shuffled, broadcast or collected but the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
-import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,23 +24,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .word_tokens import LATIN, PLAIN, Numbered
-
-#: Frequent words that are folded ahead and broadcast: at most so many, each of at most WORD bytes.
-HEAD = 1 << 18
-WORD = 32
-#: Bytes of text of a block.
-BLOCK_BYTES = 16 << 20
-#: Words of a row of the head's fold.
-FOLD_WORDS = 16384
-#: Words that a task counts at once.
-REMEMBERED = 1_000_000
-#: Lists that the literal rank map is dealt over, so that a lookup reads about one entry.
-SLOTS = 1 << 16
-#: Fixed value: the pattern that the fast path below stands in for.
+from .word_cutter import Cutter, pattern_class
+from .word_tokens import Numbered
+
+#: Different words that a task remembers; beyond that it starts anew.
+REMEMBERED = 600_000
+#: Words of a row of the fold.
+FOLD_WORDS = 4096
+#: Longer words (bytes) are cut where no token can cross.
+LONG = 96
+#: Fixed value: the pattern that the transducer stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same over texts of PLAIN characters, for the faster standard library.
-PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LATIN}]+|\s+(?!\S)|\s+")
+#: Bits of a token id, and of the smallest table of merges.
+BITS = 17
+NONE = (1 << BITS) - 1
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -49,36 +45,58 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 def splitter(pattern: str):
-    """A function that cuts a text into words as ``pattern`` does."""
+    """A function from texts to (different words, which each word is, words of each text)."""
+    if pattern == PATTERN:
+        return Cutter(pattern_class).cut
     general = regex.compile(pattern).findall
-    if pattern != PATTERN:
-        return general
-    return lambda text: PLAIN_PATTERN.findall(text) if PLAIN.fullmatch(text) else general(text)
 
+    def cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        number = Numbered()
+        which = [np.array([number[w] for w in general(t)], dtype=np.int64) for t in texts]
+        return list(number), np.concatenate([np.zeros(0, dtype=np.int64), *which]), np.array([len(w) for w in which])
 
-def rank_entries(ranks: dict[bytes, int]) -> list[list[dict[str, int]]]:
-    """For each slot, the merges dealt to it: pair of token ids -> id (and rank) of the merged token."""
-    slots: list[list[dict[str, int]]] = [[] for _ in range(SLOTS)]
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                slots[(31 * left + right) & (SLOTS - 1)].append({"k": left << 17 | right, "v": rank})
-    return slots
+    return cut
 
 
-def unreachable(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """Tokens that merging their own bytes doesn't give; as whole words they still are one token."""
-    out = {}
+def merges_of(ranks: dict[bytes, int]) -> tuple[list[tuple[int, int, int]], dict[str, list[int]]]:
+    """(left, right, merged) of the last merge of each token, and the tokens that merging their own bytes
+    doesn't give. Merges in a longer word go as they go in the token alone, so no other pair ever
+    makes it; as whole words the others still are one token."""
+    merges, whole = [], {}
     for token, rank in ranks.items():
         parts = [token[i : i + 1] for i in range(len(token))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 62:
-                out[token] = rank
+        while len(parts) > 2:
+            best, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == NONE:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return out
+        if len(parts) == 2:
+            merges.append((ranks[parts[0]], ranks[parts[1]], rank))
+        elif len(parts) > 2:
+            whole[token.decode("utf-8", "replace")] = [rank]
+    return merges, whole
+
+
+def rank_table(merges: list[tuple[int, int, int]], ids: int) -> tuple[list[int], list[int]]:
+    """Literal map of the merges: entry shift[left] + right of the table holds left and merged, if there
+    is such a merge. The rows of the left tokens lie over each other without meeting."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for left, right, merged in merges:
+        rows.setdefault(left, []).append((right, merged))
+    size = 1 << max(BITS, (2 * len(merges)).bit_length())
+    table = np.full(size + ids + 1, NONE << BITS, dtype=np.int64)
+    used = np.zeros(len(table), dtype=bool)
+    shift = np.zeros(ids + 1, dtype=np.int64)
+    rng = np.random.default_rng(1)
+    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        right = np.array([a for a, _ in row])
+        at = int(rng.integers(0, size))
+        while used[at + right].any():
+            at = int(rng.integers(0, size))
+        used[at + right] = True
+        table[at + right] = [left << BITS | merged for _, merged in row]
+        shift[left] = at
+    return shift.tolist(), table.tolist()
 
 
 def _let(value: Column, body) -> Column:
@@ -86,95 +104,102 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
-def fold_merges(words: Column, entries: str) -> Column:
-    """``words`` (array of arrays of byte tokens) -> array of arrays of token ids."""
-    literal = F.from_json(F.lit(entries), "array<array<struct<k:bigint,v:int>>>")
-
-    def with_map(slots: Column) -> Column:
-        def rank(x: Column, y: Column) -> Column:
-            slot = F.get(slots, (x * 31 + y).bitwiseAND(F.lit(SLOTS - 1)))
-            return F.try_element_at(slot, x.cast("long") * (1 << 17) + y)
-
-        def step(a: Column) -> Column:
-            def merge(ranks: Column) -> Column:
-                def at(best: Column) -> Column:
-                    def put(i: Column) -> Column:
-                        return F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda x, k: F.when(k < i, x).when(k == i, best).otherwise(F.get(a, k + 1)))
-
-                    return F.when(best.isNull(), a).otherwise(_let(F.array_position(ranks, best).cast("int") - 1, put))
-
-                return _let(F.array_min(ranks), at)
-
-            return _let(F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), rank), merge)
-
-        def fold(a: Column) -> Column:
-            return F.when(F.size(a) < 2, a).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(a)), a, lambda acc, _: step(acc)))
-
-        return F.transform(words, fold)
-
-    return _let(F.transform(literal, lambda e: F.map_from_entries(e)), with_map)
-
-
-def byte_tokens(words: list[bytes], one: np.ndarray) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(one[np.frombuffer(b"".join(words), dtype=np.uint8)], pa.int32()))
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:
-    """(ids of the rows, texts) of about ``limit`` bytes."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
-    for part in common.chunks(batches):
-        ids += part.column(0).to_pylist()
-        texts += common.texts_of(part)
-        size += part.nbytes
-        if size >= limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if texts:
-        yield ids, texts
-
-
-def _frequent_words(docs: DataFrame, pattern: str) -> list[str]:
-    """At most HEAD words that are frequent in the whole table, by counts of what a task has twice.
-    The cut is a count above which at most HEAD words lie, found from the histogram of counts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = splitter(pattern)
-        number, counts = Numbered(), np.zeros(0, dtype=np.int64)
-
-        def found() -> pa.RecordBatch:
-            often = (counts > 1).tolist()
-            some = [(w, k) for (w, k), o in zip(number.items(), often, strict=True) if o and len(w) <= WORD // 4]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array(counts[[k for _, k in some]] if some else [], pa.int64())], names=["word", "n"])
-
-        for _, texts in _gathered(batches, BLOCK_BYTES):
-            which = np.fromiter(map(number.__getitem__, chain.from_iterable(map(cut, texts))), dtype=np.int64)
-            more = np.bincount(which, minlength=len(number))
-            more[: len(counts)] += counts
-            counts = more
-            if len(number) > REMEMBERED:
-                yield found()
-                number, counts = Numbered(), counts[:0]
-        yield found()
-
-    counted = common.durable(docs.select("doc_id", "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    total, least = 0, None
-    for row in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        total += row["count"]
-        if total > HEAD:
-            break
-        least = row["level"]
-    words = [] if least is None else [r["word"] for r in counted.where(level >= least).select("word").collect()]
-    common.discard(counted)
-    return words
+def fold_merges(words: Column, shift: list[int], table: list[int]) -> Column:
+    """``words``: array of arrays of byte tokens, each between two end marks (the id after the last one).
+    In the result the lower BITS bits of an element are a token's id; the rank of its merge with
+    the next one stands above them, so after a merge two ranks are looked up."""
+    shift_of, entry_of = F.from_json(F.lit(json.dumps(shift)), "array<int>"), F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    end = len(shift) - 1
+
+    def ranked(x: Column, y: Column) -> Column:
+        x_long = x.cast("long")
+        return F.shiftleft(F.get(entry_of, F.get(shift_of, x) + y).bitwiseXOR(F.shiftleft(x_long, BITS)), BITS).bitwiseOR(x_long)
+
+    def token(e: Column) -> Column:
+        return e.bitwiseAND(F.lit(NONE)).cast("int")
+
+    def step(a: Column) -> Column:
+        def merge(least: Column) -> Column:
+            def put(i: Column) -> Column:
+                new = F.shiftright(least, BITS).cast("int")
+                pair = F.array(ranked(token(F.get(a, i - 2)), new), ranked(new, token(F.get(a, i + 1))))
+                return F.flatten(F.array(F.slice(a, F.lit(1), i - 2), pair, F.slice(a, i + 2, F.size(a))))
+
+            return F.when(least >= F.lit(NONE << BITS), a).otherwise(_let(F.array_position(a, least).cast("int"), put))
+
+        return _let(F.array_min(a), merge)
+
+    def fold(a: Column) -> Column:
+        start = F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), lambda x, y: ranked(x, F.coalesce(y, F.lit(end))))
+        rounds = lambda x: F.aggregate(F.sequence(F.lit(4), F.size(x)), x, lambda acc, _: step(acc))
+        return _let(start, lambda x: F.when(F.array_min(x) >= F.lit(NONE << BITS), x).otherwise(rounds(x)))
+
+    return F.transform(words, fold)
+
+
+class Pieces:
+    """Parts of long words that are merged apart from each other."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]]):
+        self.tokens = ahocorasick.Automaton()
+        for token in ranks:
+            if len(token) > 1:
+                self.tokens.add_word(token.decode("latin-1"), len(token))
+        self.tokens.make_automaton()
+        self.merges = {(left, right): merged for left, right, merged in merges}
+        self.one = [ranks[bytes([i])] for i in range(256)]
+
+    def of(self, word: bytes) -> list[bytes]:
+        """Parts that no token crosses wherever it might lie."""
+        inside = np.zeros(len(word) + 1, dtype=np.int32)
+        for last, size in self.tokens.iter(word.decode("latin-1")):
+            inside[last - size + 2] += 1
+            inside[last + 1] -= 1
+        cuts = [*np.flatnonzero(np.cumsum(inside[:-1]) == 0).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def merged(self, part: bytes) -> list[int]:
+        """Ids of a part that is long still, by a heap of its pairs: the fold has nothing left to do."""
+        ids: list[int] = [self.one[b] for b in part]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(self.merges[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= len(ids) or self.merges.get((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j], after[i] = rank, -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < len(ids):
+                    new = self.merges.get((ids[k], ids[after[k]]))
+                    if new is not None:
+                        heapq.heappush(heap, (new, k))
+        return [x for x in ids if x >= 0]
+
+
+def framed(words: list[str | bytes], one: np.ndarray, merged: dict, end: int) -> pa.ListArray:
+    """Byte tokens of each word, or its ids in ``merged``, between two end marks."""
+    raw = [w if isinstance(w, bytes) else w.encode() for w in words]
+    known = [k for k, w in enumerate(words) if w in merged] if merged else []
+    size = np.array([len(w) for w in raw], dtype=np.int64)
+    size[known] = [len(merged[words[k]]) for k in known]
+    ends = np.concatenate([[0], np.cumsum(size + 2)])
+    out = np.full(ends[-1], end, dtype=np.int32)
+    for k in known:
+        raw[k] = bytes(size[k])
+    out[np.repeat(ends[:-1] + 1, size) + common.ramp(size)] = one[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+    for k in known:
+        out[ends[k] + 1 : ends[k + 1] - 1] = merged[words[k]]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
 def bpe_roundtrip(docs: DataFrame, rank_lines: bytes, pattern: str = PATTERN) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_tokens, ids_sha256, decoded_sha256,
-    n_bytes. ``rank_lines`` is the content of a rank file. Null and empty texts have no ids."""
+    n_bytes. ``rank_lines`` is the content of a rank file. Null and empty texts have no ids. Words of
+    any length are encoded exactly: beyond LONG bytes in parts that no token crosses."""
     return _coded(docs, rank_lines, pattern, digest=True)
 
 
@@ -188,63 +213,85 @@ def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> Da
     common.prepare(spark)
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the literal map is not worth printing
     ranks = read_ranks(rank_lines)
-    entries = json.dumps(rank_entries(ranks), separators=(",", ":"))
-    whole = {k.decode("utf-8", "replace"): v for k, v in unreachable(ranks).items()}
-    vocabulary = [b""] * (max(ranks.values()) + 1)
+    end = max(ranks.values()) + 1
+    if end >= NONE:
+        raise ValueError(f"ids of {BITS} bits at most")
+    merges, whole = merges_of(ranks)
+    vocabulary = [b""] * end
     for token, rank in ranks.items():
         vocabulary[rank] = token
-    one = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-
-    words = [w for w in _frequent_words(docs, pattern) if w not in whole]
-    rows = [words[i : i + FOLD_WORDS] for i in range(0, len(words), FOLD_WORDS)]
-    table = pa.table({"part": pa.array(range(len(rows)), pa.int32()), "words": pa.array([byte_tokens([w.encode() for w in r], one).to_pylist() for r in rows], pa.list_(pa.list_(pa.int32())))})
-    folded = spark.createDataFrame(table).repartition(max(1, len(rows)), "part").select("part", fold_merges(F.col("words"), entries).alias("ids")).toArrow().sort_by("part")
-    ids = [x.flatten() for x in folded.column("ids").chunks]
-    head_ids = pa.concat_arrays([*ids, pa.array([[r] for r in whole.values()], pa.list_(pa.int32()))])
-    words += list(whole)
-    own_words = spark.sparkContext.broadcast((words, one))
-    own_ids = spark.sparkContext.broadcast((head_ids, vocabulary))
+    shared = spark.sparkContext.broadcast((ranks, merges, whole, vocabulary))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, one = own_words.value
+        """Rows of new words to fold; the last row of a chunk has its documents as numbers of words."""
+        ranks, merges, whole, _ = shared.value
+        one = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         cut = splitter(pattern)
-        numbers = Numbered(zip(head, range(len(head)), strict=True))
-        for ids, texts in _gathered(batches, BLOCK_BYTES):
-            which = [np.fromiter(map(numbers.__getitem__, cut(t)), dtype="<i4") for t in texts]
-            new = list(islice(reversed(numbers), len(numbers) - len(head)))[::-1]
-            for w in new:
-                del numbers[w]
-            counts = np.array([len(w) for w in which], dtype="<i4").tobytes()
-            spelled = byte_tokens([w.encode() for w in new], one)
-            nested = pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled)
-            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([np.concatenate(which).tobytes()]), nested], names=["doc_ids", "counts", "which", "words"])
+        pieces: Pieces | None = None
+        numbers = Numbered()
+        names = ["fresh", "words", "doc_ids", "counts", "which"]
+        for part in common.chunks(batches):
+            words, which, counts = cut(common.texts_of(part))
+            fresh = len(numbers) > REMEMBERED or not len(numbers)
+            if fresh:
+                numbers = Numbered()
+            had, ready = len(numbers), {}  # ids that need no fold
+            long = [k for k, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG and w not in whole]
+            if long:
+                pieces = pieces or Pieces(ranks, merges)
+                parts = {k: pieces.of(words[k].encode()) for k in long}
+                size = np.ones(len(words), dtype=np.int64)
+                size[long] = [len(p) for p in parts.values()]
+                flat = np.array([numbers[x] for k, w in enumerate(words) for x in parts.get(k, (w,))], dtype="<i4")
+                first = np.cumsum(size) - size
+                text_of = np.repeat(np.arange(len(counts)), counts)
+                counts = np.bincount(text_of, weights=size[which], minlength=len(counts))
+                own = flat[np.repeat(first[which], size[which]) + common.ramp(size[which])]
+                ready = {x: pieces.merged(x) for p in parts.values() for x in p if len(x) > LONG}
+            else:
+                own = np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words))[which] if len(words) else np.zeros(0, dtype="<i4")
+            new = list(islice(reversed(numbers), len(numbers) - had))[::-1]
+            spelled = framed(new, one, whole | ready, end)
+            cuts = list(range(0, len(spelled), FOLD_WORDS)) or [0]
+            offsets = pa.array([*cuts, len(spelled)], pa.int32())
+            none = [None] * (len(cuts) - 1)
+            cols = [pa.array([fresh] + [False] * len(none)), pa.ListArray.from_arrays(offsets, spelled), pa.array([*none, part.column(0).to_pylist()], pa.list_(pa.int64()))]
+            for x in (counts.astype("<i4"), own.astype("<i4")):
+                cols.append(pa.array([*none, x.tobytes()], pa.binary()))
+            for k in range(len(cuts)):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 1) for c in cols], names=names)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, vocabulary = own_ids.value
-        ends = head.offsets.to_numpy().astype(np.int64)
-        head_first, head_size, head_flat = ends[:-1], np.diff(ends), head.flatten().to_numpy()
+        vocabulary = shared.value[3]
         text_of = list(map(str, range(len(vocabulary)))).__getitem__
         bytes_of = vocabulary.__getitem__
+        first, size, flat = [], [], []
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"] if digest else ["doc_id", "ids", "decoded"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             for k in range(batch.num_rows):
-                tail = batch.column("words").slice(k, 1).flatten()
-                ends = tail.offsets.to_numpy().astype(np.int64)
-                first = np.concatenate([head_first, len(head_flat) + ends[:-1] - ends[0]])
-                size = np.concatenate([head_size, np.diff(ends)])
-                flat = np.concatenate([head_flat, tail.flatten().to_numpy()])
+                if batch.column("fresh")[k].as_py():
+                    first, size, flat = [], [], []
+                found = batch.column("words").slice(k, 1).flatten()
+                ends = found.offsets.to_numpy().astype(np.int64)
+                first.append(ends[:-1] - ends[0] + 1 + sum(map(len, flat)))
+                size.append(np.diff(ends) - 2)
+                flat.append((found.flatten().to_numpy() & NONE).astype(np.int32))
+                if not batch.column("doc_ids")[k].is_valid:
+                    continue
+                first, size, flat = [np.concatenate(first)], [np.concatenate(size)], [np.concatenate(flat)]
                 which = np.frombuffer(batch.column("which")[k].as_buffer(), dtype="<i4")
                 rows, at = [], 0
-                for end in np.cumsum(np.frombuffer(batch.column("counts")[k].as_py(), dtype="<i4")).tolist():
-                    w = which[at:end]
-                    at = end
-                    n = size[w]
-                    own = flat[np.repeat(first[w], n) + common.ramp(n)].tolist()
+                for stop in np.cumsum(np.frombuffer(batch.column("counts")[k].as_py(), dtype="<i4")).tolist():
+                    w = which[at:stop]
+                    at = stop
+                    n = size[0][w]
+                    own = flat[0][np.repeat(first[0][w], n) + common.ramp(n)].tolist()
                     raw = b"".join(map(bytes_of, own))
                     rows.append((len(own), hashlib.sha256(",".join(map(text_of, own)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)) if digest else (own, raw))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1).flatten(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"] if digest else ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1).flatten(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
-    numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, "doc_ids array<long>, counts binary, which binary, words array<array<int>>")
-    done = numbered.withColumn("words", fold_merges(F.col("words"), entries))
+    numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, "fresh boolean, words array<array<int>>, doc_ids array<long>, counts binary, which binary")
+    done = numbered.withColumn("words", fold_merges(F.col("words"), *rank_table(merges, end)))
     return done.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" if digest else "doc_id long, ids array<int>, decoded binary")
