@@ -1,11 +1,11 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The tokenizer's word pattern is compiled into a deterministic transducer over character classes; its
-transitions say where a word starts. Long inputs are cut into blocks, each block is turned into a map
-from entry state to exit state for all states at once, and the maps compose through a parallel prefix
-scan, which gives every block its true entry state. A transition that closes a word emits the word's
-number of tokens, which the transducer's weights hold: words are compiled into weights when they first
-occur, with the tokenizer's own merges.
+Two deterministic transducers count the tokens. The first, over character classes, says where words
+start; long inputs are cut into blocks whose state maps compose through a parallel prefix scan
+(``word_cutter``). The second, over the bytes of a word, is compiled from the tokenizer's merges: each
+of its transitions carries the number of tokens that the byte adds, which may be none or negative where
+earlier tokens join. Transitions are compiled when a text first takes them, so the machine grows with
+what occurs, not with the vocabulary; no library counts anything.
 """
 
 from __future__ import annotations
@@ -21,175 +21,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
 from . import common  # noqa: E402
-from .common import U64, UNIT_BASE, mix  # noqa: E402
-
-#: Character classes. RESET stands between texts. The single letters occur in contractions.
-SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, RESET = range(7)
-SINGLE = {c: 7 + k for k, c in enumerate("strevmld")}
-CLASSES = 15
-#: States: a word starts next; in letters, numbers, others; after one space, one other blank, a run
-#: of blanks that ends in either; after an apostrophe that starts a word, and one letter further.
-FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK, APOSTROPHE, AFTER_R, AFTER_V, AFTER_L = range(12)
-STATES = 12
-#: Emission bits: a word starts here; a word starts one character back.
-HERE, BACK = 1, 2
-BLOCK = 256
-STEP = 4
-#: Words whose weights a worker remembers.
-REMEMBERED = 1_500_000
-SEPARATOR = "\x01"
-
-
-def compile_transducer() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, emission) for each state and class, of the pattern
-    's|'t|'re|'ve|'m|'ll|'d| ?letters+| ?numbers+| ?others+|blanks+(?!non-blank)|blanks+."""
-    to = np.zeros((STATES, CLASSES), dtype=np.uint8)
-    out = np.zeros((STATES, CLASSES), dtype=np.uint8)
-    letters = {LETTER, *SINGLE.values()}
-
-    def opened(c: int) -> int:
-        """State after a word starts with class c."""
-        if c in letters:
-            return IN_LETTERS
-        return {SPACE: ONE_SPACE, BLANK: ONE_BLANK, NUMBER: IN_NUMBERS, OTHER: IN_OTHERS, QUOTE: APOSTROPHE}[c]
-
-    def joined(c: int) -> int | None:
-        """State after a space and class c; none for blanks."""
-        return IN_LETTERS if c in letters else {NUMBER: IN_NUMBERS, OTHER: IN_OTHERS, QUOTE: IN_OTHERS}.get(c)
-
-    pairs = {AFTER_R: SINGLE["e"], AFTER_V: SINGLE["e"], AFTER_L: SINGLE["l"]}
-    for s in range(STATES):
-        for c in range(CLASSES):
-            if c == RESET:
-                to[s, c], out[s, c] = FRESH, BACK if s in pairs else 0
-            elif (s == IN_LETTERS and c in letters) or (s == IN_NUMBERS and c == NUMBER) or (s == IN_OTHERS and c in (OTHER, QUOTE)):
-                to[s, c] = s
-            elif s in (ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK) and c in (SPACE, BLANK):
-                to[s, c] = RUN_SPACE if c == SPACE else RUN_BLANK
-            elif s in (ONE_SPACE, RUN_SPACE):
-                to[s, c], out[s, c] = joined(c), BACK if s == RUN_SPACE else 0
-            elif s == RUN_BLANK:
-                to[s, c], out[s, c] = opened(c), BACK | HERE
-            elif s == APOSTROPHE and c in (SINGLE["s"], SINGLE["t"], SINGLE["m"], SINGLE["d"]):
-                to[s, c] = FRESH
-            elif s == APOSTROPHE and c in (SINGLE["r"], SINGLE["v"], SINGLE["l"]):
-                to[s, c] = {SINGLE["r"]: AFTER_R, SINGLE["v"]: AFTER_V, SINGLE["l"]: AFTER_L}[c]
-            elif s == APOSTROPHE and c in (OTHER, QUOTE):
-                to[s, c] = IN_OTHERS
-            elif s in pairs and c == pairs[s]:
-                to[s, c] = FRESH
-            elif s in pairs:
-                # the letter after the apostrophe starts a word of its own
-                to[s, c], out[s, c] = (IN_LETTERS, BACK) if c in letters else (opened(c), BACK | HERE)
+from .word_cutter import BLANK, LETTER, NUMBER, OTHER, QUOTE, SINGLE, SPACE, Cutter  # noqa: E402
+from .word_tokens import Numbered  # noqa: E402
+
+#: Words whose counts a worker remembers, and compiled transitions; beyond either it starts anew.
+REMEMBERED = 500_000
+TRANSITIONS = 600_000
+LAST = 1 << 60
+
+
+def byte_names() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the
+    others in order from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+class WordMachine:
+    """Counts tokens of a word byte by byte.
+
+    The encoding of a word's beginning is that of a shorter beginning and one more token, and the only
+    such token is the one that, joined to the last token there, stays apart from it. So a state is all
+    that later bytes can ask for: each end of the word that some token starts with, the last token
+    before it, and how many tokens fewer there are up to it.
+    """
+
+    def __init__(self, spec: dict):
+        names = byte_names()
+        raw = lambda t: bytes(names[c] for c in t)
+        vocabulary = {raw(t) for t in spec["vocab"] if all(c in names for c in t)}
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["merges"]]
+        self.merges: dict[tuple[bytes, bytes], int] = {}
+        rank, halves = {}, {}
+        for k, (left, right) in enumerate(pairs):
+            a, b = raw(left), raw(right)
+            if a + b in rank or a + b not in vocabulary or max(rank.get(a, -1), rank.get(b, -1)) >= k:
+                raise ValueError("merges that give a token twice or before its parts")
+            self.merges[a, b], rank[a + b], halves[a + b] = k, k, (a, b)
+        self.first, self.last = {}, {}  # a token's first and last parts as it grows, and when
+        self.tokens: set[bytes] = set()
+        for token in [*(bytes([b]) for b in range(256)), *rank]:
+            a, b = halves.get(token, (token, token))
+            at = rank.get(token, -1)
+            self.first[token] = (*self.first.get(a, ()), (token, at))
+            self.last[token] = (*self.last.get(b, ()), (token, at))
+            if at < 0 or (a in self.tokens and b in self.tokens and self.apart(a, b, at)):
+                self.tokens.add(token)
+        if any(bytes([b]) not in vocabulary for b in range(256)):
+            raise ValueError("every byte is a token")
+        self.starts = {t[:k] for t in self.tokens for k in range(1, len(t))}
+        self.forget()
+
+    def apart(self, a: bytes, b: bytes, until: int = LAST) -> bool:
+        """Whether no merge across the border comes before both tokens are whole (up to ``until``)."""
+        xs, ys = self.last[a], self.first[b]
+        i = j = 0
+        while True:
+            grow_x = xs[i + 1][1] if i + 1 < len(xs) else LAST
+            grow_y = ys[j + 1][1] if j + 1 < len(ys) else LAST
+            across = self.merges.get((xs[i][0], ys[j][0]), LAST)
+            # of equal ranks the leftmost pair merges first
+            if across < grow_x and across <= grow_y and across < until:
+                return False
+            if grow_x == grow_y == LAST:
+                return True
+            if grow_x <= grow_y:
+                i += 1
             else:
-                to[s, c], out[s, c] = opened(c), HERE
-    return to, out
-
-
-class Lexer:
-    """Word starts of concatenated texts."""
-
-    def __init__(self):
-        self.to, self.out = compile_transducer()
-        table = np.arange(STATES, dtype=np.uint8)[:, None]
-        for _ in range(STEP):  # transitions over STEP classes at once
-            table = self.to[table].reshape(STATES, -1)
-        self.leap = np.ascontiguousarray(table)
-
-    def block_maps(self, blocks: np.ndarray) -> np.ndarray:
-        """Exit state of each block for each entry state."""
-        code = np.zeros((len(blocks), BLOCK // STEP), dtype=np.int32)
-        for k in range(STEP):
-            code = code * CLASSES + blocks[:, k::STEP]
-        maps = np.tile(np.arange(STATES, dtype=np.intp), (len(blocks), 1))
-        width = CLASSES**STEP
-        flat = self.leap.ravel()
-        for k in range(BLOCK // STEP):
-            maps = flat[maps * width + code[:, k, None]]
-            maps = maps.astype(np.intp)
-        return maps
-
-    @staticmethod
-    def scan(maps: np.ndarray) -> np.ndarray:
-        """Composition of each block's map with all before it, in log steps."""
-        maps = maps.copy()
-        step = 1
-        while step < len(maps):
-            maps[step:] = np.take_along_axis(maps[step:], maps[:-step], axis=1)
-            step *= 2
-        return maps
-
-    def starts(self, classes: np.ndarray) -> np.ndarray:
-        """Where words start; the first text begins at 0, RESET ends each."""
-        n = len(classes)
-        padded = np.full(-(-n // BLOCK) * BLOCK, RESET, dtype=np.uint8)
-        padded[:n] = classes
-        blocks = padded.reshape(-1, BLOCK)
-        after = self.scan(self.block_maps(blocks))[:, FRESH]
-        state = np.concatenate([[FRESH], after[:-1]]).astype(np.intp)
-        emitted = np.zeros(blocks.shape, dtype=np.uint8)
-        to, out = self.to.ravel(), self.out.ravel()
-        columns = np.ascontiguousarray(blocks.T)
-        for k in range(BLOCK):
-            at = state * CLASSES + columns[k]
-            emitted[:, k] = out[at]
-            state = to[at].astype(np.intp)
-        emitted = emitted.ravel()[:n]
-        mark = (emitted & HERE) > 0
-        mark[:-1] |= (emitted[1:] & BACK) > 0
-        return np.flatnonzero(mark)
+                j += 1
+
+    def forget(self) -> None:
+        self.states: list[tuple] = [((b"", None, 0),)]
+        self.number = {self.states[0]: 0}
+        self.next: dict[int, tuple[int, int]] = {}
+        self.known: dict[tuple, bool] = {}
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state under a byte: (state, tokens gained)."""
+        c = bytes([byte])
+        kept, found = [], None
+        for end, before, fewer in self.states[state]:  # the longest end first
+            token = end + c
+            if found is None and token in self.tokens:
+                fits = before is None or self.known.get((before, token))
+                if fits is None:
+                    fits = self.known[before, token] = self.apart(before, token)
+                if fits:
+                    found = token, fewer + 1
+            if token in self.starts:
+                kept.append((token, before, fewer))
+        last, gain = found
+        key = (*((end, before, fewer - gain) for end, before, fewer in kept), (b"", last, 0))
+        to = self.number.setdefault(key, len(self.states))
+        if to == len(self.states):
+            self.states.append(key)
+        self.next[state << 8 | byte] = out = (to, gain)
+        return out
+
+    def count(self, words: list[str]) -> list[int]:
+        out = []
+        for word in words:
+            if len(self.next) > TRANSITIONS:
+                self.forget()
+            state = tokens = 0
+            step = self.next.get
+            for byte in word.encode():
+                state, gain = step(state << 8 | byte) or self.compile(state, byte)
+                tokens += gain
+            out.append(tokens)
+        return out
 
 
 class Counter:
-    """Tokens of texts under a tokenizers file with the pattern above."""
+    """Tokens of texts under a tokenizers file with byte-level words."""
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
-        self.library = Tokenizer.from_str(tokenizer_json)
-        pre = spec["pre_tokenizer"]
+        pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"]:
             raise ValueError("this tokenizer cuts words in another way")
+        if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError("this tokenizer merges in another way")
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("this tokenizer's special strings take their surroundings in")
-        bare = spec | {"added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
-        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": SEPARATOR}, "behavior": "Isolated", "invert": False}, pre | {"use_regex": False}]}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
-        (self.mark,) = self.bare.encode(SEPARATOR).ids
-        self.lexer = Lexer()
-        self.classes = np.full(0x110000, 255, dtype=np.uint8)
-        for c in range(128):
-            self.classes[c] = self.class_of(chr(c))
-        self.keys, self.weights = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-
-    def class_of(self, char: str) -> int:
-        """As the library's own pattern sees the character."""
+        self.cutter = Cutter(self.class_of)
+        self.machine = WordMachine(model)
+        self.number, self.counts = Numbered(), np.zeros(0, dtype=np.int64)
+
+    @staticmethod
+    def class_of(char: str) -> int:
+        """As the library's own word pattern sees the character."""
         if char == " ":
             return SPACE
         if char == "'":
             return QUOTE
         if char in SINGLE:
             return SINGLE[char]
-        cut = self.library.pre_tokenizer.pre_tokenize_str
+        cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
         for kind, before in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
             if len(cut(before + char)) == 1:
                 return kind
         return BLANK
 
-    def weigh(self, words: list[str]) -> np.ndarray:
-        """Tokens of each word, by the tokenizer's merges."""
-        plain = [w for w in words if SEPARATOR not in w]
-        ids = np.array(self.bare.encode_batch_fast([SEPARATOR.join(plain)], add_special_tokens=False)[0].ids if plain else [], dtype=np.int64)
-        cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
-        counts = np.diff(cuts) - 1
-        if len(plain) == len(words):
-            return counts[: len(words)]
-        of = dict(zip(plain, counts.tolist(), strict=False))
-        return np.array([of[w] if w in of else len(self.library.encode(w, add_special_tokens=False).ids) for w in words])
-
     def count(self, texts: list[str]) -> np.ndarray:
         parts, owner, extra = [], [], np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
@@ -202,34 +180,32 @@ class Counter:
                         raise ValueError("one special string is supported")
             parts += pieces
             owner += [k] * len(pieces)
-        joined = "\0".join([*parts, ""])
-        code = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        classes = self.classes[code]
-        if (classes == 255).any():
-            for c in np.unique(code[classes == 255]).tolist():
-                self.classes[c] = self.class_of(chr(c))
-            classes = self.classes[code]
-        classes[ends] = RESET
-        start = self.lexer.starts(classes)
-        if not len(start):
+        words, which, n_words = self.cutter.cut(parts)
+        if not len(which):
             return extra
-        text_of = np.searchsorted(ends, start)
-        end = np.minimum(np.append(start[1:], len(code)), ends[text_of])
-        prefix = common.prefix_hash(code.astype(U64) + U64(1), UNIT_BASE)
-        key = mix(common.range_hash(prefix, start, end, UNIT_BASE) + (end - start).astype(U64))
-        unique, first, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self.keys, self.weights = self.keys[:0], self.weights[:0]
-        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), dtype=bool)
-        if new.any():
-            words = [joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            spot = np.searchsorted(self.keys, unique[new])
-            self.keys, self.weights = np.insert(self.keys, spot, unique[new]), np.insert(self.weights, spot, self.weigh(words))
-            at = np.searchsorted(self.keys, unique)
-        tokens = self.weights[at][which]
-        return extra + np.bincount(np.array(owner)[text_of], weights=tokens, minlength=len(texts)).astype(np.int64)
+        if len(self.number) > REMEMBERED:
+            self.number, self.counts = Numbered(), self.counts[:0]
+        had = len(self.number)
+        known = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        new = [words[k] for k in np.flatnonzero(known >= had).tolist()]
+        self.counts = np.concatenate([self.counts, np.array(self.machine.count(new), dtype=np.int64)])
+        # tokens up to each word by a prefix sum; a text's are those between its first and last word
+        upto = np.concatenate([[0], np.cumsum(self.counts[known][which])])
+        end = np.cumsum(n_words)
+        np.add.at(extra, owner, upto[end] - upto[end - n_words])
+        return extra
+
+
+_compiled: dict[int, Counter] = {}
+
+
+def counter_of(tokenizer_json: str) -> Counter:
+    """A worker's machine outlives its tasks: what one has compiled serves the next."""
+    key = hash(tokenizer_json)
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = Counter(tokenizer_json)
+    return _compiled[key]
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024) -> DataFrame:
@@ -239,7 +215,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024) -> Dat
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(content.value)
+        counter = counter_of(content.value)
         for part in common.chunks(batches):
             size = pc.binary_length(part.column(1)).fill_null(0).cast(pa.int64())
             tokens = counter.count(common.texts_of(part))

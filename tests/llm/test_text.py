@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm
+from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm, word_cutter
 from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, splitter
 from hazardgrid.llm.word_tokens import word_encoder
 
@@ -40,16 +40,25 @@ def test_counts_equal_the_library(spark):
     assert all(g.over_limit == (g.n_tokens > 1024) for g in got)
 
 
+def test_machine_equals_plain_merging():
+    """Every transition's gain against the library, over words of few letters that merge in many ways."""
+    spec = read("byte_bpe_50k.json").decode()
+    library, machine = Tokenizer.from_str(spec), token_counts.Counter(spec).machine
+    r = random.Random(4)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 14))) for _ in range(4000)] + ["e" * n for n in range(1, 70)] + ["=" * 130, "in" * 40, "\u4e2d\u6587" * 30]
+    assert machine.count(words) == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 def test_blocks_compose():
-    lexer = token_counts.Lexer()
+    lexer = word_cutter.Lexer()
     r = np.random.default_rng(1)
-    classes = r.integers(0, token_counts.CLASSES, 5000).astype(np.uint8)
-    state, starts = token_counts.FRESH, set()
+    classes = r.integers(0, word_cutter.CLASSES, 5000).astype(np.uint8)
+    state, starts = word_cutter.FRESH, set()
     for i, c in enumerate(classes.tolist()):
         out = lexer.out[state, c]
-        if out & token_counts.HERE:
+        if out & word_cutter.HERE:
             starts.add(i)
-        if out & token_counts.BACK:
+        if out & word_cutter.BACK:
             starts.add(i - 1)
         state = lexer.to[state, c]
     assert lexer.starts(classes).tolist() == sorted(starts)
@@ -74,11 +83,41 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert {g.doc_id: g.n_tokens for g in bpe_roundtrip(docs.where("doc_id < 5"), lines, P.PATTERN).collect()} == {d: len(i) for d, i, _ in want if d is not None and d < 5}
 
 
+def thue_morse(n, a, b):
+    """A word and its complement have equal polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_of_equal_hashes_stay_apart(spark):
+    one, two = thue_morse(2048, "a", "b")
+    words, which, counts = splitter(P.PATTERN)([one, two, one + " x"])
+    assert [words[k] for k in which] == [one, two, one, " x"] and counts.tolist() == [1, 1, 2]
+    texts = [one, two]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = token_counts.token_counts(frame(spark, texts)[0], read("byte_bpe_50k.json").decode()).where("doc_id in (0, 1)").collect()
+    assert sorted({(g.doc_id, g.n_tokens) for g in got}) == [(i, len(library.encode(t).ids)) for i, t in enumerate(texts)]
+
+
+def test_long_words_are_encoded_exactly(spark):
+    lines = read("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "z" * 100_000, "the" * 3000 + " " + "\u4e2d\u6587" * 400, "=" * 500 + "\u00e9" * 300, "".join(chr(r.randint(0x4e00, 0x4fff)) for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for g in bpe_encode(docs, lines, P.PATTERN).collect():
+        assert list(g.ids) == library.encode_ordinary(texts[g.doc_id]) and bytes(g.decoded).decode() == texts[g.doc_id]
+
+
 def test_splitter_paths_agree():
     import regex
 
     cut, plain = splitter(P.PATTERN), regex.compile(P.PATTERN)
-    assert all(cut(t) == plain.findall(t) for t in strings(5000, 4))
+    texts = strings(5000, 4)
+    words, which, counts = cut(texts)
+    assert [words[k] for k in which] == [w for t in texts for w in plain.findall(t)]
+    assert counts.tolist() == [len(plain.findall(t)) for t in texts]
 
 
 def test_packs_fill_and_keep_everything(spark):
