@@ -7,27 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BYTE_BASE, U64, UNIT_BASE, mix
+from .common import U64, UNIT_BASE, mix
+from .word_tokens import Numbered
 
+#: Of the words' hashes.
+SEED = 42
 #: Words of the pieces whose smallest hash deals a window out.
 GRAM = 4
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of each text in turn, and the text's index of each word."""
-    raw, begin = common.joined_bytes(texts, b" ")
-    space = SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
-    start, end = edge[0::2], edge[1::2]
-    prefix = common.prefix_hash(raw.astype(U64) + U64(1), BYTE_BASE)
-    hashes = mix(common.range_hash(prefix, start, end, BYTE_BASE) + (end - start).astype(U64))
-    return hashes, np.searchsorted(begin, start, side="right") - 1
+    """XXH64 of each word of each text in turn, and the text's index of each word. A polynomial of the
+    bytes modulo 2**64 would give the same value to some long words of two letters."""
+    number = Numbered()
+    which = [np.fromiter(map(number.__getitem__, t.split()), dtype=np.int64) for t in texts]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), dtype=U64, count=len(number))
+    if not which:
+        return hashes, np.zeros(0, dtype=np.int64)
+    return hashes[np.concatenate(which)], np.repeat(np.arange(len(texts)), [len(w) for w in which])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,26 @@ def components(n, links):
 
 def ordered(rows):
     return sorted((tuple("~" if v is None else str(v) for v in r) for r in rows))
+
+
+def subsequence_kernel(a, b, decay, span):
+    """Common subsequences of three or four characters of two marked words, by trying all places: decay
+    to the number of gaps on either side; they span ``span`` places at most, the first letter given."""
+    import itertools
+
+    def weights(w):
+        out = collections.Counter()
+        for n in (3, 4):
+            for at in itertools.combinations(range(len(w)), n):
+                if at[-1] - at[0] < span:
+                    out["".join(w[i] for i in at)] += decay ** (at[-1] - at[0] + 1 - n)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y[k] for k, v in x.items())
+
+
+def thue_morse(n, a, b):
+    """A word and its complement have equal polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)

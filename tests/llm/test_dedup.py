@@ -17,6 +17,14 @@ from hazardgrid.llm.substring_dedup import substring_dedup  # noqa: E402
 from hazardgrid.llm.suffix_dedup import repeated_windows, suffix_dedup_rows  # noqa: E402
 
 
+def test_substring_tells_long_words_apart(spark):
+    for n in (1024, 2048):
+        one, two = brute.thue_morse(n, "a", "b")
+        rows = [(1, "same " * 12 + one), (2, "same " * 12 + two), (3, "same " * 12 + two)]
+        got = [(g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in substring_dedup(docs(spark, rows)).collect()]
+        assert brute.ordered(got) == brute.ordered(brute.substring(rows))
+
+
 def docs(spark, rows):
     """With columns whose names clash with results."""
     full = [(d, t, "x", 1, "y") for d, t in rows]
