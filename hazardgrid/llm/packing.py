@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from . import common
 from .word_tokens import word_encoder
 
-#: Rows of one length are ranked in so many groups, so that a frequent length is not one task.
-SALTS = 16
+#: Pieces of one length are ranked in groups of about so many, so that a frequent length is not one task.
+GROUP = 50_000
+#: Patterns' slots up to which they are broadcast (some 40 bytes each); beyond, they are joined by length.
+SLOTS = 200_000
 
 
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -74,10 +76,12 @@ def token_pieces(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to ``pieces(doc_id, row_key, start, length, ...)`` (stored, so that
-    ranks are stable). The driver sees the histogram only: at most ``capacity`` lengths times SALTS
-    counts, and the patterns made of it."""
+    ranks are stable). The driver sees the histogram only, ``capacity`` lengths at most and a count more
+    for each GROUP pieces, and the patterns made of it."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.hash("row_key", "start"), F.lit(SALTS)))
+    sizes = [(r["length"], 1 + r["n"] // GROUP) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
+    groups = spark.createDataFrame(sizes, "length long, __groups int")  # a row a length: ``capacity`` at most
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("__salt", F.pmod(F.xxhash64("row_key", "start"), F.col("__groups")).cast("int")).drop("__groups")
     counts = {(r["length"], r["__salt"]): r["n"] for r in salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()}
     histogram: dict[int, int] = {}
     starts = []
@@ -102,7 +106,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     w = Window.partitionBy("length", "__salt").orderBy("row_key", "doc_id", "start", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(w) - 1).join(F.broadcast(by_length), ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__first"))
-    placed = ranked.join(F.broadcast(slot_table), "length").withColumn("__slot", F.expr("filter(__slots, s -> s.lo <= __rank and __rank < s.hi)[0]"))
+    placed = ranked.join(F.broadcast(slot_table) if len(slots) <= SLOTS else slot_table, "length").withColumn("__slot", F.expr("filter(__slots, s -> s.lo <= __rank and __rank < s.hi)[0]"))
     return placed.select(*pieces.columns, (F.col("__slot.base") + F.col("__rank") - F.col("__slot.lo")).alias("sequence_id"), F.col("__slot.at").alias("offset"))
 
 
