@@ -3,7 +3,13 @@
 The kernel of two words sums, over all common subsequences of three or four characters that span at
 most SPAN places, DECAY to the number of gaps on either side; it is normalised. So a word with
 inserted or missing characters still resembles the insult it hides. A sentence resembles a landmark
-as much as its closest word does, and a document is as toxic as its worst sentence.
+as much as its closest word does. A document is as toxic as its worst word, or, where no single one
+decides, as its three worst together: some insults are common words' stems that only
+their repetition gives away.
+
+The examples are labelled sentences: those of clean documents, and those of toxic documents that hold
+a word with a piece that tells toxic documents apart (``train``). A word stands for the sentences
+it is in, with a weight on either side.
 
 The machine is trained on the kernel's Nyström features for a bounded set of landmarks. Its decision
 is linear in subsequences that some landmark has, so it is evaluated exactly as a table of their
@@ -13,6 +19,7 @@ weights, without a kernel call a landmark.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -42,6 +49,11 @@ POSITIVE = 2.0
 REMEMBERED = 200_000
 #: Longer words are scored in overlapping parts.
 PART = 24
+#: Times up to which a document's uses of a piece are told apart, and a probability that decides alone.
+TIMES, SURE = 3, 0.9
+#: Characters of the pieces (starts and ends of words) that tell toxic documents apart.
+PIECES = (4, 5, 6, 7)
+SENTENCE = re.compile(r"[.!?\n]+")
 
 OFFSETS = [(*o,) for n in (2, 3) for o in combinations(range(1, SPAN), n)]
 WEIGHTS = np.array([DECAY ** (o[-1] - len(o)) for o in OFFSETS])
@@ -155,10 +167,11 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10
 
 
 class Machine:
-    """Weights of subsequences, an offset, and the logistic link of a document's worst margin."""
+    """Weights of subsequences, an offset, and the logistic links of a document's worst margins: of the
+    worst alone, and, where that isn't sure, of the TIMES worst."""
 
-    def __init__(self, numbers: np.ndarray, weights: np.ndarray, offset: float, link: tuple[float, float] = (2.0, 0.0)):
-        self.numbers, self.weights, self.offset, self.link = numbers, weights.astype(np.float32), offset, link
+    def __init__(self, numbers: np.ndarray, weights: np.ndarray, offset: float, links: tuple = ((2.0, 0.0), (2.0, 0.0))):
+        self.numbers, self.weights, self.offset, self.links = numbers, weights.astype(np.float32), offset, links
 
     def table(self) -> np.ndarray:
         out = np.zeros(CLASSES**4 + CLASSES**3, dtype=np.float32)
@@ -182,13 +195,23 @@ class Machine:
         first = np.cumsum([0] + [len(p) for p in parts[:-1]])
         return np.maximum.reduceat(value, first)
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        a, b = self.link
-        return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        """Of documents' worst margins, a row each."""
+        alone, all_of_them = (logistic(margins[:, : len(link) - 1], link) for link in self.links)
+        return np.where(alone >= SURE, alone, all_of_them)
+
+    @staticmethod
+    def constant(toxic: bool) -> Machine:
+        least = 30.0 if toxic else -30.0
+        return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, ((0.0, least), (0.0,) * TIMES + (least,)))
+
+
+def logistic(x: np.ndarray, link: tuple) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(link[:-1]) + link[-1], -30, 30)))
 
 
 def worst_margins(texts: list[str], machine: Machine, table: np.ndarray, memory: dict) -> np.ndarray:
-    """The largest margin of any word of each text; -4 for a text without words."""
+    """The TIMES largest margins of words of each text, largest first; -4 where there is no word."""
     if not memory or len(memory["number"]) > REMEMBERED:
         memory.update(number=Numbered(), margin=np.zeros(0, dtype=np.float32), single=np.zeros(0, dtype=bool))
     number = memory["number"]
@@ -198,17 +221,19 @@ def worst_margins(texts: list[str], machine: Machine, table: np.ndarray, memory:
     new = list(islice(number, had, None))
     memory["margin"] = np.concatenate([memory["margin"], machine.margins(new, table).astype(np.float32)])
     memory["single"] = np.concatenate([memory["single"], np.array([len(w) == 1 and w.isalpha() for w in new], dtype=bool)])
-    out = np.full(len(texts), -4.0)
+    out = np.full((len(texts), TIMES), -4.0)
     for k, (w, words) in enumerate(zip(which, split, strict=True)):
         if not len(w):
             continue
-        out[k] = max(-4.0, float(memory["margin"][w].max()))
+        margins = memory["margin"][w]
         single = memory["single"][w]
         if single.any():  # letters set apart by white space
             a, b = common.runs_of(single)
             spelled = ["".join(words[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if j - i >= 4]
-            if spelled:
-                out[k] = max(out[k], float(machine.margins(spelled, table).max()))
+            margins = np.concatenate([margins, machine.margins(spelled, table)])
+        if len(margins) > TIMES:
+            margins = np.partition(margins, len(margins) - TIMES)[-TIMES:]
+        out[k, : len(margins)] = np.maximum(np.sort(margins)[::-1], -4.0)
     return out
 
 
@@ -224,21 +249,24 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
     """A machine from labelled documents for which ``allowed`` (of doc_id) holds.
 
     Sentences of clean documents are clean. A sentence of a toxic document is toxic if it has a word
-    with a piece that significantly often stands in toxic documents only; that word is the example.
+    with a piece that significantly often stands in toxic documents only, or stands there several times.
     """
     rows = common.durable(_training_rows(docs, labels, "toxic", allowed, TRAIN_DOCUMENTS))
     n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or not toxic or toxic == n:
-        constant = 0.0 if not n or not toxic else 1.0
-        return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, (0.0, 30.0 if constant else -30.0))
+        return Machine.constant(bool(n and toxic))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: words by sentence; kinds 1 to TIMES: pieces that so many of a document's words have."""
         for part in common.chunks(batches):
             out: list[tuple[str, int, int]] = []
             for text, y in zip(common.texts_of(part), part.column("y").to_pylist(), strict=True):
-                words = {EDGES.sub("", w)[:PART] for w in text.lower().split()}
-                out += [(w, 1, y) for w in words if w]
-                out += [(p, 0, y) for p in {p for w in words for k in (4, 5, 6) if len(w) >= k for p in ("^" + w[:k], w[-k:])}]
+                held: Counter[str] = Counter()
+                for sentence in SENTENCE.split(text.lower()):
+                    words = [u for w in sentence.split() for u in units(w) if u]
+                    out += [(w, 0, y) for w in set(words)]
+                    held.update(p for w in words for k in PIECES if len(w) >= k for p in ("^" + w[:k], w[-k:]))
+                out += [(p, k, y) for p, times in held.items() for k in range(1, min(times, TIMES) + 1)]
             if out:
                 w, kind, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(kind, pa.int32()), pa.array(y, pa.int64())], names=["w", "kind", "y"])
@@ -246,24 +274,27 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
     counts = rows.mapInArrow(pieces, "w string, kind int, y long").groupBy("kind", "w").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
     counts = common.durable(counts)
     least = max(3, int(np.ceil(np.log(5e7) / -np.log(toxic / n))))
-    marks = [r["w"] for r in counts.where((F.col("kind") == 0) & (F.col("toxic") >= least) & (F.col("toxic") >= 0.98 * F.col("all"))).orderBy(F.desc("toxic"), "w").limit(TRAIN_WORDS).collect()]
+    marks = [r["w"] for r in counts.where((F.col("kind") > 0) & (F.col("toxic") >= least) & (F.col("toxic") >= 0.98 * F.col("all"))).groupBy("w").agg(F.max("toxic").alias("toxic")).orderBy(F.desc("toxic"), "w").limit(TRAIN_WORDS).collect()]
     if not marks:  # too few examples for significance
-        marks = [r["w"] for r in counts.where((F.col("kind") == 0) & (F.col("toxic") == F.col("all"))).orderBy(F.desc("toxic"), "w").limit(20).collect()]
+        marks = [r["w"] for r in counts.where((F.col("kind") == 1) & (F.col("toxic") == F.col("all"))).orderBy(F.desc("toxic"), "w").limit(20).collect()]
     marked = set(marks)
 
     def has_mark(w: str) -> bool:
-        return any("^" + w[:k] in marked or w[-k:] in marked for k in (4, 5, 6) if len(w) >= k)
+        return any("^" + w[:k] in marked or w[-k:] in marked for k in PIECES if len(w) >= k)
 
-    words = counts.where("kind = 1")
-    both = words.where("toxic > 0").orderBy(F.desc(F.col("toxic") / F.col("all") * F.least(F.col("toxic"), F.lit(50))), "w").limit(8 * TRAIN_WORDS).collect()
-    good = [(r["w"], r["toxic"]) for r in both if r["toxic"] == r["all"] and has_mark(r["w"])][:TRAIN_WORDS]
+    words = counts.where("kind = 0")
+    both = words.where("2 * toxic > all").orderBy(F.desc(F.col("toxic") / F.col("all") * F.least(F.col("toxic"), F.lit(50))), "w").limit(8 * TRAIN_WORDS).collect()
+    good = [(r["w"], r["toxic"], r["all"] - r["toxic"]) for r in both if has_mark(r["w"])][:TRAIN_WORDS]
+    known = {w for w, _, _ in good}
     clean = [r["w"] for r in words.where("all > toxic").orderBy(F.desc("all"), "w").limit(TRAIN_WORDS // 2).collect()]
     clean += [r["w"] for r in words.where("all > toxic").orderBy(F.xxhash64("w"), "w").limit(TRAIN_WORDS).collect()]
+    clean = [w for w in clean if w not in known]
     if not good:
-        return Machine(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, (0.0, -30.0))
+        return Machine.constant(False)
+    doubtful = [(w, k) for w, _, k in good if k]  # stand in clean sentences too
     rng = np.random.default_rng(7)
-    bad_words = [w for w, _ in good]
-    stems = list(dict.fromkeys([*[w for w, _ in good[:40]], *[m.strip("^") for m in marks if m.startswith("^")]]))[: LANDMARKS // 3]
+    bad_words = [w for w, _, _ in good]
+    stems = list(dict.fromkeys([*bad_words[:40], *[m.strip("^") for m in marks if m.startswith("^")]]))[: LANDMARKS // 3]
     machine = None
     extra: list[str] = []
     for last in (False, False, True):
@@ -272,9 +303,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
         other = rng.choice(clean, min(LANDMARKS - len(stems) - len(near), len(clean)), replace=False).tolist()
         kernel = Kernel(list(dict.fromkeys([*stems, *near, *other])))
         negatives = list(dict.fromkeys(clean + extra))
-        x = kernel.features(bad_words + negatives)
-        y = np.concatenate([np.ones(len(bad_words)), -np.ones(len(negatives))])
-        w, offset = train_svm(x, y, np.concatenate([POSITIVE * np.log2([1 + n for _, n in good]), np.ones(len(negatives))]))
+        x = kernel.features(bad_words + [w for w, _ in doubtful] + negatives)
+        y = np.concatenate([np.ones(len(bad_words)), -np.ones(len(doubtful) + len(negatives))])
+        weight = [POSITIVE * np.log2([1 + n for _, n, _ in good]), POSITIVE * np.log2([1 + n for _, n in doubtful]), np.ones(len(negatives))]
+        w, offset = train_svm(x, y, np.concatenate(weight))
         machine = Machine(kernel.numbers, kernel.weights(w), offset)
         del kernel, x
         common.give_back()
@@ -288,35 +320,37 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
                 yield pd.DataFrame({"w": part["w"], "m": shared.value.margins(part["w"].to_list(), table)})
 
         nearest = words.where("all > toxic").select("w").mapInPandas(closest, "w string, m double").orderBy(F.desc("m"), "w").limit(TRAIN_WORDS // 3).collect()
-        extra = list(dict.fromkeys([*[r["w"] for r in nearest], *extra]))
-    # the link: worst margins of the training documents against their labels
+        extra = list(dict.fromkeys([*[r["w"] for r in nearest if r["w"] not in known], *extra]))
+    # the links: worst margins of the training documents against their labels
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    seen = rows.mapInArrow(lambda it: _margins(it, shared, ["y"]), "y int, margin double").toPandas()
+    seen = rows.mapInArrow(lambda it: _margins(it, shared, ["y"]), "y int, margins array<double>").toPandas()
     common.discard(counts)
     common.discard(rows)
-    machine.link = fit_link(seen["margin"].to_numpy(), seen["y"].to_numpy())
+    margins, y = np.stack(seen["margins"].to_list()), seen["y"].to_numpy()
+    alone = fit_link(margins[:, :1], y)
+    unsure = logistic(margins[:, :1], alone) < SURE
+    machine.links = (alone, fit_link(margins[unsure], y[unsure]))
     return machine
 
 
-def fit_link(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the margin, with a weak prior on the slope."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - y) * margin).sum() + 0.02 * a, (p - y).sum() + 0.001 * b])
-        s = p * (1 - p) + 1e-6
-        h = np.array([[(s * margin**2).sum() + 0.02, (s * margin).sum()], [(s * margin).sum(), s.sum() + 0.001]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - step[0], b - step[1]
-    return float(a), float(b)
+def fit_link(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression of the label on margins, with a weak prior on the slopes."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    prior = np.array([0.02] * x.shape[1] + [0.001])
+    w = np.array([1.0 / x.shape[1]] * x.shape[1] + [0.0])
+    for _ in range(60):
+        p = logistic(x, tuple(w))
+        h = (z.T * (p * (1 - p) + 1e-6)) @ z + np.diag(prior)
+        w = w - np.clip(np.linalg.solve(h, z.T @ (p - y) + prior * w), -2, 2)
+    return tuple(w.tolist())
 
 
 def _margins(batches: Iterator[pa.RecordBatch], shared, carried: list[str]) -> Iterator[pa.RecordBatch]:
     machine = shared.value
     table, memory = machine.table(), {}
     for part in common.chunks(batches):
-        margin = worst_margins(common.texts_of(part), machine, table, memory)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(margin)], names=[*carried, "margin"])
+        margins = worst_margins(common.texts_of(part), machine, table, memory)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(margins.tolist(), pa.list_(pa.float64()))], names=[*carried, "margins"])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -333,8 +367,8 @@ def with_score(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, memory = shared.value.table(), {}
         for part in common.chunks(batches):
-            margin = worst_margins([x or "" for x in part.column(at).to_pylist()], shared.value, table, memory)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.probability(margin))], names=[*part.schema.names, name])
+            margins = worst_margins([x or "" for x in part.column(at).to_pylist()], shared.value, table, memory)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.probability(margins))], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 

@@ -1,5 +1,7 @@
 import base64
+import os
 import random
+import sys
 
 import numpy as np
 import public_tokenizers as P
@@ -8,9 +10,12 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm, word_cutter
-from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, splitter
-from hazardgrid.llm.word_tokens import word_encoder
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+
+from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm, word_cutter  # noqa: E402
+from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, splitter  # noqa: E402
+from hazardgrid.llm.word_tokens import word_encoder  # noqa: E402
 
 PIECES = list(" \n\t'strevmldxA19!") + ["é", "中", "　", " ", " ", "²", "́", " ", "'", "\x01", "\x00", "\x1c", "\x85", "😀", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "É", "ß", "İ", "€", "á", "½", "×"]
 
@@ -83,14 +88,8 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert {g.doc_id: g.n_tokens for g in bpe_roundtrip(docs.where("doc_id < 5"), lines, P.PATTERN).collect()} == {d: len(i) for d, i, _ in want if d is not None and d < 5}
 
 
-def thue_morse(n, a, b):
-    """A word and its complement have equal polynomial hashes modulo 2**64."""
-    bits = [bin(i).count("1") & 1 for i in range(n)]
-    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
-
-
 def test_words_of_equal_hashes_stay_apart(spark):
-    one, two = thue_morse(2048, "a", "b")
+    one, two = brute.thue_morse(2048, "a", "b")
     words, which, counts = splitter(P.PATTERN)([one, two, one + " x"])
     assert [words[k] for k in which] == [one, two, one, " x"] and counts.tolist() == [1, 1, 2]
     texts = [one, two]
@@ -236,6 +235,35 @@ def test_machine_equals_its_kernel():
     assert machine.margins(["idxiot"], table)[0] > machine.margins(["liket"], table)[0]
 
 
+def test_kernel_equals_plain_subsequences():
+    marks = ["idiot", "moron", "abcdab"]
+    kernel = toxicity_svm.Kernel(marks)
+    some = ["idixot", "moon", "mo-ron", "aabbccdd", "no"]
+    got = kernel.values(some) * toxicity_svm.norms(some)[:, None] * toxicity_svm.norms(marks)
+    for i, a in enumerate(some):
+        for j, b in enumerate(marks):
+            plain = brute.subsequence_kernel("^" + a, "^" + b, toxicity_svm.DECAY, toxicity_svm.SPAN)
+            assert abs(got[i, j] - plain) < 1e-4
+
+
+def test_repeated_stems_are_toxic_together(spark):
+    """A stem that clean documents use once and toxic ones several times."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        bad = r.random() < 0.25
+        stems = ["gruv" + words(r, 1) for _ in range(4 if bad else r.random() < 0.15)]
+        text = (words(r, 40) + " " + " ".join(stems)).split()
+        r.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = toxicity_svm.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic = [t.predicted for t in seen if t.toxic]
+    clean = [t.predicted for t in seen if not t.toxic]
+    assert sum(toxic) > 0.85 * len(toxic) and sum(clean) < 0.05 * len(clean)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(none, read("byte_bpe_50k.json").decode()).count() == 0
