@@ -101,6 +101,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "busiest_points": _busiest_points,
     "class_rank": lambda t: X.class_rank(t.crossings()),
     "strata": R.baseline,
+    "ride_strata": R.ride_baseline,
     "band_median": lambda t: _rounded(M.band_median(R.baseline(t)), 6, "med"),
     "shrunk_risk": lambda t: R.scored(t).select("lid", "band", "shrunk"),
     "percentile_score": lambda t: R.scored(t).select("lid", "score"),

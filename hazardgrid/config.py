@@ -31,6 +31,7 @@ class Config:
     strata: int = 8
     walk_shrinkage_km: float = 1.0
     ride_shrinkage_km: float = 0.5
+    ride_sample_m: float = 500.0
     minimum_walk_km: float = 0.8
     points_per_crossing: int = 400
     fallback_below: int = 8

@@ -57,6 +57,14 @@ CTE = {
         where km >= 0.8)""",
     "cuts": "cuts as (select unnest(quantile_cont(km, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) as e from base0)",
     "base": "base as (select bid, km, risk, cast((select count(*) from cuts where base0.km >= e) as int) as band from base0)",
+    "rpts": "rpts as (select bid, pos, px + pos * 20.0 as px, py from basepts, (select unnest(range(26)) as pos))",
+    "rbase0": f"""rbase0 as (select bid, dens as km, round_even(coalesce(wsum, 0.0) / 0.5, 6) as risk from
+        (select bid, round_even(avg(coalesce(km, 0.0)), 9) as dens from (select bid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from
+            (select r.bid, r.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from rpts where pos % 10 = 0) r left join seg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by bid, pos) group by bid)
+        left join (select bid, sum(sev) as wsum from (select distinct bid, aid, sev from rpts join acc on x between px - 40 and px + 40 and y between py - 40 and py + 40 and (px - x) * (px - x) + (py - y) * (py - y) <= 1600) group by bid) using (bid))""",
+    "rcuts": "rcuts as (select unnest(quantile_cont(km, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) as e from rbase0)",
+    "rbase": "rbase as (select bid, km, risk, cast((select count(*) from rcuts where rbase0.km >= e) as int) as band from rbase0)",
+    "rinfo": "rinfo as (select band, quantile_cont(risk, 0.5) as med, count(*) as samples, min(km) as lo, max(km) as hi from rbase group by band)",
     "bandinfo": "bandinfo as (select band, quantile_cont(risk, 0.5) as med, count(*) as samples, min(km) as lo, max(km) as hi from base group by band)",
     "banded": "banded as (select lid, n, wsum, round_even(km, 9) as km, cast((select count(*) from bandinfo where band > 0 and round_even(loc_m.km, 9) >= lo) as int) as band from loc_m)",
     "shr": "shr as (select lid, n, wsum, km, banded.band, case when km = 0 then null else wsum / km end as risk, round_even((wsum + 1.0 * coalesce(med, 0.0)) / (km + 1.0), 6) as shrunk from banded left join bandinfo using (band))",
@@ -98,6 +106,7 @@ def q(names: str, body: str) -> str:
 
 _FACTORS = {"accidents": "score", "crossings": "90 - hot * 14", "large": "82 - large_n / greatest(n, 1) * 230", "night": "84 - night0 * 70", "pedestrian": "88 - ped / greatest(n, 1) * 260"}
 _BASE = "acc seg basepts base0 cuts base bandinfo "
+_RIDE = "acc seg basepts rpts rbase0 rcuts rbase rinfo "
 _LOC = "loc hits loc_m banded shr score "
 
 
@@ -118,11 +127,11 @@ def _route() -> str:
         round_even(km, 1) as km, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(risk, 2) as risk, round_even(dens, 1) as corridor_km, band + 1 as band, hi, total, n_shown, round_even(hi / greatest(km, 0.5) * 10, 0) / 10 as hi_per_km,
         {_star("score + (0.42::double - peak) * 80")} as star_motorcycle, {_star("score + 12 - least(16.0::double, hi / greatest(km, 0.5) * 14)")} as star_car, {_star("score + (0.32::double - night) * 165")} as star_night, {_star("score + 10 - least(30.0::double, hi / greatest(km, 0.5) * 28)")} as star_novice, {_star("score + (case when fat = 0 then 8 else -20 end)")} as star_passenger
         from (select s.*, coalesce(hi, 0) as hi, coalesce(total, 0) as total, coalesce(n_shown, 0) as n_shown, case when coalesce(hn, 0) < 8 then gn else night1 end as night, case when coalesce(hn, 0) < 8 then gp else peak1 end as peak,
-            cast(round_even(100.0 * (select count(*) from base where base.band = s.band and base.risk > s.shrunk) / (select count(*) from base where base.band = s.band), 0) as int) as score
+            cast(round_even(100.0 * (select count(*) from rbase where rbase.band = s.band and rbase.risk > s.shrunk) / (select count(*) from rbase where rbase.band = s.band), 0) as int) as score
             from (select rid, round_even(km, 6) as km, n, fat, inj, round_even(wsum / km, 6) as risk, dens, b.band, round_even((wsum + 0.5 * coalesce(med, 0.0)) / (round_even(km, 6) + 0.5), 6) as shrunk
-                from (select racc.*, dens, cast((select count(*) from bandinfo where band > 0 and dens >= lo) as int) as band from racc join
+                from (select racc.*, dens, cast((select count(*) from rinfo where band > 0 and dens >= lo) as int) as band from racc join
                     (select rid, round_even(avg(coalesce(km, 0.0)), 6) as dens from (select rid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from (select p.rid, p.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from samples join (select rid, max(pos) as last from samples group by rid) using (rid) where last < 10 or pos % 10 = 0) p left join seg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by rid, pos) group by rid) using (rid)) b
-                left join bandinfo on bandinfo.band = b.band) s
+                left join rinfo on rinfo.band = b.band) s
             left join (select rid, count(*) filter (cnt >= 15) as hi, count(*) as total, count(*) filter (rn <= shown_n) as n_shown from rx group by rid) using (rid)
             left join (select rid, count(*) as hn, avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as night1, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as peak1 from rhits group by rid) using (rid), everywhere)"""
 
@@ -172,9 +181,10 @@ def oracle_sql() -> dict[str, str]:
         "path_samples": q("lines segs samples", "select rid, pos, round_even(px, 6) as px, round_even(py, 6) as py from samples"),
         "route_accidents": q("acc lines segs samples lens rhits racc", "select rid, round_even(km, 6) as km, n, wsum, cast(fat as bigint) as fat, cast(inj as bigint) as inj, round_even(wsum / km, 6) as risk from racc"),
         "route_crossings": q("xing lines segs samples lens rx", "select rid, xid, name, cls, cnt, first, cast(rn as int) as rn, rn <= shown_n as shown, cnt >= 15 as high from rx"),
-        "route_best": q("roads " + _BASE + "xing everywhere lines segs samples lens rhits racc rx", "select trip, rid, label, score, km from (" + _route() + ") where recommended"),
+        "route_best": q("roads " + _RIDE + "xing everywhere lines segs samples lens rhits racc rx", "select trip, rid, label, score, km from (" + _route() + ") where recommended"),
         "route_minutes": q("lines segs lens", "select rid, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(km, 1) as km from lens"),
-        "route_report": q("roads " + _BASE + "xing everywhere lines segs samples lens rhits racc rx", _route()),
+        "ride_strata": q("roads " + _RIDE, "select bid, km, risk, band from rbase"),
+        "route_report": q("roads " + _RIDE + "xing everywhere lines segs samples lens rhits racc rx", _route()),
         "name_normalise": q("places asked", f"select cast(qid as bigint) as id, {norm('q')} as name from asked union all select pid, {norm('name')} from places"),
         "name_search": q("places asked", f"select cast(qid as bigint) as qid, pid, name, matched, cast(rn as int) as rn from (select qid, pid, name, matched, row_number() over (partition by qid order by matched desc, name, pid) as rn {_SEARCH}) where rn <= 8"),
         "name_search_near": q("places asked", f"select cast(qid as bigint) as qid, pid, name, matched, cast(rn as int) as rn from (select qid, pid, name, matched, row_number() over (partition by qid order by matched desc, (x - qx) * (x - qx) + (y - qy) * (y - qy), name, pid) as rn {_SEARCH} join asked using (qid)) where rn <= 8"),

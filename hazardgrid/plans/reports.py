@@ -44,6 +44,22 @@ def baseline(t: sur.Tables) -> DataFrame:
     return M.strata(m, DEFAULT.strata, DEFAULT.minimum_walk_km)
 
 
+def ride_baseline(t: sur.Tables) -> DataFrame:
+    """(bid, km, risk, band) of the baseline's rides: straight east from each sample point, measured as
+    routes are, by plain severity within the buffer a km and the density of roads at every tenth
+    sample. Walk samples are ratios of kernel sums, another unit, and no measure for a route."""
+    steps = int(DEFAULT.ride_sample_m / DEFAULT.sample_step)
+    pts = t.baseline_points().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("px", F.col("px") + F.col("pos") * DEFAULT.sample_step)
+    met = spatial.radius_join(pts, t.accidents(), DEFAULT.route_buffer).select("bid", "aid", "sev").dropDuplicates(["bid", "aid"])
+    probe = pts.where(F.col("pos") % 10 == 0).withColumn("sid", F.col("bid") * 1000 + F.col("pos")).select("bid", "sid", "px", "py")
+    near = M.network_km(spatial.radius_join(probe, t.segments(), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
+    # means of three sums of whole metres: nine places have no ties
+    dens = probe.select("bid", "sid").join(near, "sid", "left").groupBy("bid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 9).alias("km"))
+    risk = F.bround(F.coalesce("wsum", F.lit(0.0)) / (DEFAULT.ride_sample_m / 1000), 6).alias("risk")
+    rides = dens.join(met.groupBy("bid").agg(F.sum("sev").alias("wsum")), "bid", "left").select("bid", "km", risk)
+    return M.strata(rides, DEFAULT.strata, 0.0)
+
+
 def scored(t: sur.Tables, more: tuple[Column, ...] = ()) -> DataFrame:
     """(lid, n, wsum, km, band, risk, shrunk, score, ...) of every location."""
     base = baseline(t)
@@ -142,8 +158,8 @@ def route_report(t: sur.Tables) -> DataFrame:
     """Score, counts, stars and the recommended candidate of each pair of routes, one flat row each.
 
     The evidence shrinks by the route's length, but the stratum follows the density of roads along it,
-    the mean over every tenth sample."""
-    base = baseline(t)
+    the mean over every tenth sample, among the baseline's rides."""
+    base = ride_baseline(t)
     edges = M.band_edges(base, DEFAULT.strata)
     pts = samples(t)
     last = pts.groupBy("rid").agg(F.max("pos").alias("last"))
