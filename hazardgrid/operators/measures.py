@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import scalar as S
 
+#: Ranges of a stratum's values that are counted apart.
+RANGES = 32
+
 
 def casualty_columns(pedestrian: str) -> list[Column]:
     """n, fat, inj, ped_fat of a group of hits."""
@@ -114,13 +117,25 @@ def shrunk_risk(measured: DataFrame, medians: DataFrame, shrink_km: float) -> Da
 def percentile_score(values: DataFrame, key: str, banded: DataFrame) -> DataFrame:
     """(key, score): percent of the stratum's samples that are more dangerous than ``shrunk``.
 
-    The stratum's samples become a sorted histogram of distinct values with running counts; a value
-    finds its place by a range lookup within the band, so pairs of values and samples never form.
+    Samples and asked values become a histogram of distinct values, cut into RANGES ranges a stratum at
+    its approximate percentiles. Counts run inside a range, and the ranges' totals, a few hundred
+    rows, say how many lie below it; so no task holds a stratum, and pairs never form.
     """
-    samples = banded.select("band", F.col("risk").alias("v"), F.lit(1).alias("sample"), F.lit(None).cast(values.schema[key].dataType).alias(key))
-    asked = values.select("band", F.col("shrunk").alias("v"), F.lit(0).alias("sample"), key)
-    total = banded.groupBy("band").agg(F.count("*").alias("all"))
-    # samples equal to the value are not more dangerous: they sort before it
-    w = Window.partitionBy("band").orderBy(F.col("v"), F.col("sample").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = samples.unionByName(asked).withColumn("below", F.sum("sample").over(w)).where("sample = 0")
-    return ranked.join(F.broadcast(total), "band", "left").select(key, F.bround(100.0 * (F.col("all") - F.col("below")) / F.col("all")).cast("int").alias("score"))
+    one = banded.select("band", F.col("risk").alias("v")).where("v is not null").groupBy("band", "v").agg(F.count("*").alias("n"))
+    cuts = one.groupBy("band").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)]).alias("e")).collect()
+    # collected, as all uses below must cut alike: RANGES numbers a stratum
+    part = F.lit(0)
+    for r in cuts:
+        edges = F.array(*[F.lit(e) for e in sorted(set(r["e"]))])
+        part = F.when(F.col("band") == r["band"], F.size(F.filter(edges, lambda e: e <= F.col("v")))).otherwise(part)
+    totals = one.withColumn("part", part).groupBy("band", "part").agg(F.sum("n").alias("own"))
+    spine = totals.select("band").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES))))
+    totals = spine.join(totals, ["band", "part"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    before = totals.withColumn("before", F.sum("own").over(Window.partitionBy("band").orderBy("part")) - F.col("own")).withColumn("all", F.sum("own").over(Window.partitionBy("band")))
+    asked = values.select("band", F.col("shrunk").alias("v")).where("v is not null").distinct().withColumn("n", F.lit(0).cast("long"))
+    dealt = one.unionByName(asked).groupBy("band", "v").agg(F.sum("n").alias("n")).withColumn("part", part)
+    run = Window.partitionBy("band", "part").orderBy("v")
+    placed = dealt.withColumn("below", F.sum("n").over(run)).join(F.broadcast(before.drop("own")), ["band", "part"])
+    placed = placed.select("band", F.col("v").alias("shrunk"), (F.col("all") - F.col("before") - F.col("below")).alias("above"), "all")
+    score = F.bround(100.0 * F.col("above") / F.nullif(F.col("all"), F.lit(0))).cast("int")
+    return values.select(key, "band", "shrunk").join(placed, ["band", "shrunk"], "left").select(key, score.alias("score"))
