@@ -99,6 +99,8 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "crossing_points": lambda t: X.points(t.accidents(), DEFAULT.points_per_crossing),
     "busiest_crossing": lambda t: X.busiest(_near(t, 300.0), "lid"),
     "busiest_points": _busiest_points,
+    "crossing_records": lambda t: X.records(X.nearby(_near(t), "lid"), "lid", t.crossings()),
+    "accident_crossing": lambda t: _rounded(X.assign(t.accidents(), t.crossings(), DEFAULT.assign_max), 6, "dist"),
     "class_rank": lambda t: X.class_rank(t.crossings()),
     "strata": R.baseline,
     "ride_strata": R.ride_baseline,
@@ -110,12 +112,15 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "snap_nearest": lambda t: _rounded(spatial.nearest(t.locations(), "lid", t.nodes(), "node", DEFAULT.snap_max), 6, "dist"),
     "route_error": R.route_errors,
     "shortest_distance": lambda t: R.shortest(t).select("qid", "found", F.bround("length_m", 3).alias("length_m")),
-    "path_samples": lambda t: _rounded(R.samples(t), 6, "px", "py"),
-    "route_accidents": R.route_accidents,
-    "route_crossings": R.route_crossings,
+    "path_samples": lambda t: _rounded(R.samples(R.given_routes(t)), 6, "px", "py"),
+    "route_accidents": lambda t: R.route_accidents(t, R.given_routes(t)),
+    "route_crossings": lambda t: R.route_crossings(t, R.given_routes(t)),
     "route_best": lambda t: R.route_report(t).where("recommended").select("trip", "rid", "label", "score", "km"),
-    "route_minutes": lambda t: R.route_lengths(t).select("rid", S.minutes(F.col("km"), DEFAULT.ride_kmh).alias("min"), F.bround("km", 1).alias("km")),
+    "route_minutes": lambda t: R.given_routes(t).lengths.select("rid", S.minutes(F.col("km"), DEFAULT.ride_kmh).alias("min"), F.bround("km", 1).alias("km")),
     "route_report": R.route_report,
+    "analyze_route": R.analyze_route,
+    "route_trend": R.route_trend,
+    "route_path": R.route_path,
     "name_normalise": _names,
     "name_search": lambda t: places.search(t.places(), t.place_queries(), 8),
     "name_search_near": lambda t: places.search(t.places(), t.place_queries(), 8, near=True),
@@ -124,9 +129,9 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "inside_boundary": lambda t: spatial.inside(t.locations(), "lid", sur.BOUNDARY),
     "name_hash": lambda t: t.read("supplier").select("s_suppkey", S.text_hash(F.col("s_name")).alias("h")),
     "worst_factors": _worst,
-    # no SQL form: nested documents and the paths themselves
-    "walk_documents": R.walk_documents,
     "path_documents": R.path_documents,
+    # no SQL form: nested documents
+    "walk_documents": R.walk_documents,
 }
 
 

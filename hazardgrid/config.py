@@ -36,6 +36,10 @@ class Config:
     points_per_crossing: int = 400
     fallback_below: int = 8
     jitter: float = 25.0
+    # ours: the origin of the plane, and how far an accident may lie from its crossing
+    origin: tuple[float, float] = (25.0, 121.0)
+    assign_max: float = 100.0
+    no_rides: tuple[str, ...] = ("motorway", "elevated")
 
 
 DEFAULT = Config()

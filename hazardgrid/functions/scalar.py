@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from ..config import NIGHT_HOURS, PEAK_HOURS
 
 # Variant characters and what they stand for.
-NAME_FROM = "臺０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ　"
-NAME_TO = "台0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ "
-DIGITS_FROM, DIGITS_TO = "一二三四五六七八九", "123456789"
+NAME_FROM = "臺０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ　"
+NAME_TO = "台0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz "
+DIGITS_FROM, DIGITS_TO = "零〇一二三四五六七八九", "00123456789"
+
+#: Tens and hundreds between digits, in this order: (pattern, pieces).
+#: A piece is the number of a group or text.
+NUMERALS = (
+    ("([1-9])十([1-9])", (1, 2)), ("([1-9])十", (1, "0")), ("十([1-9])", ("1", 1)), ("十", ("10",)),
+    ("([1-9])百([1-9][0-9])", (1, 2)), ("([1-9])百0?([1-9])", (1, "0", 2)), ("([1-9])百", (1, "00")),
+)
 
 
 def kernel_squared(d2: Column, radius: float) -> Column:
@@ -102,8 +109,11 @@ def route_label(index: Column) -> Column:
 
 
 def normalise_name(name: Column) -> Column:
-    """Variant characters, full width, Chinese digits, case and outer blanks."""
-    return F.lower(F.trim(F.translate(F.translate(name, NAME_FROM, NAME_TO), DIGITS_FROM, DIGITS_TO)))
+    """Variant characters, full width, Chinese numerals below a thousand, case and outer blanks."""
+    out = F.translate(F.translate(name, NAME_FROM, NAME_TO), DIGITS_FROM, DIGITS_TO)
+    for pattern, pieces in NUMERALS:
+        out = F.regexp_replace(out, pattern, "".join(f"${p}" if isinstance(p, int) else p for p in pieces))
+    return F.lower(F.trim(out))
 
 
 def trigrams(text: Column) -> Column:

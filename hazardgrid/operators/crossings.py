@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalar as S
+from . import spatial
 
 
 def nearby(hits: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
@@ -40,6 +41,21 @@ def busiest(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(F.max_by("xid", F.struct("cnt", (-F.col("xid")).alias("neg"))).alias("xid"), F.max("cnt").alias("cnt"))
 
 
+def assign(accidents: DataFrame, crossings: DataFrame, reach: float) -> DataFrame:
+    """(aid, xid, dist): the nearest crossing of each accident within ``reach``, of equals the smaller id;
+    nulls if there is none. The fewer crossings are the probe; accidents are not repeated."""
+    probe = crossings.select("xid", F.col("x").alias("px"), F.col("y").alias("py"))
+    hits = spatial.radius_join(probe, accidents.select("aid", "x", "y"), reach)
+    best = hits.groupBy("aid").agg(F.min(F.struct("d2", "xid")).alias("b"))
+    return accidents.select("aid").join(best, "aid", "left").select("aid", "b.xid", F.sqrt("b.d2").alias("dist"))
+
+
+def records(near: DataFrame, key: str, crossings: DataFrame) -> DataFrame:
+    """``nearby`` with the rank within the class and a text."""
+    text = F.format_string("%d accidents, distance %d m, %s", "cnt", "dist", "cls")
+    return near.join(class_rank(crossings).select("xid", "rank"), "xid").select(key, "xid", "rn", "name", "cls", "cnt", "dist", "hot", "rank", text.alias("detail"))
+
+
 def class_rank(crossings: DataFrame) -> DataFrame:
     """Percent rank of the count within the class, from counts of counts, so that a large class is not
     one task's sort."""

@@ -60,15 +60,19 @@ def sample_line(vertices: DataFrame, key: str, step: float) -> DataFrame:
 
 
 def inside(points: DataFrame, key: str, boundary: list[tuple[float, float]]) -> DataFrame:
-    """(key, inside) by ray casting over a polygon given as vertices. The polygon is part of the plan,
-    as an array, so no join is needed."""
+    """(key, inside) of ``points(px, py, ...)``, see is_inside."""
+    return points.select(key, is_inside(F.col("px"), F.col("py"), boundary).alias("inside"))
+
+
+def is_inside(px: Column, py: Column, boundary: list[tuple[float, float]]) -> Column:
+    """Ray casting over a polygon given as vertices. The polygon is part of the plan, as an array, so no
+    join is needed."""
     edges = list(zip(boundary, boundary[1:] + boundary[:1], strict=True))
     array = F.array(*[F.struct(F.lit(a[0]).alias("ax"), F.lit(a[1]).alias("ay"), F.lit(b[0]).alias("bx"), F.lit(b[1]).alias("by")) for a, b in edges])
-    px, py = F.col("px"), F.col("py")
 
     def crosses(e: Column) -> Column:
         spans = (e["ay"] > py) != (e["by"] > py)
         at = (e["bx"] - e["ax"]) * (py - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
         return F.when(spans, px < at).otherwise(F.lit(False))
 
-    return points.select(key, (F.size(F.filter(array, crosses)) % 2 == 1).alias("inside"))
+    return F.size(F.filter(array, crosses)) % 2 == 1

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from .config import DEFAULT, NIGHT_HOURS, PEAK_HOURS
-from .functions.scalar import DIGITS_FROM, DIGITS_TO, NAME_FROM, NAME_TO
+from .functions.scalar import DIGITS_FROM, DIGITS_TO, NAME_FROM, NAME_TO, NUMERALS
 from .plans.surrogate import BOUNDARY, LARGE, PEDESTRIAN
 
 NIGHT, PEAK = str(tuple(NIGHT_HOURS)), str(tuple(PEAK_HOURS))
@@ -29,6 +31,12 @@ def _tone(v: str) -> str:
     return f"(case when {v} < 60 then 'bad' when {v} < 75 then 'mid' else 'ok' end)"
 
 
+def _within(boundary: list[tuple[float, float]]) -> str:
+    edges = list(zip(boundary, boundary[1:] + boundary[:1], strict=True))
+    one = " + ".join(f"(case when ({a[1]} > py) <> ({b[1]} > py) and px < ({b[0]} - {a[0]}) * (py - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} then 1 else 0 end)" for a, b in edges)
+    return f"({one}) % 2 = 1"
+
+
 CONFIDENCE = "(case when n >= 30 then 'high' when n >= 12 then 'mid' else 'low' end)"
 
 CTE = {
@@ -40,12 +48,13 @@ CTE = {
     "xing": """xing as (select p_partkey as xid, cast(p_partkey * 3571 % 10007 as double) as x, cast(p_partkey * 6547 % 10009 as double) as y, p_name as name, p_type as cls,
         coalesce(cnt, 0) as cnt from part left join (select l_partkey, count(*) as cnt from lineitem group by 1) on l_partkey = p_partkey)""",
     "loc": "loc as (select s_suppkey as lid, cast(s_suppkey * 4871 % 10007 as double) as px, cast(s_suppkey * 6547 % 10009 as double) as py from supplier)",
-    "basepts": "basepts as (select c_custkey as bid, cast(c_custkey * 5417 % 10007 as double) as px, cast(c_custkey * 2221 % 10009 as double) as py from customer)",
+    "basepts": f"basepts as (select * from (select c_custkey as bid, cast(c_custkey * 5417 % 10007 as double) as px, cast(c_custkey * 2221 % 10009 as double) as py from customer) where {_within(BOUNDARY)})",
     "nodes": "nodes as (select range as node, range % 40 * 250.0 as x, range // 40 * 250.0 as y from range(1600))",
-    "roads": """roads as (select range as a, range + 1 as b, cast(200 + range * 7919 % 101 as double) as len_m, range % 5 <> 0 as both_ways from range(1600) where range % 40 < 39
-        union all select range, range + 40, cast(200 + range * 104729 % 103 as double), true from range(1600) where range // 40 < 39)""",
-    "edges": "edges as (select a as src, b as dst, len_m from roads union all select b, a, len_m from roads where both_ways)",
+    "roads": """roads as (select range as a, range + 1 as b, cast(200 + range * 7919 % 101 as double) as len_m, range % 5 <> 0 as both_ways, case when range % 23 = 7 then 'motorway' else 'street' end as kind from range(1600) where range % 40 < 39
+        union all select range, range + 40, cast(200 + range * 104729 % 103 as double), true, case when range % 29 = 3 then 'elevated' else 'street' end from range(1600) where range // 40 < 39)""",
+    "edges": "edges as (select a as src, b as dst, len_m from roads where kind = 'street' union all select b, a, len_m from roads where both_ways and kind = 'street')",
     "seg": "seg as (select len_m, (a % 40 * 250.0 + b % 40 * 250.0) / 2 as x, (a // 40 * 250.0 + b // 40 * 250.0) / 2 as y from roads)",
+    "rseg": "rseg as (select len_m, (a % 40 * 250.0 + b % 40 * 250.0) / 2 as x, (a // 40 * 250.0 + b // 40 * 250.0) / 2 as y from roads where kind = 'street')",
     "hits": "hits as (select lid, acc.*, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc join acc on (px - x) * (px - x) + (py - y) * (py - y) <= 250000)",
     "xhits": "xhits as (select lid, xing.*, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc join xing on (px - x) * (px - x) + (py - y) * (py - y) <= 250000)",
     "loc_m": f"""loc_m as (select lid, coalesce(n, 0) as n, coalesce(wsum, 0.0) as wsum, coalesce(km, 0.0) as km from loc
@@ -60,7 +69,7 @@ CTE = {
     "rpts": "rpts as (select bid, pos, px + pos * 20.0 as px, py from basepts, (select unnest(range(26)) as pos))",
     "rbase0": f"""rbase0 as (select bid, dens as km, round_even(coalesce(wsum, 0.0) / 0.5, 6) as risk from
         (select bid, round_even(avg(coalesce(km, 0.0)), 9) as dens from (select bid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from
-            (select r.bid, r.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from rpts where pos % 10 = 0) r left join seg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by bid, pos) group by bid)
+            (select r.bid, r.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from rpts where pos % 10 = 0) r left join rseg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by bid, pos) group by bid)
         left join (select bid, sum(sev) as wsum from (select distinct bid, aid, sev from rpts join acc on x between px - 40 and px + 40 and y between py - 40 and py + 40 and (px - x) * (px - x) + (py - y) * (py - y) <= 1600) group by bid) using (bid))""",
     "rcuts": "rcuts as (select unnest(quantile_cont(km, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) as e from rbase0)",
     "rbase": "rbase as (select bid, km, risk, cast((select count(*) from rcuts where rbase0.km >= e) as int) as band from rbase0)",
@@ -87,13 +96,26 @@ CTE = {
     "snap": """snap as (select qid, coalesce(a, -1) as a, coalesce(b, -1) as b from trips
         left join (select qid, arg_min(node, {'d': (fx - x) * (fx - x) + (fy - y) * (fy - y), 'n': node}) as a from trips, nodes where (fx - x) * (fx - x) + (fy - y) * (fy - y) <= 160000 group by qid) using (qid)
         left join (select qid, arg_min(node, {'d': (tx - x) * (tx - x) + (ty - y) * (ty - y), 'n': node}) as b from trips, nodes where (tx - x) * (tx - x) + (ty - y) * (ty - y) <= 160000 group by qid) using (qid))""",
+    "dist": """dist(s, v, d) using key (s, v) as (select distinct a, a, 0.0::double from snap where a >= 0 union select dist.s, dst, min(dist.d + len_m) from dist join edges on src = dist.v
+        left join recurring.dist known on known.s = dist.s and known.v = dst where known.d is null or dist.d + len_m < known.d group by dist.s, dst)""",
+    "got": "got as (select qid, a, b, d from snap join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b and d <= 30000)",
+    # of predecessors on a shortest path the nearest, then the smallest
+    "pred": "pred as (select m.s, m.v, arg_min(e.src, {'d': p.d, 'n': e.src}) as p from dist m join edges e on e.dst = m.v join dist p on p.s = m.s and p.v = e.src where p.d + e.len_m = m.d and m.v <> m.s group by m.s, m.v)",
+    "back": "back(qid, s, node, n) as (select qid, a, b, 0 from got union all select qid, back.s, pred.p, n + 1 from back join pred on pred.s = back.s and pred.v = back.node)",
+    "path": "path as (select qid, row_number() over (partition by qid order by n desc) - 1 as seq, back.node, cast(x as double) as x, cast(y as double) as y from back join nodes on nodes.node = back.node)",
+    "pathlines": "lines as (select qid as rid, seq, x, y from path)",
+    "pathlens": "lens as (select qid as rid, greatest(d / 1000.0, 0.1) as km from got)",
     "places": "places as (select p_partkey as pid, concat_ws(' ', p_name, p_brand) as name, cast(p_partkey * 3571 % 10007 as double) as x, cast(p_partkey * 6547 % 10009 as double) as y from part)",
-    "asked": "asked as (select * from (values (0, 'widget Brand#1', 100.0, 200.0), (1, 'small bolt', 5000.0, 5000.0), (2, 'ＢＯＬＴ　Brand#２３', 9000.0, 10.0), (3, 'gi', 1.0, 1.0), (4, '臺北', 0.0, 0.0)) v(qid, q, qx, qy))",
+    "asked": "asked as (select * from (values (0, 'widget Brand#1', 100.0, 200.0), (1, 'small bolt', 5000.0, 5000.0), (2, 'ＢＯＬＴ　Brand#２３', 9000.0, 10.0), (3, 'gi', 1.0, 1.0), (4, '臺北', 0.0, 0.0), (5, 'ｓｍａｌｌ 二十三號', 0.0, 0.0), (6, '一百零五巷 三百十二弄 十樓', 0.0, 0.0)) v(qid, q, qx, qy))",
 }
 
 
 def norm(text: str) -> str:
-    return f"lower(trim(translate(translate({text}, '{NAME_FROM}', '{NAME_TO}'), '{DIGITS_FROM}', '{DIGITS_TO}')))"
+    out = f"translate(translate({text}, '{NAME_FROM}', '{NAME_TO}'), '{DIGITS_FROM}', '{DIGITS_TO}')"
+    for pattern, pieces in NUMERALS:
+        new = "".join(f"\\{p}" if isinstance(p, int) else p for p in pieces)
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"lower(trim({out}))"
 
 
 def grams(text: str) -> str:
@@ -106,7 +128,9 @@ def q(names: str, body: str) -> str:
 
 _FACTORS = {"accidents": "score", "crossings": "90 - hot * 14", "large": "82 - large_n / greatest(n, 1) * 230", "night": "84 - night0 * 70", "pedestrian": "88 - ped / greatest(n, 1) * 260"}
 _BASE = "acc seg basepts base0 cuts base bandinfo "
-_RIDE = "acc seg basepts rpts rbase0 rcuts rbase rinfo "
+_RIDE = "acc rseg basepts rpts rbase0 rcuts rbase rinfo "
+_SEARCHED = "nodes roads edges trips snap dist got pred back path "
+_METRE = math.pi / 180 * 6371008.8
 _LOC = "loc hits loc_m banded shr score "
 
 
@@ -122,26 +146,23 @@ def _walk() -> str:
             left join (select lid, count(*) filter (round_even(sqrt(d2), 0) <= 300 and cnt >= 15) as hot from xhits group by lid) using (lid), everywhere)"""
 
 
-def _route() -> str:
-    return f"""select rid, rid // 2 as trip, case when rid % 2 = 0 then 'shortest' else 'alternative A' end as label, score, row_number() over (partition by rid // 2 order by score desc, round_even(km, 1), rid) = 1 as recommended, {CONFIDENCE} as confidence, n as accidents, cast(fat as bigint) as fat, cast(inj as bigint) as inj,
+_PAIRS = "rid, rid // 2 as trip, case when rid % 2 = 0 then 'shortest' else 'alternative A' end as label, row_number() over (partition by rid // 2 order by score desc, round_even(km, 1), rid) = 1 as recommended"
+
+
+def _route(head: str = _PAIRS) -> str:
+    return f"""select {head}, score, {CONFIDENCE} as confidence, n as accidents, cast(fat as bigint) as fat, cast(inj as bigint) as inj,
         round_even(km, 1) as km, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(risk, 2) as risk, round_even(dens, 1) as corridor_km, band + 1 as band, hi, total, n_shown, round_even(hi / greatest(km, 0.5) * 10, 0) / 10 as hi_per_km,
         {_star("score + (0.42::double - peak) * 80")} as star_motorcycle, {_star("score + 12 - least(16.0::double, hi / greatest(km, 0.5) * 14)")} as star_car, {_star("score + (0.32::double - night) * 165")} as star_night, {_star("score + 10 - least(30.0::double, hi / greatest(km, 0.5) * 28)")} as star_novice, {_star("score + (case when fat = 0 then 8 else -20 end)")} as star_passenger
         from (select s.*, coalesce(hi, 0) as hi, coalesce(total, 0) as total, coalesce(n_shown, 0) as n_shown, case when coalesce(hn, 0) < 8 then gn else night1 end as night, case when coalesce(hn, 0) < 8 then gp else peak1 end as peak,
             cast(round_even(100.0 * (select count(*) from rbase where rbase.band = s.band and rbase.risk > s.shrunk) / (select count(*) from rbase where rbase.band = s.band), 0) as int) as score
             from (select rid, round_even(km, 6) as km, n, fat, inj, round_even(wsum / km, 6) as risk, dens, b.band, round_even((wsum + 0.5 * coalesce(med, 0.0)) / (round_even(km, 6) + 0.5), 6) as shrunk
                 from (select racc.*, dens, cast((select count(*) from rinfo where band > 0 and dens >= lo) as int) as band from racc join
-                    (select rid, round_even(avg(coalesce(km, 0.0)), 6) as dens from (select rid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from (select p.rid, p.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from samples join (select rid, max(pos) as last from samples group by rid) using (rid) where last < 10 or pos % 10 = 0) p left join seg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by rid, pos) group by rid) using (rid)) b
+                    (select rid, round_even(avg(coalesce(km, 0.0)), 6) as dens from (select rid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from (select p.rid, p.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from samples join (select rid, max(pos) as last from samples group by rid) using (rid) where last < 10 or pos % 10 = 0) p left join rseg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by rid, pos) group by rid) using (rid)) b
                 left join rinfo on rinfo.band = b.band) s
             left join (select rid, count(*) filter (cnt >= 15) as hi, count(*) as total, count(*) filter (rn <= shown_n) as n_shown from rx group by rid) using (rid)
             left join (select rid, count(*) as hn, avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as night1, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as peak1 from rhits group by rid) using (rid), everywhere)"""
 
 
-def _inside() -> str:
-    edges = list(zip(BOUNDARY, BOUNDARY[1:] + BOUNDARY[:1], strict=True))
-    one = " + ".join(f"(case when ({a[1]} > py) <> ({b[1]} > py) and px < ({b[0]} - {a[0]}) * (py - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} then 1 else 0 end)" for a, b in edges)
-    return f"select lid, ({one}) % 2 = 1 as inside from loc"
-
-
 _SHARES = f"select lid, count(*) as n, avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as night, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as peak from hits group by lid"
 _SEARCH = f"""from (select qid, pid, count(*) as matched from (select qid, unnest({grams(norm("q"))}) as g from asked) join (select pid, unnest({grams(norm("name"))}) as g from places) using (g) group by qid, pid) join places using (pid)"""
 
@@ -177,10 +198,16 @@ def oracle_sql() -> dict[str, str]:
         "walk_report": q("roads " + _BASE + _LOC + "xing xhits everywhere", _walk()),
         "snap_nearest": q("nodes loc", "select lid, coalesce(node, -1) as node, round_even(dist, 6) as dist from loc left join (select lid, arg_min(node, {'d': d2, 'n': node}) as node, sqrt(min(d2)) as dist from (select lid, node, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc, nodes where (px - x) * (px - x) + (py - y) * (py - y) <= 160000) group by lid) using (lid)"),
         "route_error": q("nodes trips snap", "select qid, case when a < 0 or b < 0 then 'OUT_OF_COVERAGE' when a = b then 'NO_ROUTE' end as code, cast(case when a < 0 or b < 0 then 400 when a = b then 422 end as int) as status, case when a < 0 then 'start' when b < 0 then 'end' when a = b then 'both' end as which from snap"),
-        "shortest_distance": q("nodes roads edges trips snap", "select qid, d is not null and d <= 30000 as found, round_even(case when d <= 30000 then d end, 3) as length_m from snap left join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b").replace(" select qid, d is not null", ", dist(s, v, d) using key (s, v) as (select distinct a, a, 0.0::double from snap where a >= 0 union select dist.s, dst, min(dist.d + len_m) from dist join edges on src = dist.v left join recurring.dist known on known.s = dist.s and known.v = dst where known.d is null or dist.d + len_m < known.d group by dist.s, dst) select qid, d is not null"),
+        "shortest_distance": q("nodes roads edges trips snap dist", "select qid, d is not null and d <= 30000 as found, round_even(case when d <= 30000 then d end, 3) as length_m from snap left join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b"),
+        "path_documents": q(_SEARCHED, "select qid, seq, node, x, y from path"),
+        "route_path": q(_SEARCHED, f"select qid, seq, round_even({c.origin[0]}::double + y / {_METRE!r}::double, 6) as lat, round_even({c.origin[1]}::double + x / {_METRE * math.cos(math.radians(c.origin[0]))!r}::double, 6) as lon from path"),
+        "route_trend": q("acc " + _SEARCHED + "pathlines segs samples pathlens rhits", "select lens.rid as qid, strftime(date '2024-07-01' + to_months(cast(m.range as int)), '%Y-%m') as ym, coalesce(h.n, 0) as n, false as partial from lens cross join range(24) m left join (select rid, mi, count(*) as n from rhits where mi between 0 and 23 group by all) h on h.rid = lens.rid and h.mi = m.range"),
+        "analyze_route": q(_SEARCHED + _RIDE + "xing everywhere pathlines segs samples pathlens rhits racc rx", "select *, printf('%d accidents within 40 m over %.1f km, %d dead, %d injured', accidents, km, fat, inj) as plain, printf('%d of %d crossings on the way had 15 accidents or more', hi, total) as reason, printf('%s confidence from %d accidents', confidence, accidents) as confidence_reason from (" + _route("rid as qid, 'shortest' as label, true as recommended") + ")"),
+        "crossing_records": q("xing loc xhits", "select lid, xid, name, cls, cnt, dist, dist <= 300 and cnt >= 15 as hot, cast(rn as int) as rn, rank, printf('%d accidents, distance %d m, %s', cnt, dist, cls) as detail from (select xhits.*, cast(round_even(sqrt(d2), 0) as int) as dist, row_number() over (partition by lid order by cnt desc, xid) as rn from xhits) join (select xid, round_even(percent_rank() over (partition by cls order by cnt), 6) as rank from xing) using (xid) where rn <= 12"),
+        "accident_crossing": q("acc xing", f"select aid, b.xid, round_even(dist, 6) as dist from acc left join (select aid, arg_min(xid, {{'d': d2, 'n': xid}}) as xid, sqrt(min(d2)) as dist from (select a.aid, x.xid, (a.x - x.x) * (a.x - x.x) + (a.y - x.y) * (a.y - x.y) as d2 from acc a join xing x on abs(a.x - x.x) <= {c.assign_max} and abs(a.y - x.y) <= {c.assign_max}) where d2 <= {c.assign_max**2} group by aid) b using (aid)"),
         "path_samples": q("lines segs samples", "select rid, pos, round_even(px, 6) as px, round_even(py, 6) as py from samples"),
         "route_accidents": q("acc lines segs samples lens rhits racc", "select rid, round_even(km, 6) as km, n, wsum, cast(fat as bigint) as fat, cast(inj as bigint) as inj, round_even(wsum / km, 6) as risk from racc"),
-        "route_crossings": q("xing lines segs samples lens rx", "select rid, xid, name, cls, cnt, first, cast(rn as int) as rn, rn <= shown_n as shown, cnt >= 15 as high from rx"),
+        "route_crossings": q("xing lines segs samples lens rx", "select rid, xid, name, cls, cnt, first, cast(rn as int) as rn, rn <= shown_n as shown, cnt >= 15 as high, printf('%d accidents, %s', cnt, cls) as detail from rx"),
         "route_best": q("roads " + _RIDE + "xing everywhere lines segs samples lens rhits racc rx", "select trip, rid, label, score, km from (" + _route() + ") where recommended"),
         "route_minutes": q("lines segs lens", "select rid, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(km, 1) as km from lens"),
         "ride_strata": q("roads " + _RIDE, "select bid, km, risk, band from rbase"),
@@ -190,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "name_search_near": q("places asked", f"select cast(qid as bigint) as qid, pid, name, matched, cast(rn as int) as rn from (select qid, pid, name, matched, row_number() over (partition by qid order by matched desc, (x - qx) * (x - qx) + (y - qy) * (y - qy), name, pid) as rn {_SEARCH} join asked using (qid)) where rn <= 8"),
         "jitter": f"select event_id as aid, round_even(cast('0x' || substr(md5(cast(event_id as varchar)), 1, 8) as bigint)::double / 4294967295.0 * 2 * {c.jitter} - {c.jitter}, 6) as dx, round_even(cast('0x' || substr(md5(cast(event_id as varchar)), 9, 8) as bigint)::double / 4294967295.0 * 2 * {c.jitter} - {c.jitter}, 6) as dy from events",
         "dataset_meta": q("roads " + _BASE, "select (select count(*) from acc) as accidents, (select count(*) from part) as intersections, (select round_even(sum(len_m) / 1000, 1) from roads) as walk_network_km, (select count(*) from base) as baseline_cells, (select count(*) from part) as places, '2024-07-01' as range_from, '2026-06-30' as range_to"),
-        "inside_boundary": q("loc", _inside()),
+        "inside_boundary": q("loc", f"select lid, {_within(BOUNDARY)} as inside from loc"),
         "name_hash": "select s_suppkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(s_name, ''), lambda ch: cast(ascii(ch) as bigint))), lambda n, ch: (n * 31 + ch) % 997) as h from supplier",
         "worst_factors": q("roads " + _BASE + _LOC + "xing xhits everywhere", "select lid, factor, score, cast(rn as int) as rn from (select *, row_number() over (partition by lid order by score, ord) as rn from (select lid, unnest(['accidents', 'crossings', 'large', 'night', 'pedestrian']) as factor, unnest([f_accidents, f_crossings, f_large, f_night, f_pedestrian]) as score, unnest([0, 1, 2, 3, 4]) as ord from (" + _walk() + "))) where rn <= 2"),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def ride_baseline(t: sur.Tables) -> DataFrame:
     pts = t.baseline_points().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("px", F.col("px") + F.col("pos") * DEFAULT.sample_step)
     met = spatial.radius_join(pts, t.accidents(), DEFAULT.route_buffer).select("bid", "aid", "sev").dropDuplicates(["bid", "aid"])
     probe = pts.where(F.col("pos") % 10 == 0).withColumn("sid", F.col("bid") * 1000 + F.col("pos")).select("bid", "sid", "px", "py")
-    near = M.network_km(spatial.radius_join(probe, t.segments(), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
+    near = M.network_km(spatial.radius_join(probe, t.segments(ride=True), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
     # means of three sums of whole metres: nine places have no ties
     dens = probe.select("bid", "sid").join(near, "sid", "left").groupBy("bid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 9).alias("km"))
     risk = F.bround(F.coalesce("wsum", F.lit(0.0)) / (DEFAULT.ride_sample_m / 1000), 6).alias("risk")
@@ -121,72 +123,118 @@ def walk_documents(t: sur.Tables) -> DataFrame:
     return flat.join(xs, "lid", "left").join(trend, "lid", "left").select("lid", body.alias("body"))
 
 
-def samples(t: sur.Tables) -> DataFrame:
-    return spatial.sample_line(t.polylines(), "rid", DEFAULT.sample_step)
+@dataclass(frozen=True)
+class Routes:
+    """Routes to analyse: vertices (rid, seq, x, y) and lengths (rid, length_m, km)."""
+
+    vertices: DataFrame
+    lengths: DataFrame
 
 
-def route_lengths(t: sur.Tables) -> DataFrame:
+def given_routes(t: sur.Tables) -> Routes:
+    """The given polylines."""
     w = Window.partitionBy("rid").orderBy("seq")
     step = F.sqrt(spatial.squared_distance(F.col("x"), F.col("y"), F.lead("x").over(w), F.lead("y").over(w)))
-    return t.polylines().withColumn("len", step).groupBy("rid").agg(F.bround(F.sum("len"), 6).alias("length_m")).withColumn("km", S.floored_km(F.col("length_m")))
+    lengths = t.polylines().withColumn("len", step).groupBy("rid").agg(F.bround(F.sum("len"), 6).alias("length_m"))
+    return Routes(t.polylines(), lengths.withColumn("km", S.floored_km(F.col("length_m"))))
+
+
+def searched_routes(t: sur.Tables) -> Routes:
+    """The shortest ride of each trip that has one; its length is that of its roads."""
+    found = shortest(t).where("found").repartition("qid")
+    nodes = found.select(F.col("qid").alias("rid"), F.posexplode("nodes").alias("seq", "node"))
+    vertices = nodes.join(t.nodes(), "node").select("rid", F.col("seq").cast("long").alias("seq"), "x", "y")
+    return Routes(vertices, found.select(F.col("qid").alias("rid"), "length_m", S.floored_km(F.col("length_m")).alias("km")))
+
 
+def samples(r: Routes) -> DataFrame:
+    return spatial.sample_line(r.vertices, "rid", DEFAULT.sample_step)
 
-def route_hits(t: sur.Tables) -> DataFrame:
+
+def route_hits(t: sur.Tables, r: Routes) -> DataFrame:
     """Accidents within the buffer of any sample, each once a route."""
-    return spatial.radius_join(samples(t), t.accidents(), DEFAULT.route_buffer).drop("pos", "px", "py", "d2").dropDuplicates(["rid", "aid"])
+    return spatial.radius_join(samples(r), t.accidents(), DEFAULT.route_buffer).drop("pos", "px", "py", "d2").dropDuplicates(["rid", "aid"])
 
 
-def route_accidents(t: sur.Tables) -> DataFrame:
-    own = route_hits(t).groupBy("rid").agg(F.count("*").alias("n"), F.sum("sev").alias("wsum"), F.sum("fat").cast("long").alias("fat"), F.sum("inj").cast("long").alias("inj"))
+def route_accidents(t: sur.Tables, r: Routes) -> DataFrame:
+    own = route_hits(t, r).groupBy("rid").agg(F.count("*").alias("n"), F.sum("sev").alias("wsum"), F.sum("fat").cast("long").alias("fat"), F.sum("inj").cast("long").alias("inj"))
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
-    rows = route_lengths(t).join(own, "rid", "left").select("rid", "km", zero("n", 0), zero("wsum", 0.0), zero("fat", 0), zero("inj", 0))
+    rows = r.lengths.join(own, "rid", "left").select("rid", "km", zero("n", 0), zero("wsum", 0.0), zero("fat", 0), zero("inj", 0))
     return rows.withColumn("risk", F.bround(F.col("wsum") / F.col("km"), 6)).withColumn("km", F.bround("km", 6))
 
 
-def route_crossings(t: sur.Tables) -> DataFrame:
+def route_crossings(t: sur.Tables, r: Routes) -> DataFrame:
     """Crossings along each route: most frequent first, ties in the order they are met; as many as the
     route's length asks for."""
-    hits = spatial.radius_join(samples(t), t.crossings(), DEFAULT.route_crossing_radius)
+    hits = spatial.radius_join(samples(r), t.crossings(), DEFAULT.route_crossing_radius)
     met = hits.groupBy("rid", "xid").agg(F.min("pos").alias("first"), F.any_value("name").alias("name"), F.any_value("cls").alias("cls"), F.any_value("cnt").alias("cnt"))
-    rows = met.join(route_lengths(t).select("rid", "km"), "rid")
+    rows = met.join(r.lengths.select("rid", "km"), "rid")
     shown = F.least(F.lit(DEFAULT.shown_crossings), F.greatest(F.lit(5), F.bround("km").cast("int")))
     rn = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("cnt"), "first", "xid")).cast("int")
-    return rows.withColumn("rn", rn).withColumn("shown", shown).select("rid", "xid", "name", "cls", "cnt", "first", "rn", (F.col("rn") <= F.col("shown")).alias("shown"), (F.col("cnt") >= DEFAULT.high_count).alias("high"))
+    return rows.withColumn("rn", rn).withColumn("shown", shown).select("rid", "xid", "name", "cls", "cnt", "first", "rn", (F.col("rn") <= F.col("shown")).alias("shown"), (F.col("cnt") >= DEFAULT.high_count).alias("high"), F.format_string("%d accidents, %s", "cnt", "cls").alias("detail"))
 
 
-def route_report(t: sur.Tables) -> DataFrame:
-    """Score, counts, stars and the recommended candidate of each pair of routes, one flat row each.
+def route_rows(t: sur.Tables, r: Routes) -> DataFrame:
+    """Score, counts and stars of each route, one flat row each.
 
     The evidence shrinks by the route's length, but the stratum follows the density of roads along it,
     the mean over every tenth sample, among the baseline's rides."""
     base = ride_baseline(t)
     edges = M.band_edges(base, DEFAULT.strata)
-    pts = samples(t)
+    pts = samples(r)
     last = pts.groupBy("rid").agg(F.max("pos").alias("last"))
     probe = pts.join(F.broadcast(last), "rid").where((F.col("last") < 10) | (F.col("pos") % 10 == 0)).withColumn("sid", F.col("rid") * 1_000_000 + F.col("pos")).select("rid", "sid", "px", "py")
-    km = M.network_km(spatial.radius_join(probe, t.segments(), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
+    km = M.network_km(spatial.radius_join(probe, t.segments(ride=True), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
     dens = probe.select("rid", "sid").join(km, "sid", "left").groupBy("rid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 6).alias("dens"))
-    rows = route_accidents(t).join(dens, "rid").withColumn("band", M.band_of(F.col("dens"), edges))
+    rows = route_accidents(t, r).join(dens, "rid").withColumn("band", M.band_of(F.col("dens"), edges))
     raw = F.col("risk")
     s = M.shrunk_risk(rows.drop("risk"), M.band_median(base), DEFAULT.ride_shrinkage_km).drop("risk").withColumn("shrunk", F.bround("shrunk", 6))
     s = s.join(rows.select("rid", "risk"), "rid").join(M.percentile_score(s, "rid", base), "rid", "left")
-    xs = route_crossings(t).groupBy("rid").agg(F.count_if("high").alias("hi"), F.count("*").alias("total"), F.count_if("shown").alias("n_shown"))
-    own = M.with_fallback(route_lengths(t).select("rid").join(M.shares(route_hits(t), "rid"), "rid", "left"), t.accidents())
+    xs = route_crossings(t, r).groupBy("rid").agg(F.count_if("high").alias("hi"), F.count("*").alias("total"), F.count_if("shown").alias("n_shown"))
+    own = M.with_fallback(r.lengths.select("rid").join(M.shares(route_hits(t, r), "rid"), "rid", "left"), t.accidents())
     one = s.join(xs, "rid", "left").join(own, "rid", "left")
     for c in ("hi", "total", "n_shown"):
         one = one.withColumn(c, F.coalesce(c, F.lit(0)))
     per_km = S.high_per_km(F.col("hi"), F.col("km"))
     score, night, peak = F.col("score"), F.col("night"), F.col("peak")
-    trip = F.floor(F.col("rid") / 2)
-    one = one.withColumn("best", F.row_number().over(Window.partitionBy(trip).orderBy(F.desc("score"), F.asc(F.bround("km", 1)), "rid")) == 1)
     return one.select(
-        "rid", trip.alias("trip"), S.route_label(F.col("rid").cast("int") % 2).alias("label"), "score", F.col("best").alias("recommended"), S.confidence(F.col("n")).alias("confidence"), F.col("n").alias("accidents"), "fat", "inj",
+        "rid", "score", S.confidence(F.col("n")).alias("confidence"), F.col("n").alias("accidents"), "fat", "inj",
         F.bround("km", 1).alias("km"), S.minutes(F.col("km"), DEFAULT.ride_kmh).alias("min"), F.bround(raw, 2).alias("risk"), F.bround("dens", 1).alias("corridor_km"), (F.col("band") + 1).alias("band"), "hi", "total", "n_shown", (F.bround(per_km * 10) / 10).alias("hi_per_km"),
         S.star(score + (0.42 - peak) * 80).alias("star_motorcycle"), S.star(score + 12 - F.least(F.lit(16.0), per_km * 14)).alias("star_car"), S.star(score + (0.32 - night) * 165).alias("star_night"),
         S.star(score + 10 - F.least(F.lit(30.0), per_km * 28)).alias("star_novice"), S.star(score + F.when(F.col("fat") == 0, 8).otherwise(-20)).alias("star_passenger"),
     )
 
 
+def route_report(t: sur.Tables) -> DataFrame:
+    """The given routes, candidates of a trip in pairs, with the recommended one of each."""
+    trip = F.floor(F.col("rid") / 2)
+    best = F.row_number().over(Window.partitionBy("trip").orderBy(F.desc("score"), "km", "rid")) == 1
+    rows = route_rows(t, given_routes(t)).withColumn("trip", trip)
+    return rows.withColumn("label", S.route_label(F.col("rid").cast("int") % 2)).withColumn("recommended", best)
+
+
+def analyze_route(t: sur.Tables) -> DataFrame:
+    """The report of each trip's searched route, the only candidate, with its texts."""
+    return route_rows(t, searched_routes(t)).withColumnRenamed("rid", "qid").select(
+        "*", S.route_label(F.lit(0)).alias("label"), F.lit(True).alias("recommended"),
+        F.format_string("%d accidents within 40 m over %.1f km, %d dead, %d injured", "accidents", "km", "fat", "inj").alias("plain"),
+        F.format_string("%d of %d crossings on the way had 15 accidents or more", "hi", "total").alias("reason"),
+        F.format_string("%s confidence from %d accidents", "confidence", "accidents").alias("confidence_reason"),
+    )
+
+
+def route_trend(t: sur.Tables) -> DataFrame:
+    """Accidents a month along each trip's searched route."""
+    r = searched_routes(t)
+    return M.monthly_trend(r.lengths, route_hits(t, r), "rid", DEFAULT.months, sur.FIRST_MONTH).withColumnRenamed("rid", "qid")
+
+
+def route_path(t: sur.Tables) -> DataFrame:
+    """(qid, seq, lat, lon) of each trip's searched route."""
+    lat, lon = S.unproject(F.col("x"), F.col("y"), *DEFAULT.origin)
+    return searched_routes(t).vertices.select(F.col("rid").alias("qid"), "seq", F.bround(lat, 6).alias("lat"), F.bround(lon, 6).alias("lon"))
+
+
 def snapped(t: sur.Tables) -> DataFrame:
     """(qid, a, b): the nodes nearest to start and end, -1 where none is in reach."""
     a = spatial.nearest(t.trips().select("qid", F.col("fx").alias("px"), F.col("fy").alias("py")), "qid", t.nodes(), "node", DEFAULT.snap_max)
@@ -204,7 +252,7 @@ def route_errors(t: sur.Tables) -> DataFrame:
 def shortest(t: sur.Tables) -> DataFrame:
     """(qid, found, length_m) of every trip that can be searched, within the route limit."""
     ok = snapped(t).where("a >= 0 and b >= 0 and a <> b").select("qid", F.col("a").alias("src"), F.col("b").alias("dst"))
-    return paths.shortest_paths(ok, t.edges(), DEFAULT.route_limit)
+    return paths.shortest_paths(ok, t.ride_edges(), DEFAULT.route_limit)
 
 
 def path_documents(t: sur.Tables) -> DataFrame:

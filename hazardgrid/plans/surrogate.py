@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalar as S
+from ..operators import spatial
 
 PEDESTRIAN, LARGE = "signup", ("purchase", "error", "view")
 SIDE, SPACING = 40, 250.0
@@ -44,8 +45,9 @@ class Tables:
         return self.read("supplier").select(s.alias("lid"), (s * 4871 % 10007).cast("double").alias("px"), (s * 6547 % 10009).cast("double").alias("py"))
 
     def baseline_points(self) -> DataFrame:
+        """Sample points inside the boundary."""
         c = F.col("c_custkey")
-        return self.read("customer").select(c.alias("bid"), (c * 5417 % 10007).cast("double").alias("px"), (c * 2221 % 10009).cast("double").alias("py"))
+        return self.read("customer").select(c.alias("bid"), (c * 5417 % 10007).cast("double").alias("px"), (c * 2221 % 10009).cast("double").alias("py")).where(spatial.is_inside(F.col("px"), F.col("py"), BOUNDARY))
 
     def nodes(self) -> DataFrame:
         i = F.col("id")
@@ -56,15 +58,19 @@ class Tables:
         n = self.spark.range(SIDE * SIDE)
         i = F.col("id")
         col, row = i % SIDE, F.floor(i / SIDE)
-        east = n.where(col < SIDE - 1).select(i.alias("a"), (i + 1).alias("b"), (200 + i * 7919 % 101).cast("double").alias("len_m"), (i % 5 != 0).alias("both"))
-        north = n.where(row < SIDE - 1).select(i.alias("a"), (i + SIDE).alias("b"), (200 + i * 104729 % 103).cast("double").alias("len_m"), F.lit(True).alias("both"))
+        east = n.where(col < SIDE - 1).select(i.alias("a"), (i + 1).alias("b"), (200 + i * 7919 % 101).cast("double").alias("len_m"), (i % 5 != 0).alias("both"), F.when(i % 23 == 7, "motorway").otherwise("street").alias("kind"))
+        north = n.where(row < SIDE - 1).select(i.alias("a"), (i + SIDE).alias("b"), (200 + i * 104729 % 103).cast("double").alias("len_m"), F.lit(True).alias("both"), F.when(i % 29 == 3, "elevated").otherwise("street").alias("kind"))
         roads = east.unionByName(north)
-        one = roads.select(F.col("a").alias("src"), F.col("b").alias("dst"), "len_m")
-        return one.unionByName(roads.where("both").select(F.col("b").alias("src"), F.col("a").alias("dst"), "len_m"))
+        one = roads.select(F.col("a").alias("src"), F.col("b").alias("dst"), "len_m", "kind")
+        return one.unionByName(roads.where("both").select(F.col("b").alias("src"), F.col("a").alias("dst"), "len_m", "kind"))
 
-    def segments(self) -> DataFrame:
+    def ride_edges(self) -> DataFrame:
+        """Edges that rides may use."""
+        return self.edges().where(~F.col("kind").isin(*DEFAULT.no_rides))
+
+    def segments(self, ride: bool = False) -> DataFrame:
         """Roads once, at their midpoints."""
-        e = self.edges().where("src < dst")
+        e = (self.ride_edges() if ride else self.edges()).where("src < dst")
         mid = lambda c: (c(F.col("src")) + c(F.col("dst"))) / 2
         x, y = lambda i: i % SIDE * SPACING, lambda i: F.floor(i / SIDE) * SPACING
         return e.select("len_m", mid(x).alias("x"), mid(y).alias("y"))
@@ -85,5 +91,5 @@ class Tables:
         return self.read("part").select(p.alias("pid"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), (p * 3571 % 10007).cast("double").alias("x"), (p * 6547 % 10009).cast("double").alias("y"))
 
     def place_queries(self) -> DataFrame:
-        rows = [(0, "widget Brand#1", 100.0, 200.0), (1, "small bolt", 5000.0, 5000.0), (2, "ＢＯＬＴ　Brand#２３", 9000.0, 10.0), (3, "gi", 1.0, 1.0), (4, "臺北", 0.0, 0.0)]
+        rows = [(0, "widget Brand#1", 100.0, 200.0), (1, "small bolt", 5000.0, 5000.0), (2, "ＢＯＬＴ　Brand#２３", 9000.0, 10.0), (3, "gi", 1.0, 1.0), (4, "臺北", 0.0, 0.0), (5, "ｓｍａｌｌ 二十三號", 0.0, 0.0), (6, "一百零五巷 三百十二弄 十樓", 0.0, 0.0)]
         return self.spark.createDataFrame(rows, "qid long, q string, qx double, qy double")

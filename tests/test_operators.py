@@ -64,6 +64,13 @@ def test_snap_and_ties(spark):
     assert got == {1: 2, 2: -1}
 
 
+def test_accidents_get_the_nearest_crossing(spark):
+    xs = spark.createDataFrame([(7, 10.0, 0.0), (3, -10.0, 0.0), (9, 200.0, 0.0)], "xid long, x double, y double")
+    acc = spark.createDataFrame([(1, 0.0, 0.0), (2, 150.0, 0.0), (3, 900.0, 0.0), (4, 110.0, 0.0)], "aid long, x double, y double")
+    got = {t.aid: (t.xid, t.dist) for t in crossings.assign(acc, xs, 100.0).collect()}
+    assert got == {1: (3, 10.0), 2: (9, 50.0), 3: (None, None), 4: (9, 90.0)}
+
+
 def test_sampled_line(spark):
     line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 50.0, 0.0), (1, 2, 50.0, 20.0)], "rid int, seq int, x double, y double")
     got = [(t.pos, t.px, t.py) for t in spatial.sample_line(line, "rid", 20.0).orderBy("pos").collect()]

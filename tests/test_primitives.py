@@ -53,6 +53,7 @@ def test_mentions(spark):
 def test_texts(spark):
     assert column(spark, [0, 1, 2], S.route_label, "int") == ["shortest", "alternative A", "alternative B"]
     assert column(spark, ["臺北１２", " Ａb ", "三民"], S.normalise_name, "string") == ["台北12", "ab", "3民"]
+    assert column(spark, ["二十三號", "十樓", "十五", "三十", "一百零五", "三百十二", "二百五十", "六百", "ａＢ"], S.normalise_name, "string") == ["23號", "10樓", "15", "30", "105", "312", "250", "600", "ab"]
     assert column(spark, ["abcd", "ab", ""], S.trigrams, "string") == [["abc", "bcd"], ["ab"], []]
 
 
