@@ -1,3 +1,4 @@
+import collections
 import os
 import random
 import sys
@@ -257,6 +258,26 @@ def test_embeddings(spark):
     assert brute.ordered(embedding_dedup(frame).collect()) == brute.ordered(want)
 
 
+def test_embeddings_in_split_buckets(spark, monkeypatch):
+    """One family of near vectors in one bucket: blocks of it meet in pairs. Null ids and further columns do no harm."""
+    from hazardgrid.llm import embedding_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal(16) + 0.26 * r.standard_normal((60, 16)), r.standard_normal((20, 16))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = [(a, b) for a in range(80) for b in range(a) if unit[a] @ unit[b] >= 0.93]
+    assert 200 < len(links) < 1700
+    group, count = brute.components(80, links), collections.Counter(k for p in links for k in p)
+    rows = [(None if i == 3 else i, [float(v) for v in x[i]], 1, 0, "x") for i in range(80)]
+    low = {}
+    for (i, *_), g in zip(rows, group, strict=True):
+        low[g] = min((k for k in (low.get(g), i) if k is not None), default=None)
+    want = [(i, count[k], low[group[k]], i == low[group[k]]) for k, (i, *_) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node long, bucket string")
+    assert brute.ordered(embedding_dedup(frame).collect()) == brute.ordered(want)
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)]
