@@ -111,7 +111,8 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
     nodes = common.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     parts = common.connected_components(hamming_links(nodes.select("fp"), distance))
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # written, so that adaptive execution can split a component that a third of all nodes are in
+    lowest = common.durable(named.groupBy("component").agg(F.min("low").alias("component_id")))
     label = named.join(lowest, "component").select("fp", "component_id")
     out = rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -335,6 +336,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         parts = common.connected_components(links.unionByName(more))
     named = rows.select("doc_id", "key", "node").join(parts, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
+    lowest = common.durable(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low")))
     out = named.join(lowest, "component")
     return out.select("doc_id", "key", F.col("low.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key"))).alias("kept"))
