@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +80,61 @@ def monthly_trend(keys: DataFrame, hits: DataFrame, key: str, months: int, first
     return spine.join(counted, [key, "mi"], "left").select(key, ym.alias("ym"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("partial"))
 
 
+def _range_column(one: DataFrame) -> Column:
+    """Which of RANGES ranges of its band a value of ``one(band, v)`` is in, by approximate percentiles.
+    These are collected, RANGES numbers a band, as all uses must cut alike."""
+    part = F.lit(0)
+    for r in one.groupBy("band").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)]).alias("e")).collect():
+        edges = F.array(*[F.lit(e) for e in sorted(set(r["e"]))])
+        part = F.when(F.col("band") == r["band"], F.size(F.filter(edges, lambda e: e <= F.col("v")))).otherwise(part)
+    return part
+
+
+def exact_percentiles(samples: DataFrame, shares: list[float]) -> dict[int, list[float]]:
+    """Exact percentiles of the values ``v`` of each band of ``samples(band, v)``, between neighbours in
+    proportion; nulls don't count.
+
+    A histogram of different values is cut into RANGES ranges a band. The ranges' totals say which
+    of them hold the ranks asked for, and counts run inside those only, so no task holds a band.
+    """
+    one = samples.where("v is not null").groupBy("band", "v").agg(F.count("*").alias("n"))
+    one = one.withColumn("part", _range_column(one))
+    totals: dict[int, dict[int, int]] = {}
+    for r in one.groupBy("band", "part").agg(F.sum("n").alias("own")).collect():  # RANGES rows a band
+        totals.setdefault(r["band"], {})[r["part"]] = r["own"]
+    asked: dict[tuple[int, int], dict[int, int]] = {}  # of a range: rank inside it to rank in the band
+    for band, parts in totals.items():
+        last = sum(parts.values()) - 1
+        for rank in sorted({r for p in shares for r in (math.floor(p * last), math.ceil(p * last))}):
+            before = 0
+            for part in sorted(parts):
+                if rank < before + parts[part]:
+                    asked.setdefault((band, part), {})[rank - before] = rank
+                    break
+                before += parts[part]
+    ranks = F.lit(None).cast("array<long>")
+    for (band, part), inside in asked.items():
+        ranks = F.when((F.col("band") == band) & (F.col("part") == part), F.array(*[F.lit(r).cast("long") for r in inside])).otherwise(ranks)
+    run = Window.partitionBy("band", "part").orderBy("v")
+    placed = one.withColumn("ranks", ranks).where("ranks is not null").withColumn("upto", F.sum("n").over(run))
+    met = placed.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).where(F.size("ranks") > 0)
+    value = {(r["band"], asked[r["band"], r["part"]][k]): r["v"] for r in met.select("band", "part", "v", "ranks").collect() for k in r["ranks"]}
+    out = {}
+    for band, parts in totals.items():
+        last = sum(parts.values()) - 1
+        out[band] = []
+        for p in shares:
+            lo, hi = math.floor(p * last), math.ceil(p * last)
+            a, b = value[band, lo], value[band, hi]
+            out[band].append(a if a == b else (hi - p * last) * a + (p * last - lo) * b)
+    return out
+
+
 def strata(samples: DataFrame, bands: int, minimum: float) -> DataFrame:
     """``samples(id, km, risk)`` with ``band``, equal shares by km. Boundaries are exact percentiles of
     km, so no global sort or single-task window is needed."""
     kept = samples.where(F.col("km") >= minimum)
-    edges = kept.agg(F.percentile("km", [k / bands for k in range(1, bands)]).alias("e")).first()["e"] or []
+    edges = exact_percentiles(kept.select(F.lit(0).alias("band"), F.col("km").alias("v")), [k / bands for k in range(1, bands)]).get(0, [])
     return kept.withColumn("band", band_of(F.col("km"), [0.0, *edges]))
 
 
@@ -104,7 +156,12 @@ def band_edges(banded: DataFrame, bands: int) -> list[float]:
 
 
 def band_median(banded: DataFrame) -> DataFrame:
-    return banded.groupBy("band").agg(F.percentile("risk", 0.5).alias("med"), F.count("*").alias("samples"), F.min("km").alias("lo"), F.max("km").alias("hi"))
+    """(band, med, samples, lo, hi) of each stratum."""
+    med = F.lit(None).cast("double")
+    for band, (m,) in exact_percentiles(banded.select("band", F.col("risk").alias("v")), [0.5]).items():
+        med = F.when(F.col("band") == band, F.lit(m)).otherwise(med)
+    out = banded.groupBy("band").agg(F.count("*").alias("samples"), F.min("km").alias("lo"), F.max("km").alias("hi"))
+    return out.select("band", med.alias("med"), "samples", "lo", "hi")
 
 
 def shrunk_risk(measured: DataFrame, medians: DataFrame, shrink_km: float) -> DataFrame:
@@ -122,12 +179,7 @@ def percentile_score(values: DataFrame, key: str, banded: DataFrame) -> DataFram
     rows, say how many lie below it; so no task holds a stratum, and pairs never form.
     """
     one = banded.select("band", F.col("risk").alias("v")).where("v is not null").groupBy("band", "v").agg(F.count("*").alias("n"))
-    cuts = one.groupBy("band").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)]).alias("e")).collect()
-    # collected, as all uses below must cut alike: RANGES numbers a stratum
-    part = F.lit(0)
-    for r in cuts:
-        edges = F.array(*[F.lit(e) for e in sorted(set(r["e"]))])
-        part = F.when(F.col("band") == r["band"], F.size(F.filter(edges, lambda e: e <= F.col("v")))).otherwise(part)
+    part = _range_column(one)
     totals = one.withColumn("part", part).groupBy("band", "part").agg(F.sum("n").alias("own"))
     spine = totals.select("band").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES))))
     totals = spine.join(totals, ["band", "part"], "left").withColumn("own", F.coalesce("own", F.lit(0)))

@@ -58,7 +58,8 @@ def ride_baseline(t: sur.Tables) -> DataFrame:
     # means of three sums of whole metres: nine places have no ties
     dens = probe.select("bid", "sid").join(near, "sid", "left").groupBy("bid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 9).alias("km"))
     risk = F.bround(F.coalesce("wsum", F.lit(0.0)) / (DEFAULT.ride_sample_m / 1000), 6).alias("risk")
-    rides = dens.join(met.groupBy("bid").agg(F.sum("sev").alias("wsum")), "bid", "left").select("bid", "km", risk)
+    # cached as in ``baseline``
+    rides = dens.join(met.groupBy("bid").agg(F.sum("sev").alias("wsum")), "bid", "left").select("bid", "km", risk).cache()
     return M.strata(rides, DEFAULT.strata, 0.0)
 
 

@@ -57,6 +57,20 @@ def test_percentile_score_counts_strictly_more_dangerous(spark):
     assert got == {1: 25, 2: 100, 3: 0, 4: 100}
 
 
+def test_exact_percentiles(spark):
+    """Against Spark's own, with ties, nulls, a band of one value and one of nulls alone."""
+    r = random.Random(4)
+    rows = [(0, r.random()) for _ in range(900)] + [(1, float(r.randrange(6))) for _ in range(400)] + [(2, 7.5), (3, None), (1, None)]
+    rows += [(4, 1.0), (4, 2.0)]
+    frame = spark.createDataFrame(rows, "band int, v double")
+    shares = [0.0, 0.1, 0.125, 0.5, 0.77, 1.0]
+    want = {t.band: t.p for t in frame.groupBy("band").agg(F.percentile("v", shares).alias("p")).collect() if t.p is not None}
+    got = measures.exact_percentiles(frame, shares)
+    assert set(got) == set(want) == {0, 1, 2, 4}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert measures.exact_percentiles(frame.limit(0), shares) == {}
+
+
 def test_snap_and_ties(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 10.0, 0.0)], "node long, x double, y double")
     probe = spark.createDataFrame([(1, 9.0, 0.0), (2, 5000.0, 0.0)], "lid int, px double, py double")
