@@ -72,7 +72,8 @@ def _near_sketches(part: pd.DataFrame, bound: int) -> pd.DataFrame:
     head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
     size = np.diff(np.append(head, len(ids)))
     end = np.repeat(head + size, size)
-    one, two, mine = (part[c].to_numpy() for c in ("s0", "s1", "mine"))
+    # unsigned, as bits are counted in the absolute value of a signed number
+    one, two, mine = part["s0"].to_numpy().astype(np.uint64), part["s1"].to_numpy().astype(np.uint64), part["mine"].to_numpy()
     whole = (part["b0"] == part["b1"]).to_numpy()
     near = np.zeros(len(part), dtype=bool)
     at = np.arange(len(part))
