@@ -278,6 +278,19 @@ def test_embeddings_in_split_buckets(spark, monkeypatch):
     assert brute.ordered(embedding_dedup(frame).collect()) == brute.ordered(want)
 
 
+def test_near_sketches_count_every_bit():
+    """Each single bit of a sketch is one bit of distance, the sign bit too."""
+    import pandas as pd
+
+    from hazardgrid.llm.embedding_dedup import _near_sketches
+
+    words = [np.array([0, 1 << k], dtype=np.uint64).view(np.int64) for k in range(64)]
+    for bit, pair in enumerate(words):
+        part = pd.DataFrame({"grp": 1, "tbl": 0, "bucket": 0, "b0": 0, "b1": 0, "mine": 0, "node": [1, 2], "s0": pair, "s1": pair ^ np.int64(-1)})
+        assert len(_near_sketches(part, 2)) == 2, bit
+        assert len(_near_sketches(part, 1)) == 0, bit
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)]
