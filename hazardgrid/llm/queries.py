@@ -80,6 +80,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle_rows
+
+    return fill_in_middle_rows(_docs(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_docs(spark, sf_dir)).drop("cleaned_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -92,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_whitening": op12_whitening,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -124,6 +145,38 @@ _SUFFIX = """with h as (select doc_id, hex(encode(coalesce(text, ''))) as x, str
     from h left join cut using (doc_id)"""
 
 
+_MIDDLE = r"""with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+    k as (select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as c1, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as c2,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 100 then 'plain'
+            when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 50 then 'spm' else 'psm' end as form from d),
+    p as (select *, array_to_string(u[1 : least(c1, c2)], '') as prefix, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') as middle, array_to_string(u[greatest(c1, c2) + 1 :], '') as suffix from k)
+    select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+
+def _rules() -> str:
+    from . import quality_rules as q
+
+    r = q.Rules()
+    one = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    count = lambda pattern: f"len(regexp_extract_all(line, {one(pattern)}))"
+    over = lambda pattern, share: f"100 * {count(pattern)} > {round(100 * share)} * n"
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    w as (select r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+    win as (select r, i, ws[i : i + 2] as k from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+    again as (select r, unnest([i, i + 1, i + 2]) as pos from (select r, i, count(*) over (partition by r, k) as c from win) where c > 1),
+    rep as (select r, count(distinct pos) as n from again group by r),
+    line0 as (select r, unnest(string_split(t, chr(10))) as line from d),
+    line1 as (select r, line, {count(q.WORD)} as n from line0),
+    lines as (select *, {over(q.SYMBOL, r.most_symbols)} or {over(q.HEAPED, r.most_heaped)} or ({count(q.SEPARATOR)} >= 2 and {over(q.SEPARATOR, r.most_separators)})
+        or (not regexp_matches(right(rtrim(line, {space}), 4), {one(q.END)}) and {count(q.MARK)} * {r.words_a_mark} < n) or (n < {r.boilerplate_words} and regexp_matches(line, {one(q.BOILERPLATE)})) as fails from line1 where n > 0),
+    tested as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines, count(*) filter (fails) as n_failed_lines, sum(n) filter (fails) as n_lost_words from lines group by r),
+    counts as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(t) - length(regexp_replace(t, {one(q.SYMBOL)}, '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
+        coalesce(n_lines, 0) as n_lines, coalesce(n_failed_lines, 0) as n_failed_lines, cast(coalesce(n_lost_words, 0) as bigint) as n_lost_words from d join w using (r) left join rep using (r) left join tested using (r))
+    select *, n_words < {r.min_words} or 100 * n_repeat_words > {round(100 * r.most_repeated)} * n_words as base_failed, not (n_words < {r.min_words} or 100 * n_repeat_words > {round(100 * r.most_repeated)} * n_words) and 100 * n_lost_words <= {round(100 * r.most_lost)} * n_words as kept from counts"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; ids are taken as not null and different."""
-    return {"op2_substring_dedup": _SUBSTRING, "op5_embedding_dedup": _EMBEDDINGS, "op7_exact_dedup": _EXACT, "op9_suffix_dedup": _SUFFIX}
+    return {"op2_substring_dedup": _SUBSTRING, "op5_embedding_dedup": _EMBEDDINGS, "op7_exact_dedup": _EXACT, "op9_suffix_dedup": _SUFFIX, "op11_fill_in_middle": _MIDDLE, "op13_quality_rules": _rules()}

@@ -72,5 +72,5 @@ def test_one_of_repeated_rows_stays(spark, tmp_path):
 
 def test_names():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
