@@ -26,6 +26,8 @@ SCALE, SHIFT = 1024, 100_000
 #: Rows that are multiplied at once: with entries up to 2**20 their scatter stays below 2**53.
 BLOCK = 4096
 EXACT = 1 << 53
+#: Entries must be smaller in magnitude.
+LARGEST = float(1 << 40)
 
 
 def jacobi(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +70,6 @@ def whole_numbers(part: pa.RecordBatch) -> np.ndarray:
     """The x-vectors of a batch's column ``embedding`` (all of one length)."""
     flat = part.column(part.schema.get_field_index("embedding"))
     x = np.floor(np.asarray(flat.flatten(), dtype=np.float64) * SCALE)
-    if len(x) and np.abs(x).max() >= SCALE * float(1 << 40):
-        raise ValueError("an entry of a vector is too large for exact whole numbers")
     return (x.astype(np.int64) + SHIFT).reshape(part.num_rows, -1)
 
 
@@ -140,9 +140,12 @@ def whiten(vectors: DataFrame, components: int = 8) -> DataFrame:
     rows, d = sound(vectors)
     if not d:
         return spark.createDataFrame([], schema)
-    x = [F.floor(F.element_at("embedding", i + 1) * SCALE) + SHIFT for i in range(d)]
-    first = rows.agg(F.count("*").alias("n"), F.array(*[F.sum(c.cast("decimal(38,0)")) for c in x]).alias("sums")).first()
-    n, sums = first["n"], [int(s) for s in first["sums"]]
+    x = [F.floor(F.element_at("embedding", i + 1) * SCALE).cast("decimal(20,0)") for i in range(d)]
+    largest = F.max(F.greatest(F.abs(F.array_max("embedding")), F.abs(F.array_min("embedding"))))
+    first = rows.agg(F.count("*").alias("n"), largest.alias("largest"), F.array(*[F.sum(c) for c in x]).alias("sums")).first()
+    if first["largest"] >= LARGEST:
+        raise ValueError("an entry of a vector is too large for exact whole numbers")
+    n, sums = first["n"], [int(s) + SHIFT * first["n"] for s in first["sums"]]
     centre = [round(Fraction(s, n)) for s in sums]
     products = scatter(rows, np.array(centre, dtype=np.int64))
     cov = covariance(n, sums, centre, products)
