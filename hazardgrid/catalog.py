@@ -111,7 +111,8 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "walk_report": R.walk_report,
     "snap_nearest": lambda t: _rounded(spatial.nearest(t.locations(), "lid", t.nodes(), "node", DEFAULT.snap_max), 6, "dist"),
     "route_error": R.route_errors,
-    "shortest_distance": lambda t: R.shortest(t).select("qid", "found", F.bround("length_m", 3).alias("length_m")),
+    "shortest_distance": R.shortest_lengths,
+    "overlay_distance": R.way_back,
     "path_samples": lambda t: _rounded(R.samples(R.given_routes(t)), 6, "px", "py"),
     "route_accidents": lambda t: R.route_accidents(t, R.given_routes(t)),
     "route_crossings": lambda t: R.route_crossings(t, R.given_routes(t)),

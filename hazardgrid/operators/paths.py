@@ -1,90 +1,36 @@
-"""Shortest paths on a directed network."""
+"""Shortest paths on a directed network without places."""
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that a worker may hold; a larger network is searched by joins.
-WORKER_EDGES = 5_000_000
-
-
-def dijkstra(graph: dict[int, list[tuple[int, float]]], src: int, dst: int, limit: float) -> tuple[list[int], float] | None:
-    """Nodes and length of the shortest path, ties by smaller node; None beyond ``limit``."""
-    best, back, heap = {src: 0.0}, {}, [(0.0, src)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if u == dst:
-            path = [u]
-            while path[-1] != src:
-                path.append(back[path[-1]])
-            return path[::-1], d
-        if d > best[u]:
-            continue
-        for v, w in graph.get(u, ()):
-            if d + w <= limit and d + w < best.get(v, float("inf")):
-                best[v], back[v] = d + w, u
-                heapq.heappush(heap, (d + w, v))
-    return None
+from ..scratch import discard, durable
 
 
-def shortest_paths(queries: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
+def relaxed_lengths(queries: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
     """(qid, found, length_m, nodes) for each row of ``queries(qid, src, dst)`` over
-    ``edges(src, dst, len_m)``.
-
-    The network of a city goes to every worker after its size is checked, and queries are searched in
-    parallel; beyond WORKER_EDGES the search relaxes edges by joins instead.
-    """
-    from ..shipping import ship_package
-
-    spark = queries.sparkSession
-    ship_package(spark)
-    if edges.limit(WORKER_EDGES + 1).count() > WORKER_EDGES:
-        return relaxed_lengths(queries, edges, limit)
-    rows = edges.select("src", "dst", "len_m").toPandas()
-    shared = spark.sparkContext.broadcast(rows)
-
-    def search(parts):
-        graph: dict[int, list[tuple[int, float]]] = {}
-        for u, v, w in shared.value.sort_values(["src", "dst"]).itertuples(index=False):
-            graph.setdefault(u, []).append((v, w))
-        for part in parts:
-            out = []
-            for q, a, b in zip(part["qid"], part["src"], part["dst"], strict=True):
-                got = dijkstra(graph, a, b, limit)
-                out.append((q, got is not None, got[1] if got else None, got[0] if got else None))
-            yield pd.DataFrame(out, columns=["qid", "found", "length_m", "nodes"])
-
-    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000)
-    return queries.select("qid", "src", "dst").repartition(wide).mapInPandas(search, "qid long, found boolean, length_m double, nodes array<long>")
-
-
-def relaxed_lengths(queries: DataFrame, edges: DataFrame, limit: float, max_rounds: int = 10_000) -> DataFrame:
-    """The same paths by rounds of relaxation and a walk back, for networks that no worker can hold."""
-    spark = queries.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/hazardgrid-checkpoints")
-    known = queries.select("qid", F.col("src").alias("node"), F.struct(F.lit(0.0).alias("d"), F.lit(-1.0).alias("from_d"), F.lit(0).alias("zeros"), F.lit(None).cast("long").alias("prev")).alias("s"), F.lit(True).alias("new")).checkpoint()
+    ``edges(src, dst, len_m)``: relaxation until no distance gets smaller, then a walk back. It needs no
+    places of nodes, but a round for every road of the longest path; see ``overlay`` for the others."""
+    known = queries.select("qid", F.col("src").alias("node"), F.struct(F.lit(0.0).alias("d"), F.lit(-1.0).alias("from_d"), F.lit(0).alias("zeros"), F.lit(None).cast("long").alias("prev")).alias("s"), F.lit(True).alias("new"))
+    known = durable(known)
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "len_m")
     # of equal lengths the nearer, then the smaller predecessor; edges of no length are counted, so none closes a circle
     reached = F.struct((F.col("s.d") + F.col("len_m")).alias("d"), F.col("s.d").alias("from_d"), F.when(F.col("len_m") > 0, 0).otherwise(F.col("s.zeros") + 1).alias("zeros"), F.col("node").cast("long").alias("prev"))
-    for _ in range(max_rounds):
+    while not known.where("new").isEmpty():
         step = known.where("new").join(e, "node").select("qid", F.col("next").alias("node"), reached.alias("s")).where(F.col("s.d") <= limit)
         tried = known.select("qid", "node", "s", F.lit(0).alias("late")).unionByName(step.withColumn("late", F.lit(1)))
         best = tried.groupBy("qid", "node").agg(F.min(F.struct("s", "late")).alias("b"))
-        known = best.select("qid", "node", "b.s", (F.col("b.late") == 1).alias("new")).checkpoint()
-        if known.where("new").isEmpty():
-            break
+        after = durable(best.select("qid", "node", "b.s", (F.col("b.late") == 1).alias("new")))
+        discard(known)
+        known = after
     end = known.select("qid", F.col("node").alias("dst"), F.col("s.d").alias("length_m"))
     out = queries.select("qid", "dst").join(end, ["qid", "dst"], "left")
     back = known.select("qid", F.col("node").cast("long").alias("head"), F.col("s.prev").alias("prev"))
     walk = out.where("length_m is not null").select("qid", F.col("dst").cast("long").alias("head"), F.array(F.col("dst").cast("long")).alias("nodes"))
     done = walk.limit(0).select("qid", "nodes")
     while not walk.isEmpty():
-        walk = walk.join(back, ["qid", "head"]).checkpoint()
-        done = done.unionByName(walk.where("prev is null").select("qid", "nodes")).checkpoint()
+        walk = durable(walk.join(back, ["qid", "head"]))
+        done = durable(done.unionByName(walk.where("prev is null").select("qid", "nodes")))
         walk = walk.where("prev is not null").select("qid", F.col("prev").alias("head"), F.concat(F.array("prev"), "nodes").alias("nodes"))
     return out.join(done, "qid", "left").select("qid", F.col("length_m").isNotNull().alias("found"), "length_m", "nodes")

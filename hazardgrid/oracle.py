@@ -37,6 +37,12 @@ def _within(boundary: list[tuple[float, float]]) -> str:
     return f"({one}) % 2 = 1"
 
 
+def _recursion(name: str, start: str) -> str:
+    """Distances up to the route limit from the trips' nodes ``start``, relaxed road by road."""
+    return f"""{name}(s, v, d) using key (s, v) as (select distinct {start}, {start}, 0.0::double from snap where {start} >= 0 union select {name}.s, dst, min({name}.d + len_m) from {name} join edges on src = {name}.v
+        left join recurring.{name} known on known.s = {name}.s and known.v = dst where {name}.d + len_m <= {DEFAULT.route_limit} and (known.d is null or {name}.d + len_m < known.d) group by {name}.s, dst)"""
+
+
 CONFIDENCE = "(case when n >= 30 then 'high' when n >= 12 then 'mid' else 'low' end)"
 
 CTE = {
@@ -49,9 +55,9 @@ CTE = {
         coalesce(cnt, 0) as cnt from part left join (select l_partkey, count(*) as cnt from lineitem group by 1) on l_partkey = p_partkey)""",
     "loc": "loc as (select s_suppkey as lid, cast(s_suppkey * 4871 % 10007 as double) as px, cast(s_suppkey * 6547 % 10009 as double) as py from supplier)",
     "basepts": f"basepts as (select * from (select c_custkey as bid, cast(c_custkey * 5417 % 10007 as double) as px, cast(c_custkey * 2221 % 10009 as double) as py from customer) where {_within(BOUNDARY)})",
-    "nodes": "nodes as (select range as node, range % 40 * 250.0 as x, range // 40 * 250.0 as y from range(1600))",
-    "roads": """roads as (select range as a, range + 1 as b, cast(200 + range * 7919 % 101 as double) as len_m, range % 5 <> 0 as both_ways, case when range % 23 = 7 then 'motorway' else 'street' end as kind from range(1600) where range % 40 < 39
-        union all select range, range + 40, cast(200 + range * 104729 % 103 as double), true, case when range % 29 = 3 then 'elevated' else 'street' end from range(1600) where range // 40 < 39)""",
+    "nodes": "nodes as (select c_custkey as node, c_custkey % 40 * 250.0 as x, c_custkey // 40 * 250.0 as y from customer)",
+    "roads": """roads as (select * from (select c_custkey as a, c_custkey + 1 as b, cast(200 + c_custkey * 7919 % 101 as double) as len_m, c_custkey % 5 <> 0 as both_ways, case when c_custkey % 23 = 7 then 'motorway' else 'street' end as kind from customer where c_custkey % 40 < 39
+        union all select c_custkey, c_custkey + 40, cast(200 + c_custkey * 104729 % 103 as double), true, case when c_custkey % 29 = 3 then 'elevated' else 'street' end from customer) where b in (select c_custkey from customer))""",
     "edges": "edges as (select a as src, b as dst, len_m from roads where kind = 'street' union all select b, a, len_m from roads where both_ways and kind = 'street')",
     "seg": "seg as (select len_m, (a % 40 * 250.0 + b % 40 * 250.0) / 2 as x, (a // 40 * 250.0 + b // 40 * 250.0) / 2 as y from roads)",
     "rseg": "rseg as (select len_m, (a % 40 * 250.0 + b % 40 * 250.0) / 2 as x, (a // 40 * 250.0 + b // 40 * 250.0) / 2 as y from roads where kind = 'street')",
@@ -79,8 +85,8 @@ CTE = {
     "shr": "shr as (select lid, n, wsum, km, banded.band, case when km = 0 then null else wsum / km end as risk, round_even((wsum + 1.0 * coalesce(med, 0.0)) / (km + 1.0), 6) as shrunk from banded left join bandinfo using (band))",
     "score": "score as (select lid, n, km, shr.band, shr.risk, shrunk, cast(round_even(100.0 * (select count(*) from base where base.band = shr.band and base.risk > shr.shrunk) / (select count(*) from base where base.band = shr.band), 0) as int) as score from shr)",
     "everywhere": f"everywhere as (select avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as gn, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as gp from acc)",
-    "lines": """lines as (select r.range as rid, k.range as seq, cast(r.range * 431 % 5000 + k.range * (170 + r.range % 7 * 40) as double) as x,
-        cast(r.range * 977 % 6000 + k.range * k.range * (20 + r.range % 3 * 9) as double) as y from range(20) r, range(7) k)""",
+    "lines": """lines as (select s_suppkey as rid, k.range as seq, cast(s_suppkey * 431 % 5000 + k.range * (170 + s_suppkey % 7 * 40) as double) as x,
+        cast(s_suppkey * 977 % 6000 + k.range * k.range * (20 + s_suppkey % 3 * 9) as double) as y from supplier, range(7) k)""",
     "segs": "segs as (select *, sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)) as len from (select *, lead(x) over w as nx, lead(y) over w as ny from lines window w as (partition by rid order by seq)))",
     "samples": """samples as (select rid, row_number() over (partition by rid order by seq, k) - 1 as pos,
         x + coalesce((nx - x) * (k * 20.0 / len), 0.0) as px, y + coalesce((ny - y) * (k * 20.0 / len), 0.0) as py
@@ -90,14 +96,14 @@ CTE = {
     "racc": "racc as (select rid, lens.km, coalesce(n, 0) as n, coalesce(wsum, 0.0) as wsum, coalesce(fat, 0) as fat, coalesce(inj, 0) as inj from lens left join (select rid, count(*) as n, sum(sev) as wsum, sum(fat) as fat, sum(inj) as inj from rhits group by rid) using (rid))",
     "rx": """rx as (select *, row_number() over (partition by rid order by cnt desc, first, xid) as rn, least(12, greatest(5, cast(round_even(km, 0) as int))) as shown_n from
         (select rid, xid, any_value(name) as name, any_value(cls) as cls, any_value(cnt) as cnt, min(pos) as first from samples join xing on (px - x) * (px - x) + (py - y) * (py - y) <= 2025 group by rid, xid) join lens using (rid))""",
-    "trips": """trips as (select range as qid, case when range % 8 = 6 then -900.0 else cast(range * 1637 % 9500 as double) end as fx, cast(range * 2741 % 9500 as double) as fy,
-        cast(case when range % 8 = 5 then range * 1637 % 9500 when range % 8 = 7 then 12000 else range * 3943 % 9500 end as double) as tx,
-        cast(case when range % 8 = 5 then range * 2741 % 9500 else range * 811 % 9500 end as double) as ty from range(24))""",
+    "trips": """trips as (select qid, case when qid % 8 = 6 then -900.0 else cast(a % 40 * 250.0 + 30 as double) end as fx, cast(a // 40 * 250.0 - 20 as double) as fy,
+        case when qid % 8 = 7 then 12000.0 else cast(b % 40 * 250.0 - 25 as double) end as tx, cast(b // 40 * 250.0 + 40 as double) as ty
+        from (select qid, a, case when qid % 8 = 5 then a else (a + qid * 3943 % 1700) % size end as b from (select s_suppkey as qid, s_suppkey * 1637 % size as a, size from supplier, (select count(*) as size from customer))))""",
     "snap": """snap as (select qid, coalesce(a, -1) as a, coalesce(b, -1) as b from trips
         left join (select qid, arg_min(node, {'d': (fx - x) * (fx - x) + (fy - y) * (fy - y), 'n': node}) as a from trips, nodes where (fx - x) * (fx - x) + (fy - y) * (fy - y) <= 160000 group by qid) using (qid)
         left join (select qid, arg_min(node, {'d': (tx - x) * (tx - x) + (ty - y) * (ty - y), 'n': node}) as b from trips, nodes where (tx - x) * (tx - x) + (ty - y) * (ty - y) <= 160000 group by qid) using (qid))""",
-    "dist": """dist(s, v, d) using key (s, v) as (select distinct a, a, 0.0::double from snap where a >= 0 union select dist.s, dst, min(dist.d + len_m) from dist join edges on src = dist.v
-        left join recurring.dist known on known.s = dist.s and known.v = dst where known.d is null or dist.d + len_m < known.d group by dist.s, dst)""",
+    "dist": _recursion("dist", "a"),
+    "rdist": _recursion("rdist", "b"),
     "got": "got as (select qid, a, b, d from snap join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b and d <= 30000)",
     # of predecessors on a shortest path the nearest, then the smallest
     "pred": "pred as (select m.s, m.v, arg_min(e.src, {'d': p.d, 'n': e.src}) as p from dist m join edges e on e.dst = m.v join dist p on p.s = m.s and p.v = e.src where p.d + e.len_m = m.d and m.v <> m.s group by m.s, m.v)",
@@ -199,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "snap_nearest": q("nodes loc", "select lid, coalesce(node, -1) as node, round_even(dist, 6) as dist from loc left join (select lid, arg_min(node, {'d': d2, 'n': node}) as node, sqrt(min(d2)) as dist from (select lid, node, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc, nodes where (px - x) * (px - x) + (py - y) * (py - y) <= 160000) group by lid) using (lid)"),
         "route_error": q("nodes trips snap", "select qid, case when a < 0 or b < 0 then 'OUT_OF_COVERAGE' when a = b then 'NO_ROUTE' end as code, cast(case when a < 0 or b < 0 then 400 when a = b then 422 end as int) as status, case when a < 0 then 'start' when b < 0 then 'end' when a = b then 'both' end as which from snap"),
         "shortest_distance": q("nodes roads edges trips snap dist", "select qid, d is not null and d <= 30000 as found, round_even(case when d <= 30000 then d end, 3) as length_m from snap left join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b"),
+        "overlay_distance": q("nodes roads edges trips snap rdist", "select qid, b as src, a as dst, round_even(d, 3) as length_m from snap join rdist on rdist.s = b and rdist.v = a where a >= 0 and b >= 0 and a <> b"),
         "path_documents": q(_SEARCHED, "select qid, seq, node, x, y from path"),
         "route_path": q(_SEARCHED, f"select qid, seq, round_even({c.origin[0]}::double + y / {_METRE!r}::double, 6) as lat, round_even({c.origin[1]}::double + x / {_METRE * math.cos(math.radians(c.origin[0]))!r}::double, 6) as lon from path"),
         "route_trend": q("acc " + _SEARCHED + "pathlines segs samples pathlens rhits", "select lens.rid as qid, strftime(date '2024-07-01' + to_months(cast(m.range as int)), '%Y-%m') as ym, coalesce(h.n, 0) as n, false as partial from lens cross join range(24) m left join (select rid, mi, count(*) as n from rhits where mi between 0 and 23 group by all) h on h.rid = lens.rid and h.mi = m.range"),

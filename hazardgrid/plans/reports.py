@@ -11,7 +11,8 @@ from ..config import DEFAULT
 from ..functions import scalar as S
 from ..operators import crossings as X
 from ..operators import measures as M
-from ..operators import paths, spatial
+from ..operators import overlay, spatial
+from ..scratch import durable
 from . import surrogate as sur
 
 
@@ -142,7 +143,7 @@ def given_routes(t: sur.Tables) -> Routes:
 
 def searched_routes(t: sur.Tables) -> Routes:
     """The shortest ride of each trip that has one; its length is that of its roads."""
-    found = shortest(t).where("found").repartition("qid")
+    found = shortest(t)
     nodes = found.select(F.col("qid").alias("rid"), F.posexplode("nodes").alias("seq", "node"))
     vertices = nodes.join(t.nodes(), "node").select("rid", F.col("seq").cast("long").alias("seq"), "x", "y")
     return Routes(vertices, found.select(F.col("qid").alias("rid"), "length_m", S.floored_km(F.col("length_m")).alias("km")))
@@ -250,13 +251,46 @@ def route_errors(t: sur.Tables) -> DataFrame:
     return snapped(t).select("qid", code.alias("code"), F.when((a < 0) | (b < 0), 400).when(a == b, 422).alias("status"), F.when(a < 0, "start").when(b < 0, "end").when(a == b, "both").alias("which"))
 
 
-def shortest(t: sur.Tables) -> DataFrame:
+def network(t: sur.Tables) -> overlay.Overlay:
+    """The overlay of the roads that rides may use, built once a query."""
+    if "overlay" not in t.made:
+        t.made["overlay"] = overlay.build(t.nodes(), t.ride_edges(), DEFAULT.route_limit)
+    return t.made["overlay"]
+
+
+def searchable(t: sur.Tables) -> DataFrame:
+    """(qid, src, dst) of every trip that can be searched."""
+    return snapped(t).where("a >= 0 and b >= 0 and a <> b").select("qid", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def searched(t: sur.Tables) -> overlay.Searched:
+    if "searched" not in t.made:
+        t.made["searched"] = overlay.search(network(t), searchable(t))
+    return t.made["searched"]
+
+
+def shortest_lengths(t: sur.Tables) -> DataFrame:
     """(qid, found, length_m) of every trip that can be searched, within the route limit."""
-    ok = snapped(t).where("a >= 0 and b >= 0 and a <> b").select("qid", F.col("a").alias("src"), F.col("b").alias("dst"))
-    return paths.shortest_paths(ok, t.ride_edges(), DEFAULT.route_limit)
+    rows = searchable(t).select("qid").join(searched(t).trips.select("qid", "length_m"), "qid", "left")
+    return rows.select("qid", F.col("length_m").isNotNull().alias("found"), F.bround("length_m", 3).alias("length_m"))
+
+
+def shortest(t: sur.Tables) -> DataFrame:
+    """(qid, length_m, nodes) of every trip that has a path within the route limit."""
+    if "shortest" not in t.made:
+        got = searched(t)
+        t.made["shortest"] = durable(got.trips.select("qid", "length_m").join(overlay.path_nodes(network(t), got), "qid"))
+    return t.made["shortest"]
+
+
+def way_back(t: sur.Tables) -> DataFrame:
+    """(qid, src, dst, length_m) of the trips' ways back that the overlay has; one-way roads make these
+    differ from the ways there."""
+    back = searchable(t).select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return overlay.search(network(t), back).trips.select("qid", "src", "dst", F.bround("length_m", 3).alias("length_m"))
 
 
 def path_documents(t: sur.Tables) -> DataFrame:
     """(qid, seq, x, y) of the shortest paths' nodes."""
-    nodes = shortest(t).where("found").select("qid", F.posexplode("nodes").alias("seq", "node"))
-    return nodes.join(F.broadcast(t.nodes()), "node").select("qid", F.col("seq").cast("long").alias("seq"), "node", "x", "y")
+    nodes = shortest(t).select("qid", F.posexplode("nodes").alias("seq", "node"))
+    return nodes.join(t.nodes(), "node").select("qid", F.col("seq").cast("long").alias("seq"), "node", "x", "y")

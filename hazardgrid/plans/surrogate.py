@@ -20,6 +20,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        #: Tables that several parts of one query read, made once.
+        self.made: dict[str, object] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -50,17 +52,17 @@ class Tables:
         return self.read("customer").select(c.alias("bid"), (c * 5417 % 10007).cast("double").alias("px"), (c * 2221 % 10009).cast("double").alias("py")).where(spatial.is_inside(F.col("px"), F.col("py"), BOUNDARY))
 
     def nodes(self) -> DataFrame:
-        i = F.col("id")
-        return self.spark.range(SIDE * SIDE).select(i.alias("node"), (i % SIDE * SPACING).alias("x"), (F.floor(i / SIDE) * SPACING).alias("y"))
+        """A lattice SIDE nodes wide that grows north with the customers."""
+        i = F.col("c_custkey")
+        return self.read("customer").select(i.alias("node"), (i % SIDE * SPACING).alias("x"), (F.floor(i / SIDE) * SPACING).alias("y"))
 
     def edges(self) -> DataFrame:
         """Directed; some eastward roads are one-way."""
-        n = self.spark.range(SIDE * SIDE)
-        i = F.col("id")
-        col, row = i % SIDE, F.floor(i / SIDE)
-        east = n.where(col < SIDE - 1).select(i.alias("a"), (i + 1).alias("b"), (200 + i * 7919 % 101).cast("double").alias("len_m"), (i % 5 != 0).alias("both"), F.when(i % 23 == 7, "motorway").otherwise("street").alias("kind"))
-        north = n.where(row < SIDE - 1).select(i.alias("a"), (i + SIDE).alias("b"), (200 + i * 104729 % 103).cast("double").alias("len_m"), F.lit(True).alias("both"), F.when(i % 29 == 3, "elevated").otherwise("street").alias("kind"))
-        roads = east.unionByName(north)
+        n = self.read("customer")
+        i = F.col("c_custkey")
+        east = n.where(i % SIDE < SIDE - 1).select(i.alias("a"), (i + 1).alias("b"), (200 + i * 7919 % 101).cast("double").alias("len_m"), (i % 5 != 0).alias("both"), F.when(i % 23 == 7, "motorway").otherwise("street").alias("kind"))
+        north = n.select(i.alias("a"), (i + SIDE).alias("b"), (200 + i * 104729 % 103).cast("double").alias("len_m"), F.lit(True).alias("both"), F.when(i % 29 == 3, "elevated").otherwise("street").alias("kind"))
+        roads = east.unionByName(north).join(n.select(i.alias("b")), "b", "left_semi")
         one = roads.select(F.col("a").alias("src"), F.col("b").alias("dst"), "len_m", "kind")
         return one.unionByName(roads.where("both").select(F.col("b").alias("src"), F.col("a").alias("dst"), "len_m", "kind"))
 
@@ -76,15 +78,21 @@ class Tables:
         return e.select("len_m", mid(x).alias("x"), mid(y).alias("y"))
 
     def polylines(self) -> DataFrame:
-        """Twenty candidate routes in pairs; seven vertices each."""
+        """A candidate route of seven vertices for each supplier, in pairs."""
         r, k = F.col("rid"), F.col("seq")
-        rows = self.spark.range(20).select(F.col("id").alias("rid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("seq"))
+        rows = self.read("supplier").select(F.col("s_suppkey").alias("rid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("seq"))
         return rows.select("rid", "seq", (r * 431 % 5000 + k * (170 + r % 7 * 40)).cast("double").alias("x"), (r * 977 % 6000 + k * k * (20 + r % 3 * 9)).cast("double").alias("y"))
 
     def trips(self) -> DataFrame:
-        """Start and end points; some are far from any road, some share their node."""
-        q = F.col("id")
-        return self.spark.range(24).select(q.alias("qid"), F.when(q % 8 == 6, -900.0).otherwise((q * 1637 % 9500).cast("double")).alias("fx"), (q * 2741 % 9500).cast("double").alias("fy"), F.when(q % 8 == 5, q * 1637 % 9500).otherwise(F.when(q % 8 == 7, 12000).otherwise(q * 3943 % 9500)).cast("double").alias("tx"), F.when(q % 8 == 5, q * 2741 % 9500).otherwise(q * 811 % 9500).cast("double").alias("ty"))
+        """Start and end points of a trip for each supplier, near two nodes of the network up to 40 rows
+        apart; some are far from any road, some share their node."""
+        q = F.col("qid")
+        size = self.read("customer").agg(F.count("*").alias("size"))
+        rows = self.read("supplier").select(F.col("s_suppkey").alias("qid")).join(F.broadcast(size), how="cross")  # one row
+        rows = rows.withColumn("a", q * 1637 % F.col("size")).withColumn("b", F.when(q % 8 == 5, F.col("a")).otherwise((F.col("a") + q * 3943 % 1700) % F.col("size")))
+        at = lambda n, dx, dy: ((F.col(n) % SIDE * SPACING + dx).cast("double"), (F.floor(F.col(n) / SIDE) * SPACING + dy).cast("double"))
+        (fx, fy), (tx, ty) = at("a", 30, -20), at("b", -25, 40)
+        return rows.select("qid", F.when(q % 8 == 6, -900.0).otherwise(fx).alias("fx"), fy.alias("fy"), F.when(q % 8 == 7, 12000.0).otherwise(tx).alias("tx"), ty.alias("ty"))
 
     def places(self) -> DataFrame:
         p = F.col("p_partkey")

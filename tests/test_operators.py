@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardgrid.errors import AnalysisError
-from hazardgrid.operators import crossings, measures, paths, spatial
+from hazardgrid.operators import crossings, measures, overlay, paths, spatial
 from hazardgrid.sources.index import Index, write_index
 from hazardgrid.sources.police_csv import read_police_csv
 from hazardgrid.sources.sinks import write_json_documents
@@ -91,27 +91,76 @@ def test_sampled_line(spark):
     assert got == [(0, 0.0, 0.0), (1, 20.0, 0.0), (2, 40.0, 0.0), (3, 50.0, 0.0), (4, 50.0, 20.0)]
 
 
-def test_paths_agree_with_relaxation(spark):
-    r = random.Random(5)
-    edges = [(a, b, float(r.randint(1, 50))) for a in range(30) for b in r.sample(range(30), 3) if a != b]
-    e = spark.createDataFrame(edges, "src long, dst long, len_m double")
-    q = spark.createDataFrame([(i, r.randrange(30), r.randrange(30)) for i in range(8)], "qid long, src long, dst long")
-    one = {t.qid: t.length_m for t in paths.shortest_paths(q, e, 1e9).collect()}
-    two = {t.qid: t.length_m for t in paths.relaxed_lengths(q, e, 1e9).collect()}
-    assert one == two
-    none = {t.qid: t.found for t in paths.shortest_paths(q.where("src <> dst"), e, 0.5).collect()}
-    assert not any(none.values())
-
-
-def test_paths_of_a_large_network_have_nodes(spark, monkeypatch):
-    r = random.Random(6)
-    edges = [(a, b, float(r.randint(1, 4))) for a in range(12) for b in r.sample(range(12), 3) if a != b]
-    e = spark.createDataFrame(edges, "src long, dst long, len_m double")
-    q = spark.createDataFrame([(0, 3, 3), (1, 99, 2), *((i, r.randrange(12), r.randrange(12)) for i in range(2, 8))], "qid long, src long, dst long")
-    want = {t.qid: (t.found, t.length_m, t.nodes) for t in paths.shortest_paths(q, e, 1e9).collect()}
-    monkeypatch.setattr(paths, "WORKER_EDGES", 5)
-    got = {t.qid: (t.found, t.length_m, t.nodes) for t in paths.shortest_paths(q, e, 1e9).collect()}
-    assert got == want and any(len(n or ()) > 2 for _, _, n in want.values())
+def network(spark, side, seed, spread=100.0):
+    """A crooked lattice with one-way and diagonal roads and lengths that often tie."""
+    r = random.Random(seed)
+    nodes = [(i, i % side * spread + r.random(), i // side * spread + r.random()) for i in range(side * side)]
+    edges = [(i, j, float(r.randint(1, 4) * 60)) for i in range(side * side) for j in (i + 1, i - 1, i + side, i - side, i + side + 1) if 0 <= j < side * side and abs(i % side - j % side) < 2 and r.random() < 0.8]
+    edges += [(edges[0][0], edges[0][1], 999.0), (3, 3, 1.0), (5, 10_000, 1.0)]  # parallel, a loop, an unknown end
+    return spark.createDataFrame(nodes, "node long, x double, y double"), spark.createDataFrame(edges, "src long, dst long, len_m double")
+
+
+def plain_path(edges, src, dst, limit):
+    """(found, length, nodes) by trying all roads again and again; walked back to the nearest, then smallest."""
+    best = {src: 0.0}
+    while True:
+        better = {}
+        for a, b, w in edges:
+            if a in best and best[a] + w < min(best.get(b, 1e18), better.get(b, 1e18)) and best[a] + w <= limit:
+                better[b] = best[a] + w
+        if not better:
+            break
+        best |= better
+    if dst not in best:
+        return False, None, None
+    nodes = [dst]
+    while nodes[-1] != src:
+        nodes.append(min((best[a], a) for a, b, w in edges if b == nodes[-1] and a in best and best[a] + w == best[b] and a != b)[1])
+    return True, best[dst], nodes[::-1]
+
+
+def test_overlay_paths_equal_plain_paths(spark, monkeypatch):
+    """Lengths and, with ties, nodes; cells and blocks of trips are small, half of the trips start at one node."""
+    monkeypatch.setattr(overlay, "BLOCK_TRIPS", 3)
+    nodes, edges = network(spark, 9, 5)
+    r = random.Random(1)
+    asked = [(i, r.choice([40, r.randrange(81)]), r.randrange(81)) for i in range(40)] + [(100, 7, 7), (101, 8, 10_001), (102, 77, 78)]
+    queries = spark.createDataFrame(asked, "qid long, src long, dst long")
+    over = overlay.build(nodes, edges, 800.0, most=16)
+    assert over.cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 16 and over.cells.select("cell").distinct().count() > 5
+    got = {t.qid: (t.found, t.length_m, t.nodes) for t in overlay.shortest_paths(queries, over).collect()}
+    known = [tuple(e) for e in edges.where("dst < 81").collect()]
+    want = {q: plain_path(known, a, b, 800.0) if b < 81 else (False, None, None) for q, a, b in asked}
+    assert got == want and 15 < sum(f for f, _, _ in got.values()) < 40
+
+
+def test_overlay_of_one_cell_or_no_roads(spark):
+    nodes, edges = network(spark, 4, 2)
+    asked = [(1, 0, 15), (2, 15, 0), (3, 4, 4)]
+    queries = spark.createDataFrame(asked, "qid long, src long, dst long")
+    known = [tuple(e) for e in edges.where("dst < 16").collect()]
+    assert {t.qid: (t.found, t.length_m, t.nodes) for t in overlay.shortest_paths(queries, overlay.build(nodes, edges, 1e9)).collect()} == {q: plain_path(known, a, b, 1e9) for q, a, b in asked}
+    none = overlay.build(nodes, edges.limit(0), 1e9)
+    assert [(t.qid, t.length_m) for t in overlay.search(none, queries).trips.collect()] == [(3, 0.0)]
+    assert overlay.search(none, queries.limit(0)).trips.isEmpty()
+    with pytest.raises(ValueError):
+        overlay.build(nodes, edges.withColumn("len_m", F.lit(0.0)), 1e9)
+
+
+def test_quadtree_cells_bound_crowds(spark):
+    """Half of all points in one small square: its cells are small ones, the others large."""
+    r = random.Random(4)
+    rows = [(i, r.random() * 400 - 100, r.random() * 400) for i in range(400)] + [(1000 + i, r.random() * 1e6 - 5e5, r.random() * 1e6) for i in range(400)]
+    points = spark.createDataFrame(rows, "node long, x double, y double")
+    got = overlay.quad_cells(points, 40)
+    sizes = [c["count"] for c in got.groupBy("cell").count().collect()]
+    assert got.count() == 800 and max(sizes) <= 40 and len(sizes) < 120
+
+
+def test_relaxation_has_no_round_limit(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, len_m double")
+    row = paths.relaxed_lengths(spark.createDataFrame([(0, 0, 6)], "qid long, src long, dst long"), chain, 100.0).first()
+    assert row.found and row.length_m == 6 and row.nodes == list(range(7))
 
 
 def test_boundary(spark):
