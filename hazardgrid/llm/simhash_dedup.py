@@ -122,8 +122,8 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
 SIMILAR_WIDTH, SIMILAR = 5, (4, 5)
 #: Texts whose shingles are counted to find frequent ones, and frequent shingles that are told to workers.
 SAMPLE, FREQUENT = 10_000, 1 << 17
-#: Texts of a cell up to which all of its pairs are listed at once.
-SMALL_CELL = 64
+#: Texts of a cell up to which all of its pairs are listed at once; texts of a block of a crowded group.
+SMALL_CELL, GROUP_BLOCK = 8, 1024
 #: Bits of a set's parities.
 PARITIES = 2048
 
@@ -208,8 +208,9 @@ def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """(cell, a, b): pairs a < b of a small cell, with no cell named and without those for which too few
-    shingles are left from here on (the first cell that a similar pair shares lists it); each text of a crowded cell with its first text, under the cell's name."""
+    """(a, b, left): pairs a < b of a small cell, with a null for left and without those for which too few
+    shingles are left from here on (the first cell that a similar pair shares lists it); of a crowded cell
+    each text b with the cell's first text a, this one with itself, and the shingles left to b."""
     common.give_back()
     kinds = (("cells", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("places", "<u2"))
     cell, node, size, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in kinds)
@@ -235,12 +236,11 @@ def _meet(table: pa.Table) -> pa.Table:
         i = i[np.minimum(left[i], left[i + k]) * sum(SIMILAR) >= (size[i] + size[i + k]) * SIMILAR[0]]
         pairs.append(np.stack([node[i], node[i + k]], axis=1))
     few = np.unique(np.concatenate(pairs), axis=0)
-    first = begin[group]
-    many = np.flatnonzero(~small & (first != np.arange(len(cell))))
-    name = (np.int64(table.column("bucket")[0].as_py()) << 32) + cell[many] if len(many) else cell[many]
-    a, b = np.concatenate([few[:, 0], node[first[many]]]), np.concatenate([few[:, 1], node[many]])
-    named = pa.chunked_array([pa.nulls(len(few), pa.int64()), pa.array(name, pa.int64())])
-    return pa.table({"cell": named, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    many = np.flatnonzero(~small)
+    hub = begin[group][many]
+    a, b = np.concatenate([few[:, 0], node[hub]]), np.concatenate([few[:, 1], node[many]])
+    rest = pa.chunked_array([pa.nulls(len(few), pa.int64()), pa.array(left[many], pa.int64())])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "left": rest})
 
 
 def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -273,19 +273,55 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def _cross_pairs(hubs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs a < b of crowded cells' texts that are in different components so far, of
-    ``hubs(cell, a, b, apart)`` with the Jaccard distance of b to the cell's first text a, if known. That
-    distance is a metric: texts whose distances to a third differ by more than the bound are no pair."""
-    members = hubs.select("cell", F.col("b").alias("node"), "apart").unionByName(hubs.select("cell", F.col("a").alias("node"), F.lit(0.0).alias("apart")).distinct())
-    members = members.join(parts, "node", "left").select("cell", "node", "apart", F.coalesce("component", "node").alias("part"))
-    mixed = members.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("cell")
-    lists = members.join(mixed, "cell").groupBy("cell", "part").agg(F.collect_list(F.struct("node", "apart")).alias("held"))
-    lists = common.durable(lists)
-    one, two = lists.select("cell", F.col("part").alias("p"), F.col("held").alias("ps")), lists.select("cell", F.col("part").alias("q"), F.col("held").alias("qs"))
-    met = one.join(two, "cell").where("p < q").select(F.explode("ps").alias("s"), "qs").select("s", F.explode("qs").alias("t"))
-    met = met.where(F.coalesce(F.abs(F.col("s.apart") - F.col("t.apart")) <= 1 - SIMILAR[0] / SIMILAR[1] + 1e-9, F.lit(True)))
-    return met.select(F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b")).distinct()
+def _unmet(a: pa.Table) -> pa.Table:
+    """(a, b): pairs a < b of two blocks of a crowded group (of one, if the blocks are the same) that are in
+    different components so far and can be similar: by the shingles left to both, by their distances to
+    the group's first text, which are a metric, and by their parities. Only these pairs leave the task."""
+    col = lambda c, t: a.column(c).to_numpy().astype(t)
+    block, node, part, left, size = (col(c, np.int64) for c in ("block", "node", "part", "left", "size"))
+    apart = np.asarray(a.column("apart").fill_null(np.nan), dtype=np.float64)
+    parity = np.frombuffer(b"".join(a.column("parity").to_pylist()), dtype="<u8").reshape(len(node), -1)
+    order = np.lexsort((node, block))
+    block, node, part, left, size, apart, parity = (x[order] for x in (block, node, part, left, size, apart, parity))
+    one, two = np.flatnonzero(block == block[0]), np.flatnonzero(block == block[-1])
+    bound, met = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9, [np.zeros((0, 2), dtype=np.int64)]
+    for k, i in enumerate(one):
+        js = two[k + 1 :] if block[0] == block[-1] else two
+        both = size[i] + size[js]
+        js = js[(part[js] != part[i]) & (np.minimum(left[js], left[i]) * sum(SIMILAR) >= both * SIMILAR[0]) & ~(np.abs(apart[js] - apart[i]) > bound)]
+        differ = np.bitwise_count(parity[js] ^ parity[i]).sum(axis=1, dtype=np.int64)
+        js = js[differ * sum(SIMILAR) <= (size[i] + size[js]) * (SIMILAR[1] - SIMILAR[0])]
+        met.append(np.stack([np.minimum(node[i], node[js]), np.maximum(node[i], node[js])], axis=1))
+    found = np.concatenate(met)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ``pairs(a, b)``, made again from one text of each."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(text).tobytes() for text in common.bytes_of(part)], pa.binary())], names=["node", "shingles"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = rows.select("node", "key").join(asked, "node").groupBy("node").agg(F.min("key").alias("key"))
+    texts = docs.select("key", "text").join(wanted, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text")
+    return common.durable(texts.mapInArrow(again, "node long, shingles binary"))
+
+
+def _cross_pairs(hubs: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs that ``_unmet`` finds among the texts of crowded cells. Cells of the same first text are one
+    group, as relatives share many cells: ``hubs(a, b, left, apart)`` names each text b of the group a once,
+    with the most that any cell leaves to it. A large group is cut into blocks, each pair of which is a
+    task's; texts are copied once a block, pairs are not written."""
+    members = hubs.join(parts, hubs["b"] == parts["node"], "left").select("a", F.col("b").alias("node"), "left", "apart", F.coalesce("component", "b").alias("part"))
+    mixed = members.groupBy("a").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+    sets = rows.join(members.join(mixed, "a", "left_semi").select("node").distinct(), "node").groupBy("node").agg(F.first("parity").alias("parity"), F.first("size").cast("long").alias("size"))
+    held = members.join(mixed.select("a", "blocks"), "a").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [F.col("a").alias("hub"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    dealt = held.select(*keys, "block", "node", "part", "left", "apart", "size", "parity")
+    return dealt.groupBy("hub", "lo", "hi").applyInArrow(_unmet, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -296,8 +332,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     No pair is missed: texts meet in cells of the shingles that come first in a common order, rare ones
     before frequent ones (prefix filtering), so a shared passage brings nobody together as long as
     a fifth of a text is its own. Each pair is decided by its two sets. A crowded cell's texts first
-    meet its first text alone; where that leaves several components in the cell, all pairs between
-    different ones follow. Equal sets are one node, known by 64 bits.
+    meet its first text alone; where that leaves several components in the cell, pairs between different
+    ones are tested by parities inside blocks, and those that can be similar follow. Equal sets are one
+    node, known by 64 bits.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -312,27 +349,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
             prefix = [prefix_of(s, *told.value).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefix, pa.binary()), pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "key", "node", "size", "prefix", "parity"])
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(text).tobytes() for text in common.bytes_of(part)], pa.binary())], names=["node", "shingles"])
-
     rows = common.durable(docs.mapInArrow(run, "doc_id long, key binary, node long, size int, prefix binary, parity binary"))
     width = common.shuffle_width(spark) // 4
     packed = rows.select("node", "size", "prefix").mapInArrow(lambda it: _pack(it, width), "bucket int, cells binary, nodes binary, sizes binary, places binary")
-    met = common.durable(packed.groupBy("bucket").applyInArrow(_meet, "cell long, a long, b long"))
-    met_once = common.durable(met.select("a", "b").distinct())
+    met = common.durable(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long, left long"))
+    met_once = common.durable(met.where("a <> b").select("a", "b").distinct())
     pairs = common.durable(_possible(met_once, rows))
-    crowded = met.where("cell is not null")
-    asked = pairs.unionByName(crowded.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = rows.select("node", "key").join(asked, "node").groupBy("node").agg(F.min("key").alias("key"))
-    texts = docs.select("key", "text").join(wanted, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text")
-    sets = common.durable(texts.mapInArrow(again, "node long, shingles binary"))
-    scored = common.durable(_scored(pairs, sets))
+    crowded = met.where("left is not null").groupBy("a", "b").agg(F.max("left").alias("left"))
+    scored = common.durable(_scored(pairs, _sets(docs, rows, pairs)))
     links = scored.where(similar(F.col("both"), F.col("either"))).select("a", "b")
     parts = common.durable(common.connected_components(links))
-    hubs = crowded.join(scored, ["a", "b"], "left").select("cell", "a", "b", (1 - F.col("both") / F.col("either")).alias("apart"))
-    more = common.durable(_cross_pairs(hubs, parts).join(met_once, ["a", "b"], "left_anti"))
-    more = common.durable(_scored(_possible(more, rows), sets).where(similar(F.col("both"), F.col("either"))).select("a", "b"))
+    apart = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("both") / F.col("either"))
+    hubs = crowded.join(scored, ["a", "b"], "left").select("a", "b", "left", apart.alias("apart"))
+    more = common.durable(_cross_pairs(hubs, parts, rows).join(met_once, ["a", "b"], "left_anti"))
+    more = common.durable(_scored(more, _sets(docs, rows, more)).where(similar(F.col("both"), F.col("either"))).select("a", "b"))
     if not more.isEmpty():
         parts = common.connected_components(links.unionByName(more))
     named = rows.select("doc_id", "key", "node").join(parts, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
