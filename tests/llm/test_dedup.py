@@ -221,6 +221,27 @@ def test_near_copies_beside_unlinked_relatives(spark):
     assert n == 150 and got == want
 
 
+def test_pairs_of_unlinked_relatives_are_not_written(spark):
+    """Texts of a family that share most shingles but never link: their pairs stay in the tasks that test
+    them; linked pairs across blocks are found."""
+    from hazardgrid.llm import simhash_dedup as sd
+
+    r = np.random.default_rng(8)
+    common_part = r.integers(1, 1 << 62, 300)
+    sets = [np.unique(np.concatenate([common_part, r.integers(1, 1 << 62, 60)])).astype("<u8") for _ in range(300)]
+    sets += [np.unique(np.append(s[:-1], np.uint64(7 + i))) for i, s in enumerate(sets[:5])]  # five that do link
+    rows = spark.createDataFrame([(i, len(s), bytearray(sd.parities(s))) for i, s in enumerate(sets)], "node long, size int, parity binary")
+    hubs = spark.createDataFrame([(0, i, len(s), None if i else 0.0) for i, s in enumerate(sets)], "a long, b long, left long, apart double")
+    parts = spark.createDataFrame([], "node long, component long")
+    for block in (1024, 64):
+        old, sd.GROUP_BLOCK = sd.GROUP_BLOCK, block
+        try:
+            got = {tuple(t) for t in sd._cross_pairs(hubs, parts, rows).collect()}
+        finally:
+            sd.GROUP_BLOCK = old
+        assert got == {(i, 300 + i) for i in range(5)}
+
+
 def test_near_copies_at_the_bound(spark):
     """90 shingles each, of which 80 (0.8 exactly), 79 or 78 are shared; repeats count once."""
     r = random.Random(12)

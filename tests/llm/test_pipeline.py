@@ -70,6 +70,27 @@ def test_one_of_repeated_rows_stays(spark, tmp_path):
     assert len(cut) == 5 and all(len(t.text) > 500 for t in cut)
 
 
+NAMES = "__digest __key __score __keep __kept __id __text __row digest key row id keep_id kept kept_key kept_id cut_key kept_text toxic_score".split()
+
+
+def test_columns_of_any_name_and_long_texts(spark, folder):
+    """Columns named as helpers are come through unchanged; a text of 1 MB is kept whole; no rows give none."""
+    sf_dir, rows, _ = folder
+    r = random.Random(9)
+    long = " ".join(f"v{r.randrange(10**7)}" for _ in range(130_000))
+    docs = spark.createDataFrame([x[:2] for x in rows[:60]] + [(5000, long), (5001, None), (5001, None)], "doc_id long, text string")
+    docs = docs.select(*[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in NAMES], "doc_id", "text", F.col("doc_id").alias("n_chars"), F.lit(1).alias("a.b"))
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = (corpus_pipeline.common.durable(stage(spark, x, sf_dir)) for x in (docs, empty))
+        got = docs.collect()
+        assert docs.columns == [*NAMES, "doc_id", "text", "n_chars", "a.b"] == empty.columns and empty.isEmpty()
+        assert got and all(t[n] == f"{n}{t.doc_id}" for t in got for n in NAMES) and all(t["a.b"] == 1 for t in got)
+        assert [t.text for t in got if t.doc_id == 5000] == [long]
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, empty, sf_dir).isEmpty() and pack(spark, docs, sf_dir).where("doc_id = 5000").count() > 20
+
+
 def test_names():
     names = __spark_entry__.queries()
     for n in range(1, 14):
