@@ -81,9 +81,9 @@ CTE = {
     "rbase": "rbase as (select bid, km, risk, cast((select count(*) from rcuts where rbase0.km >= e) as int) as band from rbase0)",
     "rinfo": "rinfo as (select band, quantile_cont(risk, 0.5) as med, count(*) as samples, min(km) as lo, max(km) as hi from rbase group by band)",
     "bandinfo": "bandinfo as (select band, quantile_cont(risk, 0.5) as med, count(*) as samples, min(km) as lo, max(km) as hi from base group by band)",
-    "banded": "banded as (select lid, n, wsum, round_even(km, 9) as km, cast((select count(*) from bandinfo where band > 0 and round_even(loc_m.km, 9) >= lo) as int) as band from loc_m)",
+    "banded": "banded as (select lid, n, wsum, round_even(km, 9) as km, cast(coalesce((select max(band) from bandinfo where band > 0 and round_even(loc_m.km, 9) >= lo), 0) as int) as band from loc_m)",
     "shr": "shr as (select lid, n, wsum, km, banded.band, case when km = 0 then null else wsum / km end as risk, round_even((wsum + 1.0 * coalesce(med, 0.0)) / (km + 1.0), 6) as shrunk from banded left join bandinfo using (band))",
-    "score": "score as (select lid, n, km, shr.band, shr.risk, shrunk, cast(round_even(100.0 * (select count(*) from base where base.band = shr.band and base.risk > shr.shrunk) / (select count(*) from base where base.band = shr.band), 0) as int) as score from shr)",
+    "score": "score as (select lid, n, km, shr.band, shr.risk, shrunk, cast(round_even(100.0 * (select count(*) from base where base.band = shr.band and base.risk > shr.shrunk) / nullif((select count(*) from base where base.band = shr.band), 0), 0) as int) as score from shr)",
     "everywhere": f"everywhere as (select avg(case when hour in {NIGHT} then 1.0 else 0.0 end) as gn, avg(case when hour in {PEAK} then 1.0 else 0.0 end) as gp from acc)",
     "lines": """lines as (select s_suppkey as rid, k.range as seq, cast(s_suppkey * 431 % 5000 + k.range * (170 + s_suppkey % 7 * 40) as double) as x,
         cast(s_suppkey * 977 % 6000 + k.range * k.range * (20 + s_suppkey % 3 * 9) as double) as y from supplier, range(7) k)""",
@@ -160,9 +160,9 @@ def _route(head: str = _PAIRS) -> str:
         round_even(km, 1) as km, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(risk, 2) as risk, round_even(dens, 1) as corridor_km, band + 1 as band, hi, total, n_shown, round_even(hi / greatest(km, 0.5) * 10, 0) / 10 as hi_per_km,
         {_star("score + (0.42::double - peak) * 80")} as star_motorcycle, {_star("score + 12 - least(16.0::double, hi / greatest(km, 0.5) * 14)")} as star_car, {_star("score + (0.32::double - night) * 165")} as star_night, {_star("score + 10 - least(30.0::double, hi / greatest(km, 0.5) * 28)")} as star_novice, {_star("score + (case when fat = 0 then 8 else -20 end)")} as star_passenger
         from (select s.*, coalesce(hi, 0) as hi, coalesce(total, 0) as total, coalesce(n_shown, 0) as n_shown, case when coalesce(hn, 0) < 8 then gn else night1 end as night, case when coalesce(hn, 0) < 8 then gp else peak1 end as peak,
-            cast(round_even(100.0 * (select count(*) from rbase where rbase.band = s.band and rbase.risk > s.shrunk) / (select count(*) from rbase where rbase.band = s.band), 0) as int) as score
+            cast(round_even(100.0 * (select count(*) from rbase where rbase.band = s.band and rbase.risk > s.shrunk) / nullif((select count(*) from rbase where rbase.band = s.band), 0), 0) as int) as score
             from (select rid, round_even(km, 6) as km, n, fat, inj, round_even(wsum / km, 6) as risk, dens, b.band, round_even((wsum + 0.5 * coalesce(med, 0.0)) / (round_even(km, 6) + 0.5), 6) as shrunk
-                from (select racc.*, dens, cast((select count(*) from rinfo where band > 0 and dens >= lo) as int) as band from racc join
+                from (select racc.*, dens, cast(coalesce((select max(band) from rinfo where band > 0 and dens >= lo), 0) as int) as band from racc join
                     (select rid, round_even(avg(coalesce(km, 0.0)), 6) as dens from (select rid, pos, sum(len_m * {_k("d2")}) / 1000.0 as km from (select p.rid, p.pos, len_m, (px - x) * (px - x) + (py - y) * (py - y) as d2 from (select * from samples join (select rid, max(pos) as last from samples group by rid) using (rid) where last < 10 or pos % 10 = 0) p left join rseg on (px - x) * (px - x) + (py - y) * (py - y) <= 250000) group by rid, pos) group by rid) using (rid)) b
                 left join rinfo on rinfo.band = b.band) s
             left join (select rid, count(*) filter (cnt >= 15) as hi, count(*) as total, count(*) filter (rn <= shown_n) as n_shown from rx group by rid) using (rid)
