@@ -2,6 +2,7 @@ import base64
 import os
 import random
 import sys
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -218,12 +219,56 @@ def test_voting_equals_plain_cosines():
     voters = quality_knn.Voters(x, y)
     a = voters.project(x[:10])
     for k, got in enumerate(voters.vote(x[:10])):
-        near = voters.vectors @ a[k]
-        top = np.argsort(-near)[: quality_knn.NEIGHBOURS]
-        weight = np.maximum(near[top], 0) ** quality_knn.POWER
+        near = voters.vectors @ a[k] / quality_knn.VECTOR_UNIT**2
+        top = np.argsort(-near, kind="stable")[: quality_knn.NEIGHBOURS]
+        weight = np.maximum(near[top], 0) ** 8
         assert abs(got - (weight * y[top]).sum() / weight.sum()) < 1e-3
 
 
+def test_quality_is_a_function_of_the_text(spark, labelled):
+    """Whatever the partitions, with repeated documents and labels, ties among neighbours and the ends of
+    long words."""
+    docs, labels = labelled
+    more = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    want = {r.doc_id: r.score for r in quality_knn.quality(more, labels.unionByName(labels)).collect()}
+    for parts in (1, 7):
+        got = quality_knn.quality(more.repartition(parts, "text"), labels).collect()
+        assert len(got) == more.count() and all(want[r.doc_id] == r.score for r in got)
+    long = ["a1" * 40 + "Z", "a1" * 40 + "z"]
+    assert len({quality_knn.shape(w) for w in long}) == 2
+    x = np.repeat(np.abs(np.random.default_rng(1).standard_normal((2, quality_knn.TERMS))), 30, axis=0).astype(np.float32)
+    voters = quality_knn.Voters(x, np.tile([1, 0], 30))
+    whole = voters.vote(x)
+    assert all(voters.vote(x[k : k + 1])[0] == whole[k] for k in range(60)) and abs(whole[0] - 8 / 15) < 1e-6
+
+
+def test_quality_query_equals_a_plain_version(spark, labelled):
+    docs, labels = labelled
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = dict(rows)
+    known = {r.doc_id: r.quality for r in labels.collect() if None not in (r.doc_id, r.quality) and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    ids = sorted(known)
+    terms = quality_knn.Terms()
+    x, y = terms.counts([texts[i] or "" for i in ids]).astype(float), np.array([known[i] for i in ids])
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    axes = np.linalg.svd(x * idf, full_matrices=True)[2][: quality_knn.DIMENSIONS]
+    got = {r.doc_id: r.score for r in quality_knn.quality(docs, labels).collect()}
+    base = (x * idf) @ axes.T
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    differ = 0
+    for i, text in rows:
+        one = terms.counts([text or ""]).astype(float)[0]
+        if not one.any():
+            assert abs(got[i] - y.mean()) < 1e-9
+            continue
+        z = axes @ (one * idf)
+        near = base @ (z / np.linalg.norm(z))
+        top = np.argsort(-near, kind="stable")[: quality_knn.NEIGHBOURS]
+        weight = np.maximum(near[top], 0) ** 8
+        differ += abs(got[i] - (weight * y[top]).sum() / weight.sum()) > 1e-3
+    assert differ <= len(rows) // 100  # near ties in the plain version's last places
+
+
 def test_machine_equals_its_kernel():
     good, bad = ["idiot", "moron", "stupid"], ["ta", "reno", "liket", "sukeno"]
     kernel = toxicity_svm.Kernel([*good, *bad])
