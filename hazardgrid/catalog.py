@@ -120,6 +120,8 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "route_minutes": lambda t: R.given_routes(t).lengths.select("rid", S.minutes(F.col("km"), DEFAULT.ride_kmh).alias("min"), F.bround("km", 1).alias("km")),
     "route_report": R.route_report,
     "analyze_route": R.analyze_route,
+    "route_alternatives": R.route_alternatives,
+    "route_candidates": R.route_candidates,
     "route_trend": R.route_trend,
     "route_path": R.route_path,
     "name_normalise": _names,
@@ -133,6 +135,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "path_documents": R.path_documents,
     # no SQL form: nested documents
     "walk_documents": R.walk_documents,
+    "route_documents": R.route_documents,
 }
 
 

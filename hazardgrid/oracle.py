@@ -37,12 +37,17 @@ def _within(boundary: list[tuple[float, float]]) -> str:
     return f"({one}) % 2 = 1"
 
 
-def _recursion(name: str, start: str) -> str:
-    """Distances up to the route limit from the trips' nodes ``start``, relaxed road by road."""
-    return f"""{name}(s, v, d) using key (s, v) as (select distinct {start}, {start}, 0.0::double from snap where {start} >= 0 union select {name}.s, dst, min({name}.d + len_m) from {name} join edges on src = {name}.v
+def _recursion(name: str, start: str, table: str = "snap") -> str:
+    """Distances up to the route limit from the nodes ``start`` of ``table``, relaxed road by road."""
+    return f"""{name}(s, v, d) using key (s, v) as (select distinct {start}, {start}, 0.0::double from {table} where {start} >= 0 union select {name}.s, dst, min({name}.d + len_m) from {name} join edges on src = {name}.v
         left join recurring.{name} known on known.s = {name}.s and known.v = dst where {name}.d + len_m <= {DEFAULT.route_limit} and (known.d is null or {name}.d + len_m < known.d) group by {name}.s, dst)"""
 
 
+def _predecessors(name: str, dist: str) -> str:
+    """Of predecessors on a shortest path the nearest, then the smallest."""
+    return f"{name} as (select m.s, m.v, arg_min(e.src, {{'d': p.d, 'n': e.src}}) as p from {dist} m join edges e on e.dst = m.v join {dist} p on p.s = m.s and p.v = e.src where p.d + e.len_m = m.d and m.v <> m.s group by m.s, m.v)"
+
+
 CONFIDENCE = "(case when n >= 30 then 'high' when n >= 12 then 'mid' else 'low' end)"
 
 CTE = {
@@ -105,12 +110,24 @@ CTE = {
     "dist": _recursion("dist", "a"),
     "rdist": _recursion("rdist", "b"),
     "got": "got as (select qid, a, b, d from snap join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b and d <= 30000)",
-    # of predecessors on a shortest path the nearest, then the smallest
-    "pred": "pred as (select m.s, m.v, arg_min(e.src, {'d': p.d, 'n': e.src}) as p from dist m join edges e on e.dst = m.v join dist p on p.s = m.s and p.v = e.src where p.d + e.len_m = m.d and m.v <> m.s group by m.s, m.v)",
+    "pred": _predecessors("pred", "dist"),
     "back": "back(qid, s, node, n) as (select qid, a, b, 0 from got union all select qid, back.s, pred.p, n + 1 from back join pred on pred.s = back.s and pred.v = back.node)",
     "path": "path as (select qid, row_number() over (partition by qid order by n desc) - 1 as seq, back.node, cast(x as double) as x, cast(y as double) as y from back join nodes on nodes.node = back.node)",
     "pathlines": "lines as (select qid as rid, seq, x, y from path)",
     "pathlens": "lens as (select qid as rid, greatest(d / 1000.0, 0.1) as km from got)",
+    # roads that leave a path, the shortest rides from their ends, and those without loops
+    "along": "along as (select a.qid, a.seq as pos, a.node, z.node as next, sum(e.len_m) over (partition by a.qid order by a.seq) - e.len_m as before from path a join path z on z.qid = a.qid and z.seq = a.seq + 1 join edges e on e.src = a.node and e.dst = z.node)",
+    "spurs": "spurs as (select l.qid, pos, e.dst as w, before + e.len_m as so_far from along l join edges e on e.src = l.node where e.dst <> next and not exists (select 1 from path p where p.qid = l.qid and p.seq <= l.pos and p.node = e.dst))",
+    "sdist": _recursion("sdist", "w", "spurs"),
+    "spred": _predecessors("spred", "sdist"),
+    "sgot": "sgot as (select spurs.qid, pos, w, got.b, so_far + sdist.d as d from spurs join got on got.qid = spurs.qid join sdist on sdist.s = w and sdist.v = got.b where so_far + sdist.d <= 30000)",
+    "sback": "sback(qid, pos, w, node, n) as (select qid, pos, w, b, 0 from sgot union all select qid, pos, w, spred.p, n + 1 from sback join spred on spred.s = sback.w and spred.v = sback.node)",
+    "deviations": """deviations as (select g.qid, min(g.d) as d, g.nodes from (select sgot.*, (select list(node order by seq) from path p where p.qid = sgot.qid and p.seq <= sgot.pos) || r.nodes as nodes
+        from sgot join (select qid, pos, w, list(node order by n desc) as nodes from sback group by all) r on r.qid = sgot.qid and r.pos = sgot.pos and r.w = sgot.w) g
+        where len(list_distinct(g.nodes)) = len(g.nodes) group by g.qid, g.nodes)""",
+    "alts": "alts as (select qid, 0 as alt, got.d, (select list(node order by seq) from path p where p.qid = got.qid) as nodes from got union all select qid, cast(rn as int), d, nodes from (select *, row_number() over (partition by qid order by round_even(d, 6), nodes) as rn from deviations) where rn < 3)",
+    "altlines": "lines as (select rid, seq, cast(x as double) as x, cast(y as double) as y from (select qid * 3 + alt as rid, unnest(nodes) as node, generate_subscripts(nodes, 1) - 1 as seq from alts) join nodes using (node))",
+    "altlens": "lens as (select qid * 3 + alt as rid, greatest(d / 1000.0, 0.1) as km from alts)",
     "places": "places as (select p_partkey as pid, concat_ws(' ', p_name, p_brand) as name, cast(p_partkey * 3571 % 10007 as double) as x, cast(p_partkey * 6547 % 10009 as double) as y from part)",
     "asked": "asked as (select * from (values (0, 'widget Brand#1', 100.0, 200.0), (1, 'small bolt', 5000.0, 5000.0), (2, 'ＢＯＬＴ　Brand#２３', 9000.0, 10.0), (3, 'gi', 1.0, 1.0), (4, '臺北', 0.0, 0.0), (5, 'ｓｍａｌｌ 二十三號', 0.0, 0.0), (6, '一百零五巷 三百十二弄 十樓', 0.0, 0.0)) v(qid, q, qx, qy))",
 }
@@ -136,6 +153,7 @@ _FACTORS = {"accidents": "score", "crossings": "90 - hot * 14", "large": "82 - l
 _BASE = "acc seg basepts base0 cuts base bandinfo "
 _RIDE = "acc rseg basepts rpts rbase0 rcuts rbase rinfo "
 _SEARCHED = "nodes roads edges trips snap dist got pred back path "
+_ALTERNATIVES = "along spurs sdist spred sgot sback deviations alts "
 _METRE = math.pi / 180 * 6371008.8
 _LOC = "loc hits loc_m banded shr score "
 
@@ -208,6 +226,8 @@ def oracle_sql() -> dict[str, str]:
         "overlay_distance": q("nodes roads edges trips snap rdist", "select qid, b as src, a as dst, round_even(d, 3) as length_m from snap join rdist on rdist.s = b and rdist.v = a where a >= 0 and b >= 0 and a <> b"),
         "path_documents": q(_SEARCHED, "select qid, seq, node, x, y from path"),
         "route_path": q(_SEARCHED, f"select qid, seq, round_even({c.origin[0]}::double + y / {_METRE!r}::double, 6) as lat, round_even({c.origin[1]}::double + x / {_METRE * math.cos(math.radians(c.origin[0]))!r}::double, 6) as lon from path"),
+        "route_alternatives": q(_SEARCHED + _ALTERNATIVES, "select qid, alt, round_even(d, 3) as length_m, cast(len(nodes) as int) as n_nodes, array_to_string(nodes, ' ') as path from alts"),
+        "route_candidates": q(_SEARCHED + _ALTERNATIVES + _RIDE + "xing everywhere altlines segs samples altlens rhits racc rx", "select *, row_number() over (partition by qid order by score desc, km, alt) = 1 as recommended from (" + _route("rid // 3 as qid, cast(rid % 3 as int) as alt, case when rid % 3 = 0 then 'shortest' else 'alternative ' || chr(cast(64 + rid % 3 as int)) end as label") + ")"),
         "route_trend": q("acc " + _SEARCHED + "pathlines segs samples pathlens rhits", "select lens.rid as qid, strftime(date '2024-07-01' + to_months(cast(m.range as int)), '%Y-%m') as ym, coalesce(h.n, 0) as n, false as partial from lens cross join range(24) m left join (select rid, mi, count(*) as n from rhits where mi between 0 and 23 group by all) h on h.rid = lens.rid and h.mi = m.range"),
         "analyze_route": q(_SEARCHED + _RIDE + "xing everywhere pathlines segs samples pathlens rhits racc rx", "select *, printf('%d accidents within 40 m over %.1f km, %d dead, %d injured', accidents, km, fat, inj) as plain, printf('%d of %d crossings on the way had 15 accidents or more', hi, total) as reason, printf('%s confidence from %d accidents', confidence, accidents) as confidence_reason from (" + _route("rid as qid, 'shortest' as label, true as recommended") + ")"),
         "crossing_records": q("xing loc xhits", "select lid, xid, name, cls, cnt, dist, dist <= 300 and cnt >= 15 as hot, cast(rn as int) as rn, rank, printf('%d accidents, distance %d m, %s', cnt, dist, cls) as detail from (select xhits.*, cast(round_even(sqrt(d2), 0) as int) as dist, row_number() over (partition by lid order by cnt desc, xid) as rn from xhits) join (select xid, round_even(percent_rank() over (partition by cls order by cnt), 6) as rank from xing) using (xid) where rn <= 12"),

@@ -12,6 +12,7 @@ from ..functions import scalar as S
 from ..operators import crossings as X
 from ..operators import measures as M
 from ..operators import overlay, spatial
+from ..operators.alternatives import alternative_paths
 from ..scratch import durable
 from . import surrogate as sur
 
@@ -125,6 +126,16 @@ def walk_documents(t: sur.Tables) -> DataFrame:
     return flat.join(xs, "lid", "left").join(trend, "lid", "left").select("lid", body.alias("body"))
 
 
+#: Stars of a route: who, and the reason's text with its columns.
+LIFESTYLE = [
+    ("motorcycle", "rush hours in a route of %.1f km with %d accidents", ("km", "accidents")),
+    ("car", "%.1f crossings with 15 accidents or more a km", ("hi_per_km",)),
+    ("night", "night hours in a route with %d accidents", ("accidents",)),
+    ("novice", "%.1f crossings with 15 accidents or more a km", ("hi_per_km",)),
+    ("passenger", "%d dead in the period", ("fat",)),
+]
+
+
 @dataclass(frozen=True)
 class Routes:
     """Routes to analyse: vertices (rid, seq, x, y) and lengths (rid, length_m, km)."""
@@ -290,6 +301,67 @@ def way_back(t: sur.Tables) -> DataFrame:
     return overlay.search(network(t), back).trips.select("qid", "src", "dst", F.bround("length_m", 3).alias("length_m"))
 
 
+def alternatives(t: sur.Tables) -> DataFrame:
+    """(qid, alt, length_m, nodes): each trip's shortest ride, number 0, and its shortest loopless deviations."""
+    if "alternatives" not in t.made:
+        t.made["alternatives"] = durable(alternative_paths(shortest(t), network(t), t.ride_edges(), DEFAULT.route_choices))
+    return t.made["alternatives"]
+
+
+def route_alternatives(t: sur.Tables) -> DataFrame:
+    return alternatives(t).select("qid", "alt", F.bround("length_m", 3).alias("length_m"), F.size("nodes").alias("n_nodes"), F.array_join(F.col("nodes").cast("array<string>"), " ").alias("path"))
+
+
+def candidate_routes(t: sur.Tables) -> Routes:
+    """All candidates of the trips; a route's number is that of its trip, times the choices, and its own."""
+    rid = (F.col("qid") * DEFAULT.route_choices + F.col("alt")).alias("rid")
+    nodes = alternatives(t).select(rid, F.posexplode("nodes").alias("seq", "node"))
+    vertices = nodes.join(t.nodes(), "node").select("rid", F.col("seq").cast("long").alias("seq"), "x", "y")
+    return Routes(vertices, alternatives(t).select(rid, "length_m", S.floored_km(F.col("length_m")).alias("km")))
+
+
+def of_trips(rows: DataFrame) -> DataFrame:
+    """``rows(rid, ...)`` of candidates with the trip's id, the number among its candidates and the label."""
+    n = DEFAULT.route_choices
+    alt = (F.col("rid") % n).cast("int")
+    return rows.select(F.floor(F.col("rid") / n).alias("qid"), alt.alias("alt"), S.route_label(alt).alias("label"), *[c for c in rows.columns if c != "rid"])
+
+
+def route_candidates(t: sur.Tables) -> DataFrame:
+    """The report of each candidate of each trip, and whether it is the trip's recommended one: the best
+    score, of equal ones the least km, then the first."""
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "km", "alt")) == 1
+    return of_trips(route_rows(t, candidate_routes(t))).withColumn("recommended", best)
+
+
+def route_documents(t: sur.Tables) -> DataFrame:
+    """(qid, body): each trip's analysis as one JSON object. ``routes`` holds the documents of all candidates by
+    their number, each with score, stats, path, crossings shown, lifestyle stars, trend and data; the root repeats
+    the shortest one's fields."""
+    r = candidate_routes(t)
+    lat, lon = S.unproject(F.col("x"), F.col("y"), *DEFAULT.origin)
+    ordered = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
+    path = r.vertices.groupBy("rid").agg(ordered("seq", F.bround(lat, 6).alias("lat"), F.bround(lon, 6).alias("lon")).alias("p")).select("rid", F.transform("p", lambda v: F.array(v["lat"], v["lon"])).alias("path"))
+    ranks = X.class_rank(t.crossings()).select("xid", "rank")
+    shown = route_crossings(t, r).where("shown").join(ranks, "xid")
+    xs = shown.groupBy("rid").agg(ordered("rn", "xid", "name", "cls", "cnt", "rank", "high", "detail").alias("intersections"))
+    trend = M.monthly_trend(r.lengths, route_hits(t, r), "rid", DEFAULT.months, sur.FIRST_MONTH).groupBy("rid").agg(ordered("ym", "n", "partial").alias("trend"))
+    n = DEFAULT.route_choices
+    flat = route_candidates(t).withColumn("rid", F.col("qid") * n + F.col("alt"))
+    one = flat.join(path, "rid").join(xs, "rid", "left").join(trend, "rid", "left")
+    shown_xs = F.coalesce("intersections", F.expr("cast(array() as array<struct<rn:int,xid:bigint,name:string,cls:string,cnt:bigint,rank:double,high:boolean,detail:string>>)"))
+    score = F.struct(F.col("score").alias("value"), F.format_string("%d accidents within 40 m over %.1f km, %d dead, %d injured", "accidents", "km", "fat", "inj").alias("plain"), "confidence", F.format_string("%s confidence from %d accidents", "confidence", "accidents").alias("confidence_reason"))
+    stats = F.struct("accidents", F.col("fat").alias("fatalities"), F.col("inj").alias("injuries"))
+    route = F.struct(F.col("alt").alias("id"), "label", "recommended", "path", "km", "min", "score", F.col("hi").alias("hiCount"), F.col("n_shown").alias("shown"), "total", shown_xs.alias("intersections"))
+    stars = F.array(*[F.struct(F.lit(k).alias("who"), F.col(f"star_{k}").alias("stars"), F.format_string(text, *args).alias("reason")) for k, text, args in LIFESTYLE])
+    meta = F.struct(F.lit(DEFAULT.data_from).alias("range_from"), F.lit(DEFAULT.data_to).alias("range_to"), "risk", "corridor_km", "band")
+    doc = F.struct(score.alias("score"), stats.alias("stats"), route.alias("route"), shown_xs.alias("intersections"), stars.alias("lifestyle"), "trend", meta.alias("data_meta"))
+    trips = one.select("qid", F.struct("alt", doc.alias("doc")).alias("d")).groupBy("qid").agg(F.sort_array(F.collect_list("d")).alias("d"))  # route_choices documents each
+    trips = trips.select("qid", F.transform("d", lambda v: v["doc"]).alias("routes"))
+    root = [F.col("routes")[0][c].alias(c) for c in ("score", "stats", "route", "intersections", "lifestyle", "trend", "data_meta")]
+    return trips.select("qid", F.to_json(F.struct(*root, F.lit("route").alias("mode"), F.lit(False).alias("demo"), "routes"), {"ignoreNullFields": "false"}).alias("body"))
+
+
 def path_documents(t: sur.Tables) -> DataFrame:
     """(qid, seq, x, y) of the shortest paths' nodes."""
     nodes = shortest(t).select("qid", F.posexplode("nodes").alias("seq", "node"))

@@ -203,3 +203,60 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(t.ym, t.n, t.deaths) for t in spark.table("trend").collect()} == {("2024-01", 2, 1), ("2024-03", 1, 2)}
+
+
+def test_alternatives_equal_plain_deviations(spark):
+    """On a network with one-way and parallel roads, dead ends and ties: every loopless deviation, by length."""
+    from hazardgrid.operators import overlay
+    from hazardgrid.operators.alternatives import alternative_paths
+
+    r = random.Random(4)
+    width, limit = 5, 3000.0
+    nodes = [(i, i % width * 100.0, i // width * 100.0) for i in range(25)]
+    edges = []
+    for i in range(25):
+        for j in ([i + 1] if i % width < width - 1 else []) + ([i + width] if i + width < 25 else []):
+            edges += [(i, j, float(r.choice([100, 110, 150])))] + ([(j, i, float(r.choice([100, 120])))] if r.random() < 0.8 else [])
+    edges += [(0, 1, 400.0), (3, 3, 100.0), (24, 99, 100.0)]
+    roads = {}
+    for a, b, w in edges:
+        if a != b and b < 25:
+            roads[a, b] = min(w, roads.get((a, b), w))
+
+    def best(a, b):
+        dist, done = {a: 0.0}, set()
+        while len(done) < len(dist):
+            u = min((d, v) for v, d in dist.items() if v not in done)[1]
+            done.add(u)
+            for (x, y), w in roads.items():
+                if x == u and dist[u] + w < dist.get(y, 1e9):
+                    dist[y] = dist[u] + w
+        if b not in dist:
+            return None
+        path = [b]
+        while path[-1] != a:
+            path.append(min((dist[x], x) for (x, y), w in roads.items() if y == path[-1] and dist.get(x, 1e9) + w == dist[y])[1])
+        return dist[b], path[::-1]
+
+    def length(path):
+        return sum(roads[e] for e in zip(path, path[1:], strict=False))
+
+    trips = [(q, *r.sample(range(25), 2)) for q in range(12)]
+    want = []
+    for q, a, b in trips:
+        first = best(a, b)
+        if first is None:
+            continue
+        others = set()
+        for k, u in enumerate(first[1][:-1]):
+            for (x, w), _ in roads.items():
+                rest = best(w, b) if x == u and w != first[1][k + 1] and w not in first[1][: k + 1] else None
+                if rest and not set(rest[1]) & set(first[1][: k + 1]):
+                    others.add((*first[1][: k + 1], *rest[1]))
+        ranked = [tuple(first[1]), *sorted((p for p in others if length(p) <= limit), key=lambda p: (length(p), p))[:3]]
+        want += [(q, k, length(p), list(p)) for k, p in enumerate(ranked)]
+    network = overlay.build(spark.createDataFrame(nodes, "node long, x double, y double"), spark.createDataFrame(edges, "src long, dst long, len_m double"), limit, most=6)
+    got = overlay.shortest_paths(spark.createDataFrame(trips, "qid long, src long, dst long"), network).where("found").drop("found")
+    rows = alternative_paths(got, network, spark.createDataFrame(edges, "src long, dst long, len_m double").where("dst < 25"), 4).collect()
+    assert sorted((x.qid, x.alt, x.length_m, x.nodes) for x in rows) == sorted(want)
+    assert {x.alt for x in rows} == {0, 1, 2, 3}
