@@ -13,6 +13,7 @@ from ..operators import crossings as X
 from ..operators import measures as M
 from ..operators import overlay, spatial
 from ..operators.alternatives import alternative_paths
+from ..operators.moments import kernel_sums
 from ..scratch import durable
 from . import surrogate as sur
 
@@ -23,7 +24,7 @@ def walk_hits(t: sur.Tables) -> DataFrame:
 
 def walk_density(t: sur.Tables) -> DataFrame:
     """Accidents, weighted severity, deaths and injuries around every location; zeros where none."""
-    own = walk_hits(t).groupBy("lid").agg(F.count("*").alias("n"), F.sum(F.col("sev") * S.kernel_squared(F.col("d2"), DEFAULT.walk_radius)).alias("wsum"), F.sum("fat").cast("long").alias("fat"), F.sum("inj").cast("long").alias("inj"))
+    own = kernel_sums(t.locations(), "lid", t.accidents(), F.col("sev"), DEFAULT.walk_radius, {c: F.col(c).cast("long") for c in ("fat", "inj")})
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return t.locations().select("lid").join(own, "lid", "left").select("lid", zero("n"), F.bround(F.coalesce("wsum", F.lit(0.0)), 6).alias("wsum"), zero("fat"), zero("inj"))
 
@@ -31,7 +32,10 @@ def walk_density(t: sur.Tables) -> DataFrame:
 def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """(key, n, wsum, km, ...) for every probe; ``more`` are further aggregates of the same hits."""
     r = DEFAULT.walk_radius
-    d = spatial.radius_join(probes, t.accidents(), r).groupBy(key).agg(F.count("*").alias("n"), M.weight_column(r), *more)
+    if more:
+        d = spatial.radius_join(probes, t.accidents(), r).groupBy(key).agg(F.count("*").alias("n"), M.weight_column(r), *more)
+    else:
+        d = kernel_sums(probes, key, t.accidents(), F.col("sev"), r)
     k = M.network_km(spatial.radius_join(probes, t.segments(), r), key, r)
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
     further = [c for c in d.columns if c not in (key, "n", "wsum")]

@@ -260,3 +260,23 @@ def test_alternatives_equal_plain_deviations(spark):
     rows = alternative_paths(got, network, spark.createDataFrame(edges, "src long, dst long, len_m double").where("dst < 25"), 4).collect()
     assert sorted((x.qid, x.alt, x.length_m, x.nodes) for x in rows) == sorted(want)
     assert {x.alt for x in rows} == {0, 1, 2, 3}
+
+
+def test_kernel_sums_equal_rows_in_the_circle(spark):
+    """Rims, centres, cells with many points, negative and missing coordinates, and any number of cells."""
+    from hazardgrid.operators.moments import kernel_sums
+
+    r = random.Random(8)
+    points = [(float(r.randint(-900, 900)), float(r.randint(-900, 900)), r.randint(0, 20), k) for k in range(800)]
+    points += [(10.5, -20.25, 3, k) for k in range(200)] + [(None, 1.0, 1, 1), (300.0, 400.0, 7, 1), (-500.0, 0.0, 7, 1), (500.0000001, 0.0, 7, 1)]
+    probes = [(k, r.uniform(-1000, 1000), r.uniform(-1000, 1000)) for k in range(30)] + [(100, 0.0, 0.0), (101, None, 0.0), (102, 5000.0, 0.0), (103, 125.0, -250.0)]
+    p = spark.createDataFrame(probes, "lid long, px double, py double")
+    a = spark.createDataFrame(points, "x double, y double, v int, more int")
+    for fine in (1, 2, 4, 7):
+        got = {x.lid: x for x in kernel_sums(p, "lid", a, F.col("v"), 500.0, {"more": F.col("more")}, fine).collect()}
+        for lid, px, py in probes:
+            near = [] if px is None else [(v, more, (x - px) ** 2 + (y - py) ** 2) for x, y, v, more in points if x is not None and (x - px) ** 2 + (y - py) ** 2 <= 250000]
+            assert (lid in got) == bool(near)
+            if near:
+                assert (got[lid].n, got[lid].more) == (len(near), sum(m for _, m, _ in near))
+                assert abs(got[lid].wsum - sum(v * (1 - d / 250000) for v, _, d in near)) < 1e-8
