@@ -12,7 +12,7 @@ from .config import DEFAULT
 from .functions import scalar as S
 from .operators import crossings as X
 from .operators import measures as M
-from .operators import places, spatial
+from .operators import boundary, places, spatial
 from .operators.splits import split_by_date
 from .oracle import oracle_sql as _oracle
 from .plans import reports as R
@@ -130,6 +130,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "jitter": _jitter,
     "dataset_meta": _meta,
     "inside_boundary": lambda t: spatial.inside(t.locations(), "lid", sur.BOUNDARY),
+    "inside_rings": lambda t: boundary.inside_rings(t.accidents().select("aid", F.col("x").alias("px"), F.col("y").alias("py")), "aid", boundary.edges_of(t.ring_vertices(), "ring", "seq"), DEFAULT.ring_cell),
     "name_hash": lambda t: t.read("supplier").select("s_suppkey", S.text_hash(F.col("s_name")).alias("h")),
     "worst_factors": _worst,
     "path_documents": R.path_documents,

@@ -39,6 +39,8 @@ class Config:
     # ours: the origin of the plane, and how far an accident may lie from its crossing
     origin: tuple[float, float] = (25.0, 121.0)
     assign_max: float = 100.0
+    # cells of a boundary's edges
+    ring_cell: float = 100.0
     # routes of a trip that are compared, the shortest included
     route_choices: int = 3
     no_rides: tuple[str, ...] = ("motorway", "elevated")

@@ -115,6 +115,10 @@ CTE = {
     "path": "path as (select qid, row_number() over (partition by qid order by n desc) - 1 as seq, back.node, cast(x as double) as x, cast(y as double) as y from back join nodes on nodes.node = back.node)",
     "pathlines": "lines as (select qid as rid, seq, x, y from path)",
     "pathlens": "lens as (select qid as rid, greatest(d / 1000.0, 0.1) as km from got)",
+    "rings": "rings as (select 0 as ring, seq, x, y from (values " + ", ".join(f"({k}, {x}::double, {y}::double)" for k, (x, y) in enumerate(BOUNDARY)) + """) v(seq, x, y)
+        union all select s_suppkey + 1, k, cast(s_suppkey * 4871 % 10007 + size * far * (case when k in (0, 1, 7) then 1 when k in (3, 4, 5) then -1 else 0 end) as double), cast(s_suppkey * 6547 % 10009 + size * far * (case when k in (1, 2, 3) then 1 when k in (5, 6, 7) then -1 else 0 end) as double)
+        from (select s_suppkey, r.range as k, 60 + s_suppkey * 37 % 240 as size, case when r.range % 2 = 0 then 2 else 1 end as far from supplier, range(8) r))""",
+    "redges": "redges as (select a.x as ax, a.y as ay, b.x as bx, b.y as b_y from rings a join rings b on a.ring = b.ring and b.seq = (a.seq + 1) % (case when a.ring = 0 then " + str(len(BOUNDARY)) + " else 8 end))",
     # roads that leave a path, the shortest rides from their ends, and those without loops
     "along": "along as (select a.qid, a.seq as pos, a.node, z.node as next, sum(e.len_m) over (partition by a.qid order by a.seq) - e.len_m as before from path a join path z on z.qid = a.qid and z.seq = a.seq + 1 join edges e on e.src = a.node and e.dst = z.node)",
     "spurs": "spurs as (select l.qid, pos, e.dst as w, before + e.len_m as so_far from along l join edges e on e.src = l.node where e.dst <> next and not exists (select 1 from path p where p.qid = l.qid and p.seq <= l.pos and p.node = e.dst))",
@@ -220,6 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "percentile_score": q("roads " + _BASE + _LOC, "select lid, score from score"),
         "stars": q("roads " + _BASE + _LOC, f"select lid, {_star('score')} as stars, {_tone('score')} as tone, case when score < 45 then 'higher risk' when score < 60 then 'medium risk' when score < 80 then 'fairly safe' else 'very safe' end as grade, cast(round(score / 10.0) as int) as bars from score"),
         "walk_report": q("roads " + _BASE + _LOC + "xing xhits everywhere", _walk()),
+        "inside_rings": q("acc rings redges", "select aid, coalesce(n, 0) % 2 = 1 as inside from acc left join (select aid, count(*) as n from acc join redges on (ay > y) <> (b_y > y) and x < (bx - ax) * (y - ay) / (b_y - ay) + ax group by aid) using (aid)"),
         "snap_nearest": q("nodes loc", "select lid, coalesce(node, -1) as node, round_even(dist, 6) as dist from loc left join (select lid, arg_min(node, {'d': d2, 'n': node}) as node, sqrt(min(d2)) as dist from (select lid, node, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc, nodes where (px - x) * (px - x) + (py - y) * (py - y) <= 160000) group by lid) using (lid)"),
         "route_error": q("nodes trips snap", "select qid, case when a < 0 or b < 0 then 'OUT_OF_COVERAGE' when a = b then 'NO_ROUTE' end as code, cast(case when a < 0 or b < 0 then 400 when a = b then 422 end as int) as status, case when a < 0 then 'start' when b < 0 then 'end' when a = b then 'both' end as which from snap"),
         "shortest_distance": q("nodes roads edges trips snap dist", "select qid, d is not null and d <= 30000 as found, round_even(case when d <= 30000 then d end, 3) as length_m from snap left join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b"),

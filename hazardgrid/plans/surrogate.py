@@ -51,6 +51,18 @@ class Tables:
         c = F.col("c_custkey")
         return self.read("customer").select(c.alias("bid"), (c * 5417 % 10007).cast("double").alias("px"), (c * 2221 % 10009).cast("double").alias("py")).where(spatial.is_inside(F.col("px"), F.col("py"), BOUNDARY))
 
+    def ring_vertices(self) -> DataFrame:
+        """(ring, seq, x, y): the boundary as ring 0, and a ring of eight vertices for each supplier; those inside
+        are holes, those outside are islands, and where two of them overlap is inside again or not."""
+        outer = self.spark.createDataFrame([(0, k, x, y) for k, (x, y) in enumerate(BOUNDARY)], "ring long, seq long, x double, y double")
+        s, k = F.col("s_suppkey"), F.col("k")
+        size, far = 60 + s * 37 % 240, F.when(k % 2 == 0, 2).otherwise(1)
+        east = F.when(k.isin(0, 1, 7), 1).when(k.isin(3, 4, 5), -1).otherwise(0)
+        north = F.when(k.isin(1, 2, 3), 1).when(k.isin(5, 6, 7), -1).otherwise(0)
+        rows = self.read("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+        x, y = s * 4871 % 10007 + east * size * far, s * 6547 % 10009 + north * size * far
+        return outer.unionByName(rows.select((s + 1).alias("ring"), k.alias("seq"), x.cast("double").alias("x"), y.cast("double").alias("y")))
+
     def nodes(self) -> DataFrame:
         """A lattice SIDE nodes wide that grows north with the customers."""
         i = F.col("c_custkey")

@@ -280,3 +280,23 @@ def test_kernel_sums_equal_rows_in_the_circle(spark):
             if near:
                 assert (got[lid].n, got[lid].more) == (len(near), sum(m for _, m, _ in near))
                 assert abs(got[lid].wsum - sum(v * (1 - d / 250000) for v, _, d in near)) < 1e-8
+
+
+def test_inside_rings_equals_ray_casting(spark):
+    """Rings with holes, flat and long edges, points on edges and vertices, without coordinates, and cells of
+    any size."""
+    from hazardgrid.operators import boundary
+
+    r = random.Random(6)
+    rings = [[(-50, -40), (90, -40), (95, 70), (30, 70), (20, 10), (-50, 60)], [(0, 0), (10, 0), (10, 10), (0, 10)]]
+    rings += [[(cx + r.randint(-9, 9), cy + r.randint(-9, 9)) for _ in range(r.randint(3, 7))] for cx, cy in [(r.randint(-60, 100), r.randint(-60, 80)) for _ in range(25)]]
+    vertices = [(i, k, float(x), float(y)) for i, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
+    points = [(float(r.randint(-70, 110)), float(r.randint(-70, 90))) for _ in range(400)] + [(r.uniform(-70, 110), r.uniform(-70, 90)) for _ in range(200)]
+    points += [(x, y) for _, _, x, y in vertices] + [(None, 1.0), (1.0, None), (1e9, 0.0)]
+    edges = [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    want = {k: x is not None and y is not None and sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ax, ay, bx, by in edges) % 2 == 1 for k, (x, y) in enumerate(points)}
+    v = spark.createDataFrame(vertices, "ring long, seq long, x double, y double")
+    p = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "id long, px double, py double")
+    for side in (3.0, 10.0, 1000.0):
+        assert {x.id: x.inside for x in boundary.inside_rings(p, "id", boundary.edges_of(v, "ring", "seq"), side).collect()} == want
+    assert boundary.inside_rings(p, "id", boundary.edges_of(v, "ring", "seq").limit(0), 10.0).where("inside").count() == 0
