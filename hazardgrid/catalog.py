@@ -111,6 +111,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "walk_report": R.walk_report,
     "snap_nearest": lambda t: _rounded(spatial.nearest(t.locations(), "lid", t.nodes(), "node", DEFAULT.snap_max), 6, "dist"),
     "route_error": R.route_errors,
+    "request_results": R.request_results,
     "shortest_distance": R.shortest_lengths,
     "overlay_distance": R.way_back,
     "path_samples": lambda t: _rounded(R.samples(R.given_routes(t)), 6, "px", "py"),

@@ -4,6 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: The errors of a request, in the order of the checks: name, code, status, message.
+REQUEST_ERRORS = [
+    ("mode", "DATA_UNAVAILABLE", 422, "invalid request (mode)"),
+    ("walk_point", "DATA_UNAVAILABLE", 400, "walk needs lat and lon"),
+    ("walk_outside", "OUT_OF_COVERAGE", 400, "the place is outside the boundary"),
+    ("route_points", "DATA_UNAVAILABLE", 400, "route needs from and to"),
+    ("route_outside", "OUT_OF_COVERAGE", 400, "start or end is outside the boundary"),
+    ("start_far", "OUT_OF_COVERAGE", 400, "no road near the start"),
+    ("end_far", "OUT_OF_COVERAGE", 400, "no road near the end"),
+    ("same_node", "NO_ROUTE", 422, "start and end are at the same crossing"),
+    ("no_path", "NO_ROUTE", 422, "no ride leads from start to end"),
+]
+
+
+def first_error(failing: Mapping[str, Column]) -> Column:
+    """The error column of rows beside their results: struct(code, status, message) of the first of REQUEST_ERRORS
+    whose condition in ``failing`` holds, null if none does. A null condition does not hold."""
+    unknown = set(failing) - {name for name, *_ in REQUEST_ERRORS}
+    if unknown:
+        raise ValueError(f"unknown checks: {sorted(unknown)}")
+    out = F.lit(None).cast("struct<code:string,status:int,message:string>")
+    for name, code, status, message in reversed(REQUEST_ERRORS):
+        if name in failing:
+            error = F.struct(F.lit(code).alias("code"), F.lit(status).alias("status"), F.lit(message).alias("message"))
+            out = F.when(failing[name], error).otherwise(out)
+    return out
+
 
 class AnalysisError(Exception):
     def __init__(self, code: str, message: str, status: int = 400):

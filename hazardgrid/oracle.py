@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from .config import DEFAULT, NIGHT_HOURS, PEAK_HOURS
+from .errors import REQUEST_ERRORS
 from .functions.scalar import DIGITS_FROM, DIGITS_TO, NAME_FROM, NAME_TO, NUMERALS
 from .plans.surrogate import BOUNDARY, LARGE, PEDESTRIAN
 
@@ -177,6 +178,21 @@ def _walk() -> str:
 _PAIRS = "rid, rid // 2 as trip, case when rid % 2 = 0 then 'shortest' else 'alternative A' end as label, row_number() over (partition by rid // 2 order by score desc, round_even(km, 1), rid) = 1 as recommended"
 
 
+def _requests() -> str:
+    outside = lambda x, y: f"not ({_within(BOUNDARY).replace('px', x).replace('py', y)})"
+    failing = {
+        "mode": "mode not in ('walk', 'route')", "walk_point": "mode = 'walk' and (px is null or py is null)", "walk_outside": f"mode = 'walk' and {outside('px', 'py')}",
+        "route_points": "mode = 'route' and (fx is null or tx is null)", "route_outside": f"mode = 'route' and ({outside('fx', 'fy')} or {outside('tx', 'ty')})",
+        "start_far": "mode = 'route' and a < 0", "end_far": "mode = 'route' and b < 0", "same_node": "mode = 'route' and a = b", "no_path": "mode = 'route' and d is null",
+    }
+    wrong = "case " + " ".join(f"when {failing[name]} then {k}" for k, (name, *_) in enumerate(REQUEST_ERRORS)) + " end"
+    table = ", ".join(f"({k}, '{code}', {status}, '{message}')" for k, (_, code, status, message) in enumerate(REQUEST_ERRORS))
+    return q("acc nodes roads edges trips snap dist loc", f"""select qid, mode, code, cast(status as int) as status, message, case when wrong is null and mode = 'walk' then (select count(*) from acc where (px - x) * (px - x) + (py - y) * (py - y) <= 250000) end as accidents,
+        case when wrong is null and mode = 'route' then round_even(d, 3) end as length_m from (select *, {wrong} as wrong from (select qid, case when qid % 16 = 3 then 'fly' when qid % 4 = 1 then 'walk' else 'route' end as mode,
+        case when qid % 24 <> 9 then px end as px, py, fx, fy, case when qid % 16 <> 4 then tx end as tx, ty, a, b, case when a <> b then d end as d from trips join loc on lid = qid join snap using (qid) left join dist on dist.s = a and dist.v = b))
+        left join (values {table}) errors(wrong, code, status, message) using (wrong)""")
+
+
 def _route(head: str = _PAIRS) -> str:
     return f"""select {head}, score, {CONFIDENCE} as confidence, n as accidents, cast(fat as bigint) as fat, cast(inj as bigint) as inj,
         round_even(km, 1) as km, greatest(2, cast(round_even(km / 24.0 * 60, 0) as int)) as min, round_even(risk, 2) as risk, round_even(dens, 1) as corridor_km, band + 1 as band, hi, total, n_shown, round_even(hi / greatest(km, 0.5) * 10, 0) / 10 as hi_per_km,
@@ -225,6 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "stars": q("roads " + _BASE + _LOC, f"select lid, {_star('score')} as stars, {_tone('score')} as tone, case when score < 45 then 'higher risk' when score < 60 then 'medium risk' when score < 80 then 'fairly safe' else 'very safe' end as grade, cast(round(score / 10.0) as int) as bars from score"),
         "walk_report": q("roads " + _BASE + _LOC + "xing xhits everywhere", _walk()),
         "inside_rings": q("acc rings redges", "select aid, coalesce(n, 0) % 2 = 1 as inside from acc left join (select aid, count(*) as n from acc join redges on (ay > y) <> (b_y > y) and x < (bx - ax) * (y - ay) / (b_y - ay) + ax group by aid) using (aid)"),
+        "request_results": _requests(),
         "snap_nearest": q("nodes loc", "select lid, coalesce(node, -1) as node, round_even(dist, 6) as dist from loc left join (select lid, arg_min(node, {'d': d2, 'n': node}) as node, sqrt(min(d2)) as dist from (select lid, node, (px - x) * (px - x) + (py - y) * (py - y) as d2 from loc, nodes where (px - x) * (px - x) + (py - y) * (py - y) <= 160000) group by lid) using (lid)"),
         "route_error": q("nodes trips snap", "select qid, case when a < 0 or b < 0 then 'OUT_OF_COVERAGE' when a = b then 'NO_ROUTE' end as code, cast(case when a < 0 or b < 0 then 400 when a = b then 422 end as int) as status, case when a < 0 then 'start' when b < 0 then 'end' when a = b then 'both' end as which from snap"),
         "shortest_distance": q("nodes roads edges trips snap dist", "select qid, d is not null and d <= 30000 as found, round_even(case when d <= 30000 then d end, 3) as length_m from snap left join dist on dist.s = a and dist.v = b where a >= 0 and b >= 0 and a <> b"),

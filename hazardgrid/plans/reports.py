@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..errors import first_error
 from ..functions import scalar as S
 from ..operators import crossings as X
 from ..operators import measures as M
@@ -266,6 +267,29 @@ def route_errors(t: sur.Tables) -> DataFrame:
     return snapped(t).select("qid", code.alias("code"), F.when((a < 0) | (b < 0), 400).when(a == b, 422).alias("status"), F.when(a < 0, "start").when(b < 0, "end").when(a == b, "both").alias("which"))
 
 
+def request_results(t: sur.Tables) -> DataFrame:
+    """(qid, mode, code, status, message, accidents, length_m): each request's result, or beside nulls what is wrong
+    with it first; one bad request does not stop the others."""
+    known = t.requests().join(snapped(t), "qid", "left").join(shortest_lengths(t).where("found").select("qid", "length_m"), "qid", "left")
+    walks = kernel_sums(t.requests().where("mode = 'walk'").select("qid", "px", "py"), "qid", t.accidents(), F.col("sev"), DEFAULT.walk_radius)
+    known = known.join(walks.select("qid", F.col("n").alias("accidents")), "qid", "left")
+    walk, route = F.col("mode") == "walk", F.col("mode") == "route"
+    lacks = lambda *names: F.greatest(*[F.col(c).isNull() for c in names])
+    out = lambda x, y: ~spatial.is_inside(F.col(x), F.col(y), sur.BOUNDARY)
+    error = first_error({
+        "mode": F.col("mode").isNull() | ~(walk | route),
+        "walk_point": walk & lacks("px", "py"), "walk_outside": walk & out("px", "py"),
+        "route_points": route & lacks("fx", "fy", "tx", "ty"), "route_outside": route & (out("fx", "fy") | out("tx", "ty")),
+        "start_far": route & (F.col("a") < 0), "end_far": route & (F.col("b") < 0), "same_node": route & (F.col("a") == F.col("b")),
+        "no_path": route & F.col("length_m").isNull(),
+    })
+    good = F.col("error").isNull()
+    return known.withColumn("error", error).select(
+        "qid", "mode", "error.code", "error.status", "error.message",
+        F.when(good & walk, F.coalesce("accidents", F.lit(0))).alias("accidents"), F.when(good & route, F.col("length_m")).alias("length_m"),
+    )
+
+
 def network(t: sur.Tables) -> overlay.Overlay:
     """The overlay of the roads that rides may use, built once a query."""
     if "overlay" not in t.made:

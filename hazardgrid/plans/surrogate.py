@@ -106,6 +106,15 @@ class Tables:
         (fx, fy), (tx, ty) = at("a", 30, -20), at("b", -25, 40)
         return rows.select("qid", F.when(q % 8 == 6, -900.0).otherwise(fx).alias("fx"), fy.alias("fy"), F.when(q % 8 == 7, 12000.0).otherwise(tx).alias("tx"), ty.alias("ty"))
 
+    def requests(self) -> DataFrame:
+        """(qid, mode, px, py, fx, fy, tx, ty): a request for each trip, walks at the supplier's location and
+        routes; some have no known mode, some lack a coordinate."""
+        q = F.col("qid")
+        mode = F.when(q % 16 == 3, "fly").when(q % 4 == 1, "walk").otherwise("route")
+        at = self.locations().withColumnRenamed("lid", "qid")
+        rows = self.trips().join(at, "qid").withColumn("mode", mode)
+        return rows.select("qid", "mode", F.when(q % 24 != 9, F.col("px")).alias("px"), "py", "fx", "fy", F.when(q % 16 != 4, F.col("tx")).alias("tx"), "ty")
+
     def places(self) -> DataFrame:
         p = F.col("p_partkey")
         return self.read("part").select(p.alias("pid"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), (p * 3571 % 10007).cast("double").alias("x"), (p * 6547 % 10009).cast("double").alias("y"))

@@ -86,3 +86,15 @@ def test_requests():
         validate_geocode("a", 21)
     with pytest.raises(AnalysisError):
         validate_radius(4)
+
+
+def test_first_error_of_each_row(spark):
+    from hazardgrid.errors import first_error
+
+    rows = spark.createDataFrame([(0, "walk", 1.0), (1, "walk", None), (2, None, None), (3, "fly", None)], "id long, mode string, px double")
+    error = first_error({"walk_point": (F.col("mode") == "walk") & F.col("px").isNull(), "mode": F.col("mode").isNull() | (F.col("mode") == "fly"), "walk_outside": F.col("px") > 5})
+    got = {r.id: r.e for r in rows.select("id", error.alias("e")).collect()}
+    assert got[0] is None and got[1].message == "walk needs lat and lon" and got[1].status == 400
+    assert got[2] == got[3] and got[2].status == 422
+    with pytest.raises(ValueError):
+        first_error({"other": F.lit(True)})
