@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalar as S
-
-#: Ranges of a stratum's values that are counted apart.
-RANGES = 32
-
+from . import ranks
 
 def casualty_columns(pedestrian: str) -> list[Column]:
     """n, fat, inj, ped_fat of a group of hits."""
@@ -54,18 +49,13 @@ def shares(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(*share_columns())
 
 
-def global_shares(accidents: DataFrame) -> tuple[float, float]:
-    """Night and peak share of all accidents: two numbers, so they come to the driver."""
-    one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    row = accidents.agg(one(S.is_night(F.col("hour"))).alias("night"), one(S.is_peak(F.col("hour"))).alias("peak")).first()
-    return row["night"] or 0.0, row["peak"] or 0.0
-
-
 def with_fallback(own: DataFrame, accidents: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Shares of keys with few rows become those of all accidents."""
-    night, peak = global_shares(accidents)
+    everywhere = accidents.agg(*share_columns())
     few = F.coalesce("n_hours", F.lit(0)) < config.fallback_below
-    return own.withColumn("night", F.when(few, F.lit(night)).otherwise(F.col("night"))).withColumn("peak", F.when(few, F.lit(peak)).otherwise(F.col("peak")))
+    for c in ("night", "peak"):
+        own = own.withColumn(c, F.when(few, F.coalesce(everywhere.select(c).scalar(), F.lit(0.0))).otherwise(F.col(c)))
+    return own
 
 
 def involvement(hits: DataFrame, key: str, pedestrian: str, large: tuple[str, ...]) -> DataFrame:
@@ -80,88 +70,29 @@ def monthly_trend(keys: DataFrame, hits: DataFrame, key: str, months: int, first
     return spine.join(counted, [key, "mi"], "left").select(key, ym.alias("ym"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("partial"))
 
 
-def _range_column(one: DataFrame) -> Column:
-    """Which of RANGES ranges of its band a value of ``one(band, v)`` is in, by approximate percentiles.
-    These are collected, RANGES numbers a band, as all uses must cut alike."""
-    part = F.lit(0)
-    for r in one.groupBy("band").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)]).alias("e")).collect():
-        edges = F.array(*[F.lit(e) for e in sorted(set(r["e"]))])
-        part = F.when(F.col("band") == r["band"], F.size(F.filter(edges, lambda e: e <= F.col("v")))).otherwise(part)
-    return part
-
-
-def exact_percentiles(samples: DataFrame, shares: list[float]) -> dict[int, list[float]]:
-    """Exact percentiles of the values ``v`` of each band of ``samples(band, v)``, between neighbours in
-    proportion; nulls don't count.
-
-    A histogram of different values is cut into RANGES ranges a band. The ranges' totals say which
-    of them hold the ranks asked for, and counts run inside those only, so no task holds a band.
-    """
-    one = samples.where("v is not null").groupBy("band", "v").agg(F.count("*").alias("n"))
-    one = one.withColumn("part", _range_column(one))
-    totals: dict[int, dict[int, int]] = {}
-    for r in one.groupBy("band", "part").agg(F.sum("n").alias("own")).collect():  # RANGES rows a band
-        totals.setdefault(r["band"], {})[r["part"]] = r["own"]
-    asked: dict[tuple[int, int], dict[int, int]] = {}  # of a range: rank inside it to rank in the band
-    for band, parts in totals.items():
-        last = sum(parts.values()) - 1
-        for rank in sorted({r for p in shares for r in (math.floor(p * last), math.ceil(p * last))}):
-            before = 0
-            for part in sorted(parts):
-                if rank < before + parts[part]:
-                    asked.setdefault((band, part), {})[rank - before] = rank
-                    break
-                before += parts[part]
-    ranks = F.lit(None).cast("array<long>")
-    for (band, part), inside in asked.items():
-        ranks = F.when((F.col("band") == band) & (F.col("part") == part), F.array(*[F.lit(r).cast("long") for r in inside])).otherwise(ranks)
-    run = Window.partitionBy("band", "part").orderBy("v")
-    placed = one.withColumn("ranks", ranks).where("ranks is not null").withColumn("upto", F.sum("n").over(run))
-    met = placed.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).where(F.size("ranks") > 0)
-    value = {(r["band"], asked[r["band"], r["part"]][k]): r["v"] for r in met.select("band", "part", "v", "ranks").collect() for k in r["ranks"]}
-    out = {}
-    for band, parts in totals.items():
-        last = sum(parts.values()) - 1
-        out[band] = []
-        for p in shares:
-            lo, hi = math.floor(p * last), math.ceil(p * last)
-            a, b = value[band, lo], value[band, hi]
-            out[band].append(a if a == b else (hi - p * last) * a + (p * last - lo) * b)
-    return out
-
-
 def strata(samples: DataFrame, bands: int, minimum: float) -> DataFrame:
     """``samples(id, km, risk)`` with ``band``, equal shares by km. Boundaries are exact percentiles of
     km, so no global sort or single-task window is needed."""
     kept = samples.where(F.col("km") >= minimum)
-    edges = exact_percentiles(kept.select(F.lit(0).alias("band"), F.col("km").alias("v")), [k / bands for k in range(1, bands)]).get(0, [])
-    return kept.withColumn("band", band_of(F.col("km"), [0.0, *edges]))
-
-
-def band_of(km: Column, edges: list[float]) -> Column:
-    """Index of the last edge that is not above km."""
-    out = F.lit(0)
-    for k, e in enumerate(edges[1:], 1):
-        out = F.when(km >= e, F.lit(k)).otherwise(out)
-    return out
+    cuts = ranks.percentiles(kept.select(F.lit(0).alias("band"), F.col("km").alias("v")), [k / bands for k in range(1, bands)])
+    kept = kept.withColumn("__cuts", cuts.select("p").scalar())
+    return kept.withColumn("band", F.size(F.filter("__cuts", lambda e: e <= F.col("km")))).drop("__cuts")
 
 
-def band_edges(banded: DataFrame, bands: int) -> list[float]:
-    """Lower edges of the strata: one number each."""
-    low = {r["band"]: r["lo"] for r in banded.groupBy("band").agg(F.min("km").alias("lo")).collect()}
-    edges = [0.0]
-    for k in range(1, bands):
-        edges.append(low.get(k, float("inf")))
-    return edges
+def with_band(rows: DataFrame, km: str, banded: DataFrame) -> DataFrame:
+    """Adds ``band``: the last stratum of ``banded`` whose lower edge is not above ``km``; shorter networks
+    count to the first."""
+    low = banded.groupBy("band").agg(F.min("km").alias("lo"))
+    rows = rows.withColumn("__low", low.agg(F.collect_list(F.struct("band", "lo"))).scalar())  # a row a stratum
+    reached = F.transform(F.filter("__low", lambda e: e["lo"] <= F.col(km)), lambda e: e["band"])
+    return rows.withColumn("band", F.coalesce(F.array_max(reached), F.lit(0))).drop("__low")
 
 
 def band_median(banded: DataFrame) -> DataFrame:
     """(band, med, samples, lo, hi) of each stratum."""
-    med = F.lit(None).cast("double")
-    for band, (m,) in exact_percentiles(banded.select("band", F.col("risk").alias("v")), [0.5]).items():
-        med = F.when(F.col("band") == band, F.lit(m)).otherwise(med)
+    med = ranks.percentiles(banded.select("band", F.col("risk").alias("v")), [0.5]).select("band", F.col("p")[0].alias("med"))
     out = banded.groupBy("band").agg(F.count("*").alias("samples"), F.min("km").alias("lo"), F.max("km").alias("hi"))
-    return out.select("band", med.alias("med"), "samples", "lo", "hi")
+    return out.join(med, "band", "left").select("band", "med", "samples", "lo", "hi")
 
 
 def shrunk_risk(measured: DataFrame, medians: DataFrame, shrink_km: float) -> DataFrame:
@@ -174,20 +105,11 @@ def shrunk_risk(measured: DataFrame, medians: DataFrame, shrink_km: float) -> Da
 def percentile_score(values: DataFrame, key: str, banded: DataFrame) -> DataFrame:
     """(key, score): percent of the stratum's samples that are more dangerous than ``shrunk``.
 
-    Samples and asked values become a histogram of distinct values, cut into RANGES ranges a stratum at
-    its approximate percentiles. Counts run inside a range, and the ranges' totals, a few hundred
-    rows, say how many lie below it; so no task holds a stratum, and pairs never form.
+    Asked values stand in the samples' histogram with no rows of their own; ``ranks`` counts in it, so no task
+    holds a stratum, and pairs never form.
     """
-    one = banded.select("band", F.col("risk").alias("v")).where("v is not null").groupBy("band", "v").agg(F.count("*").alias("n"))
-    part = _range_column(one)
-    totals = one.withColumn("part", part).groupBy("band", "part").agg(F.sum("n").alias("own"))
-    spine = totals.select("band").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RANGES))))
-    totals = spine.join(totals, ["band", "part"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    before = totals.withColumn("before", F.sum("own").over(Window.partitionBy("band").orderBy("part")) - F.col("own")).withColumn("all", F.sum("own").over(Window.partitionBy("band")))
-    asked = values.select("band", F.col("shrunk").alias("v")).where("v is not null").distinct().withColumn("n", F.lit(0).cast("long"))
-    dealt = one.unionByName(asked).groupBy("band", "v").agg(F.sum("n").alias("n")).withColumn("part", part)
-    run = Window.partitionBy("band", "part").orderBy("v")
-    placed = dealt.withColumn("below", F.sum("n").over(run)).join(F.broadcast(before.drop("own")), ["band", "part"])
-    placed = placed.select("band", F.col("v").alias("shrunk"), (F.col("all") - F.col("before") - F.col("below")).alias("above"), "all")
-    score = F.bround(100.0 * F.col("above") / F.nullif(F.col("all"), F.lit(0))).cast("int")
+    samples = ranks.histogram(banded.select("band", F.col("risk").alias("v")))
+    placed = ranks.ranked(samples, values.select("band", F.col("shrunk").alias("v")).where("v is not null"))
+    placed = placed.select("band", F.col("v").alias("shrunk"), (F.col("total") - F.col("upto")).alias("above"), "total")
+    score = F.bround(100.0 * F.col("above") / F.nullif(F.col("total"), F.lit(0))).cast("int")
     return values.select(key, "band", "shrunk").join(placed, ["band", "shrunk"], "left").select(key, score.alias("score"))

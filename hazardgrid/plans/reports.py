@@ -44,17 +44,26 @@ def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...
 
 
 def baseline(t: sur.Tables) -> DataFrame:
-    """(bid, km, risk, band) of the baseline's sample points. The measures are cached: one small row a
-    point, which strata, medians and scores all read; a lost executor's part is computed again."""
+    """(bid, km, risk, band) of the baseline's sample points, stored: one small row a point, which strata,
+    medians and scores of all queries read."""
+    return t.stored("walks", lambda: M.strata(durable(walk_samples(t)), DEFAULT.strata, DEFAULT.minimum_walk_km))
+
+
+def walk_samples(t: sur.Tables) -> DataFrame:
+    """(bid, km, risk) of the baseline's sample points."""
     m = measured(t, t.baseline_points(), "bid").where(F.col("km") >= DEFAULT.minimum_walk_km)
     # rounded before they become thresholds, so that the order of sums can't move a sample; kernel sums
     # of whole metres are multiples of 1e-9, so nine places have no ties
-    m = m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk")).cache()
-    return M.strata(m, DEFAULT.strata, DEFAULT.minimum_walk_km)
+    return m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk"))
 
 
 def ride_baseline(t: sur.Tables) -> DataFrame:
-    """(bid, km, risk, band) of the baseline's rides: straight east from each sample point, measured as
+    """(bid, km, risk, band) of the baseline's rides, stored as in ``baseline``."""
+    return t.stored("rides", lambda: M.strata(durable(ride_samples(t)), DEFAULT.strata, 0.0))
+
+
+def ride_samples(t: sur.Tables) -> DataFrame:
+    """(bid, km, risk) of the baseline's rides: straight east from each sample point, measured as
     routes are, by plain severity within the buffer a km and the density of roads at every tenth
     sample. Walk samples are ratios of kernel sums, another unit, and no measure for a route."""
     steps = int(DEFAULT.ride_sample_m / DEFAULT.sample_step)
@@ -65,16 +74,13 @@ def ride_baseline(t: sur.Tables) -> DataFrame:
     # means of three sums of whole metres: nine places have no ties
     dens = probe.select("bid", "sid").join(near, "sid", "left").groupBy("bid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 9).alias("km"))
     risk = F.bround(F.coalesce("wsum", F.lit(0.0)) / (DEFAULT.ride_sample_m / 1000), 6).alias("risk")
-    # cached as in ``baseline``
-    rides = dens.join(met.groupBy("bid").agg(F.sum("sev").alias("wsum")), "bid", "left").select("bid", "km", risk).cache()
-    return M.strata(rides, DEFAULT.strata, 0.0)
+    return dens.join(met.groupBy("bid").agg(F.sum("sev").alias("wsum")), "bid", "left").select("bid", "km", risk)
 
 
 def scored(t: sur.Tables, more: tuple[Column, ...] = ()) -> DataFrame:
     """(lid, n, wsum, km, band, risk, shrunk, score, ...) of every location."""
     base = baseline(t)
-    edges = M.band_edges(base, DEFAULT.strata)
-    m = measured(t, t.locations(), "lid", more).withColumn("km", F.bround("km", 9)).withColumn("band", M.band_of(F.col("km"), edges))
+    m = M.with_band(measured(t, t.locations(), "lid", more).withColumn("km", F.bround("km", 9)), "km", base)
     s = M.shrunk_risk(m, M.band_median(base), DEFAULT.walk_shrinkage_km).withColumn("shrunk", F.bround("shrunk", 6))
     return s.join(M.percentile_score(s, "lid", base), "lid", "left")
 
@@ -198,13 +204,12 @@ def route_rows(t: sur.Tables, r: Routes) -> DataFrame:
     The evidence shrinks by the route's length, but the stratum follows the density of roads along it,
     the mean over every tenth sample, among the baseline's rides."""
     base = ride_baseline(t)
-    edges = M.band_edges(base, DEFAULT.strata)
     pts = samples(r)
     last = pts.groupBy("rid").agg(F.max("pos").alias("last"))
     probe = pts.join(F.broadcast(last), "rid").where((F.col("last") < 10) | (F.col("pos") % 10 == 0)).withColumn("sid", F.col("rid") * 1_000_000 + F.col("pos")).select("rid", "sid", "px", "py")
     km = M.network_km(spatial.radius_join(probe, t.segments(ride=True), DEFAULT.walk_radius), "sid", DEFAULT.walk_radius)
     dens = probe.select("rid", "sid").join(km, "sid", "left").groupBy("rid").agg(F.bround(F.avg(F.coalesce("km", F.lit(0.0))), 6).alias("dens"))
-    rows = route_accidents(t, r).join(dens, "rid").withColumn("band", M.band_of(F.col("dens"), edges))
+    rows = M.with_band(route_accidents(t, r).join(dens, "rid"), "dens", base)
     raw = F.col("risk")
     s = M.shrunk_risk(rows.drop("risk"), M.band_median(base), DEFAULT.ride_shrinkage_km).drop("risk").withColumn("shrunk", F.bround("shrunk", 6))
     s = s.join(rows.select("rid", "risk"), "rid").join(M.percentile_score(s, "rid", base), "rid", "left")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalar as S
 from ..operators import spatial
+from ..scratch import durable, scratch_dir, written
 
 PEDESTRIAN, LARGE = "signup", ("purchase", "error", "view")
 SIDE, SPACING = 40, 250.0
 FIRST_MONTH = "2024-07-01"
 BOUNDARY = [(500.0, 500.0), (9000.0, 900.0), (9500.0, 6000.0), (5200.0, 9500.0), (4800.0, 5000.0), (700.0, 8200.0)]
 
+#: Where the tables of ``Tables.stored`` are, and their schemas.
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+
 
 class Tables:
     """Lazily built views of one set of tables."""
@@ -24,7 +30,19 @@ class Tables:
         self.made: dict[str, object] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if path not in self.made:  # a footer is read once a query
+            self.made[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.made[path]).parquet(path)
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table that ``build`` makes, written once a session and folder; queries that follow read it."""
+        key = (scratch_dir(self.spark), self.dir, name)
+        if key not in _STORED or not written(self.spark, _STORED[key][0]):
+            made = durable(build())
+            _STORED[key] = made._scratch_path, made.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def accidents(self) -> DataFrame:
         i = F.col("event_id")

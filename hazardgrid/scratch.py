@@ -28,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table of ``durable`` is still there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of ``durable`` that nothing reads any more."""
     spark = df.sparkSession

@@ -1,10 +1,11 @@
+import bisect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from hazardgrid.errors import AnalysisError
-from hazardgrid.operators import crossings, measures, overlay, paths, spatial
+from hazardgrid.operators import crossings, measures, overlay, paths, ranks, spatial
 from hazardgrid.sources.index import Index, write_index
 from hazardgrid.sources.police_csv import read_police_csv
 from hazardgrid.sources.sinks import write_json_documents
@@ -65,10 +66,42 @@ def test_exact_percentiles(spark):
     frame = spark.createDataFrame(rows, "band int, v double")
     shares = [0.0, 0.1, 0.125, 0.5, 0.77, 1.0]
     want = {t.band: t.p for t in frame.groupBy("band").agg(F.percentile("v", shares).alias("p")).collect() if t.p is not None}
-    got = measures.exact_percentiles(frame, shares)
+    got = {t.band: t.p for t in ranks.percentiles(frame, shares).collect()}
     assert set(got) == set(want) == {0, 1, 2, 4}
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
-    assert measures.exact_percentiles(frame.limit(0), shares) == {}
+    assert ranks.percentiles(frame.limit(0), shares).count() == 0
+
+
+def test_ranks_in_ranges(spark):
+    """Counts against a plain sort: skewed values, negative ones, many ranges, any partitioning."""
+    r = random.Random(9)
+    rows = [(0, r.choice([-1.0, 1.0]) * r.random() ** 9) for _ in range(3000)] + [(0, 0.5)] * 2000 + [(1, float(r.randrange(40))) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "band int, v double")
+    for parts in (1, 7):
+        got = {(t.band, t.v): (t.n, t.upto, t.total) for t in ranks.ranked(ranks.histogram(frame.repartition(parts))).collect()}
+        for band in (0, 1):
+            own = sorted(v for b, v in rows if b == band)
+            assert {v for b, v in got if b == band} == set(own)
+            assert all(got[band, v] == (own.count(v), bisect.bisect_right(own, v), len(own)) for v in set(own))
+    cuts = F.array(*[F.lit(x) for x in (1.0, 2.0, 2.5, 7.0)])
+    probes = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.5, 6.0, 7.0, 9.0)], "v double")
+    assert [t[0] for t in probes.select(ranks.range_of(cuts, F.col("v"))).collect()] == [0, 1, 1, 3, 3, 4, 4]
+
+
+def test_defining_scores_runs_no_job(spark):
+    base = spark.createDataFrame([(k, float(k % 7), float(k)) for k in range(50)], "id long, km double, risk double")
+    acc = spark.createDataFrame([(3,), (12,)], "hour int")
+    spark.sparkContext.setJobGroup("definition", "scores")
+    try:
+        banded = measures.strata(base, 4, 0.0)
+        values = measures.with_band(base.withColumnRenamed("risk", "shrunk"), "km", banded)
+        rows = measures.percentile_score(values, "id", banded)
+        measures.band_median(banded)
+        measures.with_fallback(base.selectExpr("id", "0L n_hours", "risk night", "risk peak"), acc)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("definition")
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    assert rows.where("score between 0 and 100").count() == 50
 
 
 def test_snap_and_ties(spark):
