@@ -103,6 +103,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "accident_crossing": lambda t: _rounded(X.assign(t.accidents(), t.crossings(), DEFAULT.assign_max), 6, "dist"),
     "class_rank": lambda t: X.class_rank(t.crossings()),
     "strata": R.baseline,
+    "baseline_refresh": R.refreshed_baseline,
     "ride_strata": R.ride_baseline,
     "band_median": lambda t: _rounded(M.band_median(R.baseline(t)), 6, "med"),
     "shrunk_risk": lambda t: R.scored(t).select("lid", "band", "shrunk"),

@@ -235,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "busiest_points": q("acc xing loc", "select lid, b.xid, aid, fat, inj from (select lid, xid, row_number() over (partition by lid order by cnt desc, xid) as rn from loc join xing on (px - x) * (px - x) + (py - y) * (py - y) <= 90000) b join (select *, row_number() over (partition by xid order by aid) as pn from acc) a on a.xid = b.xid where rn = 1 and pn <= 400"),
         "class_rank": q("xing", "select xid, cls, cnt, round_even(percent_rank() over (partition by cls order by cnt), 6) as rank from xing"),
         "strata": q("roads " + _BASE, "select bid, km, risk, band from base"),
+        "baseline_refresh": q("roads " + _BASE, "select bid, km, risk, band from base"),
         "band_median": q("roads " + _BASE, "select band, round_even(med, 6) as med, samples, lo, hi from bandinfo"),
         "shrunk_risk": q("roads " + _BASE + "loc hits loc_m banded shr", "select lid, band, shrunk from shr"),
         "percentile_score": q("roads " + _BASE + _LOC, "select lid, score from score"),

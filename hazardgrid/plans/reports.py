@@ -14,6 +14,7 @@ from ..operators import crossings as X
 from ..operators import measures as M
 from ..operators import overlay, spatial
 from ..operators.alternatives import alternative_paths
+from ..operators.baseline import refreshed
 from ..operators.moments import kernel_sums
 from ..scratch import durable
 from . import surrogate as sur
@@ -30,13 +31,15 @@ def walk_density(t: sur.Tables) -> DataFrame:
     return t.locations().select("lid").join(own, "lid", "left").select("lid", zero("n"), F.bround(F.coalesce("wsum", F.lit(0.0)), 6).alias("wsum"), zero("fat"), zero("inj"))
 
 
-def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...] = ()) -> DataFrame:
-    """(key, n, wsum, km, ...) for every probe; ``more`` are further aggregates of the same hits."""
+def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...] = (), accidents: DataFrame | None = None) -> DataFrame:
+    """(key, n, wsum, km, ...) for every probe; ``more`` are further aggregates of the same hits. All accidents
+    count unless some are given."""
     r = DEFAULT.walk_radius
+    accidents = t.accidents() if accidents is None else accidents
     if more:
-        d = spatial.radius_join(probes, t.accidents(), r).groupBy(key).agg(F.count("*").alias("n"), M.weight_column(r), *more)
+        d = spatial.radius_join(probes, accidents, r).groupBy(key).agg(F.count("*").alias("n"), M.weight_column(r), *more)
     else:
-        d = kernel_sums(probes, key, t.accidents(), F.col("sev"), r)
+        d = kernel_sums(probes, key, accidents, F.col("sev"), r)
     k = M.network_km(spatial.radius_join(probes, t.segments(), r), key, r)
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
     further = [c for c in d.columns if c not in (key, "n", "wsum")]
@@ -46,12 +49,21 @@ def measured(t: sur.Tables, probes: DataFrame, key: str, more: tuple[Column, ...
 def baseline(t: sur.Tables) -> DataFrame:
     """(bid, km, risk, band) of the baseline's sample points, stored: one small row a point, which strata,
     medians and scores of all queries read."""
-    return t.stored("walks", lambda: M.strata(durable(walk_samples(t)), DEFAULT.strata, DEFAULT.minimum_walk_km))
+    return t.stored("walks", lambda: M.strata(durable(walk_samples(t, t.baseline_points())), DEFAULT.strata, DEFAULT.minimum_walk_km))
 
 
-def walk_samples(t: sur.Tables) -> DataFrame:
-    """(bid, km, risk) of the baseline's sample points."""
-    m = measured(t, t.baseline_points(), "bid").where(F.col("km") >= DEFAULT.minimum_walk_km)
+def refreshed_baseline(t: sur.Tables) -> DataFrame:
+    """The baseline kept up: stored without the last month's accidents in the south, which then come in."""
+    late = (F.col("mi") == 25) & (F.col("y") < 2500)
+    samples = t.baseline_points()
+    before = t.stored("walks before", lambda: walk_samples(t, samples, t.accidents().where(~late)))
+    rows = refreshed(before, samples, "bid", t.accidents().where(late), DEFAULT.walk_radius, lambda some: walk_samples(t, some))
+    return M.strata(durable(rows), DEFAULT.strata, DEFAULT.minimum_walk_km)
+
+
+def walk_samples(t: sur.Tables, points: DataFrame, accidents: DataFrame | None = None) -> DataFrame:
+    """(bid, km, risk) of sample points, by all accidents or those given."""
+    m = measured(t, points, "bid", accidents=accidents).where(F.col("km") >= DEFAULT.minimum_walk_km)
     # rounded before they become thresholds, so that the order of sums can't move a sample; kernel sums
     # of whole metres are multiples of 1e-9, so nine places have no ties
     return m.select("bid", F.bround("km", 9).alias("km"), F.bround(F.col("wsum") / F.col("km"), 6).alias("risk"))

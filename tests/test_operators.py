@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardgrid.errors import AnalysisError
-from hazardgrid.operators import crossings, measures, overlay, paths, ranks, spatial
+from hazardgrid.operators import baseline, crossings, measures, overlay, paths, ranks, spatial
 from hazardgrid.sources.index import Index, write_index
 from hazardgrid.sources.police_csv import read_police_csv
 from hazardgrid.sources.sinks import write_json_documents
@@ -333,3 +333,22 @@ def test_inside_rings_equals_ray_casting(spark):
     for side in (3.0, 10.0, 1000.0):
         assert {x.id: x.inside for x in boundary.inside_rings(p, "id", boundary.edges_of(v, "ring", "seq"), side).collect()} == want
     assert boundary.inside_rings(p, "id", boundary.edges_of(v, "ring", "seq").limit(0), 10.0).where("inside").count() == 0
+
+
+def test_refresh_measures_touched_samples_only(spark):
+    """Equal to a rebuild where measures are local; samples on the rim are touched, others never measured."""
+    samples = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(20)], "bid long, px double, py double")
+    old = spark.createDataFrame([(50.0 * k, 30.0) for k in range(10)], "x double, y double")
+    new = spark.createDataFrame([(500.0, 0.0), (500.0, 0.0), (1900.0, 100.0)], "x double, y double")
+
+    def measure(points, some):
+        hits = spatial.radius_join(points, some, 100.0).groupBy("bid").agg(F.count("*").alias("n"))
+        return points.select("bid").join(hits, "bid", "left").fillna(0, ["n"])
+
+    stored = measure(samples, old)
+    asked = baseline.touched(samples, "bid", new, 100.0)
+    assert sorted(r.bid for r in asked.collect()) == [4, 5, 6, 19]
+    got = baseline.refreshed(stored, samples, "bid", new, 100.0, lambda some: measure(some, old.unionByName(new)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, measure(samples, old.unionByName(new)).collect()))
+    none = baseline.refreshed(stored, samples, "bid", new.limit(0), 100.0, lambda some: measure(some, old))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, stored.collect()))
