@@ -15,22 +15,17 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
 
 
-def radius_join(probe: DataFrame, points: DataFrame, radius: float, how: str = "inner", at: tuple[str, str] = ("x", "y")) -> DataFrame:
+def radius_join(probe: DataFrame, points: DataFrame, radius: float, at: tuple[str, str] = ("x", "y")) -> DataFrame:
     """Rows of ``probe(px, py, ...)`` with those of ``points(x, y, ...)`` within ``radius``, and ``d2``.
 
-    ``how`` is inner or left. The side with fewer rows should be the probe: it is repeated ninefold.
+    The side with fewer rows should be the probe: it is repeated ninefold.
     """
     x, y = at
-    near = probe.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else probe
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     cells = probe.withColumn("__o", F.explode(offsets)).withColumn("__cx", F.floor(F.col("px") / radius) + F.col("__o.i")).withColumn("__cy", F.floor(F.col("py") / radius) + F.col("__o.j")).drop("__o")
     placed = points.withColumn("__cx", F.floor(F.col(x) / radius)).withColumn("__cy", F.floor(F.col(y) / radius))
     d2 = squared_distance(F.col("px"), F.col("py"), F.col(x), F.col(y))
-    hits = cells.join(placed, ["__cx", "__cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__cx", "__cy")
-    if how == "inner":
-        return hits
-    new = [c for c in hits.columns if c not in probe.columns]
-    return near.drop("__id").join(hits.select(*probe.columns, *new), probe.columns, "left")
+    return cells.join(placed, ["__cx", "__cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__cx", "__cy")
 
 
 def nearest(probe: DataFrame, key: str, points: DataFrame, point_id: str, cap: float) -> DataFrame:
