@@ -21,11 +21,20 @@ BOUNDARY = [(500.0, 500.0), (9000.0, 900.0), (9500.0, 6000.0), (5200.0, 9500.0),
 _STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
+def join_by_shuffle(spark: SparkSession) -> None:
+    """Joins of this session go by shuffle unless a side has turned out small, or is marked as such. The planner
+    takes a side to be as large as its compressed file, which exploded cells, samples and grams outgrow some
+    thousandfold, and would build it on the driver."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "256k")
+
+
 class Tables:
     """Lazily built views of one set of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        join_by_shuffle(spark)
         #: Tables that several parts of one query read, made once.
         self.made: dict[str, object] = {}
 
