@@ -32,7 +32,7 @@ def _rounded(df: DataFrame, places_: int, *names: str) -> DataFrame:
 
 
 def _shares(t: sur.Tables) -> DataFrame:
-    return t.locations().select("lid").join(M.shares(R.walk_hits(t), "lid"), "lid", "left")
+    return t.locations().select("lid").join(R.walk_shares(t), "lid", "left")
 
 
 def _near(t: sur.Tables, radius: float = DEFAULT.walk_radius) -> DataFrame:
@@ -87,13 +87,13 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "walk_density": R.walk_density,
     "walk_network_km": lambda t: _rounded(R.measured(t, t.locations(), "lid").select("lid", "km"), 9, "km"),
     "walk_risk": lambda t: R.measured(t, t.locations(), "lid").select("lid", "n", F.bround(F.try_divide("wsum", "km"), 6).alias("risk")),
-    "walk_casualties": lambda t: M.casualties(R.walk_hits(t), "lid", sur.PEDESTRIAN),
+    "walk_casualties": R.walk_casualties,
     "hour_shares": lambda t: _rounded(M.with_fallback(_shares(t), t.accidents()).select("lid", "night", "peak"), 9, "night", "peak"),
     "hour_shares_plain": lambda t: _shares(t).select("lid", *[F.bround(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("night", "peak")]),
-    "involvement": lambda t: M.involvement(R.walk_hits(t), "lid", sur.PEDESTRIAN, sur.LARGE),
-    "monthly_trend": lambda t: M.monthly_trend(t.locations(), R.walk_hits(t), "lid", DEFAULT.months, sur.FIRST_MONTH),
+    "involvement": R.walk_involvement,
+    "monthly_trend": R.walk_trend,
     "order_trend": lambda t: t.read("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("n")),
-    "confidence_label": lambda t: R.walk_hits(t).groupBy("lid").agg(F.count("*").alias("n")).select("lid", S.confidence(F.col("n")).alias("confidence")),
+    "confidence_label": lambda t: R.walk_sums(t).select("lid", S.confidence(F.col("n")).alias("confidence")),
     "nearby_crossings": lambda t: X.nearby(_near(t), "lid"),
     "hot_crossings": lambda t: X.hot_count(_near(t), "lid"),
     "crossing_points": lambda t: X.points(t.accidents(), DEFAULT.points_per_crossing),

@@ -25,6 +25,40 @@ def involvement_columns(pedestrian: str, large: tuple[str, ...]) -> list[Column]
     return [F.count_if(S.mentions(F.col("parties"), pedestrian)).alias("ped"), F.count_if(S.mentions(F.col("parties"), *large)).alias("large")]
 
 
+def casualty_sums(pedestrian: str) -> dict[str, Column]:
+    """fat, inj and ped_fat as sums over accidents."""
+    dead = F.when((F.col("fat") > 0) & S.mentions(F.col("parties"), pedestrian), F.col("fat")).otherwise(0)
+    return {"fat": F.col("fat"), "inj": F.col("inj"), "ped_fat": dead}
+
+
+def share_sums() -> dict[str, Column]:
+    """Accidents in night and in peak hours, for ``as_shares``."""
+    return {"night": S.is_night(F.col("hour")).cast("int"), "peak": S.is_peak(F.col("hour")).cast("int")}
+
+
+def as_shares(sums: DataFrame) -> DataFrame:
+    """``sums(n, night, peak, ...)`` with the shares of n in place of the numbers, and ``n_hours``."""
+    return sums.withColumns({"n_hours": F.col("n"), **{c: F.col(c).cast("double") / F.nullif(F.col("n"), F.lit(0)) for c in ("night", "peak")}})
+
+
+def involvement_sums(pedestrian: str, large: tuple[str, ...]) -> dict[str, Column]:
+    return {"ped": S.mentions(F.col("parties"), pedestrian).cast("int"), "large": S.mentions(F.col("parties"), *large).cast("int")}
+
+
+def month_sums(months: int) -> dict[str, Column]:
+    """Accidents in each month of the period, for ``monthly_sums``."""
+    return {f"m{k}": (F.col("mi") == k).cast("int") for k in range(months)}
+
+
+def monthly_sums(keys: DataFrame, sums: DataFrame, key: str, months: int, first: str) -> DataFrame:
+    """(key, ym, n, partial) with a row for every month of the period, from ``month_sums`` of the keys that
+    have accidents."""
+    rows = keys.select(key).join(sums.select(key, F.array(*[f"m{k}" for k in range(months)]).alias("__m")), key, "left")
+    rows = rows.select(key, "__m", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("mi"))
+    ym = F.date_format(F.add_months(F.lit(first).cast("date"), F.col("mi")), "yyyy-MM")
+    return rows.select(key, ym.alias("ym"), F.coalesce(F.get("__m", F.col("mi")), F.lit(0)).alias("n"), F.lit(False).alias("partial"))
+
+
 def weight_column(radius: float) -> Column:
     """Kernel-weighted severity."""
     return F.sum(F.col("sev") * S.kernel_squared(F.col("d2"), radius)).alias("wsum")
