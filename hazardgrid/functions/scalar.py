@@ -118,9 +118,14 @@ def normalise_name(name: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character pieces; a shorter text is one piece."""
-    n = F.length(text)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
-    return F.array_distinct(F.when(n == 0, F.array().cast("array<string>")).otherwise(cut))
+
+    def pieces(one: Column) -> Column:
+        n = F.length(one)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(one, i, F.lit(3)))
+        return F.array_distinct(F.when(n == 0, F.array().cast("array<string>")).otherwise(cut))
+
+    # bound to a variable: a text that is computed would be computed again for each piece
+    return F.transform(F.array(text), pieces)[0]
 
 
 def jitter(ident: Column, reach: float) -> tuple[Column, Column]:
