@@ -94,12 +94,12 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "monthly_trend": R.walk_trend,
     "order_trend": lambda t: t.read("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("n")),
     "confidence_label": lambda t: R.walk_sums(t).select("lid", S.confidence(F.col("n")).alias("confidence")),
-    "nearby_crossings": lambda t: X.nearby(_near(t), "lid"),
+    "nearby_crossings": R.near_crossings,
     "hot_crossings": lambda t: X.hot_count(_near(t), "lid"),
     "crossing_points": lambda t: X.points(t.accidents(), DEFAULT.points_per_crossing),
     "busiest_crossing": lambda t: X.busiest(_near(t, 300.0), "lid"),
     "busiest_points": _busiest_points,
-    "crossing_records": lambda t: X.records(X.nearby(_near(t), "lid"), "lid", t.crossings()),
+    "crossing_records": lambda t: X.records(R.near_crossings(t), "lid", t.crossings()),
     "accident_crossing": lambda t: _rounded(X.assign(t.accidents(), t.crossings(), DEFAULT.assign_max), 6, "dist"),
     "class_rank": lambda t: X.class_rank(t.crossings()),
     "strata": R.baseline,

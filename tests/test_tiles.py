@@ -43,3 +43,29 @@ def test_a_session_of_tables_builds_no_large_table_on_the_driver(spark):
     t = surrogate.Tables(spark, "/root/testdata/sf0.1")
     plan = reports.ride_samples(t)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == plan.count("BroadcastExchange") == 2  # the tiles of points and discs
+
+
+def test_disc_leaders(spark, monkeypatch):
+    points, discs, v, keys, d2 = made(spark, 7, True)
+    monkeypatch.setattr(tiles, "TASK_NUMBERS", 2000)
+    monkeypatch.setattr(tiles, "CHUNK", 1024)
+    discs = discs.where("k < 90").select(F.monotonically_increasing_id().alias("k"), "px", "py").localCheckpoint()
+    points = points.where("x is not null").select(F.monotonically_increasing_id().alias("id"), "x", "y", "w").localCheckpoint()
+    rows, asked = points.collect(), discs.collect()
+    got = {}
+    for r in tiles.disc_leaders(discs, "k", points, "id", 300.0, F.col("w"), 5).collect():
+        got.setdefault(r.k, []).append((r.id, r.d2))
+    weight = {r.id: r.w for r in rows}
+    for a in asked:
+        near = [(r.id, (a.px - r.x) ** 2 + (a.py - r.y) ** 2) for r in rows]
+        near = sorted((x for x in near if x[1] <= 90000), key=lambda x: (-weight[x[0]], x[0]))[:5]
+        assert sorted(got.get(a.k, []), key=lambda x: (-weight[x[0]], x[0]))[:5] == near
+
+
+def test_a_computed_text_is_computed_once(spark):
+    from hazardgrid.functions.scalar import normalise_name, trigrams
+
+    rows = spark.range(1).select(F.concat(F.lit("Ａ"), F.col("id").cast("string"), F.lit("bcd")).alias("name"))
+    found = rows.select(trigrams(normalise_name(F.col("name"))).alias("g"))
+    assert found.first().g == ["a0b", "0bc", "bcd"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(trim(") == 1
