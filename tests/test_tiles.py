@@ -69,3 +69,19 @@ def test_a_computed_text_is_computed_once(spark):
     found = rows.select(trigrams(normalise_name(F.col("name"))).alias("g"))
     assert found.first().g == ["a0b", "0bc", "bcd"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(trim(") == 1
+
+
+def test_rings_in_crowded_rows(spark, monkeypatch):
+    """Blocks of points and edges add up; points on corners and edges are as in plain ray casting."""
+    from hazardgrid.operators import boundary
+
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 120, (4000, 2)).astype(float)
+    corners = rng.integers(0, 120, (150, 3, 2)).astype(float)
+    edges = [(*t[k], *t[(k + 1) % 3]) for t in corners.tolist() for k in range(3)]
+    for name, most in (("TASK_POINTS", 700), ("TASK_EDGES", 60), ("TESTS", 500)):
+        monkeypatch.setattr(boundary, name, most)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "k long, px double, py double")
+    got = {r.k: r.inside for r in boundary.inside_rings(points, "k", spark.createDataFrame([tuple(map(float, e)) for e in edges], "ax double, ay double, bx double, by double"), 50.0).collect()}
+    for i, (x, y) in enumerate(p):
+        assert got[i] == (sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ax, ay, bx, by in edges) % 2 == 1)
