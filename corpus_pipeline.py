@@ -17,6 +17,8 @@ from hazardgrid.llm import common, exact_dedup, packing, simhash_dedup, suffix_d
 
 #: Documents of this score and above are toxic.
 TOXIC = 0.3
+#: Bits in which fingerprints of near copies differ at most.
+NEAR_BITS = 6
 SEQUENCE = 4096
 TOKENIZER, END = "word_bpe_49k.json", 2
 ORACLE_SQL = None
@@ -64,10 +66,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8), one row with the smallest
-    doc_id stays; of rows that share it, one with the smallest text key, then the smallest in the order
-    of its columns. Texts without words are one component."""
-    kept = simhash_dedup.near_copies(docs.select("doc_id", "text")).where("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id")).distinct()
+    """Of each component of near copies (SimHash of three-word shingles, at most NEAR_BITS of 64 bits differ), one row
+    with the smallest doc_id stays; of rows that share it, one with the smallest text key, then the smallest in the
+    order of its columns. Texts without words are one component."""
+    kept = simhash_dedup.similar_prints(docs.select("doc_id", "text"), 3, NEAR_BITS).where("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id")).distinct()
     marked = packed(docs, digest=common.text_digest(), key=common.text_key(), id=F.col("doc_id"))
     rows = marked.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
     return one_row_a_text(rows.select("digest", "row"), repeated_rows(marked))

@@ -1,9 +1,10 @@
-"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked by multi-index hashing; and near
-copies by the exact similarity of shingle sets, for the pipeline."""
+"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked by multi-index hashing, in pairs or as components
+of wider links for the pipeline; and near copies by the exact similarity of shingle sets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z
 SEED = 42
 #: Shingles whose bits are added up in bytes.
 BLOCK = 255
+#: Tables of ``joining_links``; fingerprints dealt out at once; cells up to this size are compared place by place;
+#: pairs that are held at once.
+BYTE_PAIRS = list(combinations(range(8), 2))
+DEALT_AT_ONCE, LISTED_CELL, PAIRS_AT_ONCE = 1 << 16, 512, 1 << 20
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -47,15 +52,19 @@ def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(majority(hashes[:, None]), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs(doc_id, text)``; fp holds the 64 bits in a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row of ``docs(doc_id, text)``, with its text's key if ``keyed``; fp holds the 64 bits in a
+    signed long."""
+    more = [common.text_key().alias("key")] if keyed else []
+    rows = docs.select(F.col("doc_id").cast("long"), *more, "text")
+    names = [c for c in rows.columns if c != "text"] + ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
             fps = np.array([fingerprint(x, width) for x in common.bytes_of(part)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, key binary, fp long" if keyed else "doc_id long, fp long")
 
 
 def _ball(segment: Column, bits: int) -> Column:
@@ -99,6 +108,114 @@ def hamming_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints in the cells of all pairs of their bytes, dealt out by cell."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        fps = np.concatenate(held)
+        byte = fps.view(np.uint8).reshape(-1, 8).astype("<u4")
+        cell = np.concatenate([np.uint32(t << 16) | byte[:, i] << np.uint32(8) | byte[:, j] for t, (i, j) in enumerate(BYTE_PAIRS)])
+        bucket = common.mix(cell.astype("<u8")) % common.U64(width)
+        order = np.argsort(bucket, kind="stable")
+        bucket, cell, fps = bucket[order], cell[order], np.tile(fps, len(BYTE_PAIRS))[order]
+        cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + common.U64(1)))
+        ends = [*cut[1:].tolist(), len(bucket)]
+        blobs = [pa.array([x[s:e].tobytes() for s, e in zip(cut.tolist(), ends, strict=True)], pa.binary()) for x in (cell, fps)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *blobs], names=["bucket", "cells", "fps"])
+
+    held, n = [], 0
+    for part in batches:
+        held.append(part.column(0).to_numpy().astype("<i8").view("<u8"))
+        n += part.num_rows
+        if n >= DEALT_AT_ONCE:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def _spanned(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the links among ``x`` join: what is found to belong to a component is compared only with
+    what belongs to none yet."""
+    out, open_ = [(x[:0], x[:0])], x
+    while len(open_) > 1:
+        front, open_ = open_[:1], open_[1:]
+        while len(front) and len(open_):
+            some, front = np.split(front, [max(1, PAIRS_AT_ONCE // len(open_))])
+            near = np.bitwise_count(some[:, None] ^ open_[None, :]) <= distance
+            hit = near.any(axis=0)
+            out.append((some[near[:, hit].argmax(axis=0)], open_[hit]))
+            front, open_ = np.concatenate([front, open_[hit]]), open_[~hit]
+    a, b = zip(*out, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _joined(table: pa.Table, distance: int) -> pa.Table:
+    """(a, b): each fingerprint b that links in a cell of this bucket, with one that it is joined to, so that rows
+    follow the fingerprints and not their pairs."""
+    common.give_back()
+    cell, fps = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("cells", "<u4"), ("fps", "<u8")))
+    order = np.argsort(cell, kind="stable")
+    cell, x = cell[order], fps[order]
+    begin = np.flatnonzero(np.diff(cell.astype(np.int64), prepend=-1))
+    count = np.diff(np.append(begin, len(cell)))
+    names, at = np.unique(x, return_inverse=True)
+    links, n = [], 0
+
+    def reduced() -> list[tuple[np.ndarray, np.ndarray]]:
+        root = common.local_components(len(names), *(np.concatenate(c) for c in zip(*links, strict=True)))
+        other = np.flatnonzero(root != np.arange(len(names)))
+        return [(root[other], other)]
+
+    after = np.repeat(count, count) - common.ramp(count) - 1  # entries of the cell that follow
+    alive = np.flatnonzero((after > 0) & (np.repeat(count, count) <= LISTED_CELL))
+    for k in range(1, LISTED_CELL):
+        alive = alive[after[alive] >= k]
+        if not len(alive):
+            break
+        i = alive[np.bitwise_count(x[alive] ^ x[alive + k]) <= distance]
+        links.append((at[i], at[i + k]))
+        n += len(i)
+        if n > PAIRS_AT_ONCE:
+            links, n = reduced(), 0
+    for k in np.flatnonzero(count > LISTED_CELL):
+        a, b = _spanned(x[begin[k] : begin[k] + count[k]], distance)
+        links.append((np.searchsorted(names, a), np.searchsorted(names, b)))
+    if not links:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    ((a, b),) = reduced()
+    return pa.table({"a": names[a].view(np.int64), "b": names[b].view(np.int64)})
+
+
+def joining_links(fps: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints of ``fps(fp)`` (distinct) that have the components of all links: those with at most
+    ``distance`` differing bits, 6 at most.
+
+    Multi-index hashing over pairs of bytes: six differing bits leave two of the eight bytes alike, so each link meets
+    in one of 28 tables of 65,536 cells. Cells are compared in full by their tasks, which return links that join
+    what these join and no more, so a family of near copies gives a row a fingerprint and table, not a pair.
+    """
+    assert distance <= 6
+    width = common.shuffle_width(fps.sparkSession)
+    packed = fps.select("fp").mapInArrow(lambda it: _dealt(it, width), "bucket int, cells binary, fps binary")
+    return packed.groupBy("bucket").applyInArrow(lambda table: _joined(table, distance), "a long, b long")
+
+
+def similar_prints(docs: DataFrame, width: int = 3, distance: int = 6) -> DataFrame:
+    """(doc_id, key, component_id, kept) for each row of ``docs(doc_id, text)``: texts whose fingerprints differ in at
+    most ``distance`` bits share a component, named by its smallest doc_id; ``kept`` holds for one text of it
+    (``common.text_key``) with that doc_id. No such pair is missed. Texts without words have fingerprint zero."""
+    rows = common.durable(fingerprints(docs, width, keyed=True))
+    one = common.durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low")))
+    parts = common.connected_components(joining_links(one.select("fp"), distance))
+    named = one.join(parts, one["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    # written, so that adaptive execution can split a component that a third of all nodes are in
+    lowest = common.durable(named.groupBy("component").agg(F.min("low").alias("least")))
+    label = common.durable(named.join(lowest, "component").select("fp", "least"))
+    out = rows.join(label, "fp")
+    return out.select("doc_id", "key", F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))).alias("kept"))
+
+
 def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links, itself included), kept (doc_id is that one).
@@ -118,7 +235,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFra
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-#: Near copies by similarity: words of a shingle, least similarity as a fraction.
+#: Near copies by similarity of sets: words of a shingle, least similarity as a fraction.
 SIMILAR_WIDTH, SIMILAR = 5, (4, 5)
 #: Texts whose shingles are counted to find frequent ones, and frequent shingles that are told to workers.
 SAMPLE, FREQUENT = 10_000, 1 << 17

@@ -147,6 +147,32 @@ def test_hamming_links(spark):
     assert got == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_joining_links(spark):
+    """Components of all fingerprints up to six bits apart, in sparse cells and in crowded ones, and no more rows than
+    fingerprints a task."""
+    from hazardgrid.llm import simhash_dedup as sd
+
+    r = random.Random(4)
+    flipped = lambda v, n: v ^ sum(1 << b for b in r.sample(range(64), n))
+    family = r.getrandbits(64)
+    values = [r.getrandbits(64) for _ in range(60)] + [flipped(family, r.randint(2, 5)) for _ in range(150)]
+    for v in values[:60]:
+        values += [flipped(v, 6), flipped(v, 7)]
+    values = sorted(set(values))
+    want = brute.components(len(values), [(i, j) for i, a in enumerate(values) for j in range(i) if (a ^ values[j]).bit_count() <= 6])
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    for cell in (sd.LISTED_CELL, 4):
+        old, sd.LISTED_CELL = sd.LISTED_CELL, cell
+        try:
+            found = sd.joining_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 6).collect()
+        finally:
+            sd.LISTED_CELL = old
+        place = {v: i for i, v in enumerate(signed)}
+        links = [(place[p.a], place[p.b]) for p in found]
+        assert brute.components(len(values), links) == want and len(links) < len(values) * len(sd.BYTE_PAIRS)
+    assert len(set(want)) < len(values) - 150
+
+
 def test_near_copies(spark):
     r = random.Random(8)
     text = lambda n: [f"w{r.randrange(100000)}" for _ in range(n)]
@@ -191,6 +217,21 @@ def passage_family(shared, pairs, seed):
     return rows
 
 
+def test_similar_prints_by_fingerprints(spark):
+    """The pipeline's near copies are those of the fingerprints, whatever their sets of shingles are."""
+    from hazardgrid.llm.simhash_dedup import fingerprint, similar_prints
+
+    rows = passage_family(150, 40, 6) + [(900, ""), (901, None), (None, "one two three"), (None, "one two three")]
+    prints = [fingerprint((t or "").encode()) for _, t in rows]
+    group = brute.components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 6])
+    low = {}
+    for (d, _), g in zip(rows, group, strict=True):
+        low[g] = min([x for x in (low.get(g), d) if x is not None], default=None)
+    got = similar_prints(docs(spark, rows)).collect()
+    assert brute.ordered([(t.doc_id, t.component_id) for t in got]) == brute.ordered([(d, low[g]) for (d, _), g in zip(rows, group, strict=True)])
+    assert all(t.kept == (t.doc_id == t.component_id) for t in got if t.doc_id != 901) and len(set(group)) < len(rows) - 10
+
+
 @pytest.mark.parametrize("shared", [100, 150])
 def test_near_copies_with_a_shared_passage(spark, shared):
     n, want, got = links_and_components(spark, passage_family(shared, 150, 4))
