@@ -95,7 +95,7 @@ _QUERIES: dict[str, Callable[[sur.Tables], DataFrame]] = {
     "order_trend": lambda t: t.read("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("n")),
     "confidence_label": lambda t: R.walk_sums(t).select("lid", S.confidence(F.col("n")).alias("confidence")),
     "nearby_crossings": R.near_crossings,
-    "hot_crossings": lambda t: X.hot_count(_near(t), "lid"),
+    "hot_crossings": lambda t: X.hot_around(t.locations(), "lid", t.crossings(), DEFAULT.walk_radius),
     "crossing_points": lambda t: X.points(t.accidents(), DEFAULT.points_per_crossing),
     "busiest_crossing": lambda t: X.busiest(_near(t, 300.0), "lid"),
     "busiest_points": _busiest_points,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalar as S
-from . import spatial
+from .tiles import disc_sums, nearest_disc
 
 
 def nearby(hits: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
@@ -23,6 +23,15 @@ def is_hot(dist: Column, cnt: Column, config: Config = DEFAULT) -> Column:
     return (dist <= config.near_hot) & (cnt >= config.high_count)
 
 
+def hot_around(places: DataFrame, key: str, crossings: DataFrame, radius: float, config: Config = DEFAULT) -> DataFrame:
+    """``hot_count`` of the crossings within ``radius``, without their pairs: distances that round to near_hot end half a
+    metre beyond it, at an even number with it."""
+    assert config.near_hot % 2 == 0 and config.near_hot + 0.5 <= radius
+    some = disc_sums(places, key, crossings, radius).select(key)
+    hot = disc_sums(places, key, crossings.where(F.col("cnt") >= config.high_count), config.near_hot + 0.5)
+    return some.join(hot, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("hot"))
+
+
 def hot_count(hits: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     return hits.groupBy(key).agg(F.count_if(is_hot(F.bround(F.sqrt("d2")).cast("int"), F.col("cnt"), config)).alias("hot"))
 
@@ -43,11 +52,10 @@ def busiest(hits: DataFrame, key: str) -> DataFrame:
 
 def assign(accidents: DataFrame, crossings: DataFrame, reach: float) -> DataFrame:
     """(aid, xid, dist): the nearest crossing of each accident within ``reach``, of equals the smaller id;
-    nulls if there is none. The fewer crossings are the probe; accidents are not repeated."""
-    probe = crossings.select("xid", F.col("x").alias("px"), F.col("y").alias("py"))
-    hits = spatial.radius_join(probe, accidents.select("aid", "x", "y"), reach)
-    best = hits.groupBy("aid").agg(F.min(F.struct("d2", "xid")).alias("b"))
-    return accidents.select("aid").join(best, "aid", "left").select("aid", "b.xid", F.sqrt("b.d2").alias("dist"))
+    nulls if there is none."""
+    middles = crossings.select("xid", F.col("x").alias("px"), F.col("y").alias("py"))
+    best = nearest_disc(middles, "xid", accidents, "aid", reach)
+    return accidents.select("aid").join(best, "aid", "left").select("aid", "xid", F.sqrt("d2").alias("dist"))
 
 
 def records(near: DataFrame, key: str, crossings: DataFrame) -> DataFrame:

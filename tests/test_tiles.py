@@ -85,3 +85,31 @@ def test_rings_in_crowded_rows(spark, monkeypatch):
     got = {r.k: r.inside for r in boundary.inside_rings(points, "k", spark.createDataFrame([tuple(map(float, e)) for e in edges], "ax double, ay double, bx double, by double"), 50.0).collect()}
     for i, (x, y) in enumerate(p):
         assert got[i] == (sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ax, ay, bx, by in edges) % 2 == 1)
+
+
+def test_nearest_disc_and_first_met(spark):
+    """Against plain versions: places in crowds and far from any, equal places and equal distances."""
+    r = np.random.default_rng(7)
+    for blocks in (60_000, 25):
+        old, tiles.TASK_DISCS = tiles.TASK_DISCS, blocks
+        try:
+            x, y = (np.concatenate([r.integers(0, 900, 300), r.integers(200, 230, 200)]).astype(float) for _ in range(2))
+            px, py = (np.concatenate([r.integers(0, 900, 120), r.integers(205, 215, 80), [5000]]).astype(float) for _ in range(2))
+            points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "aid long, x double, y double")
+            discs = spark.createDataFrame([(i, i // 9, i % 9, float(a), float(b)) for i, (a, b) in enumerate(zip(px, py, strict=True))], "lid long, rid long, pos long, px double, py double")
+            d2 = (x[:, None] - px) ** 2 + (y[:, None] - py) ** 2
+            for radius in (15.0, 100.0):
+                got = {t.aid: (t.d2, t.lid) for t in tiles.nearest_disc(discs, "lid", points, "aid", radius).collect()}
+                assert got == {i: (row.min(), int(row.argmin())) for i, row in enumerate(d2) if row.min() <= radius * radius}
+                want = {}
+                for i, j in np.argwhere(d2 <= radius * radius).tolist():
+                    want[j // 9, i] = min(want.get((j // 9, i), 9), j % 9)
+                rows = [tuple(t) for t in tiles.first_met(discs, "rid", "pos", points, "aid", radius).collect()]
+                assert len(rows) == len(want) and {(k, i): f for k, i, f in rows} == want
+                led = {tuple(t) for t in tiles.first_met(discs, "rid", "pos", points, "aid", radius, F.col("aid") % 5, 3).collect()}
+                assert led <= set(rows)
+                for k in {k for k, _ in want}:
+                    best = sorted((t for t in rows if t[0] == k), key=lambda t: (-(t[1] % 5), t[2], t[1]))[:3]
+                    assert set(best) <= led
+        finally:
+            tiles.TASK_DISCS = old
