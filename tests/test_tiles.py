@@ -113,3 +113,17 @@ def test_nearest_disc_and_first_met(spark):
                     assert set(best) <= led
         finally:
             tiles.TASK_DISCS = old
+
+
+def test_crossings_shown_and_counted_as_ranked(spark):
+    """What reports count and documents show are those of all crossings along the routes, ranked."""
+    from hazardgrid.plans import reports as R
+    from hazardgrid.plans import surrogate as sur
+
+    t = sur.Tables(spark, "/root/testdata/sf0.001")
+    r = R.given_routes(t)
+    ranked = R.route_crossings(t, r)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(R.shown_crossings(t, r)) == rows(ranked.where("shown"))
+    counted = ranked.groupBy("rid").agg(F.count_if("high"), F.count("*"), F.count_if("shown"))
+    assert rows(R.crossing_numbers(t, r)) == rows(counted) != []
