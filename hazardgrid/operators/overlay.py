@@ -3,7 +3,8 @@
 The network is cut into cells of a bounded number of nodes. In each cell, in parallel, searches from the
 nodes where roads enter find the distances to all roads that leave; these jumps, from entry to entry of
 the next cell, are the overlay. A trip is then searched in its two end cells, and between them by
-joins over jumps, a cell a round. Only the cells on a found path are opened again for its nodes.
+jumps, a cell a round: a task applies a cell's jumps to all that its trips have reached there at once, so
+of many ways to an entry only the best leaves it. Only the cells on a found path are opened again for its nodes.
 
 No task or driver holds more than a cell, a block of trips and, for each, the entries of one cell.
 """
@@ -14,6 +15,7 @@ import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from ..scratch import discard, durable
 from ..shipping import ship_package
 
-#: Nodes of a cell at most, unless more lie in one square of UNIT metres; trips of a block.
-CELL_NODES, BLOCK_TRIPS, UNIT, LEVELS = 600, 500, 50.0, 24
+#: Nodes of a cell at most, unless more lie in one square of UNIT metres; trips of a block, and labels of one.
+CELL_NODES, BLOCK_TRIPS, BLOCK_LABELS, UNIT, LEVELS = 2500, 500, 40_000, 50.0, 24
+#: Sums of labels and jumps that are held at once.
+AT_ONCE = 1_000_000
 INNER, LEAVES, ENTERS = 0, 1, 2
 SEEDS = "array<struct<node:bigint,d:double,from_d:double,via:bigint>>"
 
@@ -79,8 +83,8 @@ def roads_out(rows: pd.DataFrame) -> list[tuple[int, int, float, int]]:
 @dataclass(frozen=True)
 class Overlay:
     """cells(node, x, y, cell); roads(cell, kind, src, dst, len_m, to_cell): of each cell its inner roads,
-    those that leave it, and the nodes where roads enter; jumps(src, node, cell, x, y, len_m, via, via_m):
-    from entry src to the next cell's entry node, the last node before being via after via_m; pace: least
+    those that leave it, and the nodes where roads enter; jumps(at, src, node, cell, x, y, len_m, via, via_m): in
+    cell at from entry src to the next cell's entry node, the last node before being via after via_m; pace: least
     metres of road a metre of straight line."""
 
     cells: DataFrame
@@ -111,13 +115,13 @@ def build(nodes: DataFrame, edges: DataFrame, limit: float, most: int = CELL_NOD
 
     def jump(rows: pd.DataFrame) -> pd.DataFrame:
         graph = adjacency(rows)
-        leaving, out = roads_out(rows), []
+        leaving, at, out = roads_out(rows), int(rows["cell"].iloc[0]), []
         for u in rows["src"][rows["kind"] == ENTERS].tolist():
-            out += [(u, *t) for t in ways_out(reach(graph, {u: 0.0}, limit), leaving, limit)]
-        return pd.DataFrame(out, columns=["src", "node", "cell", "len_m", "via_m", "via"])
+            out += [(at, u, *t) for t in ways_out(reach(graph, {u: 0.0}, limit), leaving, limit)]
+        return pd.DataFrame(out, columns=["at", "src", "node", "cell", "len_m", "via_m", "via"])
 
-    found = roads.groupBy("cell").applyInPandas(jump, "src long, node long, cell long, len_m double, via_m double, via long")
-    jumps = durable(found.join(cells.select("node", "x", "y"), "node").select("src", "node", "cell", "x", "y", "len_m", "via_m", "via"))
+    found = _dealt_out(roads, "cell").groupBy("cell").applyInPandas(jump, "at long, src long, node long, cell long, len_m double, via_m double, via long")
+    jumps = durable(found.join(cells.select("node", "x", "y"), "node").select("at", "src", "node", "cell", "x", "y", "len_m", "via_m", "via"))
     return Overlay(cells, roads, jumps, row["pace"] or 0.0, limit)
 
 
@@ -134,6 +138,11 @@ def ways_out(best: dict[int, float], leaving: list[tuple], limit: float) -> list
     return [(v, c, d, before, w) for v, (d, before, w, c) in out.items()]
 
 
+def _dealt_out(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` in as many parts as a shuffle has: searches take long over few bytes, by which parts would be joined."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _in_cells(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], list], columns: str) -> DataFrame:
     """``run`` over each cell's roads with ``asked(cell, qid, head, seeds)``, in blocks of trips: a cell that
     many trips are in is dealt out with a copy of its roads a block."""
@@ -146,6 +155,7 @@ def _in_cells(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.D
         # as objects, since whole numbers beside nulls would become doubles
         return pd.DataFrame(run(roads, trips) if len(trips) else [], columns=names, dtype=object)
 
+    roads, dealt = _dealt_out(roads, "cell", "block"), _dealt_out(dealt, "cell", "block")
     return roads.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(work, columns)
 
 
@@ -156,7 +166,8 @@ def _starts(limit: float) -> Callable:
         graph, leaving, out = adjacency(roads), roads_out(roads), []
         for q, head, seeds in zip(trips["qid"], trips["head"], trips["seeds"], strict=True):
             best = reach(graph, {s["node"]: s["d"] for s in seeds}, limit)
-            out += [(q, v, c, d, before, w) for v, c, d, before, w in ways_out(best, leaving, limit)]
+            # ways out that are longer than the way inside lead to no shorter one
+            out += [(q, v, c, d, before, w) for v, c, d, before, w in ways_out(best, leaving, best.get(head, limit))]
             if head in best:
                 out.append((q, head, None, best[head], None, None))
         return out
@@ -206,6 +217,46 @@ def _seeds(*fields: str):
     return F.array(F.struct(*[F.expr(f"{f} as {n}") for f, n in zip(fields, ("node", "d", "from_d", "via"), strict=True)])).cast(SEEDS)
 
 
+def _jumped(over: Overlay, ahead: DataFrame) -> DataFrame:
+    """The best label (qid, node, cell, s) of each trip and entry that jumps reach from one cell's labels
+    ``ahead(qid, cell, node, so_far, b_x, b_y, most)``, of equally long ones the nearer, then the smaller last node; those
+    only that with the straight line to the end, at the least pace, are not above ``most``."""
+    spread = ahead.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_LABELS).cast("int").alias("blocks"))
+    jumps = over.jumps.join(spread.withColumnRenamed("cell", "at"), "at").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = ahead.join(spread, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
+    pace, names = over.pace, ["qid", "node", "cell", "d", "from_d", "via"]
+
+    def work(jumps: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=names, dtype=np.int64)
+        if not len(jumps) or not len(labels):
+            return none
+        src, i = np.unique(jumps["src"].to_numpy(), return_inverse=True)
+        to, first, j = np.unique(jumps["node"].to_numpy(), return_index=True, return_inverse=True)
+        cell, x, y = (jumps[c].to_numpy()[first] for c in ("cell", "x", "y"))
+        length, before, via = np.full((len(src), len(to)), np.inf), np.full((len(src), len(to)), np.inf), np.full((len(src), len(to)), np.iinfo(np.int64).max)
+        length[i, j], before[i, j], via[i, j] = jumps["len_m"], jumps["via_m"], jumps["via"]
+        labels = labels[np.isin(labels["node"].to_numpy(), src)].sort_values("qid", kind="stable")
+        parts, step = [none], max(1, AT_ONCE // len(to))
+        for part in (labels.iloc[k : k + step] for k in range(0, len(labels), step)):
+            at, so_far, qid = np.searchsorted(src, part["node"].to_numpy()), part["so_far"].to_numpy()[:, None], part["qid"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]]))
+            trip = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(qid))))
+            d = so_far + length[at]
+            least = np.minimum.reduceat(d, start, axis=0)
+            tie = d == least[trip]
+            from_d = np.where(tie, so_far + before[at], np.inf)
+            nearest = np.minimum.reduceat(from_d, start, axis=0)
+            last = np.minimum.reduceat(np.where(tie & (from_d == nearest[trip]), via[at], np.iinfo(np.int64).max), start, axis=0)
+            b_x, b_y, most = (part[c].to_numpy()[start][:, None] for c in ("b_x", "b_y", "most"))
+            line = pace * np.hypot(x - b_x, y - b_y)
+            g, t = np.nonzero(np.isfinite(least) & (least + line * (1 - 1e-9) <= most * (1 + 1e-12)))
+            parts.append(pd.DataFrame({"qid": qid[start][g], "node": to[t], "cell": cell[t], "d": least[g, t], "from_d": nearest[g, t], "via": last[g, t]}))
+        return pd.concat(parts[1:] or parts)
+
+    got = jumps.groupBy("at", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(work, "qid long, node long, cell long, d double, from_d double, via long")
+    return got.select("qid", "node", "cell", F.struct("d", "from_d", "via").alias("s"))
+
+
 @dataclass(frozen=True)
 class Searched:
     """trips(qid, src, a_cell, dst, b_cell, length_m) of the trips with a path; labels(qid, node, cell, s): the
@@ -224,33 +275,32 @@ def search(over: Overlay, queries: DataFrame) -> Searched:
     trips = durable(queries.select("qid", F.col("src").cast("long"), F.col("dst").cast("long")).join(a, "src").join(b, "dst").select("qid", "src", "dst", "a_cell", "b_cell", "b_x", "b_y"))
     first = durable(_in_cells(over, trips.select(F.col("a_cell").alias("cell"), "qid", F.col("dst").alias("head"), _seeds("src", "0d", "0d", "src").alias("seeds")), _starts(limit), "qid long, node long, cell long, d double, from_d double, via long"))
     ends = durable(_in_cells(over, trips.select(F.col("b_cell").alias("cell"), "qid", F.col("dst").alias("head"), _seeds("dst", "0d", "0d", "dst").alias("seeds")), _ends(limit), "qid long, node long, rest double"))
-    direct = first.where("cell is null").select("qid", F.col("d").alias("best"))
+    best = durable(first.where("cell is null").select("qid", F.col("d").alias("best")))
     label = F.struct("d", "from_d", "via").alias("s")
     known = durable(first.where("cell is not null").select("qid", "node", "cell", label, F.lit(True).alias("new")))
-
-    def lengths() -> DataFrame:
-        met = known.join(ends, ["qid", "node"]).select("qid", (F.col("s.d") + F.col("rest")).alias("best"))
-        return met.unionByName(direct).groupBy("qid").agg(F.min("best").alias("best"))
-
     while not known.where("new").isEmpty():
-        goal = trips.select("qid", "b_x", "b_y").join(lengths(), "qid", "left").select("qid", "b_x", "b_y", F.least(F.lit(limit), F.coalesce("best", F.lit(limit))).alias("most"))
-        ahead = known.where("new").select("qid", F.col("node").alias("src"), F.col("s.d").alias("so_far")).join(goal, "qid").where(F.col("so_far") < F.col("most"))
-        d = F.col("so_far") + F.col("len_m")
-        line = over.pace * F.hypot(F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y"))
-        step = ahead.join(over.jumps, "src").where(d + line * (1 - 1e-9) <= F.col("most") * (1 + 1e-12))
-        step = step.select("qid", "node", "cell", F.struct(d.alias("d"), (F.col("so_far") + F.col("via_m")).alias("from_d"), "via").alias("s"))
+        fresh = known.where("new")
+        met = fresh.join(ends, ["qid", "node"]).select("qid", (F.col("s.d") + F.col("rest")).alias("best"))
+        shorter = durable(best.unionByName(met).groupBy("qid").agg(F.min("best").alias("best")))
+        discard(best)
+        best = shorter
+        goal = trips.select("qid", "b_x", "b_y").join(best, "qid", "left").select("qid", "b_x", "b_y", F.least(F.lit(limit), F.coalesce("best", F.lit(limit))).alias("most"))
+        ahead = fresh.select("qid", "node", "cell", F.col("s.d").alias("so_far")).join(goal, "qid").where(F.col("so_far") < F.col("most"))
+        step = _jumped(over, durable(ahead))
         tried = known.select("qid", "node", "cell", "s", F.lit(0).alias("late")).unionByName(step.withColumn("late", F.lit(1)))
-        best = tried.groupBy("qid", "node", "cell").agg(F.min(F.struct("s", "late")).alias("b"))
-        after = durable(best.select("qid", "node", "cell", "b.s", (F.col("b.late") == 1).alias("new")))
+        least = tried.groupBy("qid", "node", "cell").agg(F.min(F.struct("s", "late")).alias("b"))
+        after = durable(least.select("qid", "node", "cell", "b.s", (F.col("b.late") == 1).alias("new")))
         discard(known)
         known = after
-    found = trips.join(lengths(), "qid").where(F.col("best") <= limit)
+    found = trips.join(best, "qid").where(F.col("best") <= limit)
     return Searched(durable(found.select("qid", "src", "a_cell", "dst", "b_cell", F.col("best").alias("length_m"))), known)
 
 
 def path_nodes(over: Overlay, got: Searched) -> DataFrame:
     """(qid, nodes) of the searched trips: their paths are walked back from the end, a cell a round."""
-    labels = got.labels.select("qid", "cell", F.struct("node", "s.d", "s.from_d", "s.via").alias("l"))
+    # only labels nearer than the end can lie on a path
+    near = got.labels.join(got.trips.select("qid", "length_m"), "qid").where(F.col("s.d") <= F.col("length_m"))
+    labels = durable(near.select("qid", "cell", F.struct("node", "s.d", "s.from_d", "s.via").alias("l")))
     starts = got.trips.select("qid", F.col("a_cell").alias("cell"), F.expr("struct(src as node, 0d as d, 0d as from_d, src as via)").alias("l"))
     labels = labels.unionByName(starts)
     heads = got.trips.select("qid", F.col("dst").alias("head"), F.col("b_cell").alias("cell"))

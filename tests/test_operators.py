@@ -1,4 +1,5 @@
 import bisect
+import math
 import random
 
 import pytest
@@ -165,6 +166,39 @@ def test_overlay_paths_equal_plain_paths(spark, monkeypatch):
     assert got == want and 15 < sum(f for f, _, _ in got.values()) < 40
 
 
+def test_jumps_leave_a_cell_once_a_trip_and_entry(spark, monkeypatch):
+    """Labels that one cell's jumps make: of each trip and entry the best only, of equal ones the nearer, then the
+    smaller last node; as joined rows and their minimum. Ways out beyond the way inside the first cell are no labels."""
+    r = random.Random(4)
+    side = 9
+    nodes = spark.createDataFrame([(k, 100.0 * (k % side), 100.0 * (k // side)) for k in range(side * side)], "node long, x double, y double")
+    roads = [(k, k + o, float(r.choice([100, 110, 120]))) for k in range(side * side) for o, ok in ((1, k % side < side - 1), (side, k < side * (side - 1))) if ok]
+    edges = spark.createDataFrame(roads + [(b, a, w) for a, b, w in roads], "src long, dst long, len_m double")
+    over = overlay.build(nodes, edges, 900.0, most=20)
+    jumps = over.jumps.collect()
+    entries = {(j.at, j.src) for j in jumps}
+    asked = [(q, at, v, float(r.choice([0, 100, 110])), 400.0, 300.0, 700.0) for q in range(6) for at, v in sorted(entries) if r.random() < 0.7]
+    want = {}
+    for q, at, v, d, bx, by, most in asked:
+        for j in jumps:
+            if (j.at, j.src) == (at, v) and d + j.len_m + over.pace * math.hypot(j.x - bx, j.y - by) * (1 - 1e-9) <= most * (1 + 1e-12):
+                key, way = (at, q, j.node, j.cell), (d + j.len_m, d + j.via_m, j.via)
+                want[key] = min(want.get(key, way), way)
+    rows = spark.createDataFrame(asked, "qid long, cell long, node long, so_far double, b_x double, b_y double, most double")
+    got = overlay._jumped(over, rows).collect()
+    assert sorted((x.qid, x.node, x.cell, *x.s) for x in got) == sorted((q, v, c, *s) for (_, q, v, c), s in want.items())
+    monkeypatch.setattr(overlay, "AT_ONCE", 7)  # a trip in several parts: the same minimum
+    least = {}
+    for x in overlay._jumped(over, rows).collect():
+        least[x.qid, x.node, x.cell] = min(least.get((x.qid, x.node, x.cell), tuple(x.s)), tuple(x.s))
+    assert least == {k[1:]: min(s for o, s in want.items() if o[1:] == k[1:]) for k in want}
+    cell = {x.node: x.cell for x in over.cells.collect()}
+    trips = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in cell for b in cell if a < b and cell[a] == cell[b])]
+    found = overlay.search(over, spark.createDataFrame(trips, "qid long, src long, dst long"))
+    length = {x.qid: x.length_m for x in found.trips.collect()}
+    assert len(length) == len(trips) and all(x.s.d <= length[x.qid] + 200 for x in found.labels.collect())
+
+
 def test_overlay_of_one_cell_or_no_roads(spark):
     nodes, edges = network(spark, 4, 2)
     asked = [(1, 0, 15), (2, 15, 0), (3, 4, 4)]
