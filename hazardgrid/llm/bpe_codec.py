@@ -10,6 +10,7 @@ shuffled, broadcast or collected but the vocabulary.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import heapq
 import json
@@ -59,9 +60,9 @@ def splitter(pattern: str):
 
 
 def merges_of(ranks: dict[bytes, int]) -> tuple[list[tuple[int, int, int]], dict[str, list[int]]]:
-    """(left, right, merged) of the last merge of each token, and the tokens that merging their own bytes
-    doesn't give. Merges in a longer word go as they go in the token alone, so no other pair ever
-    makes it; as whole words the others still are one token."""
+    """(left, right, merged) of the last merge of each token, and the tokens that can be whole words, which are
+    looked up before any merge, as the library does. Merges in a longer word go as they go in the token alone, so no
+    other pair ever makes it; tokens that merging their own bytes doesn't give are whole words only."""
     merges, whole = [], {}
     for token, rank in ranks.items():
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -72,8 +73,8 @@ def merges_of(ranks: dict[bytes, int]) -> tuple[list[tuple[int, int, int]], dict
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         if len(parts) == 2:
             merges.append((ranks[parts[0]], ranks[parts[1]], rank))
-        elif len(parts) > 2:
-            whole[token.decode("utf-8", "replace")] = [rank]
+        with contextlib.suppress(UnicodeDecodeError):  # parts of a character are no word
+            whole[token.decode()] = [rank]
     return merges, whole
 
 
@@ -251,7 +252,7 @@ def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> Da
             else:
                 own = np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words))[which] if len(words) else np.zeros(0, dtype="<i4")
             new = list(islice(reversed(numbers), len(numbers) - had))[::-1]
-            spelled = framed(new, one, whole | ready, end)
+            spelled = framed(new, one, whole | ready if ready else whole, end)
             cuts = list(range(0, len(spelled), FOLD_WORDS)) or [0]
             offsets = pa.array([*cuts, len(spelled)], pa.int32())
             none = [None] * (len(cuts) - 1)

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm, word_cutter  # noqa: E402
-from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, splitter  # noqa: E402
+from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, merges_of, splitter  # noqa: E402
 from hazardgrid.llm.word_tokens import word_encoder  # noqa: E402
 
 PIECES = list(" \n\t'strevmldxA19!") + ["é", "中", "　", " ", " ", "²", "́", " ", "'", "\x01", "\x00", "\x1c", "\x85", "😀", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "É", "ß", "İ", "€", "á", "½", "×"]
@@ -314,3 +314,12 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(none, read("byte_bpe_50k.json").decode()).count() == 0
     assert packing.pack_documents(none, read("word_bpe_49k.json").decode(), 2).count() == 0
     assert bpe_roundtrip(none, read("byte_bpe_multi_50k.tiktoken")).count() == 0
+
+
+def test_words_that_are_tokens_need_no_merge():
+    """Whole words of the vocabulary are looked up; tokens that are no text stand for no word, not even for U+FFFD."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257, b"xyz": 258, b"\xef\xbf": 259, b"\xff\xfe\xfd": 260}
+    merges, whole = merges_of(ranks)
+    assert sorted(merges) == [(97, 98, 256), (239, 191, 259), (256, 99, 257)]
+    assert (whole["ab"], whole["abc"], whole["xyz"]) == ([256], [257], [258])
+    assert not any("\ufffd" in w for w in whole)
