@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over distinct words.
 
-Texts are cut into words by the tokenizer's pattern and numbered; each different word of a task goes
-once, as an array of byte tokens, through a fold that applies the merge of lowest rank until none is
-left. Ranks come from a literal map in the plan. Documents are then put together from their words'
+Texts are cut into words by the tokenizer's pattern, and words that are no tokens into parts that no token
+lies across; each different part of a task goes once, as an array of byte tokens, through a fold that applies
+the merge of lowest rank until none is left. Ranks come from a literal map in the plan. Documents are then put together from their words'
 tokens, and decoded by concatenating the tokens' bytes. Each text is read and cut once, and nothing is
 shuffled, broadcast or collected but the vocabulary.
 """
@@ -30,10 +30,16 @@ from .word_tokens import Numbered
 
 #: Different words that a task remembers; beyond that it starts anew.
 REMEMBERED = 600_000
+#: Bytes of the texts that are cut at once.
+CHUNK = 1 << 19
 #: Words of a row of the fold.
 FOLD_WORDS = 4096
-#: Longer words (bytes) are cut where no token can cross.
+#: Longer parts (bytes) are looked through for tokens one by one, and merged by a heap if they stay longer.
 LONG = 96
+#: Bytes of the longest runs that tell where tokens lie, bits of a table of runs, and bytes that are looked at at once.
+RUN, RUN_BITS, AT_ONCE = 6, 21, 1 << 18
+#: A value between words, which no run of a token holds.
+BETWEEN = 300
 #: Fixed value: the pattern that the transducer stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of a token id, and of the smallest table of merges.
@@ -138,6 +144,63 @@ def fold_merges(words: Column, shift: list[int], table: list[int]) -> Column:
     return F.transform(words, fold)
 
 
+def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the words with BETWEEN behind each, where each word begins, its length)."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    first = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(words), BETWEEN, dtype=np.uint16)
+    out[np.repeat(first, size) + common.ramp(size)] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    return out, first, size
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hash of the n values from each place on) for n from 2 to RUN."""
+    hashed, power = np.zeros(len(values), dtype=np.uint32), 1
+    for n in range(1, min(RUN, len(values)) + 1):
+        hashed = hashed[: len(values) - n + 1] + (values[n - 1 :].astype(np.uint32) + np.uint32(1)) * np.uint32(power)
+        power = power * 2654435761 & 0xFFFFFFFF
+        if n > 1:
+            yield n, (hashed * np.uint32(2246822519)) >> np.uint32(32 - RUN_BITS)
+
+
+class Seams:
+    """Places in words that no token lies across: parts between them are merged apart from each other. A token
+    of fewer bytes than RUN is found as it is, a longer one by its runs of RUN bytes; these, and runs that hash
+    alike, may keep parts together that no token joins, but never part what one could."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [t for t in ranks if len(t) > 1]
+        self.held = {n: np.zeros(1 << RUN_BITS, dtype=bool) for n in range(2, RUN + 1)}
+        values, first, size = _laid_out(tokens)
+        left = np.repeat(first + size, size + 1) - np.arange(len(values))  # bytes of the token from here on
+        whole = np.repeat(size, size + 1)
+        for n, run in _runs(values):
+            some = (left[: len(run)] >= n) & ((whole[: len(run)] == n) | (n == RUN))
+            self.held[n][run[some]] = True
+
+    def parts(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """(the parts of all words in turn, how many each word has)."""
+        out: list[bytes] = []
+        counts = [np.zeros(0, dtype=np.int64)]
+        group = np.cumsum([len(w) for w in words]) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)]
+        for some in (words[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b):
+            values, first, size = _laid_out(some)
+            begins = np.ones(len(values), dtype=bool)
+            for n, run in _runs(values):
+                hit = ~self.held[n][run]
+                for k in range(1, n):
+                    begins[k : k + len(run)] &= hit
+            begins[first], begins[first + size] = True, False
+            at = np.flatnonzero(begins)
+            stop = np.append(at[1:], len(values))
+            stop = stop - (values[stop - 1] == BETWEEN)
+            raw = values.astype(np.uint8).tobytes()
+            out += [raw[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
+            counts.append(np.diff(np.append(np.searchsorted(at, first), len(at))))
+        return out, np.concatenate(counts)
+
+
 class Pieces:
     """Parts of long words that are merged apart from each other."""
 
@@ -200,7 +263,7 @@ def framed(words: list[str | bytes], one: np.ndarray, merged: dict, end: int) ->
 def bpe_roundtrip(docs: DataFrame, rank_lines: bytes, pattern: str = PATTERN) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_tokens, ids_sha256, decoded_sha256,
     n_bytes. ``rank_lines`` is the content of a rank file. Null and empty texts have no ids. Words of
-    any length are encoded exactly: beyond LONG bytes in parts that no token crosses."""
+    any length are encoded exactly."""
     return _coded(docs, rank_lines, pattern, digest=True)
 
 
@@ -217,53 +280,68 @@ def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> Da
     end = max(ranks.values()) + 1
     if end >= NONE:
         raise ValueError(f"ids of {BITS} bits at most")
-    merges, whole = merges_of(ranks)
+    merges, _ = merges_of(ranks)
     vocabulary = [b""] * end
     for token, rank in ranks.items():
         vocabulary[rank] = token
-    shared = spark.sparkContext.broadcast((ranks, merges, whole, vocabulary))
+    shared = spark.sparkContext.broadcast((vocabulary, np.array(merges, dtype=np.int32).reshape(-1, 3)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of new words to fold; the last row of a chunk has its documents as numbers of words."""
-        ranks, merges, whole, _ = shared.value
+        """Rows of new parts to fold; the last row of a chunk has its documents as numbers of parts."""
+        vocabulary, merges = shared.value
+        ranks = {token: rank for rank, token in enumerate(vocabulary) if token}
         one = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        cut = splitter(pattern)
+        cut, seams = splitter(pattern), Seams(ranks)
         pieces: Pieces | None = None
         numbers = Numbered()
         names = ["fresh", "words", "doc_ids", "counts", "which"]
-        for part in common.chunks(batches):
-            words, which, counts = cut(common.texts_of(part))
+        for batch in common.chunks(batches, limit=CHUNK):
+            words, which, counts = cut(common.texts_of(batch))
             fresh = len(numbers) > REMEMBERED or not len(numbers)
-            if fresh:
-                numbers = Numbered()
-            had, ready = len(numbers), {}  # ids that need no fold
-            long = [k for k, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG and w not in whole]
-            if long:
-                pieces = pieces or Pieces(ranks, merges)
-                parts = {k: pieces.of(words[k].encode()) for k in long}
-                size = np.ones(len(words), dtype=np.int64)
-                size[long] = [len(p) for p in parts.values()]
-                flat = np.array([numbers[x] for k, w in enumerate(words) for x in parts.get(k, (w,))], dtype="<i4")
-                first = np.cumsum(size) - size
-                text_of = np.repeat(np.arange(len(counts)), counts)
-                counts = np.bincount(text_of, weights=size[which], minlength=len(counts))
-                own = flat[np.repeat(first[which], size[which]) + common.ramp(size[which])]
-                ready = {x: pieces.merged(x) for p in parts.values() for x in p if len(x) > LONG}
-            else:
-                own = np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words))[which] if len(words) else np.zeros(0, dtype="<i4")
+            if fresh:  # of each word its parts: size of them from first on in flat
+                numbers, parts = Numbered(), Numbered()
+                first, size, flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<i4")
+            had, had_parts = len(numbers), len(parts)
+            which = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))[which] if len(words) else np.zeros(0, dtype=np.int32)
             new = list(islice(reversed(numbers), len(numbers) - had))[::-1]
-            spelled = framed(new, one, whole | ready if ready else whole, end)
+            del words
+            raw = [w.encode() for w in new]
+            token = np.array([w in ranks for w in raw], dtype=bool)
+            cut_up, of_each = seams.parts([w for w, known in zip(raw, token.tolist(), strict=True) if not known])
+            # ids that need no fold: of tokens, known by their word, and of parts that stay long
+            ready: dict[str | bytes, list[int]] = {w: [ranks[x]] for w, x, known in zip(new, raw, token.tolist(), strict=True) if known}
+            if max(map(len, cut_up), default=0) > LONG:
+                pieces = pieces or Pieces(ranks, merges.tolist())
+                finer = [pieces.of(x) if len(x) > LONG else [x] for x in cut_up]
+                of_each = np.add.reduceat([len(x) for x in finer], np.cumsum(of_each) - of_each)
+                cut_up = [x for f in finer for x in f]
+                ready |= {x: pieces.merged(x) for x in cut_up if len(x) > LONG}
+            n = np.ones(len(new), dtype=np.int64)
+            n[~token] = of_each
+            start = np.cumsum(n) - n
+            own = np.zeros(int(n.sum()), dtype="<i4")
+            own[start[token]] = [parts[w] for w in islice(ready, int(token.sum()))]
+            own[np.repeat(start[~token], of_each) + common.ramp(of_each)] = np.fromiter(map(parts.__getitem__, cut_up), dtype="<i4", count=len(cut_up))
+            first, size, flat = np.concatenate([first, start + len(flat)]), np.concatenate([size, n.astype(np.int32)]), np.concatenate([flat, own])
+            n = size[which]
+            ends = np.append(0, np.cumsum(n, dtype=np.int64))[np.append(0, np.cumsum(counts)).astype(np.int64)]
+            own = flat[np.repeat(first[which], n) + common.ramp(n)]
+            spelled = framed(list(islice(reversed(parts), len(parts) - had_parts))[::-1], one, ready, end)
+            del new, raw, cut_up, ready, n, start, which  # the rows are on their way for long
             cuts = list(range(0, len(spelled), FOLD_WORDS)) or [0]
             offsets = pa.array([*cuts, len(spelled)], pa.int32())
             none = [None] * (len(cuts) - 1)
-            cols = [pa.array([fresh] + [False] * len(none)), pa.ListArray.from_arrays(offsets, spelled), pa.array([*none, part.column(0).to_pylist()], pa.list_(pa.int64()))]
-            for x in (counts.astype("<i4"), own.astype("<i4")):
+            cols = [pa.array([fresh] + [False] * len(none)), pa.ListArray.from_arrays(offsets, spelled), pa.array([*none, batch.column(0).to_pylist()], pa.list_(pa.int64()))]
+            for x in (np.diff(ends).astype("<i4"), own):
                 cols.append(pa.array([*none, x.tobytes()], pa.binary()))
             for k in range(len(cuts)):
                 yield pa.RecordBatch.from_arrays([c.slice(k, 1) for c in cols], names=names)
+            del cols, spelled, own, ends
+        numbers = parts = first = size = flat = None
+        common.give_back()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value[3]
+        vocabulary = shared.value[0]
         text_of = list(map(str, range(len(vocabulary)))).__getitem__
         bytes_of = vocabulary.__getitem__
         first, size, flat = [], [], []
@@ -292,6 +370,9 @@ def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> Da
                     rows.append((len(own), hashlib.sha256(",".join(map(text_of, own)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)) if digest else (own, raw))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1).flatten(), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+                del rows, cols
+        first = size = flat = found = None
+        common.give_back()
 
     numbered = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, "fresh boolean, words array<array<int>>, doc_ids array<long>, counts binary, which binary")
     done = numbered.withColumn("words", fold_merges(F.col("words"), *rank_table(merges, end)))

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from hazardgrid.llm import packing, quality_knn, token_counts, toxicity_svm, word_cutter  # noqa: E402
-from hazardgrid.llm.bpe_codec import bpe_encode, bpe_roundtrip, merges_of, splitter  # noqa: E402
+from hazardgrid.llm.bpe_codec import Pieces, Seams, bpe_encode, bpe_roundtrip, merges_of, splitter  # noqa: E402
 from hazardgrid.llm.word_tokens import word_encoder  # noqa: E402
 
 PIECES = list(" \n\t'strevmldxA19!") + ["é", "中", "　", " ", " ", "²", "́", " ", "'", "\x01", "\x00", "\x1c", "\x85", "😀", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "É", "ß", "İ", "€", "á", "½", "×"]
@@ -110,6 +110,27 @@ def test_long_words_are_encoded_exactly(spark):
         assert list(g.ids) == library.encode_ordinary(texts[g.doc_id]) and bytes(g.decoded).decode() == texts[g.doc_id]
 
 
+def test_words_are_folded_in_parts_that_no_token_crosses():
+    """Words made of the same parts share them, so that less is folded than whole words."""
+    lines = read("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    seams, pieces = Seams(ranks), Pieces(ranks, merges_of(ranks)[0])
+    r = random.Random(11)
+    heads, tails = [["".join(r.choice("aeinrstkwzqx") for _ in range(6)) for _ in range(60)] for _ in range(2)]
+    words = [(" " + a + b).encode() for a in heads for b in tails] + ["\u4e2d\u6587\u00e9".encode() * 9, b"x", bytes(range(256))]
+    parts, counts = seams.parts(words)
+    at = 0
+    for w, n in zip(words, counts.tolist(), strict=True):
+        own, at = parts[at : at + n], at + n
+        ends = lambda some: set(np.cumsum([len(x) for x in some]).tolist())
+        assert b"".join(own) == w and ends(own) <= ends(pieces.of(w))
+        if w.decode(errors="ignore").encode() == w and w not in ranks:
+            assert [i for x in own for i in pieces.merged(x)] == library._encode_single_piece(w)
+    assert at == len(parts) and sum(map(len, set(parts))) < sum(map(len, set(words))) / 2
+    assert [len(x) for x in seams.parts([])] == [0, 0]
+
+
 def test_splitter_paths_agree():
     import regex
 
