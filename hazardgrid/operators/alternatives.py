@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import durable
+from ..scratch import discard, durable
 from . import overlay
 
 #: Deviations of one trip that its numbers leave room for, as a power of two.
 ROOM = 20
+#: Deviations of one trip whose nodes are found first; each round after that takes MORE times as many.
+FIRST, MORE = 8, 4
 
 
 def deviations(best: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,18 +37,30 @@ def alternative_paths(best: DataFrame, over: overlay.Overlay, edges: DataFrame,
     A deviation leaves the best path at one of its nodes by another road, and follows the shortest path from
     that road's end. Deviations whose rest comes back to a node before are no alternatives. Of equally long
     ones the smaller nodes, from the start, come first; of equal ones one counts. All trips' deviations are one
-    batch of searches; those whose lengths can't be among the ``most`` shortest are not dropped before loops are
-    known.
+    batch of searches for their lengths. Their nodes, which tell loops, are found from the shortest ones on, those of
+    equal length together, until a trip has enough alternatives or no more deviations.
     """
     off = deviations(best, edges).where(F.col("so_far") <= over.limit)
     number = F.row_number().over(Window.partitionBy("qid").orderBy(F.size("root"), "src"))
     off = durable(off.withColumn("spur", F.shiftleft(F.col("qid"), ROOM) + number))
     got = overlay.search(over, off.select(F.col("spur").alias("qid"), "src", "dst"))
     kept = off.join(got.trips.select(F.col("qid").alias("spur"), "length_m"), "spur").where(F.col("so_far") + F.col("length_m") <= over.limit)
-    kept = durable(kept.select("spur", "qid", "root", (F.col("so_far") + F.col("length_m")).alias("length_m")))
-    inside = overlay.Searched(got.trips.join(kept.select(F.col("spur").alias("qid")), "qid", "left_semi"), got.labels)
-    rest = overlay.path_nodes(over, inside).select(F.col("qid").alias("spur"), F.col("nodes").alias("rest"))
-    found = kept.join(rest, "spur").where(~F.arrays_overlap("root", "rest")).select("qid", "length_m", F.concat("root", "rest").alias("nodes"))
+    kept = kept.select("spur", "qid", "root", (F.col("so_far") + F.col("length_m")).alias("length_m"))
+    place = F.rank().over(Window.partitionBy("qid").orderBy(F.bround("length_m", 6)))
+    left, size, rounds = durable(kept.withColumn("place", place)), FIRST, []
+    while not left.isEmpty():
+        now = left.where(F.col("place") <= size)
+        inside = overlay.Searched(got.trips.join(now.select(F.col("spur").alias("qid")), "qid", "left_semi"), got.labels)
+        rest = overlay.path_nodes(over, inside).select(F.col("qid").alias("spur"), F.col("nodes").alias("rest"))
+        free = now.join(rest, "spur").where(~F.arrays_overlap("root", "rest")).select("qid", "length_m", F.concat("root", "rest").alias("nodes"))
+        rounds.append(durable(free))
+        found = reduce(DataFrame.unionByName, rounds)
+        enough = found.groupBy("qid").agg(F.count_distinct("nodes").alias("n")).where(F.col("n") >= most - 1)
+        after = durable(left.where(F.col("place") > size).join(enough, "qid", "left_anti"))
+        discard(left)
+        left, size = after, size * MORE
+    if not rounds:
+        return best.select("qid", F.lit(0).alias("alt"), "length_m", "nodes")
     ranked = found.groupBy("qid", "nodes").agg(F.min("length_m").alias("length_m"))
     alt = F.row_number().over(Window.partitionBy("qid").orderBy(F.bround("length_m", 6), "nodes"))
     others = ranked.withColumn("alt", alt).where(F.col("alt") < most).select("qid", F.col("alt").cast("int").alias("alt"), "length_m", "nodes")

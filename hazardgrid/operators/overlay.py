@@ -274,7 +274,10 @@ def search(over: Overlay, queries: DataFrame) -> Searched:
     a, b = (over.cells.select(F.col("node").alias(n), F.col("cell").alias(f"{p}_cell"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y")) for n, p in (("src", "a"), ("dst", "b")))
     trips = durable(queries.select("qid", F.col("src").cast("long"), F.col("dst").cast("long")).join(a, "src").join(b, "dst").select("qid", "src", "dst", "a_cell", "b_cell", "b_x", "b_y"))
     first = durable(_in_cells(over, trips.select(F.col("a_cell").alias("cell"), "qid", F.col("dst").alias("head"), _seeds("src", "0d", "0d", "src").alias("seeds")), _starts(limit), "qid long, node long, cell long, d double, from_d double, via long"))
-    ends = durable(_in_cells(over, trips.select(F.col("b_cell").alias("cell"), "qid", F.col("dst").alias("head"), _seeds("dst", "0d", "0d", "dst").alias("seeds")), _ends(limit), "qid long, node long, rest double"))
+    # trips to one node, as deviations of one trip are, share the search from there
+    to = trips.select(F.col("b_cell").alias("cell"), F.col("dst").alias("qid"), F.col("dst").alias("head")).distinct().withColumn("seeds", _seeds("head", "0d", "0d", "head"))
+    rests = _in_cells(over, to, _ends(limit), "dst long, node long, rest double")
+    ends = durable(trips.select("qid", "dst").join(rests, "dst").select("qid", "node", "rest"))
     best = durable(first.where("cell is null").select("qid", F.col("d").alias("best")))
     label = F.struct("d", "from_d", "via").alias("s")
     known = durable(first.where("cell is not null").select("qid", "node", "cell", label, F.lit(True).alias("new")))

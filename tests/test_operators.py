@@ -327,6 +327,38 @@ def test_alternatives_equal_plain_deviations(spark):
     assert {x.alt for x in rows} == {0, 1, 2, 3}
 
 
+def test_deviations_share_ends_and_only_the_shortest_are_walked(spark, monkeypatch):
+    """Searches from the end are one a node, not one a deviation; nodes are found in rounds, with the same results."""
+    from hazardgrid.operators import alternatives, overlay
+
+    r = random.Random(12)
+    width = 7
+    nodes = [(i, i % width * 100.0, i // width * 100.0) for i in range(width * width)]
+    pairs = [(i, j) for i in range(width * width) for j in ([i + 1] if i % width < width - 1 else []) + ([i + width] if i + width < width * width else [])]
+    edges = spark.createDataFrame([(*e, float(r.choice([100, 110, 130]))) for a, b in pairs for e in ((a, b), (b, a))], "src long, dst long, len_m double")
+    network = overlay.build(spark.createDataFrame(nodes, "node long, x double, y double"), edges, 3000.0, most=12)
+    trips = spark.createDataFrame([(q, *r.sample(range(width * width), 2)) for q in range(6)], "qid long, src long, dst long")
+    best = overlay.shortest_paths(trips, network).where("found").drop("found").localCheckpoint()
+    walked, asked, path_nodes, in_cells = [], [], overlay.path_nodes, overlay._in_cells
+    monkeypatch.setattr(overlay, "path_nodes", lambda over, got: walked.append(got.trips.count()) or path_nodes(over, got))
+    monkeypatch.setattr(overlay, "_in_cells", lambda over, rows, *more: asked.append(rows.count()) or in_cells(over, rows, *more))
+
+    def run(first, more):
+        walked.clear()
+        asked.clear()
+        monkeypatch.setattr(alternatives, "FIRST", first)
+        monkeypatch.setattr(alternatives, "MORE", more)
+        rows = alternatives.alternative_paths(best, network, edges, 3).collect()
+        return sorted((x.qid, x.alt, x.length_m, x.nodes) for x in rows), sum(walked)
+
+    few, some = run(1, 2)
+    assert asked[0] > 6 and asked[1] == trips.select("dst").distinct().count()
+    every, all_ = run(1 << 20, 2)
+    assert few == every and {x[1] for x in few} == {0, 1, 2} and some < all_ / 2
+    assert run(8, 4)[0] == every
+    assert alternatives.alternative_paths(best.where("false"), network, edges, 3).collect() == []
+
+
 def test_kernel_sums_equal_rows_in_the_circle(spark):
     """Rims, centres, cells with many points, negative and missing coordinates, and any number of cells."""
     from hazardgrid.operators.moments import kernel_sums
