@@ -12,8 +12,8 @@ No task or driver holds more than a cell, a block of trips and, for each, the en
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -48,15 +48,20 @@ def quad_cells(points: DataFrame, most: int = CELL_NODES, at: tuple[str, str] =
     return fine.join(named.select("qx", "qy", cell.alias("cell")), ["qx", "qy"]).drop("qx", "qy")
 
 
-def reach(graph: dict[int, list[tuple[int, float]]], seeds: dict[int, float], limit: float) -> dict[int, float]:
-    """Distances up to ``limit`` from seeds that have distances already."""
-    best = dict(seeds)
+def reach(graph: dict[int, list[tuple[int, float]]], seeds: dict[int, float], limit: float, wanted: Iterable[int] = ()) -> dict[int, float]:
+    """Distances up to ``limit`` from seeds that have distances already. With nodes that are ``wanted`` the search
+    ends at the last of them: distances below its own are final, others may be too large."""
+    best, open_ = dict(seeds), set(wanted)
     heap = [(d, v) for v, d in seeds.items()]
     heapq.heapify(heap)
     while heap:
         d, u = heapq.heappop(heap)
         if d > best[u]:
             continue
+        if u in open_:
+            open_.discard(u)
+            if not open_:
+                break
         for v, w in graph.get(u, ()):
             if d + w <= limit and d + w < best.get(v, float("inf")):
                 best[v] = d + w
@@ -143,12 +148,12 @@ def _dealt_out(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _in_cells(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], list], columns: str) -> DataFrame:
-    """``run`` over each cell's roads with ``asked(cell, qid, head, seeds)``, in blocks of trips: a cell that
+def _in_blocks(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], list], columns: str) -> DataFrame:
+    """``run`` over each cell's roads with ``asked(cell, qid, ...)``, in blocks of trips: a cell that
     many trips are in is dealt out with a copy of its roads a block."""
     spread = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_TRIPS).cast("int").alias("blocks"))
     roads = over.roads.join(spread, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "kind", "src", "dst", "len_m", "to_cell")
-    dealt = asked.join(spread, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("block"), "qid", "head", "seeds")
+    dealt = asked.join(spread, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("block"), *[c for c in asked.columns if c != "cell"])
     names = [c.split()[0] for c in columns.split(", ")]
 
     def work(roads: pd.DataFrame, trips: pd.DataFrame) -> pd.DataFrame:
@@ -159,30 +164,40 @@ def _in_cells(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.D
     return roads.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(work, columns)
 
 
-def _starts(limit: float) -> Callable:
-    """Of each trip its ways out of the first cell, and its length if it ends there (cell is null)."""
-
-    def run(roads: pd.DataFrame, trips: pd.DataFrame) -> list:
-        graph, leaving, out = adjacency(roads), roads_out(roads), []
-        for q, head, seeds in zip(trips["qid"], trips["head"], trips["seeds"], strict=True):
-            best = reach(graph, {s["node"]: s["d"] for s in seeds}, limit)
-            # ways out that are longer than the way inside lead to no shorter one
-            out += [(q, v, c, d, before, w) for v, c, d, before, w in ways_out(best, leaving, best.get(head, limit))]
-            if head in best:
-                out.append((q, head, None, best[head], None, None))
-        return out
-
-    return run
-
-
-def _ends(limit: float) -> Callable:
-    """Of each trip the distances from its last cell's entries to its end."""
+def _in_cells(over: Overlay, asked: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], list], columns: str) -> DataFrame:
+    """``_in_blocks`` of searches from a trip's start on, as ``asked(cell, qid, head, ...)``."""
+    return _in_blocks(over, asked, run, columns)
 
-    def run(roads: pd.DataFrame, trips: pd.DataFrame) -> list:
-        graph, entries = adjacency(roads, reverse=True), set(roads["src"][roads["kind"] == ENTERS].tolist())
-        return [(q, v, d) for q, head in zip(trips["qid"], trips["head"], strict=True) for v, d in reach(graph, {head: 0.0}, limit).items() if v in entries]
 
-    return run
+def _starts(roads: pd.DataFrame, trips: pd.DataFrame) -> list:
+    """Of each trip its ways out of the first cell, and its length if it ends there (cell is null)."""
+    graph, leaving, out = adjacency(roads), roads_out(roads), []
+    for q, head, src, most in zip(*(trips[c].tolist() for c in ("qid", "head", "src", "most")), strict=True):
+        best = reach(graph, {src: 0.0}, most)
+        # ways out that are longer than the way inside lead to no shorter one
+        out += [(q, v, c, d, before, w) for v, c, d, before, w in ways_out(best, leaving, best.get(head, most))]
+        if head in best:
+            out.append((q, head, None, best[head], None, None))
+    return out
+
+
+def _ends(roads: pd.DataFrame, trips: pd.DataFrame) -> list:
+    """Of each end the distances to it from its cell's entries."""
+    graph, entries = adjacency(roads, reverse=True), set(roads["src"][roads["kind"] == ENTERS].tolist())
+    return [(q, v, d) for q, head, most in zip(*(trips[c].tolist() for c in ("qid", "head", "most")), strict=True) for v, d in reach(graph, {head: 0.0}, most).items() if v in entries]
+
+
+def _to_ends(roads: pd.DataFrame, trips: pd.DataFrame) -> list:
+    """Of each trip the metres from the nodes ``starts`` of this cell to its end, by ``nodes`` from where they are ``rests``."""
+    graph, out = adjacency(roads, reverse=True), []
+    for q, most, starts, nodes, rests in zip(trips["qid"].tolist(), trips["most"].tolist(), trips["starts"], trips["nodes"], trips["rests"], strict=True):
+        seeds: dict[int, float] = {}
+        for v, d in zip(nodes.tolist(), rests.tolist(), strict=True):
+            seeds[v] = min(d, seeds.get(v, d))
+        starts = set(starts.tolist())
+        best = reach(graph, seeds, most, starts)
+        out += [(q, v, best[v]) for v in starts if v in best]
+    return out
 
 
 def _back(limit: float) -> Callable:
@@ -195,7 +210,7 @@ def _back(limit: float) -> Callable:
         for q, head, seeds in zip(trips["qid"], trips["head"], trips["seeds"], strict=True):
             # a node may be the start and be entered again on a detour: the smaller distance counts
             entered = {s["node"]: s for s in sorted(seeds, key=lambda s: -s["d"])}
-            best = reach(graph, {v: s["d"] for v, s in entered.items()}, limit)
+            best = reach(graph, {v: s["d"] for v, s in entered.items()}, limit, [head])
             nodes, v, far = [head], head, None
             while best[v] > 0:
                 ways = [(best[p], p, False) for p, w in before.get(v, ()) if p in best and best[p] + w == best[v]]
@@ -266,18 +281,26 @@ class Searched:
     labels: DataFrame
 
 
+def _placed(over: Overlay, queries: DataFrame) -> DataFrame:
+    """``queries(qid, src, dst, most)`` with cells and places of both nodes; without ``most`` it is the overlay's limit."""
+    most = F.least(F.lit(over.limit), "most") if "most" in queries.columns else F.lit(over.limit)
+    a, b = (over.cells.select(F.col("node").alias(n), F.col("cell").alias(f"{p}_cell"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y")) for n, p in (("src", "a"), ("dst", "b")))
+    return queries.select("qid", F.col("src").cast("long"), F.col("dst").cast("long"), most.alias("most")).join(a, "src").join(b, "dst")
+
+
+def _asked_ends(trips: DataFrame) -> DataFrame:
+    """The ends of trips, to be searched from: trips to one node, as deviations of one trip are, share the search."""
+    return trips.groupBy(F.col("b_cell").alias("cell"), F.col("dst").alias("qid")).agg(F.max("most").alias("most")).withColumn("head", F.col("qid"))
+
+
 def search(over: Overlay, queries: DataFrame) -> Searched:
     """Searches ``queries(qid, src, dst)``, qid unique. Rounds go on until no entry gets a smaller distance; an
     entry is followed only if its distance and the straight line from it, at the least pace, can beat both the
-    limit and the trip's best length so far."""
-    limit = over.limit
-    a, b = (over.cells.select(F.col("node").alias(n), F.col("cell").alias(f"{p}_cell"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y")) for n, p in (("src", "a"), ("dst", "b")))
-    trips = durable(queries.select("qid", F.col("src").cast("long"), F.col("dst").cast("long")).join(a, "src").join(b, "dst").select("qid", "src", "dst", "a_cell", "b_cell", "b_x", "b_y"))
-    first = durable(_in_cells(over, trips.select(F.col("a_cell").alias("cell"), "qid", F.col("dst").alias("head"), _seeds("src", "0d", "0d", "src").alias("seeds")), _starts(limit), "qid long, node long, cell long, d double, from_d double, via long"))
-    # trips to one node, as deviations of one trip are, share the search from there
-    to = trips.select(F.col("b_cell").alias("cell"), F.col("dst").alias("qid"), F.col("dst").alias("head")).distinct().withColumn("seeds", _seeds("head", "0d", "0d", "head"))
-    rests = _in_cells(over, to, _ends(limit), "dst long, node long, rest double")
-    ends = durable(trips.select("qid", "dst").join(rests, "dst").select("qid", "node", "rest"))
+    limit and the trip's best length so far. Queries may have a limit of their own, ``most``."""
+    trips = durable(_placed(over, queries).drop("a_x", "a_y"))
+    first = durable(_in_cells(over, trips.select(F.col("a_cell").alias("cell"), "qid", F.col("dst").alias("head"), "src", "most"), _starts, "qid long, node long, cell long, d double, from_d double, via long"))
+    rests = _in_cells(over, _asked_ends(trips), _ends, "dst long, node long, rest double")
+    ends = durable(trips.select("qid", "dst", "most").join(rests, "dst").where("rest <= most").select("qid", "node", "rest"))
     best = durable(first.where("cell is null").select("qid", F.col("d").alias("best")))
     label = F.struct("d", "from_d", "via").alias("s")
     known = durable(first.where("cell is not null").select("qid", "node", "cell", label, F.lit(True).alias("new")))
@@ -287,7 +310,7 @@ def search(over: Overlay, queries: DataFrame) -> Searched:
         shorter = durable(best.unionByName(met).groupBy("qid").agg(F.min("best").alias("best")))
         discard(best)
         best = shorter
-        goal = trips.select("qid", "b_x", "b_y").join(best, "qid", "left").select("qid", "b_x", "b_y", F.least(F.lit(limit), F.coalesce("best", F.lit(limit))).alias("most"))
+        goal = trips.select("qid", "b_x", "b_y", "most").join(best, "qid", "left").select("qid", "b_x", "b_y", F.least("most", F.coalesce("best", "most")).alias("most"))
         ahead = fresh.select("qid", "node", "cell", F.col("s.d").alias("so_far")).join(goal, "qid").where(F.col("so_far") < F.col("most"))
         step = _jumped(over, durable(ahead))
         tried = known.select("qid", "node", "cell", "s", F.lit(0).alias("late")).unionByName(step.withColumn("late", F.lit(1)))
@@ -295,10 +318,48 @@ def search(over: Overlay, queries: DataFrame) -> Searched:
         after = durable(least.select("qid", "node", "cell", "b.s", (F.col("b.late") == 1).alias("new")))
         discard(known)
         known = after
-    found = trips.join(best, "qid").where(F.col("best") <= limit)
+    found = trips.join(best, "qid").where("best <= most")
     return Searched(durable(found.select("qid", "src", "a_cell", "dst", "b_cell", F.col("best").alias("length_m"))), known)
 
 
+def backward(over: Overlay) -> Overlay:
+    """The overlay with its jumps turned round: from a cell's entry to those of the cells before."""
+    at = over.cells.select(F.col("node").alias("src"), "x", "y")
+    turned = over.jumps.select(F.col("cell").alias("at"), F.col("node").alias("src"), F.col("src").alias("node"), F.col("at").alias("cell"), "len_m")
+    turned = turned.join(at.withColumnRenamed("src", "node"), "node")
+    return replace(over, jumps=durable(turned.select("at", "src", "node", "cell", "x", "y", "len_m", F.lit(0.0).alias("via_m"), F.lit(0).cast("long").alias("via"))))
+
+
+def rests(over: Overlay, turned: Overlay, queries: DataFrame, starts: DataFrame) -> DataFrame:
+    """(qid, src, rest): the metres from each node of ``starts(qid, src)`` to the end of its trip of ``queries(qid, src,
+    dst, most)``, where a way of ``most`` metres from the trip's start to its end can lead through the node; others may
+    be missing. Entries get their rests from the end on, a cell a round; then one search backwards, a trip and cell,
+    serves all nodes there."""
+    trips = durable(_placed(over, queries).select("qid", "dst", "b_cell", "a_x", "a_y", "most"))
+    line = F.lit(over.pace * (1 - 1e-9)) * F.hypot(F.col("x") - F.col("a_x"), F.col("y") - F.col("a_y"))
+    to = _in_blocks(over, _asked_ends(trips), _ends, "dst long, node long, rest double").join(over.cells, "node")
+    on_way = F.col("rest") + line <= F.col("most") * (1 + 1e-12)
+    known = durable(trips.join(to, "dst").where(on_way).select("qid", "node", "cell", "rest", F.lit(True).alias("new")))
+    goal = trips.select("qid", F.col("a_x").alias("b_x"), F.col("a_y").alias("b_y"), "most")
+    while not known.where("new").isEmpty():
+        ahead = durable(known.where("new").select("qid", "node", "cell", F.col("rest").alias("so_far")).join(goal, "qid"))
+        step = _jumped(turned, ahead).select("qid", "node", "cell", F.col("s.d").alias("rest"), F.lit(1).alias("late"))
+        tried = known.select("qid", "node", "cell", "rest", F.lit(0).alias("late")).unionByName(step)
+        least = tried.groupBy("qid", "node", "cell").agg(F.min(F.struct("rest", "late")).alias("b"))
+        after = durable(least.select("qid", "node", "cell", "b.rest", (F.col("b.late") == 1).alias("new")))
+        discard(known)
+        discard(ahead)
+        known = after
+    leaves = over.roads.where(F.col("kind") == LEAVES).select("cell", F.col("dst").alias("node"), F.col("src").alias("out"), "len_m")
+    seeds = known.select("qid", "node", "rest").join(leaves, "node").select("qid", "cell", F.col("out").alias("node"), (F.col("rest") + F.col("len_m")).alias("rest"))
+    seeds = seeds.unionByName(trips.select("qid", F.col("b_cell").alias("cell"), F.col("dst").alias("node"), F.lit(0.0).alias("rest")))
+    of = lambda s, f: F.transform(s, lambda e: e[f])
+    seeds = seeds.groupBy("qid", "cell").agg(F.collect_list(F.struct("node", "rest")).alias("s")).select("qid", "cell", of("s", "node").alias("nodes"), of("s", "rest").alias("rests"))
+    at = starts.join(over.cells.select(F.col("node").alias("src"), "cell"), "src").groupBy("qid", "cell").agg(F.collect_set("src").alias("starts"))
+    asked = at.join(seeds, ["qid", "cell"]).join(trips.select("qid", "most"), "qid")
+    return durable(_in_blocks(over, asked, _to_ends, "qid long, src long, rest double"))
+
+
 def path_nodes(over: Overlay, got: Searched) -> DataFrame:
     """(qid, nodes) of the searched trips: their paths are walked back from the end, a cell a round."""
     # only labels nearer than the end can lie on a path
