@@ -275,7 +275,7 @@ def bpe_encode(docs: DataFrame, rank_lines: bytes, pattern: str = PATTERN) -> Da
 def _coded(docs: DataFrame, rank_lines: bytes, pattern: str, digest: bool) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     common.prepare(spark)
-    spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the literal map is not worth printing
+    spark.conf.set("spark.sql.maxPlanStringLength", "400000")  # the literal map is not worth printing; other plans of the session are
     ranks = read_ranks(rank_lines)
     end = max(ranks.values()) + 1
     if end >= NONE:
